@@ -164,7 +164,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     central = inc.groupBy("id").agg(F.sum("size").alias("met"))
     leaders = inc.join(central, "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("neg"))).alias("best")).select("key", (-F.col("best.neg")).alias("leader"))
     inc = ws.table("led", inc.join(leaders, "key"))
-    cand = ws.table("cand", given.join(inc.select("id").distinct(), "id", "left_semi"))
+    # One plan at every size: the texts are dealt by id, never met by a broadcast that only small inputs allow.
+    cand = ws.table("cand", given.hint("merge").join(inc.select("id").distinct(), "id", "left_semi"))
 
     pairs = inc.where("id <> leader").select(F.least("id", "leader").alias("u"), F.greatest("id", "leader").alias("v")).distinct()
     side = lambda name: cand.select(F.col("id").alias(name), F.col("text").alias(f"{name}_text"))
