@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.llm.mixing import mix_sources
 from docloom.llm.near_dedup import near_duplicates
+from docloom.llm.quality_rules import quality_rules
 from docloom.llm.substring_dedup import remove_repeated_spans
 from docloom.llm.token_counts import count_tokens
 
@@ -25,6 +27,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_spans(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -33,7 +43,51 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_token_counts": op4_token_counts,
+    "op5_quality_rules": op5_quality_rules,
+    "op7_mix_sources": op7_mix_sources,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_mix_sources": r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+         md5(concat_ws(':', CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS k
+  FROM documents),
+by_source AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS r,
+         [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w,
+         source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS total
+  FROM by_source),
+filled AS (
+  SELECT *, (total - coalesce(sum(cap) OVER p, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER p, 0)) AS lv,
+         row_number() OVER (ORDER BY cap / w, r) AS turn
+  FROM ranked WINDOW p AS (ORDER BY cap / w, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+levelled AS (SELECT * EXCLUDE (lv), (SELECT arg_min(lv, turn) FROM filled WHERE lv * w <= cap) AS lv FROM filled),
+targets AS (SELECT *, least(cap, lv * w) AS target FROM levelled),
+bounds AS (
+  SELECT *, greatest(sum(target) OVER (), 1.0) AS whole,
+         coalesce(sum(target) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / greatest(sum(target) OVER (), 1.0) AS below,
+         CASE WHEN lead(r) OVER (ORDER BY r) IS NULL THEN 1.0
+              ELSE sum(target) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / greatest(sum(target) OVER (), 1.0) END AS above
+  FROM targets),
+stepped AS (SELECT *, greatest(CAST(ceil(whole / 524288) AS BIGINT), 1) AS step FROM bounds),
+blocks AS (SELECT *, greatest(CAST(ceil(source_size / step::DOUBLE) AS BIGINT), 1) AS n_blocks FROM stepped),
+slots AS (SELECT t AS slot, (t + 1) * 0.6180339887498949::DOUBLE - floor((t + 1) * 0.6180339887498949::DOUBLE) AS x FROM range(524288) g(t)),
+placed AS (
+  SELECT r, n_blocks, row_number() OVER (PARTITION BY r ORDER BY slot) - 1 AS turn
+  FROM slots JOIN blocks ON x >= below AND x < above AND target > 0 AND slot * step < whole),
+uses AS (SELECT r, turn % n_blocks AS block, count(*) AS uses FROM placed GROUP BY ALL),
+docs AS (
+  SELECT doc_id, size, k, b.r, b.source_size, b.target, b.step,
+         coalesce(sum(size) OVER (PARTITION BY b.r ORDER BY ('0x' || substr(k, 1, 8))::BIGINT % 4096, k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS f
+  FROM sized JOIN blocks b ON sized.source IS NOT DISTINCT FROM b.source),
+pieces AS (SELECT doc_id, k, f, size, r, step, unnest(range(f // step, (f + size - 1) // step + 1)) AS block FROM docs WHERE size > 0),
+got AS (
+  SELECT doc_id, k, f, sum((least(f + size, (block + 1) * step) - greatest(f, block * step)) * least(uses, 2)) AS taken
+  FROM pieces JOIN uses USING (r, block) GROUP BY ALL)
+SELECT d.doc_id, d.size::BIGINT AS size, d.source_size, d.target, coalesce(g.taken, 0)::BIGINT AS taken
+FROM docs d LEFT JOIN got g ON d.doc_id = g.doc_id AND d.k = g.k AND d.f = g.f
+""",
+}
