@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.mixing import mix_sources
 from docloom.llm.near_dedup import near_duplicates
+from docloom.llm.personal_data import BASE, find_personal_data
 from docloom.llm.quality_rules import quality_rules
 from docloom.llm.substring_dedup import remove_repeated_spans
 from docloom.llm.token_counts import count_tokens
@@ -35,6 +36,13 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(_table(spark, sf_dir, "documents"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{kind}')) AS long)").alias(f"n_{kind}") for kind in BASE]
+    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_spans(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -45,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
     "op7_mix_sources": op7_mix_sources,
+    "op8_personal_data": op8_personal_data,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
