@@ -18,13 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.packing import by_id, pack_ints, ragged_binary, unpack_ints
-from docloom.llm.textblocks import rows_of, span_hashes, text_slices, whole_windows, window_hashes, word_spans
+from docloom.llm.textblocks import mix64, rows_of, span_hashes, text_slices, whole_windows, window_hashes, word_spans
 
 WINDOW, KMER = 13, 6
 BLOCK_BYTES = 16 << 20
 BUCKET_BYTES = 16 << 20
 
 _HIT = np.dtype([("pos", np.int64), ("src", np.int64), ("at", np.int64)])
+_PATH = np.dtype([("pos", np.int64), ("src", np.int64), ("at", np.int64), ("edges", np.int64)])
 _SPAN = np.dtype([("pos", np.int64), ("len", np.int64), ("check", "V16")])
 
 
@@ -58,6 +59,41 @@ def _message(kind: int, routes: list[int], columns: list[list[bytes]]) -> pa.Rec
     )
 
 
+def _dealt(ids: np.ndarray, body: np.ndarray, groups: int) -> pa.Table:
+    """(part, ids, body): the entries packed by part, a hash of the id."""
+    part, cuts, (ids, body) = by_id((mix64(ids.astype(np.uint64)) % np.uint64(groups)).astype(np.int64), ids, body)
+    packed = [pack_ints(ids[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.table({"part": pa.array(part, pa.int64()), "ids": pa.array(packed, pa.binary()), "body": ragged_binary(body, cuts)})
+
+
+def _gathered(table: pa.Table, kind: np.dtype | type) -> tuple[np.ndarray, np.ndarray]:
+    ids = [unpack_ints(x) for x in table.column("ids").to_pylist()]
+    body = [np.frombuffer(x, kind) for x in table.column("body").to_pylist()]
+    return np.concatenate([np.zeros(0, np.int64), *ids]), np.concatenate([np.zeros(0, kind), *body])
+
+
+def _gather_marks(table: pa.Table) -> pa.Table:
+    """(key, marks): all marks of each id of a part."""
+    owner, cuts, (marks,) = by_id(*_gathered(table, np.uint64))
+    return pa.table({"key": pa.array(owner, pa.int64()), "marks": ragged_binary(marks, cuts)})
+
+
+def _gather_paths(table: pa.Table) -> pa.Table:
+    """(key, paths): each id's edges, those that follow one another in document and source compacted to one path."""
+    ids, hits = _gathered(table, _HIT)
+    order = np.lexsort((hits["at"], hits["src"], hits["pos"], ids))
+    ids, hits = ids[order], hits[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (np.diff(hits["pos"]) != 1) | (np.diff(hits["src"]) != 0) | (np.diff(hits["at"]) != 1)
+    heads = np.flatnonzero(new)
+    paths = np.zeros(len(heads), _PATH)
+    for name in ("pos", "src", "at"):
+        paths[name] = hits[name][heads]
+    paths["edges"] = np.diff(np.append(heads, len(ids)))
+    owner, cuts, (paths,) = by_id(ids[heads], paths)
+    return pa.table({"key": pa.array(owner, pa.int64()), "paths": ragged_binary(paths, cuts)})
+
+
 def _send_minimizers(batches: Iterator[pa.RecordBatch], buckets: int, n: int, k: int) -> Iterator[pa.RecordBatch]:
     """Per block of text: each minimizer once with its smallest id (kind 0) or, if several ids of the block hold it,
     without (kind 1); and to those ids, that it repeats (kind 2)."""
@@ -104,8 +140,8 @@ def _send_minimizers(batches: Iterator[pa.RecordBatch], buckets: int, n: int, k:
         yield from flush()
 
 
-def _answer_minimizers(table: pa.Table) -> pa.Table:
-    """(id, hashes): the minimizers of a bucket that several ids hold, for each id that asked."""
+def _answer_minimizers(table: pa.Table, groups: int) -> pa.Table:
+    """The minimizers of a bucket that several ids hold, for each id that asked."""
     kinds = table.column("kind").to_pylist()
     hashes = [np.frombuffer(x, np.uint64) for x in table.column("c0").to_pylist()]
     ids = [unpack_ints(x) for x in table.column("c1").to_pylist()]
@@ -119,8 +155,7 @@ def _answer_minimizers(table: pa.Table) -> pa.Table:
         asked = np.repeat(repeated, np.diff(np.append(cut, len(h))))
         h, i = h[asked], i[asked]
     h, i = np.concatenate([h, pick(hashes, 2, np.uint64)]), np.concatenate([i, pick(ids, 2, np.int64)])
-    owner, cuts, (h,) = by_id(i, h)
-    return pa.table({"id": pa.array(owner, pa.int64()), "marks": ragged_binary(h, cuts)})
+    return _dealt(i, h, groups)
 
 
 def _send_windows(batches: Iterator[pa.RecordBatch], buckets: int, n: int, k: int) -> Iterator[pa.RecordBatch]:
@@ -151,7 +186,7 @@ def _send_windows(batches: Iterator[pa.RecordBatch], buckets: int, n: int, k: in
             yield _message(1, [turn % buckets], [[pack_ints(x[later])] for x in (ids, pos, src, at)])
 
     for batch in batches:
-        row_ids, marks = batch.column("id").to_numpy(), batch.column("marks")
+        row_ids, marks = batch.column("key").to_numpy(), batch.column("marks")
         for lo, hi, buf, offs in text_slices(batch.column("text")):
             starts, ends, first = word_spans(buf, offs)
             words = span_hashes(buf, starts, ends)
@@ -161,8 +196,7 @@ def _send_windows(batches: Iterator[pa.RecordBatch], buckets: int, n: int, k: in
             keep = np.zeros(len(at), bool)
             edge = np.searchsorted(rows, np.arange(hi - lo + 1))
             for r in range(hi - lo):
-                known = [np.frombuffer(x, np.uint64) for x in marks[lo + r].as_py()]
-                keep[edge[r] : edge[r + 1]] = np.isin(least[edge[r] : edge[r + 1]], np.concatenate(known))
+                keep[edge[r] : edge[r + 1]] = np.isin(least[edge[r] : edge[r + 1]], np.frombuffer(marks[lo + r].as_py(), np.uint64))
             at, rows = at[keep], rows[keep]
             held.append((window_hashes(words, n)[at], row_ids[lo:][rows], at - first[rows]))
             size += len(buf)
@@ -173,8 +207,8 @@ def _send_windows(batches: Iterator[pa.RecordBatch], buckets: int, n: int, k: in
         yield from flush()
 
 
-def _answer_windows(table: pa.Table) -> pa.Table:
-    """(id, hits): the windows of a bucket that a smaller id holds, with the source coordinate of its first."""
+def _answer_windows(table: pa.Table, groups: int) -> pa.Table:
+    """The windows of a bucket that a smaller id holds, with the source coordinate of its first."""
     kinds = table.column("kind").to_pylist()
     columns = [table.column(f"c{i}").to_pylist() for i in range(4)]
     pick = lambda c, kind, read, dtype: np.concatenate([np.zeros(0, dtype), *[read(x) for x, y in zip(columns[c], kinds, strict=True) if y == kind]])
@@ -191,8 +225,7 @@ def _answer_windows(table: pa.Table) -> pa.Table:
         told = [np.concatenate([x, y[later]]) for x, y in zip(told, (ids, pos, src, at), strict=True)]
     hits = np.zeros(len(told[0]), _HIT)
     hits["pos"], hits["src"], hits["at"] = told[1:]
-    owner, cuts, (hits,) = by_id(told[0], hits)
-    return pa.table({"id": pa.array(owner, pa.int64()), "hits": ragged_binary(hits, cuts)})
+    return _dealt(told[0], hits, groups)
 
 
 def _joined(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -209,24 +242,20 @@ def _check(text: bytes, offsets: np.ndarray, a: int, b: int) -> bytes:
     return hashlib.blake2b(text[offsets[a] : offsets[b] - 1], digest_size=16).digest()
 
 
-def _compact(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Joins hits that follow one another in document and source to spans (src, at, id, pos, len, check)."""
+def _fingerprint(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """The paths as spans (src, at, id, pos, len, check), with a digest of the span's words."""
     for batch in batches:
-        ids, hits = batch.column("id").to_numpy(), batch.column("hits")
+        ids, paths = batch.column("key").to_numpy(), batch.column("paths")
         for lo, hi, buf, offs in text_slices(batch.column("text")):
             starts, ends, first = word_spans(buf, offs)
             text, offsets = _joined(buf, starts, ends)
             rows: list[tuple] = []
             for r in range(hi - lo):
-                h = np.unique(np.concatenate([np.frombuffer(x, _HIT) for x in hits[lo + r].as_py()]))
                 have = int(first[r + 1] - first[r])
-                h = h[h["pos"] + n <= have]
-                if not len(h):
-                    continue
-                cut = np.concatenate([[0], np.flatnonzero((np.diff(h["pos"]) != 1) | (np.diff(h["src"]) != 0) | (np.diff(h["at"]) != 1)) + 1, [len(h)]])
-                for a, b in zip(cut[:-1], cut[1:], strict=True):
-                    pos, size = int(h["pos"][a]), int(b - a) + n - 1
-                    rows.append((int(h["src"][a]), int(h["at"][a]), int(ids[lo + r]), pos, size, _check(text, offsets, first[r] + pos, first[r] + pos + size)))
+                for path in np.frombuffer(paths[lo + r].as_py(), _PATH):
+                    pos, size = int(path["pos"]), int(path["edges"]) + n - 1
+                    if pos + size <= have:
+                        rows.append((int(path["src"]), int(path["at"]), int(ids[lo + r]), pos, size, _check(text, offsets, first[r] + pos, first[r] + pos + size)))
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.binary())], names=["src", "at", "id", "pos", "len", "check"])
 
@@ -248,7 +277,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         ids.append(s["id"])
                         good.append((s["pos"], s["len"], s["check"]))
             owner, cuts, (packed,) = by_id(np.array(ids, np.int64), np.array(good, _SPAN))
-            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), ragged_binary(packed, cuts)], names=["id", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), ragged_binary(packed, cuts)], names=["key", "spans"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,16 +320,18 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
-    known = given.where("id IS NOT NULL")
-    asks = known.mapInArrow(lambda it: _send_minimizers(it, buckets, n, k), "route int, kind int, c0 binary, c1 binary")
-    marks = asks.groupBy("route").applyInArrow(_answer_minimizers, "id long, marks binary").groupBy("id").agg(F.collect_list("marks").alias("marks"))
-    edges = known.join(marks, "id").sortWithinPartitions("id").select("id", "text", "marks")
+    # All joins below deal the same columns of the same rows by the same key, so the texts are shuffled once.
+    texts = given.withColumn("key", F.coalesce("id", F.lit(-(1 << 63))))
+    asks = given.where("id IS NOT NULL").mapInArrow(lambda it: _send_minimizers(it, buckets, n, k), "route int, kind int, c0 binary, c1 binary")
+    dealt = "part long, ids binary, body binary"
+    marks = asks.groupBy("route").applyInArrow(lambda t: _answer_minimizers(t, buckets), dealt).groupBy("part").applyInArrow(_gather_marks, "key long, marks binary")
+    edges = texts.hint("merge").join(marks, "key").sortWithinPartitions("key")
     asks = edges.mapInArrow(lambda it: _send_windows(it, buckets, n, k), "route int, kind int, c0 binary, c1 binary, c2 binary, c3 binary")
-    hits = asks.groupBy("route").applyInArrow(_answer_windows, "id long, hits binary").groupBy("id").agg(F.collect_list("hits").alias("hits"))
-    spans = known.join(hits, "id").select("id", "text", "hits").mapInArrow(lambda it: _compact(it, n), "src long, at long, id long, pos long, len long, check binary")
+    paths = asks.groupBy("route").applyInArrow(lambda t: _answer_windows(t, buckets), dealt).groupBy("part").applyInArrow(_gather_paths, "key long, paths binary")
+    spans = texts.hint("merge").join(paths, "key").mapInArrow(lambda it: _fingerprint(it, n), "src long, at long, id long, pos long, len long, check binary")
     # A source that very many documents share is split into parts, each verified against the source text.
     spans = spans.groupBy("src", F.pmod(F.xxhash64("id"), F.lit(64)).alias("part")).agg(F.collect_list(F.struct("at", "id", "pos", "len", "check")).alias("spans"))
-    proven = known.join(spans.withColumnRenamed("src", "id"), "id").select("text", "spans").mapInArrow(_verify, "id long, spans binary")
-    proven = proven.groupBy("id").agg(F.collect_list("spans").alias("spans"))
-    out = given.join(proven, "id", "left").select("id", "text", "spans").mapInArrow(_remove, "id long, n_words long, n_removed long, kept_text string")
+    proven = texts.hint("merge").join(spans.select(F.col("src").alias("key"), "spans"), "key").mapInArrow(_verify, "key long, spans binary")
+    proven = proven.groupBy("key").agg(F.collect_list("spans").alias("spans"))
+    out = texts.hint("merge").join(proven, "key", "left").mapInArrow(_remove, "id long, n_words long, n_removed long, kept_text string")
     return out.withColumnRenamed("id", id_col)
