@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from docloom.llm.decontamination import find_leaks
 from docloom.llm.language_id import identify_languages
+from docloom.llm.lm_scoring import score_language_model
 from docloom.llm.mixing import mix_sources
 from docloom.llm.near_dedup import near_duplicates
 from docloom.llm.personal_data import BASE, find_personal_data
+from docloom.llm.quality_crf import score_quality
 from docloom.llm.quality_rules import quality_rules
 from docloom.llm.substring_dedup import remove_repeated_spans
 from docloom.llm.token_counts import count_tokens
@@ -26,6 +28,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_language_model(_table(spark, sf_dir, "documents"))
+    return scored.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -38,6 +45,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -60,9 +71,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
+    "op6_quality_crf": op6_quality_crf,
     "op7_mix_sources": op7_mix_sources,
     "op8_personal_data": op8_personal_data,
     "op9_language_id": op9_language_id,
@@ -70,6 +83,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_lm_scoring": r"""
+WITH w AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS c,
+         generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS i
+  FROM documents),
+g AS (
+  SELECT doc_id, i, c, lag(c) OVER d AS b, lag(c, 2) OVER d AS a FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+one AS (SELECT c, count(*) AS n FROM g GROUP BY c),
+two AS (SELECT b, c, count(*) AS n FROM g WHERE b IS NOT NULL GROUP BY b, c),
+three AS (SELECT a, b, c, count(*) AS n FROM g WHERE a IS NOT NULL GROUP BY a, b, c),
+whole AS (SELECT count(*) AS n FROM g),
+s AS (
+  SELECT g.doc_id,
+    CASE WHEN three.n >= 2 THEN 3 WHEN two.n >= 2 THEN 2 ELSE 1 END AS level,
+    CASE WHEN three.n >= 2 THEN ln(three.n / ab.n)
+         WHEN two.n >= 2 THEN ln(two.n / b.n) + CASE WHEN g.a IS NULL THEN 0 ELSE ln(0.4) END
+         ELSE ln(one.n / whole.n) + CASE WHEN g.b IS NULL THEN 0 WHEN g.a IS NULL THEN ln(0.4) ELSE 2 * ln(0.4) END END AS score
+  FROM g CROSS JOIN whole JOIN one USING (c)
+  LEFT JOIN two ON two.b = g.b AND two.c = g.c LEFT JOIN three ON three.a = g.a AND three.b = g.b AND three.c = g.c
+  LEFT JOIN two ab ON ab.b = g.a AND ab.c = g.b LEFT JOIN one b ON b.c = g.b)
+SELECT d.doc_id, count(s.level) AS n_words, count(*) FILTER (level = 1) AS n_order1, count(*) FILTER (level = 2) AS n_order2,
+       count(*) FILTER (level = 3) AS n_order3, round(coalesce(sum(score), 0), 6) AS log_score, round(sum(score) / count(s.level), 6) AS mean_log_score
+FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id
+""",
     "op7_mix_sources": r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
