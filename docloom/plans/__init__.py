@@ -1 +1,4 @@
+"""Queries over the driver tables, one module a group of operators."""
 
+from docloom.plans import tree_queries  # noqa: F401
+from docloom.plans.registry import QUERIES, SQL  # noqa: F401
