@@ -59,7 +59,8 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     parts = runs.withColumn("content", content).withColumn("level", level).groupBy("doc_id", "run").agg(
         F.first("kind").alias("kind"), F.max("level").alias("level"), F.min("line").alias("line"), F.array_sort(F.collect_list(F.struct("line", "content"))).alias("parts")
     )
-    joined = F.array_join(F.transform("parts", lambda p: p["content"]), F.when(F.col("kind").isin("code", "table"), "\n").otherwise(" "))
+    contents = F.transform("parts", lambda p: p["content"])
+    joined = F.when(F.col("kind").isin("code", "table"), F.array_join(contents, "\n")).otherwise(F.array_join(contents, " "))
     value = F.when(F.col("kind") == "code", joined).otherwise(demote_links(joined))
     return parts.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("run")) - 1).alias("ordinal"), "kind", "level", value.alias("value"), "line")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,8 +95,6 @@ def worst_of(a: Column, b: Column) -> Column:
 
 def measured(lines: DataFrame, measurer, text_col: str = "text") -> DataFrame:
     """Adds width by a caller's function of a pandas Series of texts; where it fails or gives no number, null."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def width(texts: pd.Series) -> pd.Series:
         try:

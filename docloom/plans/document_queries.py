@@ -128,7 +128,7 @@ def w1(spark, sf):
     """Decimals: .1 + .2 = .3 must hold."""
     from pyspark.sql import Window
 
-    rows = table(spark, sf, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(3))).cast("long").alias("k"))
+    rows = table(spark, sf, "documents").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("k"))
     y = (F.expr("2 * k + 1 + CASE WHEN doc_id % 5 = 0 AND k = 2 THEN 1 ELSE 0 END").cast("decimal(20,1)") / F.lit(10)).cast("decimal(20,1)")
     before = F.lag("y").over(Window.partitionBy("doc_id").orderBy("k"))
     return rows.withColumn("y", y).withColumn("p", before).where("p IS NOT NULL").select("doc_id", "k", ((F.col("y") - F.col("p")) == F.lit("0.2").cast("decimal(20,1)")).alias("exact"))
@@ -201,7 +201,7 @@ def w13(spark, sf):
     return _cascaded(spark, sf)
 
 
-@query("c35_style_text", f"WITH {CASCADE_SQL} SELECT id, string_agg(property || ':' || value, ';' ORDER BY property) AS style FROM best WHERE k = 1 GROUP BY id")
+@query("c35_style_text", f"WITH {CASCADE_SQL} SELECT id, string_agg(property || ':' || value, ';' ORDER BY property || ':' || value) AS style FROM best WHERE k = 1 GROUP BY id")
 def c35(spark, sf):
     pairs = F.array_sort(F.collect_list(F.concat_ws(":", "property", "value")))
     return _cascaded(spark, sf).groupBy("id").agg(F.array_join(pairs, ";").alias("style"))

@@ -113,7 +113,7 @@ def compare_packages(parts: DataFrame, baseline: str, edited: str) -> DataFrame:
     return b.join(e, "name", "full_outer").select("name", state.alias("state")).where("state IS NOT NULL")
 
 
-def _pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
         for name, content in sorted(zip(pdf["name"], pdf["content"], strict=True)):
