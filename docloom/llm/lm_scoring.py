@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from docloom.llm.textblocks import rows_of, span_hashes, text_slices, window_has
 
 ORDER, BACKOFF, LEAST = 3, 0.4, 2
 PART_BYTES = 8 << 20
+#: Bits of an n-gram's key. Two of N distinct n-grams share a key with a chance of N / 2**56 each.
+KEY_BITS = 56
 _ALL = np.zeros(1, np.uint64)
 
 
@@ -29,6 +34,34 @@ def _unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(gaps.view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one part in one batch as one row: ids, text sizes and the compressed texts."""
+    for batch in batches:
+        part = batch.column("part").to_numpy()
+        order = np.argsort(part, kind="stable")
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(part[order])) + 1, [len(part)]]) if len(part) else np.zeros(1, int)
+        rows = []
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            take = pa.array(order[a:b])
+            texts = pc.fill_null(batch.column("text").take(take), "").cast(pa.large_binary())
+            body = b"".join(texts.to_pylist())
+            sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
+            rows.append((part[order[a]], batch.column("id").take(take), pack_ints(sizes), len(body), pa.compress(body, "zstd", asbytes=True)))
+        parts, ids, sizes, raw, bodies = zip(*rows, strict=True) if rows else ([],) * 5
+        held = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.concat_arrays(ids)) if rows else pa.array([], pa.list_(batch.schema.field("id").type))
+        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), held, pa.array(sizes, pa.binary()), pa.array(raw, pa.int64()), pa.array(bodies, pa.binary())], names=["part", "ids", "sizes", "raw", "body"])
+
+
+def _texts(table: pa.Table) -> pa.ChunkedArray:
+    """The texts of a part's packed rows, in the order of their ids."""
+    chunks = []
+    for sizes, raw, body in zip(*(table.column(c).to_pylist() for c in ("sizes", "raw", "body")), strict=True):
+        offsets = np.concatenate([[0], np.cumsum(unpack_ints(sizes))]).astype(np.int64)
+        data = pa.decompress(body, decompressed_size=raw, codec="zstd")
+        chunks.append(pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.tobytes()), data))
+    return pa.chunked_array(chunks, pa.large_string())
+
+
 def _grams(texts: pa.ChunkedArray, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Hashes of the n-grams that begin at each word for n = 1..order (0 where they cross rows), words' rows, counts."""
     grams: list[list[np.ndarray]] = [[] for _ in range(order)]
@@ -41,7 +74,7 @@ def _grams(texts: pa.ChunkedArray, order: int) -> tuple[list[np.ndarray], np.nda
             out = np.zeros(len(words), np.uint64)
             if len(words) >= n:
                 inside = row[n - 1 :] == row[: len(row) - n + 1]
-                out[: len(inside)][inside] = np.maximum(window_hashes(words, n)[inside], np.uint64(1))
+                out[: len(inside)][inside] = np.maximum(window_hashes(words, n)[inside] >> np.uint64(64 - KEY_BITS), np.uint64(1))
             grams[n - 1].append(out)
         rows.append(row + base)
         sizes.append(np.diff(first))
@@ -52,13 +85,13 @@ def _grams(texts: pa.ChunkedArray, order: int) -> tuple[list[np.ndarray], np.nda
 
 def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket of ascending keys begins, and the end."""
-    bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    bucket = (keys >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)
     return np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
 
 
 def _count_part(table: pa.Table, buckets: int, order: int) -> pa.Table:
     """The distinct n-grams of a part of the rows with their counts, dealt to buckets; key 0 counts all words."""
-    grams, _, sizes = _grams(table.column("text"), order)
+    grams, _, sizes = _grams(_texts(table), order)
     keys, counts = np.unique(np.concatenate([*grams, _ALL]), return_counts=True)
     counts[0] = sizes.sum()
     cut = _cuts(keys, buckets)
@@ -92,7 +125,7 @@ def _total_bucket(table: pa.Table) -> pa.Table:
 
 
 def _score_part(rows: pa.Table, answers: pa.Table, buckets: int, order: int, backoff: float, least: int) -> pa.Table:
-    grams, row, sizes = _grams(rows.column("text"), order)
+    grams, row, sizes = _grams(_texts(rows), order)
     keys, place = np.unique(np.concatenate([*grams, _ALL]), return_inverse=True)
     cut = _cuts(keys, buckets)
     totals = np.zeros(len(keys), np.int64)
@@ -115,7 +148,7 @@ def _score_part(rows: pa.Table, answers: pa.Table, buckets: int, order: int, bac
         context = seen[n - 2][end - n + 1]
         score[end] = np.log(have[found] / context) + np.log(backoff) * (longest[end] - n)
         level[end] = n
-    out = {"id": rows.column("id"), "n_words": pa.array(sizes)}
+    out = {"id": pa.chunked_array([c.flatten() for c in rows.column("ids").chunks]), "n_words": pa.array(sizes)}
     for n in range(1, order + 1):
         out[f"n_order{n}"] = pa.array(np.bincount(row[level == n], minlength=len(sizes)).astype(np.int64))
     out["log_score"] = pa.array(np.bincount(row, weights=score, minlength=len(sizes)))
@@ -126,7 +159,7 @@ def score_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """Returns (id, n_words, n_order1.., log_score, mean_log_score) for every row, against the table's own n-grams.
 
     The count tables hold n-grams (A-Z lower-cased words) that occur at least ``least`` times; single words all count.
-    Rows are dealt to parts of about ``part_bytes``; a part sends each distinct n-gram once with its count to the
+    Rows are dealt, packed and compressed, to parts of about ``part_bytes``; a part sends each distinct n-gram once with its count to the
     bucket of its hash, where counts are summed and joined back to what each part asked, so a very frequent n-gram
     costs one entry a part. The score of a word is its longest n-gram's share of its context, times ``backoff`` for
     each step down; ``n_orderN`` says how many words were scored by n-grams of N words.
@@ -138,7 +171,7 @@ def score_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str
     total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = buckets = max(1, -(-total // part_bytes))
     kind = given.schema["id"].dataType.simpleString()
-    dealt = given.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(parts)))
+    dealt = given.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(parts))).mapInArrow(_pack_texts, f"part long, ids array<{kind}>, sizes binary, raw long, body binary")
     asked = dealt.groupBy("part").applyInArrow(lambda t: _count_part(t, buckets, order), "bucket int, part long, keys binary, counts binary")
     answers = asked.groupBy("bucket").applyInArrow(_total_bucket, "bucket int, part long, totals binary")
     schema = f"id {kind}, n_words long, " + ", ".join(f"n_order{n} long" for n in range(1, order + 1)) + ", log_score double"
