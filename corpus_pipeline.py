@@ -29,7 +29,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near-duplicates, and every row that is linked with nothing."""
+    """Keeps the smallest id of each group of near-duplicates (0.8 of five-word shingles) and all rows outside groups."""
     return _only(_documents(docs), near_duplicates(docs), "kept AND doc_id IS NOT NULL")
 
 

@@ -137,7 +137,7 @@ def _link_block(table: pa.Table, percent: int, n: int) -> pa.Table:
     return pa.table({"u": pa.array(out_u, pa.int64()), "v": pa.array(out_v, pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, n: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, n: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Returns (id, n_shingles, component_id, kept) for every row.
 
     Texts are sets of n-word shingles (A-Z lower-cased). Rows with equal sets form a class that its smallest id stands

@@ -13,7 +13,7 @@ from tests.llm import brute
 
 def test_near_duplicates_equal_brute_force(spark):
     rows = brute.awkward_documents()
-    got = near_duplicates(brute.frame(spark, rows)).collect()
+    got = near_duplicates(brute.frame(spark, rows), percent=85).collect()
     expected = brute.components(rows)
     assert len(got) == len(rows)
     for r in got:
@@ -33,7 +33,7 @@ def test_chains_of_near_copies_form_one_component(spark):
         for j in range(k % 5):
             w[(7 * k + 29 * j) % 120] = f"edit{k}_{j}"
         rows.append((k, " ".join(w), "en", "s", 1, 1, "k", "d"))
-    got = {r.doc_id: r.component_id for r in near_duplicates(brute.frame(spark, rows)).collect()}
+    got = {r.doc_id: r.component_id for r in near_duplicates(brute.frame(spark, rows), percent=85).collect()}
     assert got == {i: c for i, (_, c) in brute.components(rows).items()}
 
 

@@ -22,7 +22,7 @@ def test_stages_against_brute_force(spark):
         if n < 50 or 100 * repeat > 50 * n:
             assert r.doc_id not in quality
     rows = [(i, r.text) for i, r in quality.items()]
-    expected = {i for i, (_, c) in brute.components(rows).items() if i == c}
+    expected = {i for i, (_, c) in brute.components(rows, 80).items() if i == c}
     assert set(kept["near_dedup"]) == expected
     items = [brute.words(r.text, lower=True) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     for i, r in kept["near_dedup"].items():
