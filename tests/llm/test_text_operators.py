@@ -227,3 +227,26 @@ def test_redaction_joins_overlapping_spans(spark):
 def test_listed_digest(spark):
     row = queries.op8_personal_data(spark, "/root/testdata/sf0.001").where("spans = ''").first()
     assert row.base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_empty_tables(spark):
+    empty = brute.frame(spark, [])
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert count_tokens(empty, BPE).count() == 0
+    assert score_quality(empty, labels).count() == 0
+    assert identify_languages(empty).count() == 0
+    assert redacted_columns(empty) == 0
+
+
+def redacted_columns(empty) -> int:
+    return find_personal_data(empty, keep=("source", "key")).select(redacted("text", "spans").alias("t"), "source", "key").count()
+
+
+def test_repeated_rows_and_null_ids_each_give_a_row(spark):
+    rows = [(5, "Le la du de.", "fr", "a", 1, 1, "k", "d")] * 3 + [(None, "x y@z.com", None, None, 1, 1, "k", "d")] * 2
+    docs = brute.frame(spark, rows)
+    assert count_tokens(docs, BPE).count() == 5
+    assert [r.n_words for r in quality_rules(docs).where("doc_id IS NULL").collect()] == [2, 2]
+    assert find_personal_data(docs).where("size(base) = 1").count() == 2
+    assert score_language_model(docs).count() == 5
+    assert identify_languages(docs).where("doc_id IS NULL AND NOT held_out").count() == 2
