@@ -76,7 +76,8 @@ def mix_sources(
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     digest = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    given = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), size.alias("size"), digest.alias("_key"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    carried = [c for c in keep if c != text_col]
+    given = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), size.alias("size"), digest.alias("_key"), *[F.col(c).alias(f"_keep_{c}") for c in carried])
     given = given.withColumn("_part", F.pmod(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long"), F.lit(PARTS)))
     parts = given.groupBy("_source", "_part").agg(F.sum("size").alias("part_size"))
     sizes = parts.groupBy(F.col("_source").alias("source")).agg(F.sum("part_size").alias("source_size"))
@@ -98,4 +99,8 @@ def mix_sources(
     held = F.least(F.col("_from") + F.col("size"), (F.col("block") + 1) * F.col("step")) - F.greatest(F.col("_from"), F.col("block") * F.col("step"))
     taken = pieces.join(uses, ["rank", "block"]).groupBy("_key", "_from").agg(F.sum(held * F.least("uses", F.lit(most))).alias("taken"))
     out = placed.join(taken, ["_key", "_from"], "left")
+    if text_col in keep:
+        # Rows with one key have one text, so texts meet the finished mix by key: they are shuffled once, and last.
+        texts = docs.select(digest.alias("_key"), F.col(text_col).alias(f"_keep_{text_col}")).dropDuplicates(["_key"])
+        out = out.join(texts, "_key")
     return out.select(F.col("_id").alias(id_col), *[F.col(f"_keep_{c}").alias(c) for c in keep], "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
