@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.components import connected_components
+from docloom.llm.components import connected_components, contract
 from docloom.llm.textblocks import mix64, shingle_sets, text_slices
 from docloom.llm.workspace import Workspace
 
@@ -154,23 +154,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ws = Workspace(spark, "near")
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sig = ws.table("sig", given.mapInArrow(lambda it: _describe(it, bands, rows, n), "id long, digest binary, n long, bands array<long>"))
+    count = sig.count()
+    few, many = ws.tasks(count * bands, 1_000_000), ws.tasks(count, 20_000, 16)
     able = sig.where("n > 0 AND id IS NOT NULL")
     classes = able.groupBy("digest").agg(F.min("id").alias("rep"))
     reps = able.join(classes, "digest").where("id = rep")
     keyed = reps.select("id", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("who")).where("lo < hi")
     buckets = buckets.groupBy("size", "lo", "hi", "who").agg(F.min("key").alias("key")).select("key", "size")
-    inc = ws.table("inc", keyed.join(buckets, "key").select("key", "size", "id").distinct())
+    inc = ws.table("inc", keyed.join(buckets, "key").select("key", "size", "id").distinct(), few)
     central = inc.groupBy("id").agg(F.sum("size").alias("met"))
     leaders = inc.join(central, "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("neg"))).alias("best")).select("key", (-F.col("best.neg")).alias("leader"))
-    inc = ws.table("led", inc.join(leaders, "key"))
+    inc = ws.table("led", inc.join(leaders, "key"), few)
     # One plan at every size: the texts are dealt by id, never met by a broadcast that only small inputs allow.
-    cand = ws.table("cand", given.hint("merge").join(inc.select("id").distinct(), "id", "left_semi"))
+    cand = ws.table("cand", given.hint("merge").join(inc.select("id").distinct(), "id", "left_semi"), many)
 
     pairs = inc.where("id <> leader").select(F.least("id", "leader").alias("u"), F.greatest("id", "leader").alias("v")).distinct()
     side = lambda name: cand.select(F.col("id").alias(name), F.col("text").alias(f"{name}_text"))
     star = ws.table("star", pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(lambda it: _verify(it, percent, bands, rows, n), "u long, v long"))
-    groups = connected_components(star, ws, "first")
+    # Two rounds bring most groups to one root. Those of one root are connected, which is all that a label claims.
+    stars = contract(star, ws, "first", 2)
+    groups = stars.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
     label = F.coalesce("root", "id")
     seen = inc.where("size > 2").join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "leader", label.alias("label"))
@@ -184,12 +188,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     queries = spread.where("asks").select("key", "id", "label", "asks", part("qb").alias("qi"), span("mb").alias("mi"))
     members = spread.select("key", "id", "label", F.lit(False).alias("asks"), part("mb").alias("mi"), span("qb").alias("qi"))
     work = queries.unionByName(members).join(cand, "id").select("key", "qi", "mi", "id", "label", "asks", "text")
-    more = ws.table("more", work.groupBy("key", "qi", "mi").applyInArrow(lambda t: _link_block(t, percent, n), "u long, v long"))
+    more = ws.table("more", work.groupBy("key", "qi", "mi").applyInArrow(lambda t: _link_block(t, percent, n), "u long, v long"), few)
 
-    if more.isEmpty():
-        final = groups
-    else:
-        final = connected_components(groups.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more), ws, "last")
+    final = connected_components(stars.unionByName(more), ws, "last")
     for name in ("inc", "led", "cand"):
         ws.drop(name)
     out = sig.select("id", "digest", "n").join(classes, "digest", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")

@@ -23,8 +23,14 @@ class Workspace:
         self.spark = spark
         self.root = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
-    def table(self, name: str, df: DataFrame) -> DataFrame:
+    def tasks(self, rows: int, each: int, a_core: int = 4) -> int:
+        """How many tasks write a table: some for every core, and enough that none gets many more rows than ``each``."""
+        return max(a_core * self.spark.sparkContext.defaultParallelism, -(-rows // each))
+
+    def table(self, name: str, df: DataFrame, tasks: int | None = None) -> DataFrame:
+        """Writes and reads again; ``tasks`` bounds the number of files (a table of few rows in many files costs only time)."""
         path = f"{self.root}/{name}"
+        df = df.coalesce(tasks) if tasks else df
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
