@@ -21,8 +21,9 @@ def topmost_missing(mapped: DataFrame, missing: DataFrame, key: str = "id") -> D
 def deletion_hazards(edges: DataFrame, deleted: DataFrame) -> DataFrame:
     """Edges that stay though an end is deleted."""
     gone = deleted.select("id").distinct()
-    touching = edges.join(gone.select(F.col("id").alias("from_id")), "from_id", "left_semi").unionByName(edges.join(gone.select(F.col("id").alias("to_id")), "to_id", "left_semi")).distinct()
-    return touching.join(gone, "id", "left_anti")
+    end = lambda name: gone.select(F.col("id").alias(name), F.lit(True).alias(f"{name}_gone"))
+    touching = edges.join(end("from_id"), "from_id", "left").join(end("to_id"), "to_id", "left").where("from_id_gone OR to_id_gone")
+    return touching.drop("from_id_gone", "to_id_gone").join(gone, "id", "left_anti")
 
 
 def reference_counts(references: DataFrame, targets: DataFrame, key: str) -> DataFrame:
