@@ -15,8 +15,9 @@ from docloom.llm.textblocks import rows_of, span_hashes, text_slices, window_has
 
 ORDER, BACKOFF, LEAST = 3, 0.4, 2
 PART_BYTES = 8 << 20
-#: Bits of an n-gram's key. Two of N distinct n-grams share a key with a chance of N / 2**56 each.
-KEY_BITS = 56
+#: An n-gram's key has so many bits more than the number of bytes in all texts. There are fewer than half as many
+#: distinct n-grams as bytes, so one of them shares its key with another with a chance below 2**-19, at every size.
+SPARE_BITS = 18
 _ALL = np.zeros(1, np.uint64)
 
 
@@ -34,6 +35,16 @@ def _unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(gaps.view(np.uint64).ravel(), dtype=np.uint64)
 
 
+def _pack_counts(values: np.ndarray) -> bytes:
+    raw = pack_ints(values)
+    return np.int64(len(raw)).tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack_counts(data: bytes) -> np.ndarray:
+    size = int(np.frombuffer(data, np.int64, 1)[0])
+    return unpack_ints(pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True))
+
+
 def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of one part in one batch as one row: ids, text sizes and the compressed texts."""
     for batch in batches:
@@ -62,7 +73,7 @@ def _texts(table: pa.Table) -> pa.ChunkedArray:
     return pa.chunked_array(chunks, pa.large_string())
 
 
-def _grams(texts: pa.ChunkedArray, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def _grams(texts: pa.ChunkedArray, order: int, bits: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Hashes of the n-grams that begin at each word for n = 1..order (0 where they cross rows), words' rows, counts."""
     grams: list[list[np.ndarray]] = [[] for _ in range(order)]
     rows, sizes, base = [], [], 0
@@ -74,7 +85,7 @@ def _grams(texts: pa.ChunkedArray, order: int) -> tuple[list[np.ndarray], np.nda
             out = np.zeros(len(words), np.uint64)
             if len(words) >= n:
                 inside = row[n - 1 :] == row[: len(row) - n + 1]
-                out[: len(inside)][inside] = np.maximum(window_hashes(words, n)[inside] >> np.uint64(64 - KEY_BITS), np.uint64(1))
+                out[: len(inside)][inside] = np.maximum(window_hashes(words, n)[inside] >> np.uint64(64 - bits), np.uint64(1))
             grams[n - 1].append(out)
         rows.append(row + base)
         sizes.append(np.diff(first))
@@ -83,18 +94,18 @@ def _grams(texts: pa.ChunkedArray, order: int) -> tuple[list[np.ndarray], np.nda
     return [cat(g, np.uint64) for g in grams], cat(rows, np.int64), cat(sizes, np.int64)
 
 
-def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+def _cuts(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     """Where each bucket of ascending keys begins, and the end."""
-    bucket = (keys >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)
+    bucket = (keys >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)
     return np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
 
 
-def _count_part(table: pa.Table, buckets: int, order: int) -> pa.Table:
+def _count_part(table: pa.Table, buckets: int, order: int, bits: int) -> pa.Table:
     """The distinct n-grams of a part of the rows with their counts, dealt to buckets; key 0 counts all words."""
-    grams, _, sizes = _grams(_texts(table), order)
+    grams, _, sizes = _grams(_texts(table), order, bits)
     keys, counts = np.unique(np.concatenate([*grams, _ALL]), return_counts=True)
     counts[0] = sizes.sum()
-    cut = _cuts(keys, buckets)
+    cut = _cuts(keys, buckets, bits)
     full = [b for b in range(buckets) if cut[b + 1] > cut[b]]
     part = table.column("part")[0].as_py()
     return pa.table(
@@ -102,7 +113,7 @@ def _count_part(table: pa.Table, buckets: int, order: int) -> pa.Table:
             "bucket": pa.array(full, pa.int32()),
             "part": pa.array([part] * len(full), pa.int64()),
             "keys": pa.array([_pack_keys(keys[cut[b] : cut[b + 1]]) for b in full], pa.binary()),
-            "counts": pa.array([pack_ints(counts[cut[b] : cut[b + 1]]) for b in full], pa.binary()),
+            "counts": pa.array([_pack_counts(counts[cut[b] : cut[b + 1]]) for b in full], pa.binary()),
         }
     )
 
@@ -110,7 +121,7 @@ def _count_part(table: pa.Table, buckets: int, order: int) -> pa.Table:
 def _total_bucket(table: pa.Table) -> pa.Table:
     """A bucket's count table, joined back to what each part asked for."""
     keys = [_unpack_keys(x) for x in table.column("keys").to_pylist()]
-    counts = np.concatenate([unpack_ints(x) for x in table.column("counts").to_pylist()])
+    counts = np.concatenate([_unpack_counts(x) for x in table.column("counts").to_pylist()])
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.zeros(len(distinct), np.int64)
     np.add.at(total, place, counts)
@@ -119,18 +130,18 @@ def _total_bucket(table: pa.Table) -> pa.Table:
         {
             "bucket": table.column("bucket"),
             "part": table.column("part"),
-            "totals": pa.array([pack_ints(total[place[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
+            "totals": pa.array([_pack_counts(total[place[a:b]]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
         }
     )
 
 
-def _score_part(rows: pa.Table, answers: pa.Table, buckets: int, order: int, backoff: float, least: int) -> pa.Table:
-    grams, row, sizes = _grams(_texts(rows), order)
+def _score_part(rows: pa.Table, answers: pa.Table, buckets: int, order: int, bits: int, backoff: float, least: int) -> pa.Table:
+    grams, row, sizes = _grams(_texts(rows), order, bits)
     keys, place = np.unique(np.concatenate([*grams, _ALL]), return_inverse=True)
-    cut = _cuts(keys, buckets)
+    cut = _cuts(keys, buckets, bits)
     totals = np.zeros(len(keys), np.int64)
     for b, packed in zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist(), strict=True):
-        totals[cut[b] : cut[b + 1]] = unpack_ints(packed)
+        totals[cut[b] : cut[b + 1]] = _unpack_counts(packed)
     whole = max(1, int(totals[0]))
     totals[0] = 0
     seen = totals[place[:-1]].reshape(order, len(row))
@@ -170,11 +181,12 @@ def score_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = buckets = max(1, -(-total // part_bytes))
+    bits = min(63, max(40, SPARE_BITS + int(total).bit_length()))
     kind = given.schema["id"].dataType.simpleString()
     dealt = given.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(parts))).mapInArrow(_pack_texts, f"part long, ids array<{kind}>, sizes binary, raw long, body binary")
-    asked = dealt.groupBy("part").applyInArrow(lambda t: _count_part(t, buckets, order), "bucket int, part long, keys binary, counts binary")
+    asked = dealt.groupBy("part").applyInArrow(lambda t: _count_part(t, buckets, order, bits), "bucket int, part long, keys binary, counts binary")
     answers = asked.groupBy("bucket").applyInArrow(_total_bucket, "bucket int, part long, totals binary")
     schema = f"id {kind}, n_words long, " + ", ".join(f"n_order{n} long" for n in range(1, order + 1)) + ", log_score double"
-    scored = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(lambda a, b: _score_part(a, b, buckets, order, backoff, least), schema)
+    scored = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(lambda a, b: _score_part(a, b, buckets, order, bits, backoff, least), schema)
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
     return scored.withColumnRenamed("id", id_col).withColumn("mean_log_score", mean)
