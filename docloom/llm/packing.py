@@ -23,11 +23,19 @@ def unpack_ints(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"u{width}", offset=16).astype(np.int64) + low
 
 
-def ragged_binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    """A binary array whose rows are the values between consecutive cuts."""
-    offsets = (cuts * values.dtype.itemsize).astype(np.int32)
+def ragged_binary(values: np.ndarray, cuts: np.ndarray, most: int = 2**31 - 1) -> pa.ChunkedArray:
+    """A binary column whose rows are the values between consecutive cuts, in chunks that 32-bit offsets can hold."""
+    offsets = cuts.astype(np.int64) * values.dtype.itemsize
+    if len(cuts) > 1 and int(np.diff(offsets).max()) > most:
+        raise OverflowError(f"a value of {int(np.diff(offsets).max())} bytes is over the {most} bytes that a binary value can have")
     data = np.ascontiguousarray(values).view(np.uint8)
-    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+    chunks, lo = [], 0
+    while lo < len(cuts) - 1:
+        hi = int(np.searchsorted(offsets, offsets[lo] + most, side="right")) - 1
+        part = (offsets[lo : hi + 1] - offsets[lo]).astype(np.int32)
+        chunks.append(pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(part.tobytes()), pa.py_buffer(data[offsets[lo] : offsets[hi]].tobytes())]))
+        lo = hi
+    return pa.chunked_array(chunks, pa.binary())
 
 
 def by_id(ids: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ from docloom.llm.textblocks import mix64, rows_of, span_hashes, text_slices, who
 WINDOW, KMER = 13, 6
 BLOCK_BYTES = 16 << 20
 BUCKET_BYTES = 16 << 20
+#: What a block tells its own ids goes in pieces of so many entries, each to a bucket of its own.
+TOLD_ENTRIES = 1 << 15
 
 _HIT = np.dtype([("pos", np.int64), ("src", np.int64), ("at", np.int64)])
 _PATH = np.dtype([("pos", np.int64), ("src", np.int64), ("at", np.int64), ("edges", np.int64)])
@@ -59,6 +62,20 @@ def _message(kind: int, routes: list[int], columns: list[list[bytes]]) -> pa.Rec
     )
 
 
+def _told(kind: int, task: int, block: int, buckets: int, columns: list[np.ndarray], most: int = TOLD_ENTRIES) -> pa.RecordBatch:
+    """Entries that need no answer, in pieces of at most ``most``, dealt by a hash of task, block and piece."""
+    cuts = list(range(0, len(columns[0]), most))
+    seed = mix64(np.array([task << 32 | block], np.uint64))
+    routes = mix64(seed + np.arange(len(cuts), dtype=np.uint64)) % np.uint64(buckets)
+    pack = lambda x: x.tobytes() if x.dtype == np.uint64 else pack_ints(x)
+    return _message(kind, routes.astype(np.int64).tolist(), [[pack(x[a : a + most]) for a in cuts] for x in columns])
+
+
+def _task() -> int:
+    context = TaskContext.get()
+    return context.partitionId() if context else 0
+
+
 def _dealt(ids: np.ndarray, body: np.ndarray, groups: int) -> pa.Table:
     """(part, ids, body): the entries packed by part, a hash of the id."""
     part, cuts, (ids, body) = by_id((mix64(ids.astype(np.uint64)) % np.uint64(groups)).astype(np.int64), ids, body)
@@ -120,7 +137,7 @@ def _send_minimizers(batches: Iterator[pa.RecordBatch], buckets: int, n: int, k:
         told = np.repeat(many, np.diff(np.append(cut, len(hashes))))
         if told.any():
             turn += 1
-            yield _message(2, [turn % buckets], [[hashes[told].tobytes()], [pack_ints(ids[told])]])
+            yield _told(2, _task(), turn, buckets, [hashes[told], ids[told]])
 
     for batch in batches:
         row_ids = batch.column("id").to_numpy()
@@ -183,7 +200,7 @@ def _send_windows(batches: Iterator[pa.RecordBatch], buckets: int, n: int, k: in
         yield _message(0, routes.tolist(), [[own[a:b].tobytes() for a, b in spans], [pack_ints(own_ids[a:b]) for a, b in spans], [pack_ints(own_pos[a:b]) for a, b in spans], [b""] * len(spans)])
         if later.any():
             turn += 1
-            yield _message(1, [turn % buckets], [[pack_ints(x[later])] for x in (ids, pos, src, at)])
+            yield _told(1, _task(), turn, buckets, [x[later] for x in (ids, pos, src, at)])
 
     for batch in batches:
         row_ids, marks = batch.column("key").to_numpy(), batch.column("marks")
@@ -277,7 +294,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         ids.append(s["id"])
                         good.append((s["pos"], s["len"], s["check"]))
             owner, cuts, (packed,) = by_id(np.array(ids, np.int64), np.array(good, _SPAN))
-            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), ragged_binary(packed, cuts)], names=["key", "spans"])
+            yield from pa.table({"key": pa.array(owner, pa.int64()), "spans": ragged_binary(packed, cuts)}).to_batches()
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +328,8 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     A word goes if it lies in a window of n words that also starts in a row with a smaller id; kept words are joined
     by one space. Traffic is packed: a block of text sends each distinct window once, so a passage that a third of all
-    rows share costs one entry a block, and buckets by hash hold equal shares whatever repeats.
+    rows share costs one entry a block, and buckets by hash hold equal shares whatever repeats; what a block knows to
+    repeat without asking is cut into bounded pieces that are spread over all buckets.
 
     Defined cases: a null or blank text has no words; texts of fewer than n words lose none; rows with null id keep
     all words and are no source; rows that share an id are one document, and none is a source for another; a span goes

@@ -1,6 +1,8 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from docloom.llm.components import connected_components
@@ -88,3 +90,42 @@ def test_inputs_are_not_cached_by_partitioning(spark):
     rows = brute.awkward_documents(3, 30)
     one, two = ({r.doc_id: r.component_id for r in near_duplicates(d).collect()} for d in (brute.frame(spark, rows), brute.frame(spark, rows).coalesce(1).orderBy(F.desc("doc_id"))))
     assert one == two
+
+
+def test_what_blocks_tell_is_spread_over_the_buckets(spark):
+    """Every task has only a first block here; what it tells goes in bounded pieces to buckets all over the range."""
+    from docloom.llm.substring_dedup import TOLD_ENTRIES, _send_minimizers, _send_windows
+
+    passage = " ".join(f"w{i}" for i in range(200))
+    rows = [(i, passage) for i in range(80)]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(16, "id").selectExpr("*", "id AS key", "CAST('' AS BINARY) AS marks")
+    columns = "route int, kind int, c0 binary, c1 binary"
+    told = docs.mapInArrow(lambda it: _send_minimizers(it, 64, 13, 6), columns).where("kind = 2").collect()
+    assert len({r.route for r in told}) >= 8
+    every = np.unique(_least(passage)).tobytes()
+    marked = docs.select("key", "text", F.lit(every).alias("marks"))
+    told = marked.mapInArrow(lambda it: _send_windows(it, 64, 13, 6), columns + ", c2 binary, c3 binary").where("kind = 1").collect()
+    assert len({r.route for r in told}) >= 8
+    # One task alone: its pieces are bounded and lie apart.
+    alone = pa.record_batch({"id": pa.array(range(2000), pa.int64()), "text": [passage] * 2000})
+    told = [b for b in _send_minimizers(iter([alone]), 64, 13, 6) if b.column("kind")[0].as_py() == 2]
+    routes = [r for b in told for r in b.column("route").to_pylist()]
+    sizes = [len(x) // 8 for b in told for x in b.column("c0").to_pylist()]
+    assert sum(sizes) == 2000 * len(np.unique(_least(passage))) and max(sizes) <= TOLD_ENTRIES and len(set(routes)) > 1
+
+
+def _least(text):
+    from docloom.llm.substring_dedup import _least_kmers
+
+    buf = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, _ = word_spans(buf, np.array([0, len(buf)]))
+    return _least_kmers(span_hashes(buf, starts, ends), 13, 6)
+
+
+def test_binary_columns_are_split_before_their_offsets_overflow():
+    from docloom.llm.packing import ragged_binary
+
+    got = ragged_binary(np.arange(10), np.array([0, 1, 1, 3, 6, 10]), most=40)
+    assert got.num_chunks > 1 and got.to_pylist() == [np.arange(a, b).tobytes() for a, b in ((0, 1), (1, 1), (1, 3), (3, 6), (6, 10))]
+    with pytest.raises(OverflowError):
+        ragged_binary(np.arange(10), np.array([0, 10]), most=40)
