@@ -42,20 +42,32 @@ def source_targets(sizes: DataFrame, share: float, most: float, weights: tuple[i
     return table.select("source", "rank", "source_size", "target", "below", "above", whole.alias("whole"))
 
 
-def slot_schedule(targets: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """(slot, rank, turn, block): the mix, slot by slot; the turn-th slot of a source takes its turn-th block.
+def slot_schedule(targets: DataFrame, most: int, slots: int = SLOTS) -> DataFrame:
+    """(slot, rank, turn, n_blocks, block, until): the mix, slot by slot; a source's turn-th use takes its turn-th block.
 
     Slot t stands at the fraction of t times the golden ratio, and takes the source whose share of [0, 1) holds that
-    point. Slots and shares meet in cells of equal width, an equi-join. ``block`` counts round a source's blocks.
+    point. Slots and shares meet in cells of equal width, an equi-join. Each source has one more slot at the end, so
+    none is without, and a source of fewer than ``most`` slots has several uses a slot.
+
+    A source takes the words that its slots hold at equal length, settled to a whole number next to its target. It is
+    cut into ``n_blocks`` equal blocks, as many as its slots can take; ``block`` counts round them, and ``until`` is
+    where the target ends in that round, counted from the source's first word.
     """
     spark = targets.sparkSession
     points = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") + 1) * F.lit(GOLDEN)).alias("x")).select("slot", (F.col("x") - F.floor("x")).alias("x"))
     points = points.withColumn("cell", F.least(F.floor(F.col("x") * CELLS), F.lit(CELLS - 1)))
     cells = F.sequence(F.least(F.floor(F.col("below") * CELLS), F.lit(CELLS - 1)), F.least(F.floor(F.col("above") * CELLS), F.lit(CELLS - 1)))
-    shares = targets.where("target > 0").select("rank", "below", "above", "whole", "step", "n_blocks", F.explode(cells).alias("cell"))
-    placed = points.join(shares, "cell").where("x >= below AND x < above AND slot * step < whole")
-    turn = F.row_number().over(Window.partitionBy("rank").orderBy("slot")) - 1
-    return placed.withColumn("turn", turn).select("slot", "rank", "turn", F.pmod("turn", "n_blocks").alias("block"), F.floor(F.col("turn") / F.col("n_blocks")).alias("round"))
+    held = targets.where("target > 0")
+    columns = ["rank", "source_size", "target", "step"]
+    placed = points.join(held.select(*columns, "below", "above", "whole", F.explode(cells).alias("cell")), "cell").where("x >= below AND x < above AND slot * step < whole")
+    placed = placed.select("slot", *columns).unionByName(held.select(F.lit(slots).cast("long").alias("slot"), *columns))
+    source = Window.partitionBy("rank")
+    placed = placed.withColumn("n_slots", F.count("*").over(source)).withColumn("words", F.least(F.greatest((F.col("n_slots") - 1) * F.col("step"), F.floor("target")), F.ceil("target")))
+    placed = placed.where("words > 0").withColumn("each", F.expr(f"({most} + n_slots - 1) div n_slots"))
+    placed = placed.withColumn("n_blocks", F.expr("greatest(least(n_slots * each * source_size div words, source_size), 1)"))
+    turn = (F.row_number().over(source.orderBy("slot")) - 1) * F.col("each")
+    placed = placed.withColumn("first", turn).withColumn("turn", F.explode(F.expr("sequence(first, first + each - 1)"))).where("turn * source_size < n_blocks * words")
+    return placed.select("slot", "rank", "turn", "n_blocks", F.pmod("turn", "n_blocks").alias("block"), F.expr("words - (turn div n_blocks) * source_size").alias("until"))
 
 
 def mix_sources(
@@ -64,9 +76,9 @@ def mix_sources(
     """Returns (id, further columns asked for, size, source_size, target, taken) for every row.
 
     Each source's rows are put in a pseudorandom order (by a digest of id and text) and cut into blocks of equal words,
-    ``step`` long, so that all slots of the schedule together hold the whole target. A row takes, for every slot that
-    holds one of its blocks, the words it has in that block; the last block of a source is cut at its target, and no
-    block is used more than ``most`` times. Offsets within a source come from sums of 4096 parts, so a source with a
+    as long as its own slots of the schedule need to hold its target. A row takes, for every use of one of its blocks,
+    the words it has in that block; a source's last use is cut at its target, so every source takes its target to
+    within a word at every size, and no word is used more than ``most`` times. Offsets within a source come from sums of 4096 parts, so a source with a
     third of all rows is no single task.
 
     Defined cases: a null text has size 0; a null source is a source, ordered last; an empty source has target 0; rows
@@ -82,22 +94,26 @@ def mix_sources(
     parts = given.groupBy("_source", "_part").agg(F.sum("size").alias("part_size"))
     sizes = parts.groupBy(F.col("_source").alias("source")).agg(F.sum("part_size").alias("source_size"))
     targets = source_targets(sizes, share, most)
-    # Equal-token blocks: as many slots as the schedule has hold all targets.
-    step = F.greatest(F.ceil(F.col("whole") / F.lit(SLOTS)), F.lit(1)).cast("long")
-    targets = targets.withColumn("step", step).withColumn("n_blocks", F.greatest(F.ceil(F.col("source_size") / F.col("step")), F.lit(1)).cast("long"))
-    uses = slot_schedule(targets).groupBy("rank", "block").agg(F.count("*").alias("uses"), F.max("turn").alias("last"))
+    # The length of a slot at which all slots hold all targets.
+    targets = targets.withColumn("step", F.greatest(F.ceil(F.col("whole") / F.lit(SLOTS)), F.lit(1)).cast("long"))
+    schedule = slot_schedule(targets, most)
+    uses = schedule.groupBy("rank", "block").agg(F.count("*").alias("uses"), F.min("until").alias("until"))
+    blocks = schedule.groupBy("rank").agg(F.max("n_blocks").alias("n_blocks"))
     before = F.coalesce(F.sum("part_size").over(Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = parts.withColumn("part_start", before).select("_source", "_part", "part_start")
-    plan = targets.select(F.col("source").alias("_source"), "rank", "source_size", "target", "step")
+    plan = targets.join(blocks, "rank", "left").select(F.col("source").alias("_source"), "rank", "source_size", "target", "n_blocks")
     starts = starts.join(plan, starts["_source"].eqNullSafe(plan["_source"])).drop(plan["_source"])
     inner = Window.partitionBy("_source", "_part").orderBy("_key", "_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = given.withColumn("_inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    right = starts.select(F.col("_source").alias("_s"), F.col("_part").alias("_p"), "part_start", "rank", "source_size", "target", "step")
+    right = starts.select(F.col("_source").alias("_s"), F.col("_part").alias("_p"), "part_start", "rank", "source_size", "target", "n_blocks")
     placed = placed.join(right, placed["_source"].eqNullSafe(right["_s"]) & (placed["_part"] == right["_p"])).drop("_s", "_p")
     placed = placed.withColumn("_from", F.col("part_start") + F.col("_inner")).withColumn("_row", F.struct("_key", "_from"))
-    pieces = placed.where("size > 0").select("_key", "_from", "size", "rank", "step", F.explode(F.sequence(F.floor(F.col("_from") / F.col("step")), F.floor((F.col("_from") + F.col("size") - 1) / F.col("step")))).alias("block"))
-    held = F.least(F.col("_from") + F.col("size"), (F.col("block") + 1) * F.col("step")) - F.greatest(F.col("_from"), F.col("block") * F.col("step"))
-    taken = pieces.join(uses, ["rank", "block"]).groupBy("_key", "_from").agg(F.sum(held * F.least("uses", F.lit(most))).alias("taken"))
+    met = F.expr("sequence(((_from + 1) * n_blocks - 1) div source_size, ((_from + size) * n_blocks - 1) div source_size)")
+    pieces = placed.where("size > 0 AND n_blocks IS NOT NULL").select("_key", "_from", "size", "rank", "source_size", "n_blocks", F.explode(met).alias("block"))
+    pieces = pieces.withColumn("start", F.expr("greatest(_from, block * source_size div n_blocks)")).withColumn("end", F.expr("least(_from + size, (block + 1) * source_size div n_blocks)"))
+    # Only the last use of a block can be cut.
+    held = F.expr("(end - start) * (uses - 1) + greatest(least(end, until) - start, 0)")
+    taken = pieces.join(uses, ["rank", "block"]).groupBy("_key", "_from").agg(F.sum(held).alias("taken"))
     out = placed.join(taken, ["_key", "_from"], "left")
     if text_col in keep:
         # Rows with one key have one text, so texts meet the finished mix by key: they are shuffled once, and last.

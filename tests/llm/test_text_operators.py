@@ -250,3 +250,18 @@ def test_repeated_rows_and_null_ids_each_give_a_row(spark):
     assert find_personal_data(docs).where("size(base) = 1").count() == 2
     assert score_language_model(docs).count() == 5
     assert identify_languages(docs).where("doc_id IS NULL AND NOT held_out").count() == 2
+
+def test_every_source_takes_its_target(spark):
+    """Blocks of many words beside a source of few: ranges of the slots' common length would miss small targets."""
+    big, small = " ".join(["w"] * 4000), "a b c d e f g"
+    rows = [(i, big, None, "big", 0, 1, "k", "d") for i in range(1500)]
+    rows += [(5000 + i, small, None, f"small{i % 3}", 0, 1, "k", "d") for i in range(40)]
+    got = mix_sources(brute.frame(spark, rows), keep=("source",)).collect()
+    taken, target = {}, {}
+    for r in got:
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        target[r.source] = r.target
+        assert 0 <= r.taken <= 2 * r.size
+    assert len(got) == len(rows) and len(taken) == 4
+    for s in taken:
+        assert abs(taken[s] - target[s]) < 1, (s, taken[s], target[s])
