@@ -15,24 +15,33 @@ from docloom.llm.textblocks import rows_of, span_hashes, text_slices, window_has
 
 ORDER, BACKOFF, LEAST = 3, 0.4, 2
 PART_BYTES = 8 << 20
-#: An n-gram's key has so many bits more than the number of bytes in all texts. There are fewer than half as many
-#: distinct n-grams as bytes, so one of them shares its key with another with a chance below 2**-19, at every size.
-SPARE_BITS = 18
 _ALL = np.zeros(1, np.uint64)
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
-    """Ascending 64-bit keys as differences, in as few bytes as the largest needs."""
-    gaps = np.diff(keys, prepend=np.uint64(0))
+    """Ascending 64-bit keys: the first whole, then differences in as few bytes as the largest needs.
+
+    The differences' highest bytes are alike, so these are kept together and compressed.
+    """
+    if not len(keys):
+        return b""
+    gaps = np.diff(keys)
     width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
-    return bytes([width]) + np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    planes = np.ascontiguousarray(gaps).view(np.uint8).reshape(-1, 8)
+    high = pa.compress(planes[:, width - 1].tobytes(), "zstd", asbytes=True)
+    head = np.array([keys[0], width, len(gaps), len(high)], np.uint64).tobytes()
+    return head + high + np.ascontiguousarray(planes[:, : width - 1]).tobytes()
 
 
 def _unpack_keys(data: bytes) -> np.ndarray:
-    width = data[0]
-    gaps = np.zeros(((len(data) - 1) // width, 8), np.uint8)
-    gaps[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
-    return np.cumsum(gaps.view(np.uint64).ravel(), dtype=np.uint64)
+    if not data:
+        return np.zeros(0, np.uint64)
+    first, width, count, high = np.frombuffer(data, np.uint64, 4)
+    width, count, high = int(width), int(count), int(high)
+    gaps = np.zeros((count, 8), np.uint8)
+    gaps[:, width - 1] = np.frombuffer(pa.decompress(data[32 : 32 + high], decompressed_size=count, codec="zstd", asbytes=True), np.uint8)
+    gaps[:, : width - 1] = np.frombuffer(data, np.uint8, offset=32 + high).reshape(count, width - 1)
+    return first + np.concatenate([np.zeros(1, np.uint64), np.cumsum(gaps.view(np.uint64).ravel(), dtype=np.uint64)])
 
 
 def _pack_counts(values: np.ndarray) -> bytes:
@@ -73,7 +82,7 @@ def _texts(table: pa.Table) -> pa.ChunkedArray:
     return pa.chunked_array(chunks, pa.large_string())
 
 
-def _grams(texts: pa.ChunkedArray, order: int, bits: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def _grams(texts: pa.ChunkedArray, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Hashes of the n-grams that begin at each word for n = 1..order (0 where they cross rows), words' rows, counts."""
     grams: list[list[np.ndarray]] = [[] for _ in range(order)]
     rows, sizes, base = [], [], 0
@@ -85,7 +94,7 @@ def _grams(texts: pa.ChunkedArray, order: int, bits: int) -> tuple[list[np.ndarr
             out = np.zeros(len(words), np.uint64)
             if len(words) >= n:
                 inside = row[n - 1 :] == row[: len(row) - n + 1]
-                out[: len(inside)][inside] = np.maximum(window_hashes(words, n)[inside] >> np.uint64(64 - bits), np.uint64(1))
+                out[: len(inside)][inside] = np.maximum(window_hashes(words, n)[inside], np.uint64(1))
             grams[n - 1].append(out)
         rows.append(row + base)
         sizes.append(np.diff(first))
@@ -94,18 +103,18 @@ def _grams(texts: pa.ChunkedArray, order: int, bits: int) -> tuple[list[np.ndarr
     return [cat(g, np.uint64) for g in grams], cat(rows, np.int64), cat(sizes, np.int64)
 
 
-def _cuts(keys: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket of ascending keys begins, and the end."""
-    bucket = (keys >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)
+    bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
     return np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
 
 
-def _count_part(table: pa.Table, buckets: int, order: int, bits: int) -> pa.Table:
+def _count_part(table: pa.Table, buckets: int, order: int) -> pa.Table:
     """The distinct n-grams of a part of the rows with their counts, dealt to buckets; key 0 counts all words."""
-    grams, _, sizes = _grams(_texts(table), order, bits)
+    grams, _, sizes = _grams(_texts(table), order)
     keys, counts = np.unique(np.concatenate([*grams, _ALL]), return_counts=True)
     counts[0] = sizes.sum()
-    cut = _cuts(keys, buckets, bits)
+    cut = _cuts(keys, buckets)
     full = [b for b in range(buckets) if cut[b + 1] > cut[b]]
     part = table.column("part")[0].as_py()
     return pa.table(
@@ -135,10 +144,10 @@ def _total_bucket(table: pa.Table) -> pa.Table:
     )
 
 
-def _score_part(rows: pa.Table, answers: pa.Table, buckets: int, order: int, bits: int, backoff: float, least: int) -> pa.Table:
-    grams, row, sizes = _grams(_texts(rows), order, bits)
+def _score_part(rows: pa.Table, answers: pa.Table, buckets: int, order: int, backoff: float, least: int) -> pa.Table:
+    grams, row, sizes = _grams(_texts(rows), order)
     keys, place = np.unique(np.concatenate([*grams, _ALL]), return_inverse=True)
-    cut = _cuts(keys, buckets, bits)
+    cut = _cuts(keys, buckets)
     totals = np.zeros(len(keys), np.int64)
     for b, packed in zip(answers.column("bucket").to_pylist(), answers.column("totals").to_pylist(), strict=True):
         totals[cut[b] : cut[b + 1]] = _unpack_counts(packed)
@@ -173,7 +182,7 @@ def score_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows are dealt, packed and compressed, to parts of about ``part_bytes``; a part sends each distinct n-gram once with its count to the
     bucket of its hash, where counts are summed and joined back to what each part asked, so a very frequent n-gram
     costs one entry a part. The score of a word is its longest n-gram's share of its context, times ``backoff`` for
-    each step down; ``n_orderN`` says how many words were scored by n-grams of N words.
+    each step down; an n-gram's key is its whole 64-bit hash; ``n_orderN`` says how many words were scored by n-grams of N words.
 
     Defined cases: a null or blank text has no words, score 0 and a null mean; repeated rows and null ids each give a
     row; an empty table gives an empty result; further columns are ignored.
@@ -181,12 +190,11 @@ def score_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = buckets = max(1, -(-total // part_bytes))
-    bits = min(63, max(40, SPARE_BITS + int(total).bit_length()))
     kind = given.schema["id"].dataType.simpleString()
     dealt = given.withColumn("part", F.pmod(F.xxhash64("id", "text"), F.lit(parts))).mapInArrow(_pack_texts, f"part long, ids array<{kind}>, sizes binary, raw long, body binary")
-    asked = dealt.groupBy("part").applyInArrow(lambda t: _count_part(t, buckets, order, bits), "bucket int, part long, keys binary, counts binary")
+    asked = dealt.groupBy("part").applyInArrow(lambda t: _count_part(t, buckets, order), "bucket int, part long, keys binary, counts binary")
     answers = asked.groupBy("bucket").applyInArrow(_total_bucket, "bucket int, part long, totals binary")
     schema = f"id {kind}, n_words long, " + ", ".join(f"n_order{n} long" for n in range(1, order + 1)) + ", log_score double"
-    scored = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(lambda a, b: _score_part(a, b, buckets, order, bits, backoff, least), schema)
+    scored = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(lambda a, b: _score_part(a, b, buckets, order, backoff, least), schema)
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
     return scored.withColumnRenamed("id", id_col).withColumn("mean_log_score", mean)

@@ -265,3 +265,21 @@ def test_every_source_takes_its_target(spark):
     assert len(got) == len(rows) and len(taken) == 4
     for s in taken:
         assert abs(taken[s] - target[s]) < 1, (s, taken[s], target[s])
+
+def test_words_whose_hashes_begin_alike_are_counted_apart(spark):
+    import numpy as np
+
+    from docloom.llm.lm_scoring import _pack_keys, _unpack_keys
+    from docloom.llm.textblocks import span_hashes, window_hashes, word_spans
+
+    buf = np.frombuffer(" ".join(f"q{i}" for i in range(4_000_000)).encode(), np.uint8)
+    starts, ends, _ = word_spans(buf, np.array([0, len(buf)]))
+    keys = window_hashes(span_hashes(buf, starts, ends), 1) >> np.uint64(24)
+    order = np.argsort(keys, kind="stable")
+    alike = order[np.flatnonzero(np.diff(keys[order]) == 0)[0] + np.arange(2)]
+    rows = [(int(i), f"q{i}", None, None, 0, 1, "k", "d") for i in alike]
+    assert [round(r.log_score, 9) for r in score_language_model(brute.frame(spark, rows)).collect()] == [round(math.log(1 / 2), 9)] * 2
+    rng = np.random.default_rng(1)
+    for size, high in ((0, 9), (1, 2**63), (2, 9), (1000, 2**63), (5000, 2**20)):
+        keys = np.unique(rng.integers(0, high, size, dtype=np.uint64))
+        assert np.array_equal(_unpack_keys(_pack_keys(keys)), keys)
