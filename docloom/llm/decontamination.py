@@ -76,6 +76,26 @@ class ItemIndex:
         found = np.unique(np.concatenate(pairs))
         return found // len(own), found % len(own)
 
+    def whole_texts(self, group: tuple, n: int, near: np.ndarray, shingles: np.ndarray, row: np.ndarray, first: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float]]:
+        """(row, item, similarity) of the texts with fewer words than the items of a group; such a text is one window."""
+        size, items, hashes, *_ = group
+        counts = np.diff(first)
+        rows = np.unique(row[near])
+        rows = rows[(counts[rows] >= n) & (counts[rows] < size)]
+        widths = counts[rows] - n + 1
+        # A text's shingles are a part of the item's at best, so one that is too short for the threshold is left out.
+        rows, widths = (x[widths >= threshold * (size - n + 1) - 1e-9] for x in (rows, widths))
+        if not len(rows):
+            return
+        at = np.arange(widths.sum()) + np.repeat(first[rows] - (np.cumsum(widths) - widths), widths)
+        sums = np.add.reduceat(_signs(shingles[at]).astype(np.int32), np.cumsum(widths) - widths, axis=0)
+        window, item = self.candidates(group, _fingerprints(sums))
+        for w, i in zip(window.tolist(), item.tolist(), strict=True):
+            a = int(first[rows[w]])
+            got = _similarity(shingles[a : a + int(widths[w])], hashes[i])
+            if got >= threshold:
+                yield int(rows[w]), i, got
+
     def search(self, buf: np.ndarray, offs: np.ndarray, threshold: float) -> list[tuple[int, int, float, int, int]]:
         """(row, item, best similarity, first word of the best window, windows at or over the threshold) in a slice."""
         starts, ends, first = word_spans(buf, offs)
@@ -95,6 +115,8 @@ class ItemIndex:
                 width = size - n + 1
                 # A window over the threshold shares a shingle with its item, so only windows round such shingles count.
                 near = hit[np.isin(shingles[hit], seeds)]
+                for r, i, got in self.whole_texts(group, n, near, shingles, row, first, threshold):
+                    best[r, items[i]] = [got, int(first[r]), 1]
                 at = np.unique((near[:, None] - np.arange(width)[None]).ravel())
                 at = at[(at >= 0) & (at + size <= len(words))]
                 at = at[row[at] == row[at + size - 1]]
@@ -153,10 +175,11 @@ def find_leaks(
 ) -> DataFrame:
     """Returns (id, item_id, similarity, start_word, n_windows): the items that each row holds, with the best window.
 
-    For an item of w words, the windows of w words of every text are compared with it: SimHash fingerprints of their
-    5-word shingles (A-Z lower-cased, weighted by how often they occur) meet in Hamming blocks that miss no pair within
-    the radius, and exact weighted-shingle similarity decides. The benchmark is broadcast in parts of at most
-    ``index_bytes`` of text, with one pass over the rows for each part, so it may have any size.
+    For an item of w words, the windows of w words of every text are compared with it; a text of fewer words, but enough
+    for one of the item's shingles, is one window. SimHash fingerprints of their 5-word shingles (A-Z lower-cased,
+    weighted by how often they occur) meet in Hamming blocks that miss no pair within the radius, and exact
+    weighted-shingle similarity decides. The benchmark is broadcast in parts of at most ``index_bytes`` of text, with
+    one pass over the rows for each part, so it may have any size.
 
     Defined cases: null or blank texts hold nothing, null or blank items are held by nothing; an item of fewer words
     than a shingle is one shingle; repeated items count once; repeated rows and null ids each give their own rows; ties

@@ -283,3 +283,22 @@ def test_words_whose_hashes_begin_alike_are_counted_apart(spark):
     for size, high in ((0, 9), (1, 2**63), (2, 9), (1000, 2**63), (5000, 2**20)):
         keys = np.unique(rng.integers(0, high, size, dtype=np.uint64))
         assert np.array_equal(_unpack_keys(_pack_keys(keys)), keys)
+
+def test_texts_shorter_than_the_item_leak(spark):
+    item = [f"w{i}" for i in range(59)]
+    rows = [(1, item[:56]), (2, item[3:]), (3, item[:20] + item[23:]), (4, item[:40]), (5, item[:3]), (6, item), (7, [*item[:56], "x"])]
+    docs = spark.createDataFrame([(i, " ".join(w).upper()) for i, w in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, " ".join(item)), (8, "w1 w2 w3 w4")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in find_leaks(docs, bench).collect()}
+    expected = {}
+    for i, w in rows:
+        for k, x in ((9, item), (8, item[1:5])):
+            n = min(5, len(x))
+            grams = lambda s, n=n: brute.Counter(tuple(s[k : k + n]) for k in range(len(s) - n + 1))
+            windows = [w[p : p + len(x)] for p in range(max(1, len(w) - len(x) + 1))] if len(w) >= n else []
+            best = max((sum((grams(a) & grams(x)).values()) / sum((grams(a) | grams(x)).values()) for a in windows), default=0)
+            if best >= 0.8:
+                expected[i, k] = round(best, 9)
+    assert {k: round(r.similarity, 9) for k, r in got.items()} == expected and expected[1, 9] > 0.94 and (4, 9) not in expected
+    assert (got[1, 9].start_word, got[1, 9].n_windows) == (0, 1)
+    assert {r.doc_id for r in drop_leaking(docs, bench.where("item_id = 9")).collect()} == {i for i, _ in rows} - {i for i, k in expected if k == 9}
