@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from docloom.llm.text_stats import LETTER
 from docloom.llm.textblocks import text_slices
 
-TRAIN_DOCS, TRAIN_CHARS, DEEP_CONTEXTS = 256, 2048, 4096
+TRAIN_DOCS, TRAIN_BYTES, LANGUAGES = 256, 16 << 20, 256
+ORDER = 3
 _START = 10
-_CHUNK = 1 << 18
+_SLICE = 2 << 20
 
 
 def held_out(id_col: str, folds: int = 5):
@@ -22,91 +23,100 @@ def held_out(id_col: str, folds: int = 5):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds)) == 0, F.lit(False))
 
 
-def _contexts(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """The byte one, two and three places before each; before a row's start stands a line break."""
-    out = []
+def training_texts(texts: DataFrame, by: str, docs_each: int, train_bytes: int, labels: DataFrame | None = None) -> DataFrame:
+    """A bounded sample of whole texts: distinct (by, text) of about ``docs_each`` rows a class, about ``train_bytes`` in all.
+
+    ``texts`` has id and text, and the class unless ``labels`` has it by id. Rows are drawn by a hash of id and text, at
+    a rate that a class's numbers of rows and bytes give; a text longer than its class's share of the bytes does not
+    teach. Repeated rows count once. Only drawn texts meet the labels.
+    """
+    draw = F.pmod(F.xxhash64(F.col("id").cast("string"), "text"), F.lit(1 << 30)).alias("draw")
+    given = texts.select(*texts.columns, draw, F.octet_length("text").alias("bytes"))
+    known = (lambda rows: rows.join(labels, "id")) if labels is not None else (lambda rows: rows)
+    sizes = known(given.drop("text")).groupBy(by).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect()
+    if not sizes:
+        return known(given).select(by, "text").limit(0)
+    share = train_bytes / len(sizes)
+    rates = {r[by]: int(min(1.0, docs_each / r["n"], share / max(1, r["bytes"])) * (1 << 30)) for r in sizes}
+    rate = F.create_map(*[F.lit(x) for pair in sorted(rates.items()) for x in pair])[F.col(by)]
+    return known(given.where((F.col("bytes") <= int(share)) & (F.col("draw") < max(rates.values())))).where(F.col("draw") < rate).select(by, "text").distinct()
+
+
+def _grams(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Each byte with the three before it, as one number; before a text's start stand line breaks."""
+    out = data.astype(np.uint32)
     for back in (1, 2, 3):
-        shifted = np.full(len(data), _START, np.uint8)
+        shifted = np.full(len(data), _START, np.uint32)
         shifted[back:] = data[:-back]
         for k in range(back):
             at = starts + k
             shifted[at[at < len(data)]] = _START
-        out.append(shifted)
-    # A start nearer than the context is long also hides what lies before it.
+        out |= shifted << np.uint32(8 * back)
     return out
 
 
+def _found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key stands in an ascending table, and whether it is there."""
+    at = np.minimum(np.searchsorted(table, keys), max(0, len(table) - 1))
+    return at, table[at] == keys if len(table) else np.zeros(len(keys), bool)
+
+
 class ContextTrees:
-    """Per-language byte context trees of order 0 to 3 as one table of code lengths.
+    """Per-language byte context trees of order 0 to 3: what each context that a language's texts hold was followed by.
 
-    A row of the table is a context, and holds for each next byte and language the exact PPM code length in bits: the
-    byte's share where the context has seen it, else the escape and the code length in the next shorter context. A
-    context that a language has not seen adds nothing. Deepest contexts are kept by how often they occur, at most
-    ``deep`` of them; where one is not kept, its suffix stands for it.
+    The PPM code length of a byte, in bits, is that of its share where the context has seen it, else the context's
+    escape and the code length in the next shorter context; below order 0 every byte takes 8 bits. A context that a
+    language has not seen adds nothing. An escape's share is the number of different bytes that followed. All contexts
+    of the texts are kept, in tables as large as the sample.
     """
 
-    def __init__(self, samples: dict[str, list[str]], deep: int = DEEP_CONTEXTS):
+    def __init__(self, samples: dict[str, list[str]]):
         self.langs = sorted(samples)
-        size = len(self.langs)
-        grams = []
-        for lang in self.langs:
-            texts = [t.encode() for t in samples[lang] if t]
-            data = np.frombuffer(b"".join(texts), np.uint8)
-            starts = np.cumsum([0, *[len(t) for t in texts[:-1]]]).astype(np.int64)
-            one, two, three = (c.astype(np.int64) for c in _contexts(data, starts))
-            grams.append((data.astype(np.int64), one, two * 256 + one, (three * 256 + two) * 256 + one))
-        none = np.zeros(0, np.int64)
-        pairs = np.unique(np.concatenate([none, *[g[2] for g in grams]]))
-        triples, seen = np.unique(np.concatenate([none, *[g[3] for g in grams]]), return_counts=True)
-        triples = np.sort(triples[np.argsort(-seen, kind="stable")[:deep]])
-        rows = 257 + len(pairs) + len(triples)
-        self.cost = np.zeros((rows, 256, size), np.float32)
-        self.pair = np.full(65536, -1, np.int32)
-        self.pair[pairs] = np.arange(len(pairs))
-        self.second = (1 + np.arange(65536) % 256).astype(np.int32)
-        self.second[pairs] = 257 + np.arange(len(pairs))
-        self.third = np.tile(self.second.reshape(256, 256), (1, 1))[pairs % 256].reshape(-1).copy() if len(pairs) else np.zeros(0, np.int32)
-        held = self.pair[triples >> 8].astype(np.int64) * 256 + (triples & 255)
-        self.third[held] = 257 + len(pairs) + np.arange(len(triples))
-        for k, (data, one, two, three) in enumerate(grams):
-            base = self._fill(k, np.zeros(1, np.int64), np.zeros(len(data), np.int64), data, np.zeros(1, np.int64), np.full((1, 256), 8.0))
-            first = self._fill(k, np.arange(256), one, data, 1 + np.arange(256), np.repeat(base, 256, 0))
-            second = self._fill(k, pairs, two, data, 257 + np.arange(len(pairs)), first[pairs & 255])
-            at = np.searchsorted(pairs, triples & 65535)
-            known = (at < len(pairs)) & (pairs[np.minimum(at, max(0, len(pairs) - 1))] == (triples & 65535)) if len(pairs) else np.zeros(len(triples), bool)
-            below = first[triples & 255]
-            below[known] = second[at[known]]
-            self._fill(k, triples, three, data, 257 + len(pairs) + np.arange(len(triples)), below)
-
-    def _fill(self, lang: int, contexts: np.ndarray, context: np.ndarray, symbol: np.ndarray, rows: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """Code lengths of one order, from those of the order below; also into the table's rows."""
-        at = np.searchsorted(contexts, context)
-        fits = at < len(contexts)
-        fits[fits] = contexts[at[fits]] == context[fits]
-        counts = np.bincount(at[fits] * 256 + symbol[fits], minlength=len(contexts) * 256).reshape(-1, 256).astype(float)
-        total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-        whole = np.maximum(total + kinds, 1)
-        escape = -np.log2(np.maximum(kinds, 1) / whole)
-        with np.errstate(divide="ignore"):
-            out = np.where(counts > 0, -np.log2(counts / whole), np.where(total > 0, escape, 0.0) + below)
-        self.cost[rows, :, lang] = out
+        self.trees = [self._tree(samples[lang]) for lang in self.langs]
+        # Code lengths in all languages of every context and byte that some language has seen.
+        self.known = np.unique(np.concatenate([np.zeros(0, np.uint32), *[t[ORDER][0] for t in self.trees]]))
+        self.cost = self._lengths(self.known)
+
+    @staticmethod
+    def _tree(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By order: contexts with a byte, their code lengths, contexts, the code lengths of their escapes."""
+        raw = [t.encode() for t in texts if t]
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        grams = _grams(data, np.cumsum([0, *[len(t) for t in raw[:-1]]]).astype(np.int64))
+        out = []
+        for order in range(ORDER + 1):
+            keys, counts = np.unique(grams & np.uint32((1 << 8 * (order + 1)) - 1), return_counts=True)
+            contexts, first = np.unique(keys >> np.uint32(8), return_index=True)
+            kinds = np.diff(np.append(first, len(keys)))
+            whole = (np.add.reduceat(counts, first) if len(keys) else kinds) + kinds
+            out.append((keys, -np.log2(counts / np.repeat(whole, kinds)), contexts, -np.log2(kinds / whole)))
+        return out
+
+    def _lengths(self, grams: np.ndarray) -> np.ndarray:
+        """Code lengths of the last byte of each gram after the three before it, by language."""
+        out = np.empty((len(grams), len(self.langs)))
+        for lang, tree in enumerate(self.trees):
+            bits = np.full(len(grams), 8.0)
+            for order, (keys, lengths, contexts, escapes) in enumerate(tree):
+                gram = grams & np.uint32((1 << 8 * (order + 1)) - 1)
+                at, seen = _found(contexts, gram >> np.uint32(8))
+                bits[seen] += escapes[at[seen]]
+                at, seen = _found(keys, gram)
+                bits[seen] = lengths[at[seen]]
+            out[:, lang] = bits
         return out
 
     def code_lengths(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Bits of each row in each language."""
-        starts = offs[:-1][np.diff(offs) > 0]
-        one, two, three = _contexts(buf, starts)
-        table = self.cost.reshape(-1, len(self.langs))
-        out = np.zeros((len(offs) - 1, len(self.langs)))
-        for a in range(0, len(buf), _CHUNK):
-            part = slice(a, a + _CHUNK)
-            x, y, z = (c[part].astype(np.int64) for c in (one, two, three))
-            deep = self.pair[z * 256 + y].astype(np.int64)
-            row = np.where(deep >= 0, self.third[np.maximum(deep, 0) * 256 + x], self.second[y * 256 + x]).astype(np.int64)
-            total = np.zeros((len(row) + 1, len(self.langs)))
-            np.cumsum(table[row * 256 + buf[part]], axis=0, dtype=np.float64, out=total[1:])
-            cut = np.clip(offs - a, 0, len(row))
-            out += total[cut[1:]] - total[cut[:-1]]
+        grams, place = np.unique(_grams(buf, offs[:-1][np.diff(offs) > 0]), return_inverse=True)
+        at, seen = _found(self.known, grams)
+        bits = np.empty((len(grams), len(self.langs)))
+        bits[seen] = self.cost[at[seen]]
+        bits[~seen] = self._lengths(grams[~seen])
+        out = np.empty((len(offs) - 1, len(self.langs)))
+        for lang in range(len(self.langs)):
+            total = np.concatenate([[0.0], np.cumsum(bits[place, lang])])
+            out[:, lang] = total[offs[1:]] - total[offs[:-1]]
         return out
 
 
@@ -123,7 +133,7 @@ def _identify(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBat
     trees: ContextTrees = model.value
     names = np.array([*trees.langs, "und"], dtype=object)
     for batch in batches:
-        for lo, hi, buf, offs in text_slices(batch.column("text"), 1 << 19):
+        for lo, hi, buf, offs in text_slices(batch.column("text"), _SLICE):
             told = _has_letter(buf, offs)
             best, score = np.full(hi - lo, len(trees.langs)), np.zeros(hi - lo)
             if trees.langs:
@@ -134,31 +144,33 @@ def _identify(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(names[best], pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
 
 
-def train_languages(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_each: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> ContextTrees:
-    """Context trees from a bounded sample: about ``docs_each`` training rows a language, ``chars`` of each."""
+def train_languages(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_each: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES, languages: int = LANGUAGES) -> ContextTrees:
+    """Context trees of the ``languages`` commonest languages, from a bounded sample of whole training texts."""
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held_out(id_col).alias("out"))
     given = given.where("NOT out AND lang IS NOT NULL AND text IS NOT NULL AND text <> ''").drop("out")
-    rates = {r["lang"]: min(1.0, docs_each / r["n"]) for r in given.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    common = [r["lang"] for r in given.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
     samples: dict[str, list[str]] = {}
-    if rates:
-        rate = F.create_map(*[F.lit(x) for pair in sorted(rates.items()) for x in pair])[F.col("lang")]
-        draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("languages")), F.lit(1 << 30)) < rate * (1 << 30)
-        for r in given.where(draw).select("lang", F.substring("text", 1, chars).alias("text")).collect():
-            samples.setdefault(r["lang"], []).append(r["text"])
+    for r in training_texts(given.where(F.col("lang").isin(common)), "lang", docs_each, train_bytes).collect():
+        samples.setdefault(r["lang"], []).append(r["text"])
     return ContextTrees({k: sorted(v) for k, v in samples.items()})
 
 
-def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify_languages(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_each: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES, languages: int = LANGUAGES
+) -> DataFrame:
     """Returns (id, held_out, lang_pred, score) for every row; the score is the posterior of the predicted language.
 
-    Trained on text and language of rows outside the held-out fold; language, source and id are no inputs of a
-    prediction. Whole texts are coded, byte by byte, under each language's frozen statistics; the least total wins.
+    Trained on whole texts and languages of rows outside the held-out fold: about ``docs_each`` texts of each of the
+    ``languages`` commonest values of the language column, together about ``train_bytes``. Language, source and id are
+    no inputs of a prediction. Whole texts are coded, byte by byte, under each language's frozen statistics; the least
+    total wins.
 
     Defined cases: a null text or one without a letter is ``und`` with score 0, as is all if no language was learned;
-    ties go to the first language; repeated rows and null ids each give a row (a null id is not held out); an empty
-    table gives an empty result; further columns are ignored.
+    ties go to the first language; a text of any length is coded whole, in memory proportional to it; repeated rows and
+    null ids each give a row and teach once (a null id is not held out); an empty table gives an empty result; further
+    columns are ignored.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train_languages(docs, id_col, text_col, lang_col))
+    model = docs.sparkSession.sparkContext.broadcast(train_languages(docs, id_col, text_col, lang_col, docs_each, train_bytes, languages))
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = given.schema["id"].dataType.simpleString()
     out = given.mapInArrow(lambda it: _identify(it, model), f"id {kind}, lang_pred string, score double")

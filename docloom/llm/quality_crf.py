@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.language_id import held_out
+from docloom.llm.language_id import held_out, training_texts
 from docloom.llm.text_stats import CHAR, DIGIT, LETTER, STRONG, SYMBOL, UPPER, line_spans, repeated, sums
 from docloom.llm.textblocks import rows_of, span_hashes, text_slices, window_hashes, word_spans
 
-TRAIN_DOCS, TRAIN_CHARS, TRAIN_LINES = 1500, 16384, 64
+TRAIN_DOCS, TRAIN_BYTES = 750, 8 << 20
 THRESHOLD = 0.3
-ROUNDS = 300
+ROUNDS = 200
 
 
 def line_features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,31 +175,32 @@ def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(model.value.score(buf, offs))], names=["id", "score"])
 
 
-def train_line_model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int = TRAIN_DOCS) -> LineModel:
-    """The field from a bounded sample: about ``most`` labelled training rows, the first lines of each."""
+def train_line_model(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, docs_each: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> LineModel:
+    """The field from a bounded sample of whole training texts: about ``docs_each`` of each label, and ``train_bytes`` in all."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)").groupBy("id").agg(F.min("label").alias("label"))
-    known = known.where(~held_out("id"))
-    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    rate = min(1.0, most / max(1, sum(counts.values())))
-    draw = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("quality")), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))
-    lines = F.array_join(F.slice(F.split(F.substring("text", 1, TRAIN_CHARS), "\n"), 1, TRAIN_LINES), "\n")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    rows = sorted((r["id"], r["text"], r["label"]) for r in known.where(draw).join(texts, "id").select("id", lines.alias("text"), "label").collect())
-    return LineModel([r[1] for r in rows], [r[2] for r in rows])
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL").where(~held_out("id"))
+    rows = sorted((r["text"], r["label"]) for r in training_texts(texts, "label", docs_each, train_bytes, known).collect())
+    return LineModel([t for t, _ in rows], [y for _, y in rows])
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+def score_quality(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD,
+    docs_each: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES,
+) -> DataFrame:
     """Returns (id, held_out, score, predicted) for every row; the score estimates the probability of label 1.
 
     Every line of a training text takes the text's label; the field learns from each line's features and its
     neighbours'. A text's score is the length-weighted mean of its lines' forward-backward marginals, calibrated on the
-    training texts. Only rows outside the held-out fold teach; labels, language, source and id are no inputs.
+    training texts. Only rows outside the held-out fold teach: about ``docs_each`` whole texts of each label, together
+    about ``train_bytes``; labels, language, source and id are no inputs.
 
     Defined cases: null and empty texts are one empty line and get that line's score; rows of ``labels`` without a
-    text, null labels and repeated labels (the least counts) do no harm; without labels every score is 0.5; repeated
-    rows and null ids each give a row; an empty table gives an empty result; further columns are ignored.
+    text, null labels and repeated labels (the least counts) do no harm; without labels every score is 0.5; a text of
+    any length and number of lines is scored whole, in memory proportional to it; a score at the threshold is predicted
+    1; repeated rows and null ids each give a row (repeated rows teach once); an empty table gives an empty result;
+    further columns are ignored.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train_line_model(docs, labels, id_col, text_col, label_col))
+    model = docs.sparkSession.sparkContext.broadcast(train_line_model(docs, labels, id_col, text_col, label_col, docs_each, train_bytes))
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = given.schema["id"].dataType.simpleString()
     out = given.mapInArrow(lambda it: _score(it, model), f"id {kind}, score double").withColumnRenamed("id", id_col)

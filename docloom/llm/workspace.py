@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 class Workspace:
     """Writes DataFrames as Parquet below ``spark.checkpoint.dir`` and reads them back.
 
-    A written table survives the loss of any executor and is never recomputed. Where the session has no
-    checkpoint folder (tests on one machine), a temporary folder is set for it.
+    A written table survives the loss of any executor and is never recomputed. Where the session has no checkpoint
+    folder, a temporary folder is set for it if all runs on one machine; on a cluster that is an error, since each
+    executor would write to its own disk. Tables that a lazy result still reads stay; ``drop`` removes the others.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="docloom-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark = spark
