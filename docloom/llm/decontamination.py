@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docloom.llm.textblocks import rows_of, span_hashes, text_slices, window_hashes, word_spans
 
@@ -37,11 +38,11 @@ class ItemIndex:
     The fingerprint is cut into radius + 1 blocks, so two fingerprints within the radius agree on one block at least.
     """
 
-    def __init__(self, items: list[tuple[int, str | None]], shingle: int, radius: int):
+    def __init__(self, items: list[tuple[object, str | None]], shingle: int, radius: int):
         self.shingle, self.radius = shingle, radius
         cuts = np.linspace(0, 64, radius + 2).round().astype(int)
         self.blocks = [(np.uint64(a), np.uint64((1 << int(b - a)) - 1)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
+        by_size: dict[int, list[tuple[object, np.ndarray]]] = {}
         for item, text in items:
             buf = np.frombuffer((text or "").encode(), np.uint8)
             starts, ends, _ = word_spans(buf, np.array([0, len(buf)]))
@@ -96,12 +97,12 @@ class ItemIndex:
             if got >= threshold:
                 yield int(rows[w]), i, got
 
-    def search(self, buf: np.ndarray, offs: np.ndarray, threshold: float) -> list[tuple[int, int, float, int, int]]:
+    def search(self, buf: np.ndarray, offs: np.ndarray, threshold: float) -> list[tuple[int, object, float, int, int]]:
         """(row, item, best similarity, first word of the best window, windows at or over the threshold) in a slice."""
         starts, ends, first = word_spans(buf, offs)
         words = span_hashes(buf, starts, ends, lower=True)
         row = rows_of(first)
-        best: dict[tuple[int, int], list] = {}
+        best: dict[tuple[int, object], list] = {}
         for n in {min(self.shingle, g[0]) for g in self.groups}:
             shingles = window_hashes(words, n)
             hit = np.flatnonzero(self.sieve[shingles & self.mask])
@@ -142,21 +143,21 @@ class ItemIndex:
 
 def _item_indexes(items: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, index_bytes: int) -> Iterator[ItemIndex]:
     """Indexes over parts of the benchmark, each of a bounded number of bytes."""
-    given = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    given = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     parts = max(1, -(-(given.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // index_bytes))
     for k in range(parts):
         part = given.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k)
         yield ItemIndex(sorted(map(tuple, part.distinct().collect())), shingle, radius)
 
 
-def _leaks(batches: Iterator[pa.RecordBatch], index, threshold: float) -> Iterator[pa.RecordBatch]:
+def _leaks(batches: Iterator[pa.RecordBatch], index, threshold: float, item_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, _, buf, offs in text_slices(batch.column("text")):
             found = index.value.search(buf, offs, threshold)
             rows, items, sims, at, n = zip(*found, strict=True) if found else ([],) * 5
             ids = batch.column("id").take(pa.array([lo + r for r in rows], pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(items, pa.int64()), pa.array(sims, pa.float64()), pa.array(at, pa.int64()), pa.array(n, pa.int64())],
+                [ids, pa.array(items, item_type), pa.array(sims, pa.float64()), pa.array(at, pa.int64()), pa.array(n, pa.int64())],
                 names=["id", "item_id", "similarity", "start_word", "n_windows"],
             )
 
@@ -183,15 +184,18 @@ def find_leaks(
 
     Defined cases: null or blank texts hold nothing, null or blank items are held by nothing; an item of fewer words
     than a shingle is one shingle; repeated items count once; repeated rows and null ids each give their own rows; ties
-    between windows go to the first; empty tables give an empty result; further columns are ignored.
+    between windows go to the first; a similarity of exactly the threshold is a leak; ids and item ids may be of any
+    type; a text of any length is searched whole, in memory proportional to it; empty tables give an empty result;
+    further columns are ignored.
     """
     spark = docs.sparkSession
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    schema = "id long, item_id long, similarity double, start_word long, n_windows long"
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    item_type = items.schema[item_id_col].dataType
+    schema = f"id {given.schema['id'].dataType.simpleString()}, item_id {item_type.simpleString()}, similarity double, start_word long, n_windows long"
     out = None
     for index in _item_indexes(items, item_id_col, item_text_col, shingle, radius, index_bytes):
         held = spark.sparkContext.broadcast(index)
-        found = given.mapInArrow(lambda it, held=held: _leaks(it, held, threshold), schema)
+        found = given.mapInArrow(lambda it, held=held: _leaks(it, held, threshold, to_arrow_type(item_type)), schema)
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("id", id_col)
 

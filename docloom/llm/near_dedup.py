@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.components import connected_components, contract
+from docloom.llm.node_ids import NodeIds
 from docloom.llm.textblocks import mix64, shingle_sets, text_slices
 from docloom.llm.workspace import Workspace
 
 BANDS, ROWS, SHINGLE = 20, 4, 5
 QUERY_BLOCK, MEMBER_BLOCK = 512, 4096
+#: A class of more than one row in so many is joined by broadcast; there are fewer than that many such classes.
+HOT_CLASSES = 1000
 
 
 def _hash_functions(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,22 +149,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     another group are then compared with the whole bucket, in blocks of bounded size spread over the cluster. Every
     link is confirmed on full shingle sets. Components come from alternating large-star and small-star rounds.
 
+    Ids may be of any type that has an order.
+
     Defined cases: a null or blank text has no shingles, is linked with nothing and is its own component; a row with
     null id is linked with nothing and has a null component and kept = true; rows that share an id count as one
-    document; repeated rows each get their result; an empty table gives an empty result; further columns are ignored.
+    document; repeated rows each get their result; a pair at exactly the similarity is linked; a text of any length is
+    compared whole, in memory proportional to it; an empty table gives an empty result; further columns are ignored.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "near")
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    ids = NodeIds(docs, id_col, ws)
+    given = ids.numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     sig = ws.table("sig", given.mapInArrow(lambda it: _describe(it, bands, rows, n), "id long, digest binary, n long, bands array<long>"))
     count = sig.count()
     few, many = ws.tasks(count * bands, 1_000_000), ws.tasks(count, 20_000, 16)
     able = sig.where("n > 0 AND id IS NOT NULL")
-    classes = able.groupBy("digest").agg(F.min("id").alias("rep"))
-    reps = able.join(classes, "digest").where("id = rep")
+    classes = ws.table("classes", able.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("rows")), few)
+    # A class's rows meet its smallest id by that id, not by the digest that all copies share.
+    reps = able.join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
     keyed = reps.select("id", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.bit_xor(F.xxhash64("id")).alias("who")).where("lo < hi")
-    buckets = buckets.groupBy("size", "lo", "hi", "who").agg(F.min("key").alias("key")).select("key", "size")
+    who = [F.bit_xor(F.xxhash64("id")).alias("who"), F.sum(F.pmod(F.xxhash64("id"), F.lit(1 << 31))).alias("also")]
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi"), *who).where("lo < hi")
+    buckets = buckets.groupBy("size", "lo", "hi", "who", "also").agg(F.min("key").alias("key")).select("key", "size")
     inc = ws.table("inc", keyed.join(buckets, "key").select("key", "size", "id").distinct(), few)
     central = inc.groupBy("id").agg(F.sum("size").alias("met"))
     leaders = inc.join(central, "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("neg"))).alias("best")).select("key", (-F.col("best.neg")).alias("leader"))
@@ -193,6 +202,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     final = connected_components(stars.unionByName(more), ws, "last")
     for name in ("inc", "led", "cand"):
         ws.drop(name)
-    out = sig.select("id", "digest", "n").join(classes, "digest", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    owner = F.when(F.col("n") > 0, F.coalesce("root", "rep", "id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), owner.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    # Each class with its component. Few classes can hold more than a thousandth of the rows; those go to every task,
+    # and the rows of no other class are many. Blank texts and null ids join nothing.
+    owned = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "rows", F.coalesce("root", "rep").alias("owner"))
+    owned = ws.table("owned", owned, few)
+    is_hot = F.col("rows") > count // HOT_CLASSES
+    hot = owned.where(is_hot).select("digest", F.col("owner").alias("hot_owner"))
+    met = sig.where("n > 0 AND id IS NOT NULL").select("id", "digest", "n").join(F.broadcast(hot), "digest", "left")
+    rest = met.where("hot_owner IS NULL").drop("hot_owner").join(owned.where(~is_hot).select("digest", "owner"), "digest")
+    out = met.where("hot_owner IS NOT NULL").select("id", "n", F.col("hot_owner").alias("owner")).unionByName(rest.select("id", "n", "owner"))
+    alone = sig.where("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("owner"))
+    out = ids.given(out.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("owner").alias("component_id")), id_col, "component_id")
+    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

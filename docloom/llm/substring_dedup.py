@@ -18,8 +18,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.node_ids import NodeIds
 from docloom.llm.packing import by_id, pack_ints, ragged_binary, unpack_ints
 from docloom.llm.textblocks import mix64, rows_of, span_hashes, text_slices, whole_windows, window_hashes, word_spans
+from docloom.llm.workspace import Workspace
 
 WINDOW, KMER = 13, 6
 BLOCK_BYTES = 16 << 20
@@ -30,6 +32,9 @@ TOLD_ENTRIES = 1 << 15
 _HIT = np.dtype([("pos", np.int64), ("src", np.int64), ("at", np.int64)])
 _PATH = np.dtype([("pos", np.int64), ("src", np.int64), ("at", np.int64), ("edges", np.int64)])
 _SPAN = np.dtype([("pos", np.int64), ("len", np.int64), ("check", "V16")])
+_ASK = np.dtype([("at", np.int64), ("id", np.int64), ("pos", np.int64), ("len", np.int64), ("check", "V16")])
+#: Bases of the window hash: where a window's smallest source proves to be another text's, all is done with the next.
+WINDOW_BASES = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)
 
 
 def _least_kmers(words: np.ndarray, n: int, k: int) -> np.ndarray:
@@ -175,7 +180,7 @@ def _answer_minimizers(table: pa.Table, groups: int) -> pa.Table:
     return _dealt(i, h, groups)
 
 
-def _send_windows(batches: Iterator[pa.RecordBatch], buckets: int, n: int, k: int) -> Iterator[pa.RecordBatch]:
+def _send_windows(batches: Iterator[pa.RecordBatch], buckets: int, n: int, k: int, base: int = WINDOW_BASES[0]) -> Iterator[pa.RecordBatch]:
     """Per block of text: each possibly repeated window of the block's smallest id (kind 0); for the block's other ids
     that hold it, where its source is (kind 1)."""
     held: list[tuple[np.ndarray, ...]] = []
@@ -215,7 +220,7 @@ def _send_windows(batches: Iterator[pa.RecordBatch], buckets: int, n: int, k: in
             for r in range(hi - lo):
                 keep[edge[r] : edge[r + 1]] = np.isin(least[edge[r] : edge[r + 1]], np.frombuffer(marks[lo + r].as_py(), np.uint64))
             at, rows = at[keep], rows[keep]
-            held.append((window_hashes(words, n)[at], row_ids[lo:][rows], at - first[rows]))
+            held.append((window_hashes(words, n, base)[at], row_ids[lo:][rows], at - first[rows]))
             size += len(buf)
             if size >= BLOCK_BYTES:
                 yield from flush()
@@ -260,51 +265,59 @@ def _check(text: bytes, offsets: np.ndarray, a: int, b: int) -> bytes:
 
 
 def _fingerprint(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """The paths as spans (src, at, id, pos, len, check), with a digest of the span's words."""
+    """The paths as spans with a digest of the span's words, packed by source: (key, asks), bounded by a slice of text."""
     for batch in batches:
         ids, paths = batch.column("key").to_numpy(), batch.column("paths")
         for lo, hi, buf, offs in text_slices(batch.column("text")):
             starts, ends, first = word_spans(buf, offs)
             text, offsets = _joined(buf, starts, ends)
+            sources: list[int] = []
             rows: list[tuple] = []
             for r in range(hi - lo):
                 have = int(first[r + 1] - first[r])
                 for path in np.frombuffer(paths[lo + r].as_py(), _PATH):
                     pos, size = int(path["pos"]), int(path["edges"]) + n - 1
                     if pos + size <= have:
-                        rows.append((int(path["src"]), int(path["at"]), int(ids[lo + r]), pos, size, _check(text, offsets, first[r] + pos, first[r] + pos + size)))
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:5]], pa.array(cols[5], pa.binary())], names=["src", "at", "id", "pos", "len", "check"])
+                        sources.append(int(path["src"]))
+                        rows.append((int(path["at"]), int(ids[lo + r]), pos, size, _check(text, offsets, first[r] + pos, first[r] + pos + size)))
+            owner, cuts, (packed,) = by_id(np.array(sources, np.int64), np.array(rows, _ASK))
+            yield from pa.table({"key": pa.array(owner, pa.int64()), "asks": ragged_binary(packed, cuts)}).to_batches()
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the spans whose words stand at the source coordinate."""
+    """(key, spans, failed): the spans whose words stand at the source coordinate, by their own row, and how many do not."""
     for batch in batches:
-        spans = batch.column("spans")
+        asks = batch.column("asks")
         for lo, hi, buf, offs in text_slices(batch.column("text")):
             starts, ends, first = word_spans(buf, offs)
             text, offsets = _joined(buf, starts, ends)
             ids: list[int] = []
             good: list[tuple] = []
+            failed: list[int] = []
             for r in range(hi - lo):
                 have = int(first[r + 1] - first[r])
-                for s in spans[lo + r].as_py():
-                    a = int(first[r]) + s["at"]
-                    if s["at"] + s["len"] <= have and _check(text, offsets, a, a + s["len"]) == s["check"]:
-                        ids.append(s["id"])
-                        good.append((s["pos"], s["len"], s["check"]))
+                for s in np.frombuffer(asks[lo + r].as_py(), _ASK):
+                    at, size, check = int(s["at"]), int(s["len"]), s["check"].tobytes()
+                    a = int(first[r]) + at
+                    if at + size <= have and _check(text, offsets, a, a + size) == check:
+                        ids.append(int(s["id"]))
+                        good.append((int(s["pos"]), size, check))
+                    else:
+                        failed.append(int(s["id"]))
             owner, cuts, (packed,) = by_id(np.array(ids, np.int64), np.array(good, _SPAN))
-            yield from pa.table({"key": pa.array(owner, pa.int64()), "spans": ragged_binary(packed, cuts)}).to_batches()
+            proven = pa.table({"key": pa.array(owner, pa.int64()), "spans": ragged_binary(packed, cuts), "failed": pa.array([0] * len(owner), pa.int64())})
+            lost = pa.table({"key": pa.array(failed, pa.int64()), "spans": pa.array([b""] * len(failed), pa.binary()), "failed": pa.array([1] * len(failed), pa.int64())})
+            yield from pa.concat_tables([proven, lost]).to_batches()
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        spans = batch.column("spans")
+        spans = batch.column("spans") if "spans" in batch.schema.names else None
         for lo, hi, buf, offs in text_slices(batch.column("text")):
             starts, ends, first = word_spans(buf, offs)
             gone = np.zeros(len(starts), bool)
             for r in range(hi - lo):
-                known = spans[lo + r].as_py()
+                known = spans[lo + r].as_py() if spans is not None else None
                 if known:
                     a, b = int(first[r]), int(first[r + 1])
                     text, offsets = _joined(buf, starts[a:b], ends[a:b])
@@ -323,33 +336,51 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _proven_spans(texts: DataFrame, buckets: int, n: int, k: int, base: int) -> DataFrame:
+    """(key, spans, failed): the verified repeated spans of each row of (key, id, text), and how many failed."""
+    asks = texts.mapInArrow(lambda it: _send_minimizers(it, buckets, n, k), "route int, kind int, c0 binary, c1 binary")
+    dealt = "part long, ids binary, body binary"
+    marks = asks.groupBy("route").applyInArrow(lambda t: _answer_minimizers(t, buckets), dealt).groupBy("part").applyInArrow(_gather_marks, "key long, marks binary")
+    edges = texts.hint("merge").join(marks, "key").sortWithinPartitions("key")
+    asks = edges.mapInArrow(lambda it: _send_windows(it, buckets, n, k, base), "route int, kind int, c0 binary, c1 binary, c2 binary, c3 binary")
+    paths = asks.groupBy("route").applyInArrow(lambda t: _answer_windows(t, buckets), dealt).groupBy("part").applyInArrow(_gather_paths, "key long, paths binary")
+    # What rows ask of a source is packed where they are, so a source that very many share gets few, bounded rows.
+    spans = texts.hint("merge").join(paths, "key").mapInArrow(lambda it: _fingerprint(it, n), "key long, asks binary")
+    return texts.hint("merge").join(spans, "key").mapInArrow(_verify, "key long, spans binary, failed long")
+
+
 def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WINDOW, k: int = KMER) -> DataFrame:
     """Returns (id, n_words, n_removed, kept_text) for every row.
 
     A word goes if it lies in a window of n words that also starts in a row with a smaller id; kept words are joined
     by one space. Traffic is packed: a block of text sends each distinct window once, so a passage that a third of all
     rows share costs one entry a block, and buckets by hash hold equal shares whatever repeats; what a block knows to
-    repeat without asking is cut into bounded pieces that are spread over all buckets.
+    repeat without asking is cut into bounded pieces that are spread over all buckets. Every span is compared with its
+    source before it goes; should any differ (two windows of one hash), all is done again with another hash and what
+    both prove is joined. Ids may be of any type that has an order.
 
     Defined cases: a null or blank text has no words; texts of fewer than n words lose none; rows with null id keep
-    all words and are no source; rows that share an id are one document, and none is a source for another; a span goes
-    only from a row whose own words match it; an empty table gives an empty result; further columns are ignored.
+    all words, are no source and join nothing; rows that share an id are one document, and none is a source for
+    another; of several sources the smallest id and its first place count; a text of any length is taken whole, in
+    memory proportional to it; a span goes only from a row whose own words match it; an empty table gives an empty
+    result; further columns are ignored.
     """
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    ws = Workspace(docs.sparkSession, "spans")
+    ids = NodeIds(docs, id_col, ws)
+    given = ids.numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
-    # All joins below deal the same columns of the same rows by the same key, so the texts are shuffled once.
-    texts = given.withColumn("key", F.coalesce("id", F.lit(-(1 << 63))))
-    asks = given.where("id IS NOT NULL").mapInArrow(lambda it: _send_minimizers(it, buckets, n, k), "route int, kind int, c0 binary, c1 binary")
-    dealt = "part long, ids binary, body binary"
-    marks = asks.groupBy("route").applyInArrow(lambda t: _answer_minimizers(t, buckets), dealt).groupBy("part").applyInArrow(_gather_marks, "key long, marks binary")
-    edges = texts.hint("merge").join(marks, "key").sortWithinPartitions("key")
-    asks = edges.mapInArrow(lambda it: _send_windows(it, buckets, n, k), "route int, kind int, c0 binary, c1 binary, c2 binary, c3 binary")
-    paths = asks.groupBy("route").applyInArrow(lambda t: _answer_windows(t, buckets), dealt).groupBy("part").applyInArrow(_gather_paths, "key long, paths binary")
-    spans = texts.hint("merge").join(paths, "key").mapInArrow(lambda it: _fingerprint(it, n), "src long, at long, id long, pos long, len long, check binary")
-    # A source that very many documents share is split into parts, each verified against the source text.
-    spans = spans.groupBy("src", F.pmod(F.xxhash64("id"), F.lit(64)).alias("part")).agg(F.collect_list(F.struct("at", "id", "pos", "len", "check")).alias("spans"))
-    proven = texts.hint("merge").join(spans.select(F.col("src").alias("key"), "spans"), "key").mapInArrow(_verify, "key long, spans binary")
-    proven = proven.groupBy("key").agg(F.collect_list("spans").alias("spans"))
-    out = texts.hint("merge").join(proven, "key", "left").mapInArrow(_remove, "id long, n_words long, n_removed long, kept_text string")
-    return out.withColumnRenamed("id", id_col)
+    # All joins deal the same columns of the same rows by the same key, so the texts are shuffled once for each hash.
+    texts = given.where("id IS NOT NULL").withColumn("key", F.col("id"))
+    proven = None
+    for turn, base in enumerate(WINDOW_BASES):
+        found = ws.table(f"proven-{turn}", _proven_spans(texts, buckets, n, k, base))
+        proven = found if proven is None else proven.unionByName(found)
+        if not found.where("failed > 0").head(1):
+            break
+    # A row's spans are no more than its windows.
+    proven = proven.where("failed = 0").groupBy("key").agg(F.collect_list("spans").alias("spans"))
+    schema = "id long, n_words long, n_removed long, kept_text string"
+    out = texts.hint("merge").join(proven, "key", "left").mapInArrow(_remove, schema)
+    out = out.unionByName(given.where("id IS NULL").mapInArrow(_remove, schema))
+    return ids.given(out, "id").withColumnRenamed("id", id_col)

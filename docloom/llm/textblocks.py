@@ -35,12 +35,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: A prime that leaves room for products in 64 bits, and two bases of polynomials modulo it.
+_PRIME = np.uint64((1 << 31) - 1)
+_BASES = (1_103_515_245, 1_812_433_253)
+
+
 @lru_cache(maxsize=8)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.uint64(pow(int(_P), -1, 1 << 64))
-    up, down = np.full(size, _P), np.full(size, inverse)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+def _powers(base: int, modulus: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse."""
+    out = []
+    for factor in (base, pow(base, -1, modulus)):
+        power = np.ones(size, np.uint64)
+        have = 1
+        while have < size:
+            more = min(have, size - have)
+            step = power[:more] * np.uint64(pow(factor, have, modulus))
+            power[have : have + more] = step % _PRIME if modulus == int(_PRIME) else step
+            have += more
+        out.append(power)
+    return out[0], out[1]
 
 
 def text_slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -78,23 +91,46 @@ def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hashes of ascending byte spans, by prefix sums of a polynomial modulo 2**64."""
+    """64-bit hashes of ascending byte spans, by prefix sums of polynomials.
+
+    Three polynomials are folded: one modulo 2**64, for which different long words of equal hash follow a rule, and two
+    modulo a prime, for which none is known; spans are told apart by 126 bits before the fold to 64.
+    """
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
         base = starts[i]
         j = max(i + 1, int(np.searchsorted(ends, base + _HASH_SPAN, side="right")))
-        size = int(ends[j - 1] - base)
-        up, down = _powers(_HASH_SPAN + 1 if size <= _HASH_SPAN else size + 1)
-        piece = buf[base : base + size]
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(((LOWER[piece] if lower else piece).astype(np.uint64) + np.uint64(1)) * up[:size], out=sums[1:])
         s, e = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * _Q
+        piece = buf[base : base + int(e[-1])]
+        value = (LOWER[piece] if lower else piece).astype(np.uint64) + np.uint64(1)
+        if len(value) <= _HASH_SPAN:
+            whole, first, second = (_spans(value, s, e, *_powers(b, m, _HASH_SPAN + 1), m) for b, m in ((int(_P), 1 << 64), *((b, int(_PRIME)) for b in _BASES)))
+        else:
+            whole, first, second = (_long_span(value, b, m) for b, m in ((int(_P), 1 << 64), *((b, int(_PRIME)) for b in _BASES)))
+        out[i:j] = whole + (e - s).astype(np.uint64) * _Q ^ mix64(first << np.uint64(31) | second)
         i = j
     return mix64(out)
 
 
+def _spans(value: np.ndarray, s: np.ndarray, e: np.ndarray, up: np.ndarray, down: np.ndarray, modulus: int) -> np.ndarray:
+    sums = np.zeros(len(value) + 1, np.uint64)
+    np.cumsum(value * up[: len(value)], out=sums[1:])
+    got = sums[e] - sums[s]
+    return got * down[s] if modulus > int(_PRIME) else got % _PRIME * down[s] % _PRIME
+
+
+def _long_span(value: np.ndarray, base: int, modulus: int) -> np.ndarray:
+    """One span that is longer than the tables of powers, piece by piece."""
+    up, _ = _powers(base, modulus, _HASH_SPAN + 1)
+    total, place = 0, 1
+    for at in range(0, len(value), _HASH_SPAN):
+        part = value[at : at + _HASH_SPAN]
+        total = (total + int((part * up[: len(part)]).sum(dtype=np.uint64)) * place) % modulus
+        place = place * pow(base, len(part), modulus) % modulus
+    return np.array([total], np.uint64)
+
+
 def window_hashes(words: np.ndarray, n: int, base: int = 0xA0761D6478BD642F) -> np.ndarray:
     """Hashes of all n consecutive words; windows that cross rows are left for the caller to drop."""
     size = max(0, len(words) - n + 1)
