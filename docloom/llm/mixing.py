@@ -85,7 +85,8 @@ def mix_sources(
     with equal id and text may exchange their places in the order but get the same totals; an empty table gives an
     empty result; extra columns that are not asked for are ignored.
     """
-    spark = docs.sparkSession
+    if clash := [c for c in keep if c.startswith("_") or c in ("size", "source_size", "target", "taken")]:
+        raise ValueError(f"columns that are made here cannot be kept: {clash}")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     digest = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
     carried = [c for c in keep if c != text_col]

@@ -131,19 +131,28 @@ bounds AS (
               ELSE sum(target) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / greatest(sum(target) OVER (), 1.0) END AS above
   FROM targets),
 stepped AS (SELECT *, greatest(CAST(ceil(whole / 524288) AS BIGINT), 1) AS step FROM bounds),
-blocks AS (SELECT *, greatest(CAST(ceil(source_size / step::DOUBLE) AS BIGINT), 1) AS n_blocks FROM stepped),
 slots AS (SELECT t AS slot, (t + 1) * 0.6180339887498949::DOUBLE - floor((t + 1) * 0.6180339887498949::DOUBLE) AS x FROM range(524288) g(t)),
-placed AS (
-  SELECT r, n_blocks, row_number() OVER (PARTITION BY r ORDER BY slot) - 1 AS turn
-  FROM slots JOIN blocks ON x >= below AND x < above AND target > 0 AND slot * step < whole),
-uses AS (SELECT r, turn % n_blocks AS block, count(*) AS uses FROM placed GROUP BY ALL),
+met AS (
+  SELECT slot, r, source_size, target, step FROM slots JOIN stepped ON x >= below AND x < above AND target > 0 AND slot * step < whole
+  UNION ALL SELECT 524288, r, source_size, target, step FROM stepped WHERE target > 0),
+counted AS (SELECT *, count(*) OVER (PARTITION BY r) AS n_slots, row_number() OVER (PARTITION BY r ORDER BY slot) - 1 AS k FROM met),
+worded AS (
+  SELECT *, least(greatest((n_slots - 1) * step, CAST(floor(target) AS BIGINT)), CAST(ceil(target) AS BIGINT)) AS words, (1 + n_slots) // n_slots AS per FROM counted),
+cut AS (SELECT *, greatest(least(n_slots * per * source_size // words, source_size), 1) AS n_blocks FROM worded WHERE words > 0),
+placed AS (SELECT r, n_blocks, source_size, words, unnest(range(k * per, k * per + per)) AS turn FROM cut),
+uses AS (
+  SELECT r, turn % n_blocks AS block, count(*) AS uses, min(words - turn // n_blocks * source_size) AS until
+  FROM placed WHERE turn * source_size < n_blocks * words GROUP BY ALL),
+blocks AS (SELECT s.*, c.n_blocks FROM stepped s LEFT JOIN (SELECT r, max(n_blocks) AS n_blocks FROM cut GROUP BY r) c ON s.r = c.r),
 docs AS (
-  SELECT doc_id, size, k, b.r, b.source_size, b.target, b.step,
+  SELECT doc_id, size, k, b.r, b.source_size, b.target, b.n_blocks,
          coalesce(sum(size) OVER (PARTITION BY b.r ORDER BY ('0x' || substr(k, 1, 8))::BIGINT % 4096, k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS f
   FROM sized JOIN blocks b ON sized.source IS NOT DISTINCT FROM b.source),
-pieces AS (SELECT doc_id, k, f, size, r, step, unnest(range(f // step, (f + size - 1) // step + 1)) AS block FROM docs WHERE size > 0),
+pieces AS (
+  SELECT doc_id, k, f, r, greatest(f, block * source_size // n_blocks) AS a, least(f + size, (block + 1) * source_size // n_blocks) AS z, block
+  FROM (SELECT *, unnest(range(((f + 1) * n_blocks - 1) // source_size, ((f + size) * n_blocks - 1) // source_size + 1)) AS block FROM docs WHERE size > 0 AND n_blocks IS NOT NULL)),
 got AS (
-  SELECT doc_id, k, f, sum((least(f + size, (block + 1) * step) - greatest(f, block * step)) * least(uses, 2)) AS taken
+  SELECT doc_id, k, f, sum((z - a) * (uses - 1) + greatest(least(z, until) - a, 0)) AS taken
   FROM pieces JOIN uses USING (r, block) GROUP BY ALL)
 SELECT d.doc_id, d.size::BIGINT AS size, d.source_size, d.target, coalesce(g.taken, 0)::BIGINT AS taken
 FROM docs d LEFT JOIN got g ON d.doc_id = g.doc_id AND d.k = g.k AND d.f = g.f
