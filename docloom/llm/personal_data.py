@@ -125,7 +125,7 @@ def _features(kind: str) -> dict[str, str]:
     share = "length(regexp_replace(x.value, '[^0-9]', '')) / length(x.value)"
     own = {
         "secret": (
-            "CASE WHEN x.value RLIKE '^([0-9a-f]{32,}|[0-9A-F]{32,})$' THEN 1 WHEN x.value RLIKE '^[A-Za-z]+[0-9]{1,4}$' THEN -1 ELSE 0 END",
+            "CASE WHEN x.value RLIKE '^(AKIA|ASIA|AIza|eyJ|ghp|gho|glpat|xox|sk|pk)' THEN 1 WHEN x.value RLIKE '^[A-Za-z]+[0-9]{1,4}$' THEN -1 ELSE 0 END",
             # Random text changes between letters and digits often; words and numbers do not.
             "CASE WHEN 5 * length(regexp_replace(x.value, '([0-9](?=[A-Za-z])|[A-Za-z](?=[0-9]))|.', '$1')) >= length(x.value) THEN 1"
             " WHEN 10 * length(regexp_replace(x.value, '([0-9](?=[A-Za-z])|[A-Za-z](?=[0-9]))|.', '$1')) < length(x.value) THEN -1 ELSE 0 END",

@@ -22,9 +22,18 @@ from tests.oracle import assert_same
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
-def test_query_matches_sql(spark, name):
-    assert_same(spark, queries.QUERIES[name], queries.ORACLE_SQL[name])
+def test_query_matches_sql(spark, name, sf):
+    assert_same(spark, queries.QUERIES[name], queries.ORACLE_SQL[name], f"/root/testdata/{sf}")
+
+
+def test_token_counts_of_a_whole_table_equal_the_library(spark):
+    sf = "/root/testdata/sf0.01"
+    library = Tokenizer.from_file(BPE)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in queries.op4_token_counts(spark, sf).collect():
+        assert r.n_tokens == len(library.encode(texts[r.doc_id], add_special_tokens=False).ids)
 
 
 def test_token_counts_equal_the_library(spark):
