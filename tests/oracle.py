@@ -1,4 +1,4 @@
-"""Compares a query with its SQL on the smallest tables."""
+"""Compares a query with its SQL on the smallest tables, or others."""
 
 from __future__ import annotations
 
@@ -15,11 +15,11 @@ def _plain(v):
     return tuple(map(_plain, v)) if isinstance(v, list) else v
 
 
-def assert_same(spark, query, sql: str) -> None:
+def assert_same(spark, query, sql: str, sf: str = SF) -> None:
     con = duckdb.connect()
-    for f in Path(SF).glob("*.parquet"):
+    for f in Path(sf).glob("*.parquet"):
         con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
-    got = query(spark, SF)
+    got = query(spark, sf)
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]
     assert sorted(got.columns) == sorted(names)
