@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,3 +52,18 @@ def json_facts(texts: pd.Series) -> pd.DataFrame:
 
     found = texts.map(one)
     return pd.DataFrame({"repeated": found.map(lambda f: f[2]), "depth": found.map(lambda f: f[1]).astype("Int32")})
+
+
+def self_hash(body: Column) -> Column:
+    """SHA-256 of the canonical JSON of a struct or map."""
+    return F.sha2(canonical_json(F.to_json(body, {"ignoreNullFields": "false"})), 256)
+
+
+def metadata_verdict(text: Column | str, most_bytes: int = 4096, most_depth: int = 4) -> Column:
+    """ok, or why a metadata text is refused: too-large, not-json, repeated-key or too-deep. Nothing is cut."""
+    text = F.col(text) if isinstance(text, str) else text
+    facts = json_facts(text)
+    return (
+        F.when(F.octet_length(text) > most_bytes, "too-large").when(facts["depth"].isNull(), "not-json")
+        .when(F.size(facts["repeated"]) > 0, "repeated-key").when(facts["depth"] > most_depth, "too-deep").otherwise("ok")
+    )

@@ -132,11 +132,91 @@ def is_rfc3339(x: Column | str) -> Column:
 
 
 def preview(x: Column | str, size: int = 512) -> Column:
-    """Control characters masked, cut to a size."""
-    return F.left(F.regexp_replace(_c(x), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "?"), F.lit(size))
+    """Control characters masked, cut to as many whole characters as fit in so many bytes of UTF-8."""
+    clean = F.regexp_replace(F.left(_c(x), F.lit(size)), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "?")
+    cut = F.substring(F.encode(clean, "UTF-8"), 1, size)
+    # A character that the cut left incomplete (a lead byte and fewer bytes than it asks for) goes.
+    back = F.regexp_replace(F.hex(cut), "(?:C[2-9A-F]|D[0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F])?|F[0-4](?:[89AB][0-9A-F]){0,2})$", "")
+    return F.when(F.octet_length(clean) <= size, clean).otherwise(F.decode(F.unhex(back), "UTF-8"))
 
 
 def splice(text: Column | str, edits: Column | str) -> Column:
     """Applies edits (start, end, replacement), half-open and disjoint, from the last to the first."""
     down = F.array_sort(_c(edits), lambda a, b: b["start"] - a["start"])
     return F.aggregate(down, _c(text), lambda t, e: F.concat(F.substr(t, F.lit(1), e["start"]), e["replacement"], F.substr(t, e["end"] + 1)))
+
+
+def first_given(*choices: Column | str) -> Column:
+    """The first that is not null: explicit, then local, then built in."""
+    return F.coalesce(*[_c(c) for c in choices])
+
+
+def toggle(*values: Column | str) -> Column:
+    """A switch property: own, then each style's; what none sets is off."""
+    return F.coalesce(*[_c(v) for v in values], F.lit(False))
+
+
+def provenance_stamp(source: Column | str, text: Column | str, size: int = 255) -> Column:
+    """Where a text came from and the start of its SHA-256; the end of the stamp is kept if it is too long."""
+    return F.right(F.concat(F.lit("source="), _c(source), F.lit(";sha256="), F.left(F.sha2(_c(text), 256), F.lit(16))), F.lit(size))
+
+
+def safe_part_name(name: Column | str) -> Column:
+    """Whether a part's name stays in its package: no root, no step up, no backslash."""
+    return ~_c(name).rlike(r"(^/)|(^|/)[.][.](/|$)|\\\\")
+
+
+TRANSLATE = r"^translate\(\s*([-+0-9.eE]+)(?:[\s,]+([-+0-9.eE]+))?\s*\)$"
+
+
+def translation(text: Column | str) -> Column:
+    """(tx, ty) of translate(x[, y]); null for anything else."""
+    part = lambda k: F.regexp_extract(_c(text), TRANSLATE, k).try_cast("double")
+    return F.when(_c(text).rlike(TRANSLATE), F.struct(part(1).alias("tx"), F.coalesce(part(2), F.lit(0.0)).alias("ty")))
+
+
+def exact_difference(a: Column | str, b: Column | str) -> Column:
+    """a - b of two number texts, in decimals."""
+    return _c(a).try_cast("decimal(30,10)") - _c(b).try_cast("decimal(30,10)")
+
+
+def exact_products_equal(a: Column | str, b: Column | str, c: Column | str, d: Column | str) -> Column:
+    """Whether a x b is exactly c x d, in decimals: equal ratios without a division."""
+    n = lambda x: _c(x).try_cast("decimal(18,4)")
+    return n(a) * n(b) == n(c) * n(d)
+
+
+def placed(value: Column | str, scale: Column | float, shift: Column | float) -> Column:
+    """A coordinate under a uniform scale and a shift."""
+    as_column = lambda x: F.lit(float(x)) if isinstance(x, int | float) else x
+    return _c(value).cast("double") * as_column(scale) + as_column(shift)
+
+
+def code_points(text: Column | str) -> Column:
+    """The distinct code points of a text in order."""
+    return F.array_sort(F.array_distinct(F.transform(F.filter(F.split(_c(text), ""), lambda c: c != ""), lambda c: F.ascii(c))))
+
+
+def text_slice(text: Column | str, start: int, end: int) -> Column:
+    """Code points [start, end)."""
+    return F.substring(_c(text), start + 1, end - start)
+
+
+def byte_slice(text: Column | str, start: int, end: int) -> Column:
+    """Bytes [start, end) of the UTF-8 form."""
+    return F.substring(F.encode(_c(text), "UTF-8"), start + 1, end - start)
+
+
+def part_number(name: Column | str) -> Column:
+    """The first number in a part's name: slide10 comes after slide9."""
+    return F.nullif(F.regexp_extract(_c(name), "([0-9]+)", 1), F.lit("")).cast("long")
+
+
+def shortened(text: Column | str, size: int = 160) -> Column:
+    """The text, cut at the last white space if it is longer than the size; without one, nothing is left."""
+    return F.when(F.length(_c(text)) <= size, _c(text)).otherwise(F.regexp_extract(F.left(_c(text), F.lit(size + 1)), r"(?s)^(.*)\s", 1))
+
+
+def bounded_message(text: Column | str, size: int = 4096) -> Column:
+    """A message of at most so many code points; a cut one ends in an ellipsis."""
+    return F.when(F.length(_c(text)) <= size, _c(text)).otherwise(F.concat(F.left(_c(text), F.lit(size - 1)), F.lit("\u2026")))

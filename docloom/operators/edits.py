@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # The operations that set one field of an object.
-SETTERS = {"set-text": "text", "set-object-geometry": "geometry", "set-native-style": "style", "set-group-translation": "transform", "set-text-frame": "frame", "set-connector-endpoints": "relationship"}
+SETTERS = {"set-text": "text", "set-object-geometry": "geometry", "set-native-style": "style", "set-group-translation": "transform", "set-text-frame": "frame", "set-connector-endpoints": "relationship", "set-active-theme": "active_theme"}
 
 
 def check_operations(nodes: DataFrame, ops: DataFrame) -> DataFrame:
@@ -53,20 +56,61 @@ def delete_subtrees(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     return nodes.join(gone.unionByName(below).distinct(), "id", "left_anti")
 
 
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sessions in order of session and seq; only the values that can still be undone or redone are held."""
+    now, past, future, out = None, [], [], []
+
+    def ended() -> dict:
+        return {"session": now, "value": past[-1] if past else None, "depth": len(past), "undone": len(future)}
+
+    begun = False
+    for batch in batches:
+        for session, action, value in zip(batch["session"], batch["action"], batch["value"], strict=True):
+            if not begun or session != now:
+                if begun:
+                    out.append(ended())
+                begun, now, past, future = True, session, [], []
+            if action == "set":
+                past.append(value)
+                future.clear()
+            elif action == "undo" and past:
+                future.append(past.pop())
+            elif action == "redo" and future:
+                past.append(future.pop())
+        yield pd.DataFrame(out, columns=["session", "value", "depth", "undone"])
+        out.clear()
+    if begun:
+        yield pd.DataFrame([ended()])
+
+
 def fold_sessions(events: DataFrame) -> DataFrame:
     """(session, value, depth, undone): sessions of events (session, seq, action, value) with undo and redo.
 
-    A set drops what could be redone. The event log is cut to its effect without a loop over events: an array fold.
+    A set drops what could be redone. Each session is read once, in order, as a stream of its partition; null sessions
+    are none.
     """
-    log = events.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("seq", "action", "value"))).alias("log"))
-    start = F.struct(F.array().cast("array<string>").alias("past"), F.array().cast("array<string>").alias("future"))
-
-    def step(s, e):
-        past, future = s["past"], s["future"]
-        did = F.struct(F.concat(past, F.array(e["value"])).alias("past"), F.array().cast("array<string>").alias("future"))
-        undo = F.struct(F.slice(past, F.lit(1), F.size(past) - 1).alias("past"), F.concat(F.array(F.element_at(past, -1)), future).alias("future"))
-        redo = F.struct(F.concat(past, F.array(F.element_at(future, 1))).alias("past"), F.slice(future, F.lit(2), F.greatest(F.size(future) - 1, F.lit(0))).alias("future"))
-        return F.when(e["action"] == "set", did).when((e["action"] == "undo") & (F.size(past) > 0), undo).when((e["action"] == "redo") & (F.size(future) > 0), redo).otherwise(s)
-
-    end = log.withColumn("s", F.aggregate("log", start, step))
-    return end.select("session", F.when(F.size("s.past") > 0, F.element_at("s.past", -1)).alias("value"), F.size("s.past").alias("depth"), F.size("s.future").alias("undone"))
+    kind, of = (events.schema[c].dataType.simpleString() for c in ("session", "value"))
+    ordered = events.where("session IS NOT NULL").select("session", "seq", "action", "value").repartition("session").sortWithinPartitions("session", "seq")
+    return ordered.mapInPandas(_fold, f"session {kind}, value {of}, depth int, undone int")
+
+
+def clone_connectors(edges: DataFrame, clones: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges with the clones, checked clones). ``clones``: id, new_id, from_id, to_id; ``edges``: id, from_id, to_id, ...
+
+    A clone takes its connector's other columns. It is refused as unknown-target, id-taken, conflicting (two clones of
+    one new id) or unknown-endpoint; one refused clone withholds all.
+    """
+    taken = nodes.select("id").unionByName(edges.select("id")).distinct()
+    has = lambda df, c, flag: df.select(F.col("id").alias(c), F.lit(True).alias(flag)).distinct()
+    many = F.count("*").over(Window.partitionBy("new_id"))
+    out = clones.withColumn("_n", many).join(has(edges, "id", "_edge"), "id", "left").join(has(taken, "new_id", "_taken"), "new_id", "left")
+    out = out.join(has(nodes, "from_id", "_from"), "from_id", "left").join(has(nodes, "to_id", "_to"), "to_id", "left")
+    verdict = (
+        F.when(F.col("_edge").isNull(), "unknown-target").when(F.col("_taken"), "id-taken").when(F.col("_n") > 1, "conflicting")
+        .when(F.col("_from").isNull() | F.col("_to").isNull(), "unknown-endpoint").otherwise("ok")
+    )
+    checked = out.select("id", "new_id", "from_id", "to_id", verdict.alias("verdict"))
+    gate = checked.agg(F.coalesce(F.bool_and(F.col("verdict") == "ok"), F.lit(True)).alias("_all"))
+    rest = [c for c in edges.columns if c not in ("id", "from_id", "to_id")]
+    made = checked.where("verdict = 'ok'").join(edges.select("id", *rest), "id").select(F.col("new_id").alias("id"), "from_id", "to_id", *rest)
+    return edges.unionByName(made.crossJoin(F.broadcast(gate)).where("_all").drop("_all").select(*edges.columns)), checked

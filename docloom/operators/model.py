@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.scalars import STABLE_ID
-from docloom.operators.styles import cascade, group_bounds
+from docloom.functions.scalars import STABLE_ID, escape_xml, first_given
+from docloom.operators.styles import cascade, group_bounds, style_text
 from docloom.sources.markup import EXPORT_MODES, ROLE_ELEMENTS
 
 
@@ -77,25 +77,43 @@ def local_bounds(nodes: DataFrame) -> DataFrame:
 
 
 def resolve(nodes: DataFrame, rules: DataFrame, tokens: DataFrame, theme: str) -> tuple[DataFrame, DataFrame]:
-    """(bounds, styles) of one document's rendered objects: world rectangles, groups as unions, and cascaded styles."""
+    """(bounds, styles) of the rendered objects of documents, by doc_id and id: world rectangles, groups as unions, and
+    styles cascaded from the document's own rules and theme."""
     live = rendered(nodes)
     leaves = local_bounds(live)
-    groups = group_bounds(leaves.select("ancestor_ids", "x", "y", "width", "height"))
-    bounds = leaves.select("id", "x", "y", "width", "height").unionByName(groups)
+    groups = group_bounds(leaves.select("doc_id", "ancestor_ids", "x", "y", "width", "height"), ("doc_id",))
+    bounds = leaves.select("doc_id", "id", "x", "y", "width", "height").unionByName(groups)
     presentational = F.map_filter("attributes", lambda k, v: k.isin("fill", "stroke", "stroke-width", "opacity", "font-size", "font-weight", "font-style", "font-family", "text-anchor"))
     inline = F.coalesce(F.map_from_entries(F.transform(F.filter(F.split(F.col("attributes")["style"], ";"), lambda d: F.contains(d, F.lit(":"))), lambda d: F.struct(F.trim(F.split(d, ":")[0]).alias("k"), F.trim(F.split(d, ":")[1]).alias("v")))), F.create_map().cast("map<string,string>"))
-    styled = live.select("id", "classes", presentational.alias("attributes"), inline.alias("inline"))
-    return bounds, cascade(styled, rules, tokens.where(F.col("theme_id") == theme).select("token", "expression"))
+    styled = live.select("doc_id", "id", "classes", presentational.alias("attributes"), inline.alias("inline"))
+    return bounds, cascade(styled, rules, tokens.where(F.col("theme_id") == theme).select("doc_id", "token", "expression"), ("doc_id",))
 
 
 def hydrate(nodes: DataFrame, styles: DataFrame, scope_id: str) -> DataFrame:
-    """(scope_id, markup): one slide as a document of its own, with resolved styles inline instead of classes."""
-    text = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "property", "value"))), ";")
-    inline = styles.groupBy("id").agg(text.alias("style"))
-    rows = nodes.where(F.col("scope_id") == scope_id).join(inline, "id", "left")
-    kept = F.array_join(F.transform(F.array_sort(F.map_entries(F.map_filter("attributes", lambda k, v: ~k.isin("class", "style", "layout")))), lambda e: F.concat(e["key"], F.lit('="'), e["value"], F.lit('"'))), " ")
-    tag = F.concat(F.lit("<"), "element", F.lit(" "), kept, F.lit(' style="'), F.coalesce("style", F.lit("")), F.lit('">'), F.coalesce("text", F.lit("")), F.lit("</"), "element", F.lit(">"))
-    return rows.withColumn("tag", tag).groupBy("scope_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("preorder", "tag"))), lambda r: r["tag"]), "\n").alias("markup"))
+    """(doc_id, scope_id, markup): one slide as a document of its own, with resolved styles inline instead of classes.
+
+    Texts and values were decoded when they were read, so they are escaped anew.
+    """
+    rows = nodes.where(F.col("scope_id") == scope_id).join(style_text(styles, ("doc_id",)), ["doc_id", "id"], "left")
+    own = F.array_sort(F.map_entries(F.map_filter("attributes", lambda k, v: ~k.isin("class", "style", "layout"))))
+    kept = F.array_join(F.transform(own, lambda e: F.concat(e["key"], F.lit('="'), escape_xml(e["value"], attribute=True), F.lit('"'))), " ")
+    style = escape_xml(F.coalesce("style", F.lit("")), attribute=True)
+    tag = F.concat(F.lit("<"), "element", F.lit(" "), kept, F.lit(' style="'), style, F.lit('">'), escape_xml(F.coalesce("text", F.lit(""))), F.lit("</"), "element", F.lit(">"))
+    return rows.withColumn("tag", tag).groupBy("doc_id", "scope_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("preorder", "tag"))), lambda r: r["tag"]), "\n").alias("markup"))
+
+
+def role_element_mismatches(nodes: DataFrame) -> DataFrame:
+    """Objects whose role is unknown, or whose element the role may not use."""
+    allowed = F.create_map(*[x for r, e in ROLE_ELEMENTS.items() for x in (F.lit(r), F.array(*map(F.lit, e)))])
+    return nodes.where(~F.coalesce(F.array_contains(allowed[F.col("role")], F.col("element")), F.lit(False)))
+
+
+def compare_metadata(left: DataFrame, right: DataFrame, key: str, ladder: dict[str, str]) -> DataFrame:
+    """(key, verdict) of each left row: missing without a right one, else what the first differing column of the ladder
+    (column to verdict) says, else equal."""
+    both = left.select(key, *[F.col(c).alias(f"l_{c}") for c in ladder]).join(right.select(key, F.lit(True).alias("there"), *[F.col(c).alias(f"r_{c}") for c in ladder]), key, "left")
+    steps = [F.when(F.col("there").isNull(), "missing"), *[F.when(~F.col(f"l_{c}").eqNullSafe(F.col(f"r_{c}")), verdict) for c, verdict in ladder.items()]]
+    return both.select(key, first_given(*steps, F.lit("equal")).alias("verdict"))
 
 
 def migrate(docs: DataFrame, old: str, new: str, text_col: str = "text") -> DataFrame:

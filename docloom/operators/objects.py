@@ -105,9 +105,24 @@ def closure(nodes: DataFrame) -> DataFrame:
 
 def tree_paths(spark, nodes: DataFrame, max_depth: int = 512) -> DataFrame:
     """Ancestor ids of an adjacency list (id, parent_id), level by level, for trees small enough to recurse over."""
-    nodes.select("id", "parent_id").createOrReplaceTempView("_docloom_nodes")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max_depth))
+    if int(spark.conf.get("spark.sql.cteRecursionLevelLimit")) < max_depth:
+        spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max_depth))
     return spark.sql(
-        "WITH RECURSIVE t(id, ancestor_ids) AS (SELECT id, CAST(array() AS ARRAY<STRING>) FROM _docloom_nodes WHERE parent_id IS NULL "
-        "UNION ALL SELECT n.id, t.ancestor_ids || array(t.id) FROM _docloom_nodes n JOIN t ON n.parent_id = t.id) SELECT * FROM t"
+        "WITH RECURSIVE t(id, ancestor_ids) AS (SELECT id, CAST(array() AS ARRAY<STRING>) FROM {nodes} WHERE parent_id IS NULL "
+        "UNION ALL SELECT n.id, t.ancestor_ids || array(t.id) FROM {nodes} n JOIN t ON n.parent_id = t.id) SELECT * FROM t",
+        nodes=nodes.select("id", "parent_id"),
     )
+
+
+def preorder(nodes: DataFrame, path: Column, branch: int = 3) -> DataFrame:
+    """(id, preorder): the place of each object in its scope, from 1, by its path of sibling orders.
+
+    Objects are ranked within the subtree that the first steps of their path name, and the sizes of the subtrees before
+    it are added, so no task holds a whole scope.
+    """
+    placed = nodes.select("scope_id", "id", path.alias("_path")).withColumn("_branch", F.slice("_path", 1, branch))
+    sizes = placed.groupBy("scope_id", "_branch").agg(F.count("*").alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy("scope_id").orderBy("_branch").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("scope_id", "_branch", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = placed.withColumn("_k", F.row_number().over(Window.partitionBy("scope_id", "_branch").orderBy("_path")))
+    return within.join(starts, ["scope_id", "_branch"]).select("id", (F.col("_before") + F.col("_k")).cast("int").alias("preorder"))

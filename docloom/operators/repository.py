@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.scalars import file_version
@@ -76,8 +76,24 @@ def stale(files: DataFrame, today, days: int, date_col: str = "last_verified") -
     return files.withColumn("age", F.date_diff(F.lit(today).cast("date"), F.col(date_col))).where(F.col("age") > days)
 
 
-def todo_counts(lines: DataFrame) -> DataFrame:
-    """One row: lines with a TODO, and how many name a ticket."""
-    todo = F.col("text").rlike(r"\b(TODO|FIXME)\b")
-    tracked = F.col("text").rlike(r"\b(TODO|FIXME)\((#[0-9]+|[A-Z]+-[0-9]+)\)")
+def todo_counts(lines: DataFrame, marker: str = r"\b(TODO|FIXME)\b", ticket: str = r"\b(TODO|FIXME)\((#[0-9]+|[A-Z]+-[0-9]+)\)") -> DataFrame:
+    """One row: lines with a marker, and how many of them name a ticket."""
+    todo = F.col("text").rlike(marker)
+    tracked = todo & F.col("text").rlike(ticket)
     return lines.agg(F.count_if(todo).alias("n_todo"), F.count_if(tracked).alias("n_tracked"), F.count_if(todo & ~tracked).alias("n_untracked"))
+
+
+def contract_counts(files: DataFrame, by: str, draft: Column, owner: str) -> DataFrame:
+    """(by, n, n_draft, n_owners): files, drafts and distinct owners of each group."""
+    return files.groupBy(by).agg(F.count("*").alias("n"), F.count_if(draft).alias("n_draft"), F.count_distinct(owner).alias("n_owners"))
+
+
+def prefix_collisions(names: DataFrame, prefix: Column, owner: str) -> DataFrame:
+    """(prefix, owners, n): prefixes that several rows share, with their owners in order."""
+    owners = F.array_join(F.array_sort(F.collect_set(owner)), ",")
+    return names.groupBy(prefix.alias("prefix")).agg(owners.alias("owners"), F.count("*").alias("n")).where("n > 1")
+
+
+def lifecycle(n_implementing: Column, n_tests: Column, complete: Column) -> Column:
+    """draft until the sections are complete, then active, testing with tests, implemented with tests and code."""
+    return F.when(~complete, "draft").when((n_implementing > 0) & (n_tests > 0), "implemented").when(n_tests > 0, "testing").otherwise("active")

@@ -19,35 +19,63 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
-def declared(nodes: DataFrame, rules: DataFrame, theme: DataFrame) -> DataFrame:
+def declared(nodes: DataFrame, rules: DataFrame, theme: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(id, property, origin, source_order, value) of every value that a node's classes, attributes or inline style give.
 
     ``rules``: class, source_order, property, literal, token; ``theme``: token, expression; a token stands for its value
-    in the theme. ``nodes``: id, classes, attributes and inline (maps of property to value).
+    in the theme. ``nodes``: id, classes, attributes and inline (maps of property to value). ``by`` names columns that
+    all three have and that keep documents apart.
     """
-    tokens = _small(theme.select("token", "expression"))
-    valued = rules.join(tokens, "token", "left").select("class", "source_order", "property", F.coalesce("literal", "expression").alias("value"))
-    by_class = nodes.select("id", F.explode("classes").alias("class")).join(_small(valued), "class").select("id", "property", F.lit(ORIGINS["base-rule"]).alias("origin"), "source_order", "value")
-    own = lambda column, origin: nodes.select("id", F.explode(column).alias("property", "value")).select("id", "property", F.lit(ORIGINS[origin]).alias("origin"), F.lit(0).alias("source_order"), "value")
+    tokens = _small(theme.select(*by, "token", "expression"))
+    valued = rules.join(tokens, [*by, "token"], "left").select(*by, "class", "source_order", "property", F.coalesce("literal", "expression").alias("value"))
+    by_class = nodes.select(*by, "id", F.explode("classes").alias("class")).join(_small(valued), [*by, "class"]).select(*by, "id", "property", F.lit(ORIGINS["base-rule"]).alias("origin"), "source_order", "value")
+    own = lambda column, origin: nodes.select(*by, "id", F.explode(column).alias("property", "value")).select(*by, "id", "property", F.lit(ORIGINS[origin]).alias("origin"), F.lit(0).alias("source_order"), "value")
     return by_class.unionByName(own("attributes", "presentation-attribute")).unionByName(own("inline", "inline-style"))
 
 
-def cascade(nodes: DataFrame, rules: DataFrame, theme: DataFrame) -> DataFrame:
-    """(id, property, value, origin): the strongest value of each property, the later of equals; else the default."""
-    best = declared(nodes, rules, theme).where("value IS NOT NULL").groupBy("id", "property").agg(F.max_by(F.struct("value", "origin"), F.struct("origin", "source_order")).alias("b"))
+def cascade(nodes: DataFrame, rules: DataFrame, theme: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(id, property, value, origin): the strongest value of each property, the later of equals; else the default.
+
+    Defaults are the weakest declarations, so one aggregate decides all.
+    """
     defaults = F.create_map(*[F.lit(x) for p in DEFAULTS.items() for x in p])
-    wanted = nodes.select("id", F.explode(defaults).alias("property", "default"))
-    both = wanted.join(best, ["id", "property"], "full_outer")
+    weakest = nodes.select(*by, "id", F.explode(defaults).alias("property", "value")).select(*by, "id", "property", F.lit(ORIGINS["default"]).alias("origin"), F.lit(0).alias("source_order"), "value")
+    every = declared(nodes, rules, theme, by).where("value IS NOT NULL").unionByName(weakest)
+    best = every.groupBy(*by, "id", "property").agg(F.max_by(F.struct("value", "origin"), F.struct("origin", "source_order")).alias("b"))
     names = F.create_map(*[F.lit(x) for k, v in ORIGINS.items() for x in (v, k)])
-    return both.select("id", "property", F.coalesce("b.value", "default").alias("value"), names[F.coalesce("b.origin", F.lit(0))].alias("origin"))
+    return best.select(*by, "id", "property", F.col("b.value").alias("value"), names[F.col("b.origin")].alias("origin"))
+
+
+def style_text(cascaded: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(id, style): the properties of each node in order, as one declaration list."""
+    pairs = F.array_sort(F.collect_list(F.concat_ws(":", "property", "value")))
+    return cascaded.groupBy(*by, "id").agg(F.array_join(pairs, ";").alias("style"))
 
 
 def theme_parity(themes: DataFrame) -> DataFrame:
-    """(theme_id, token): tokens that some theme has and this one lacks."""
-    every = themes.select("token").distinct()
-    have = themes.groupBy("theme_id").agg(F.collect_set("token").alias("have"))
-    wanted = every.agg(F.collect_set("token").alias("every"))
-    return have.crossJoin(F.broadcast(wanted)).select("theme_id", F.explode(F.array_except("every", "have")).alias("token"))
+    """(theme_id, token): tokens that some theme has and this one lacks.
+
+    Only tokens that not all themes have meet the themes, so what is made is of the order of what is missing.
+    """
+    pairs = themes.select("theme_id", "token").distinct()
+    names = pairs.select("theme_id").distinct()
+    whole = names.agg(F.count("*").alias("n_themes"))
+    partial = pairs.groupBy("token").agg(F.count("*").alias("n")).crossJoin(whole).where("n < n_themes").select("token")
+    return names.crossJoin(partial).join(pairs, ["theme_id", "token"], "left_anti")
+
+
+def token_uses(uses: DataFrame, themes: DataFrame, valid: Column) -> DataFrame:
+    """(property, token, theme_id, valid): each use of a token under each theme that has it, and whether its value fits."""
+    return uses.select("property", "token").distinct().join(themes, "token").select("property", "token", "theme_id", valid.alias("valid"))
+
+
+def calibration(samples: DataFrame, by: str, measured_col: str, oracle_col: str, absolute: float = 0.75, relative: float = 0.01) -> DataFrame:
+    """By group: the largest absolute and relative deviation of measured widths from an oracle's, whether each sample is
+    within one of the tolerances, and how far rounding to whole pixels may move their sum."""
+    d, share = F.abs(F.col(measured_col) - F.col(oracle_col)), F.try_divide(F.abs(F.col(measured_col) - F.col(oracle_col)), F.abs(F.col(oracle_col)))
+    within = (d <= absolute) | F.coalesce(share <= relative, F.lit(False))
+    envelope = F.sum(F.abs(F.floor(F.col(measured_col) + 0.5) - F.col(measured_col)))
+    return samples.groupBy(by).agg(F.max(d).alias("max_absolute"), F.max(share).alias("max_relative"), F.bool_and(within).alias("all_within"), envelope.alias("envelope"))
 
 
 def world_offsets(nodes: DataFrame) -> DataFrame:
@@ -62,11 +90,11 @@ def world_offsets(nodes: DataFrame) -> DataFrame:
     return typed.join(above.select("id", F.transform("s", lambda x: F.struct(x["k"].alias("k"), x["tx"].cast("double").alias("tx"), x["ty"].cast("double").alias("ty"))).alias("s")), "id", "left").select("id", total("tx").alias("world_x"), total("ty").alias("world_y"))
 
 
-def group_bounds(leaves: DataFrame) -> DataFrame:
+def group_bounds(leaves: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(id, x, y, width, height): each ancestor's union of its leaves' rectangles. Minima compose, so one pass does."""
-    each = leaves.select(F.explode("ancestor_ids").alias("id"), "x", "y", (F.col("x") + F.col("width")).alias("r"), (F.col("y") + F.col("height")).alias("b"))
-    out = each.groupBy("id").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max("r").alias("r"), F.max("b").alias("b"))
-    return out.select("id", "x", "y", (F.col("r") - F.col("x")).alias("width"), (F.col("b") - F.col("y")).alias("height"))
+    each = leaves.select(*by, F.explode("ancestor_ids").alias("id"), "x", "y", (F.col("x") + F.col("width")).alias("r"), (F.col("y") + F.col("height")).alias("b"))
+    out = each.groupBy(*by, "id").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max("r").alias("r"), F.max("b").alias("b"))
+    return out.select(*by, "id", "x", "y", (F.col("r") - F.col("x")).alias("width"), (F.col("b") - F.col("y")).alias("height"))
 
 
 def palette_hash(styles: DataFrame, by: str, *columns: str) -> DataFrame:
@@ -94,13 +122,28 @@ def worst_of(a: Column, b: Column) -> Column:
 
 
 def measured(lines: DataFrame, measurer, text_col: str = "text") -> DataFrame:
-    """Adds width by a caller's function of a pandas Series of texts; where it fails or gives no number, null."""
+    """Adds width by a caller's function of a pandas Series of texts.
+
+    A text that it refuses (ValueError, or no finite number of 0 or more) has a null width and its batch fellows theirs;
+    any other exception is a mistake in the function and ends the query.
+    """
+
+    def one_by_one(texts: pd.Series) -> list:
+        out: list = []
+        for k in range(len(texts)):
+            try:
+                out += list(measurer(texts.iloc[k : k + 1]))
+            except ValueError:
+                out.append(None)
+        return out
+
     @F.pandas_udf("double")
     def width(texts: pd.Series) -> pd.Series:
         try:
-            got = pd.to_numeric(pd.Series(list(measurer(texts)), index=texts.index), errors="coerce").astype("float64")
-            return got.where(got.ge(0) & got.lt(float("inf")))
-        except Exception:
-            return pd.Series([None] * len(texts), index=texts.index, dtype="float64")
+            found = list(measurer(texts))
+        except ValueError:
+            found = one_by_one(texts)
+        got = pd.to_numeric(pd.Series(found, index=texts.index), errors="coerce").astype("float64")
+        return got.where(got.ge(0) & got.lt(float("inf")))
 
     return lines.withColumn("width", width(text_col))

@@ -157,11 +157,11 @@ def a2(spark, sf):
     return Y.fit_summary(_fitted(spark, sf), "doc_id")
 
 
-@query("a18_a19_calibration", "SELECT label, max(abs(a - b)) AS max_absolute, max(abs(a - b) / nullif(abs(a), 0)) AS max_relative, bool_and(abs(a - b) <= 2) AS all_within, sum(abs(floor(a + 0.5) - a)) FILTER (false) AS envelope FROM (SELECT label, (vec_id % 17)::DOUBLE AS a, (vec_id % 19)::DOUBLE AS b FROM embeddings) GROUP BY label")
+@query("a18_a19_calibration", "SELECT label, max(abs(a - b)) AS max_absolute, max(abs(a - b) / nullif(abs(b), 0)) AS max_relative, bool_and(abs(a - b) <= 0.75 OR coalesce(abs(a - b) / nullif(abs(b), 0) <= 0.01, false)) AS all_within, sum(abs(floor(a + 0.5) - a)) AS envelope FROM (SELECT label, vec_id * 1.5::DOUBLE + (vec_id % 8) * 0.125::DOUBLE AS a, vec_id * 1.5::DOUBLE AS b FROM embeddings) GROUP BY label")
 def a18(spark, sf):
-    e = table(spark, sf, "embeddings").select("label", F.expr("vec_id % 17").cast("double").alias("a"), F.expr("vec_id % 19").cast("double").alias("b"))
-    d = F.abs(F.col("a") - F.col("b"))
-    return e.groupBy("label").agg(F.max(d).alias("max_absolute"), F.max(F.try_divide(d, F.abs("a"))).alias("max_relative"), F.bool_and(d <= 2).alias("all_within"), F.sum(F.when(F.lit(False), F.lit(0.0))).alias("envelope"))
+    """Widths that are up to 0.875 units wider than the oracle's."""
+    samples = table(spark, sf, "embeddings").select("label", F.expr("vec_id * 1.5D + vec_id % 8 * 0.125D").alias("a"), F.expr("vec_id * 1.5D").alias("b"))
+    return Y.calibration(samples, "label", "a", "b")
 
 
 @query("j16_a19_glyph_widths", "SELECT p_partkey, count(*) FILTER (g.advance IS NULL) AS n_missing, coalesce(sum(g.advance), 0)::BIGINT AS width FROM (SELECT p_partkey, unnest(string_split(p_name, '')) AS ch FROM part) c LEFT JOIN (SELECT DISTINCT substr(p_brand, i, 1) AS ch, 5 + unicode(substr(p_brand, i, 1)) % 7 AS advance FROM part, range(1, 20) t(i) WHERE i <= length(p_brand)) g USING (ch) GROUP BY p_partkey")
@@ -203,8 +203,7 @@ def w13(spark, sf):
 
 @query("c35_style_text", f"WITH {CASCADE_SQL} SELECT id, string_agg(property || ':' || value, ';' ORDER BY property || ':' || value) AS style FROM best WHERE k = 1 GROUP BY id")
 def c35(spark, sf):
-    pairs = F.array_sort(F.collect_list(F.concat_ws(":", "property", "value")))
-    return _cascaded(spark, sf).groupBy("id").agg(F.array_join(pairs, ";").alias("style"))
+    return Y.style_text(_cascaded(spark, sf))
 
 
 @query("j12_theme_parity", "WITH t AS (SELECT DISTINCT p_brand AS theme_id, 'size-' || p_size AS token FROM part), e AS (SELECT DISTINCT token FROM t), b AS (SELECT DISTINCT theme_id FROM t) SELECT b.theme_id, e.token FROM b, e WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.theme_id = b.theme_id AND t.token = e.token)")
@@ -212,10 +211,9 @@ def j12(spark, sf):
     return Y.theme_parity(table(spark, sf, "part").selectExpr("p_brand AS theme_id", "concat('size-', p_size) AS token").distinct())
 
 
-@query("w14_world_offsets", f"WITH {NODES_SQL}, t AS (SELECT id, ancestor_ids, (sibling_order % 50)::DOUBLE AS tx, (sibling_order % 7)::DOUBLE AS ty FROM nodes WHERE depth < 3) SELECT t.id, t.tx + coalesce((SELECT sum(a.tx) FROM t a WHERE list_contains(t.ancestor_ids, a.id)), 0) AS world_x, t.ty + coalesce((SELECT sum(a.ty) FROM t a WHERE list_contains(t.ancestor_ids, a.id)), 0) AS world_y FROM t")
+@query("w14_world_offsets", f"WITH {NODES_SQL}, t AS (SELECT id, ancestor_ids, (sibling_order % 50)::DOUBLE AS tx, (sibling_order % 7)::DOUBLE AS ty FROM nodes), u AS (SELECT t.id, a.tx, a.ty FROM (SELECT id, unnest(ancestor_ids) AS a FROM t) t JOIN t a ON a.id = t.a UNION ALL SELECT id, tx, ty FROM t) SELECT id, sum(tx) AS world_x, sum(ty) AS world_y FROM u GROUP BY id")
 def w14(spark, sf):
-    nodes = tree_nodes(spark, sf).where("depth < 3").selectExpr("id", "ancestor_ids", "cast(sibling_order % 50 AS double) AS tx", "cast(sibling_order % 7 AS double) AS ty")
-    return Y.world_offsets(nodes)
+    return Y.world_offsets(tree_nodes(spark, sf).selectExpr("id", "ancestor_ids", "cast(sibling_order % 50 AS double) AS tx", "cast(sibling_order % 7 AS double) AS ty"))
 
 
 @query("a7_a8_group_bounds", f"WITH {NODES_SQL}, leaf AS (SELECT unnest(ancestor_ids) AS id, sibling_order % 997 AS x, sibling_order % 613 AS y, sibling_order % 997 + sibling_order % 31 AS r, sibling_order % 613 + sibling_order % 17 AS b FROM nodes WHERE depth = 3) SELECT id, min(x) AS x, min(y) AS y, max(r) - min(x) AS width, max(b) - min(y) AS height FROM leaf GROUP BY id")
@@ -266,14 +264,15 @@ def m10(spark, sf):
     return E.delete_subtrees(nodes, nodes.where("(depth = 2 AND sibling_order % 10 = 0) OR id = 'n.5'")).select("id")
 
 
-@query("m14_o4_splice", "SELECT doc_id, 'X' || substr(text, 4, 6) || 'YY' || substr(text, 13) AS value FROM documents WHERE length(text) > 20")
+@query("m14_o4_splice", "SELECT doc_id, 'X' || substr(text, 4, 6) || 'YY' || substr(text, 13) AS value FROM documents")
 def m14(spark, sf):
+    """A text shorter than an edit's place gets the replacement at its end."""
     edit = lambda a, b, r: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(r).alias("replacement"))
-    return table(spark, sf, "documents").where("length(text) > 20").select("doc_id", S.splice("text", F.array(edit(0, 3, "X"), edit(9, 12, "YY"))).alias("value"))
+    return table(spark, sf, "documents").select("doc_id", S.splice("text", F.array(edit(0, 3, "X"), edit(9, 12, "YY"))).alias("value"))
 
 
 PIXELS_SQL = """p AS (SELECT vec_id AS img, generate_subscripts(embedding, 1) AS pos, floor(abs(unnest(embedding))::DOUBLE * 1000)::BIGINT % 256 AS r FROM embeddings),
-j AS (SELECT a.img, (a.pos - 1) % 8 AS x, (a.pos - 1) // 8 AS y, abs(a.r - b.r) AS delta, (a.pos - 1) % 11 = 3 AS ignored FROM p a JOIN p b ON b.img = a.img + 1 AND b.pos = a.pos)"""
+j AS (SELECT coalesce(a.img, b.img - 1) AS img, (coalesce(a.pos, b.pos) - 1) % 8 AS x, (coalesce(a.pos, b.pos) - 1) // 8 AS y, coalesce(abs(a.r - b.r), 255) AS delta, a.r IS NULL OR b.r IS NULL AS alone, a.img IS NOT NULL AND (a.pos - 1) % 11 = 3 AS ignored FROM p a FULL JOIN p b ON b.img = a.img + 1 AND b.pos = a.pos)"""
 
 
 def _pixels(spark, sf):
@@ -281,15 +280,15 @@ def _pixels(spark, sf):
     return rows.select("img", (F.col("pos") % 8).cast("long").alias("x"), F.expr("pos div 8").alias("y"), (F.floor(F.abs(F.col("v").cast("double")) * 1000) % 256).alias("r"), "pos")
 
 
-@query("a15_a16_image_diff", f"WITH {PIXELS_SQL} SELECT img, count(*) AS pixels, count(*) FILTER (ignored) AS masked, count(*) FILTER (NOT ignored AND delta > 40) AS changed, (sum(delta) FILTER (NOT ignored))::BIGINT AS absolute, max(delta) FILTER (NOT ignored) AS max_delta, min(x) FILTER (NOT ignored AND delta > 40) AS x0, min(y) FILTER (NOT ignored AND delta > 40) AS y0, max(x) FILTER (NOT ignored AND delta > 40) AS x1, max(y) FILTER (NOT ignored AND delta > 40) AS y1 FROM j GROUP BY img")
+@query("a15_a16_image_diff", f"WITH {PIXELS_SQL} SELECT img, count(*) AS pixels, count(*) FILTER (alone) AS unmatched, count(*) FILTER (ignored) AS masked, count(*) FILTER (NOT ignored AND delta > 40) AS changed, (sum(delta) FILTER (NOT ignored))::BIGINT AS absolute, max(delta) FILTER (NOT ignored) AS max_delta, min(x) FILTER (NOT ignored AND delta > 40) AS x0, min(y) FILTER (NOT ignored AND delta > 40) AS y0, max(x) FILTER (NOT ignored AND delta > 40) AS x1, max(y) FILTER (NOT ignored AND delta > 40) AS y1 FROM j GROUP BY img")
 def a15(spark, sf):
     p = _pixels(spark, sf)
     mask = p.select("img", "x", "y", F.when(F.col("pos") % 11 == 3, 255).otherwise(0).alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b"))
     after = p.withColumn("img", F.col("img") - 1)
-    return R.image_diff(p, after, tolerance=40, mask=mask, channels=("r",)).select("img", "pixels", "masked", "changed", "absolute", "max_delta", "x0", "y0", "x1", "y1")
+    return R.image_diff(p, after, tolerance=40, mask=mask, channels=("r",)).select("img", "pixels", "unmatched", "masked", "changed", "absolute", "max_delta", "x0", "y0", "x1", "y1")
 
 
-@query("a17_threshold_verdict", f"WITH {PIXELS_SQL} SELECT img, CASE WHEN (count(*) FILTER (delta > 0))::DOUBLE / count(*) <= 0.99 AND sum(delta)::DOUBLE / count(*) <= 60 AND max(delta) <= 250 THEN 'passed' ELSE 'failed' END AS verdict FROM j GROUP BY img")
+@query("a17_threshold_verdict", f"WITH {PIXELS_SQL} SELECT img, CASE WHEN bool_and(NOT alone) AND (count(*) FILTER (delta > 0))::DOUBLE / count(*) <= 0.99 AND sum(delta)::DOUBLE / count(*) <= 60 AND max(delta) <= 250 THEN 'passed' ELSE 'failed' END AS verdict FROM j GROUP BY img")
 def a17(spark, sf):
     p = _pixels(spark, sf)
     return R.verdict(R.image_diff(p, p.withColumn("img", F.col("img") - 1), channels=("r",)), 0.99, 60, 250).select("img", "verdict")
@@ -327,17 +326,24 @@ def r9(spark, sf):
     return C.status(_findings(spark, sf))
 
 
-@query("t6_session_fold", "SELECT conv_id AS session, arg_max(text, turn) FILTER (turn % 4 <> 3) AS value FROM conversations GROUP BY conv_id HAVING bool_and(turn < 3)")
+T6_SQL = """t AS (SELECT conv_id, turn, text, CASE WHEN turn % 5 = 3 THEN 'undo' WHEN turn % 5 = 4 THEN 'redo' ELSE 'set' END AS action FROM conversations),
+s AS (SELECT conv_id, list({'a': action, 'v': text} ORDER BY turn) AS log FROM t GROUP BY conv_id),
+f AS (SELECT conv_id, 0 AS i, log, []::VARCHAR[] AS past, []::VARCHAR[] AS future FROM s
+  UNION ALL SELECT conv_id, i + 1, log,
+    CASE WHEN log[i + 1].a = 'set' THEN past || [log[i + 1].v] WHEN log[i + 1].a = 'undo' THEN past[:-2] WHEN len(future) > 0 THEN past || [future[-1]] ELSE past END,
+    CASE WHEN log[i + 1].a = 'set' THEN [] WHEN log[i + 1].a = 'undo' AND len(past) > 0 THEN future || [past[-1]] WHEN log[i + 1].a = 'redo' THEN future[:-2] ELSE future END
+  FROM f WHERE i < len(log))"""
+
+
+@query("t6_session_fold", f"WITH RECURSIVE {T6_SQL} SELECT conv_id AS session, past[-1] AS value, len(past)::INT AS depth, len(future)::INT AS undone FROM f WHERE i = len(log)")
 def t6(spark, sf):
-    """Sessions of up to three turns, all of them sets: the last one stands (undo and redo have their own tests)."""
-    events = table(spark, sf, "conversations").selectExpr("conv_id AS session", "turn AS seq", "'set' AS action", "text AS value")
-    short = events.groupBy("session").agg(F.max("seq").alias("m")).where("m < 3").select("session")
-    return E.fold_sessions(events.join(short, "session")).select("session", "value")
+    """Whole sessions with undo and redo."""
+    action = "CASE WHEN turn % 5 = 3 THEN 'undo' WHEN turn % 5 = 4 THEN 'redo' ELSE 'set' END AS action"
+    return E.fold_sessions(table(spark, sf, "conversations").selectExpr("conv_id AS session", "turn AS seq", action, "text AS value"))
 
 
 @query("p15_redaction", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '[redacted]' ELSE props END AS v FROM events")
 def p15(spark, sf):
     """Values of private keys are masked by name."""
     pairs = F.create_map(F.when(F.col("event_id") % 2 == 0, "userPassword").otherwise("note"), F.col("props"))
-    masked = F.transform_values(pairs, lambda k, v: F.when(F.lower(k).rlike("password|secret|token|path"), "[redacted]").otherwise(v))
-    return table(spark, sf, "events").select("event_id", F.map_values(masked)[0].alias("v"))
+    return table(spark, sf, "events").select("event_id", F.map_values(D.redact_private(pairs))[0].alias("v"))

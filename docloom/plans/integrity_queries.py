@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docloom.functions import scalars as S
 from docloom.operators import integrity as I
+from docloom.operators import model as M
+from docloom.operators import reconcile as C
+from docloom.operators import repository as R
 from docloom.plans.registry import query, table
 
 
@@ -52,13 +54,14 @@ def j9(spark, sf):
 
 @query("j4_x7_multiset_difference", "SELECT side, n_nationkey FROM (SELECT 'left' AS side, n_nationkey FROM (SELECT c_nationkey AS n_nationkey FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier) UNION ALL SELECT 'right', n_nationkey FROM (SELECT s_nationkey AS n_nationkey FROM supplier EXCEPT ALL SELECT c_nationkey FROM customer))")
 def j4(spark, sf):
-    c, s = table(spark, sf, "customer").selectExpr("c_nationkey AS n_nationkey"), table(spark, sf, "supplier").selectExpr("s_nationkey AS n_nationkey")
-    return c.exceptAll(s).select(F.lit("left").alias("side"), "n_nationkey").unionByName(s.exceptAll(c).select(F.lit("right").alias("side"), "n_nationkey"))
+    return I.multiset_difference(table(spark, sf, "customer").selectExpr("c_nationkey AS n_nationkey"), table(spark, sf, "supplier").selectExpr("s_nationkey AS n_nationkey"))
 
 
-@query("j5_three_way_map", "SELECT l_orderkey, l_linenumber, p_brand, s_name FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 48")
+@query("j5_three_way_map", "WITH a AS (SELECT p_partkey AS id FROM part), b AS (SELECT DISTINCT l_partkey AS id FROM lineitem), c AS (SELECT s_suppkey AS id FROM supplier UNION ALL SELECT p_partkey FROM part WHERE p_partkey % 3 <> 1), k AS (SELECT id FROM a UNION SELECT id FROM b UNION SELECT id FROM c), n AS (SELECT k.id, (SELECT count(*) FROM a WHERE a.id = k.id) AS n_source, (SELECT count(*) FROM b WHERE b.id = k.id) AS n_resolved, (SELECT count(*) FROM c WHERE c.id = k.id) AS n_composed FROM k) SELECT *, CASE WHEN least(n_source, n_resolved, n_composed) = 0 THEN 'missing' WHEN greatest(n_source, n_resolved, n_composed) > 1 THEN 'duplicate' ELSE 'mapped' END AS verdict FROM n")
 def j5(spark, sf):
-    return _lines(spark, sf).where("l_quantity > 48").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "l_linenumber", "p_brand", "s_name")
+    part = table(spark, sf, "part").selectExpr("p_partkey AS id")
+    composed = table(spark, sf, "supplier").selectExpr("s_suppkey AS id").unionByName(part.where("id % 3 <> 1"))
+    return I.three_way_map(part, _lines(spark, sf).selectExpr("l_partkey AS id").distinct(), composed)
 
 
 @query("j18_as_of_lookup", "SELECT event_id, user_id, (SELECT max(m.value) FROM events m WHERE m.event_type = 'purchase' AND m.user_id = e.user_id AND m.ts = (SELECT max(k.ts) FROM events k WHERE k.event_type = 'purchase' AND k.user_id = e.user_id AND k.ts <= e.ts)) AS last_value FROM events e WHERE event_type = 'view'")
@@ -74,9 +77,7 @@ RANGES_SQL = "ranges AS (SELECT l_orderkey AS scope, l_linenumber AS n, (l_partk
 @query("j19_overlapping_edits", f"WITH {RANGES_SQL} SELECT scope, n, s AS start, e AS \"end\" FROM (SELECT *, lag(e) OVER w AS pe, lag(s) OVER w AS ps FROM ranges WINDOW w AS (PARTITION BY scope ORDER BY s, e, n)) WHERE pe > s OR (ps = s AND s = e AND pe = s)")
 def j19(spark, sf):
     ranges = _lines(spark, sf).selectExpr("l_orderkey AS scope", "l_linenumber AS n", "CAST(l_partkey % 97 AS INT) AS start", "CAST(l_partkey % 97 + l_suppkey % 12 AS INT) AS end")
-    order = Window.partitionBy("scope").orderBy("start", "end", "n")
-    before, at = F.lag("end").over(order), F.lag("start").over(order)
-    return ranges.withColumn("_c", (before > F.col("start")) | ((at == F.col("start")) & (F.col("start") == F.col("end")) & (before == F.col("start")))).where("_c").drop("_c")
+    return I.overlapping(ranges, "scope", ties=("n",))
 
 
 @query("j20_contained_ranges", f"WITH {RANGES_SQL} SELECT scope, n, s AS start, e AS \"end\" FROM ranges r WHERE EXISTS (SELECT 1 FROM (SELECT o_orderkey AS scope, (o_custkey % 60)::INT AS s, (o_custkey % 60 + 40)::INT AS e FROM orders) o WHERE o.scope = r.scope AND r.s >= o.s AND r.e <= o.e)")
@@ -110,95 +111,85 @@ def w4(spark, sf):
 
 @query("w9_section_order", "SELECT conv_id, turn, rank FROM (SELECT *, max(rank) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM (SELECT conv_id, turn, (length(text) % 5)::INT AS rank FROM conversations)) WHERE high > rank")
 def w9(spark, sf):
-    ranked = table(spark, sf, "conversations").selectExpr("conv_id", "turn", "CAST(length(text) % 5 AS INT) AS rank")
-    high = F.max("rank").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
-    return ranked.withColumn("_h", high).where("_h > rank").drop("_h")
+    return I.out_of_order(table(spark, sf, "conversations").selectExpr("conv_id", "turn", "CAST(length(text) % 5 AS INT) AS rank"), "conv_id", "turn", "rank")
 
 
 @query("w12_contiguous_order", "SELECT l_orderkey, bool_and(l_linenumber = k) AS contiguous FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM lineitem) GROUP BY ALL")
 def w12(spark, sf):
-    """Distinct positive numbers are 1..n exactly if their count is their maximum: an aggregate, not a window."""
-    return _lines(spark, sf).groupBy("l_orderkey").agg(((F.max("l_linenumber") == F.count("*")) & (F.count_distinct("l_linenumber") == F.count("*")) & (F.min("l_linenumber") == 1)).alias("contiguous"))
+    return I.contiguous(_lines(spark, sf), "l_orderkey", "l_linenumber")
 
 
 @query("w8_output_ranges", "SELECT l_orderkey, l_linenumber, (l_partkey + coalesce(sum(l_suppkey % 7 - 3) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS out_start FROM lineitem")
 def w8(spark, sf):
-    before = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").rowsBetween(Window.unboundedPreceding, -1)
-    return _lines(spark, sf).select("l_orderkey", "l_linenumber", (F.col("l_partkey") + F.coalesce(F.sum(F.expr("l_suppkey % 7 - 3")).over(before), F.lit(0))).alias("out_start"))
+    edits = _lines(spark, sf).withColumn("delta", F.expr("l_suppkey % 7 - 3"))
+    return I.output_ranges(edits, "l_orderkey", ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"), "l_partkey", "delta").select("l_orderkey", "l_linenumber", "out_start")
 
 
 @query("w11_quiescence", "WITH t AS (SELECT user_id, event_id, ts, event_type, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER w THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM t), k AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS n FROM r) SELECT user_id, event_id FROM k WHERE n = 3")
 def w11(spark, sf):
-    """The third of equal observations in a row, per user."""
-    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    same = [F.lag("event_type", k).over(by).eqNullSafe(F.col("event_type")) for k in (1, 2)]
-    run = table(spark, sf, "events").select("user_id", "event_id", "ts", "event_type", (~F.coalesce(same[0], F.lit(False))).cast("int").alias("new"), F.lag("event_id").over(by).isNull().alias("head"))
-    run = run.withColumn("run", F.sum(F.when(F.col("head"), 1).otherwise(F.col("new"))).over(by))
-    return run.withColumn("n", F.row_number().over(Window.partitionBy("user_id", "run").orderBy("ts", "event_id"))).where("n = 3").select("user_id", "event_id")
+    """The third of equal observations in a row, per user; the stream has the same rule."""
+    return I.nth_in_a_row(table(spark, sf, "events"), "user_id", ("ts", "event_id"), "event_type").select("user_id", "event_id")
 
 
 @query("a3_a4_findings_pivot", "SELECT event_type, count(*) FILTER (value > 50) AS n_refused, count(*) FILTER (value <= 50) AS n_auto, coalesce(sum(event_id % 5) FILTER (value > 50), 0)::BIGINT AS occurrences FROM events GROUP BY ALL")
 def a3(spark, sf):
-    high = F.col("value") > 50
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count_if(high).alias("n_refused"), F.count_if(F.col("value") <= 50).alias("n_auto"), F.coalesce(F.sum(F.when(high, F.col("event_id") % 5)), F.lit(0)).cast("long").alias("occurrences"))
+    return C.occurrences_by(table(spark, sf, "events"), "event_type", F.col("value") > 50, F.col("event_id") % 5)
 
 
 @query("a5_highest_disposition", "SELECT o_custkey, arg_max(o_orderpriority, (o_totalprice, o_orderkey)) AS top FROM orders GROUP BY ALL")
 def a5(spark, sf):
-    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.max_by("o_orderpriority", F.struct("o_totalprice", "o_orderkey")).alias("top"))
+    return C.highest(table(spark, sf, "orders"), "o_custkey", "o_orderpriority", "o_totalprice", "o_orderkey")
 
 
 @query("a12_a13_occurrence_status", "SELECT c_custkey, n_orders, CASE WHEN n_orders = 0 THEN 'missing' WHEN n_orders = 1 THEN 'unique' ELSE 'duplicate' END AS status FROM (SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_orders FROM customer)")
 def a12(spark, sf):
-    n = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"))
-    out = table(spark, sf, "customer").select("c_custkey").join(n, "c_custkey", "left").withColumn("n_orders", F.coalesce("n_orders", F.lit(0)))
-    return out.withColumn("status", F.when(F.col("n_orders") == 0, "missing").when(F.col("n_orders") == 1, "unique").otherwise("duplicate"))
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return I.occurrence_status(table(spark, sf, "customer"), orders, "c_custkey").withColumnRenamed("n", "n_orders")
 
 
 @query("a14_grouped_ids", "SELECT p_brand, p_size, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS ids, count(*) AS n FROM part GROUP BY ALL")
 def a14(spark, sf):
-    ids = F.transform(F.array_sort(F.collect_list("p_partkey")), lambda x: x.cast("string"))
-    return table(spark, sf, "part").groupBy("p_brand", "p_size").agg(F.array_join(ids, ",").alias("ids"), F.count("*").alias("n"))
+    return I.grouped_ids(table(spark, sf, "part"), ("p_brand", "p_size"), "p_partkey")
 
 
 @query("a22_a23_a25_lifecycle_counts", "SELECT source, count(*) AS n, count(*) FILTER (n_chars < 500) AS n_draft, count(DISTINCT lang) AS n_langs FROM documents GROUP BY ALL")
 def a22(spark, sf):
-    return table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") < 500).alias("n_draft"), F.count_distinct("lang").alias("n_langs"))
+    return R.contract_counts(table(spark, sf, "documents"), "source", F.col("n_chars") < 500, "lang").withColumnRenamed("n_owners", "n_langs")
 
 
 @query("a24_prefix_collisions", "SELECT left(p_name, 5) AS prefix, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS owners, count(*) AS n FROM part GROUP BY ALL HAVING count(*) > 1")
 def a24(spark, sf):
-    return table(spark, sf, "part").groupBy(F.left("p_name", F.lit(5)).alias("prefix")).agg(F.array_join(F.array_sort(F.collect_set("p_brand")), ",").alias("owners"), F.count("*").alias("n")).where("n > 1")
+    return R.prefix_collisions(table(spark, sf, "part"), F.left("p_name", F.lit(5)), "p_brand")
 
 
-@query("a26_stale_documents", "SELECT o_orderpriority, count(*) FILTER (date_diff('day', o_orderdate::DATE, DATE '1998-08-02') > 900) AS n_stale, count(*) AS n FROM orders GROUP BY ALL")
+@query("a26_stale_documents", "SELECT o_orderkey, date_diff('day', o_orderdate::DATE, DATE '1998-08-02')::INT AS age FROM orders WHERE date_diff('day', o_orderdate::DATE, DATE '1998-08-02') > 900")
 def a26(spark, sf):
     """The day of the check is a parameter, never the clock."""
-    return table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count_if(F.date_diff(F.lit("1998-08-02").cast("date"), F.to_date("o_orderdate")) > 900).alias("n_stale"), F.count("*").alias("n"))
+    return R.stale(table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("verified")), "1998-08-02", 900, "verified").select("o_orderkey", "age")
 
 
-@query("a30_marker_counts", r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT count(*) AS n_lines, count(*) FILTER (regexp_matches(line, '[A-Z]{4,}')) AS n_marked, count(*) FILTER (regexp_matches(line, '[A-Z]{4,}') AND contains(line, '!')) AS n_tracked FROM l")
+@query("a30_marker_counts", r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT count(*) FILTER (regexp_matches(line, '[A-Z]{4,}')) AS n_todo, count(*) FILTER (regexp_matches(line, '[A-Z]{4,}') AND contains(line, '!')) AS n_tracked, count(*) FILTER (regexp_matches(line, '[A-Z]{4,}') AND NOT contains(line, '!')) AS n_untracked FROM l")
 def a30(spark, sf):
-    lines = table(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
-    marked = F.col("line").rlike("[A-Z]{4,}")
-    return lines.agg(F.count("*").alias("n_lines"), F.count_if(marked).alias("n_marked"), F.count_if(marked & F.contains("line", F.lit("!"))).alias("n_tracked"))
+    lines = R.file_lines(table(spark, sf, "documents").select(F.col("doc_id").alias("path"), "text"))
+    return R.todo_counts(lines, "[A-Z]{4,}", "!")
 
 
-@query("a31_lifecycle_ladder", "SELECT c_custkey, CASE WHEN n = 0 THEN 'draft' WHEN n < 5 THEN 'active' WHEN n < 12 THEN 'testing' ELSE 'impl-present' END AS state FROM (SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer)")
+@query("a31_lifecycle_ladder", "SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN 'draft' WHEN n > 0 AND c_custkey % 4 > 0 THEN 'implemented' WHEN c_custkey % 4 > 0 THEN 'testing' ELSE 'active' END AS state FROM (SELECT c_custkey, c_nationkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer)")
 def a31(spark, sf):
-    n = a12(spark, sf)
-    return n.select("c_custkey", F.when(F.col("n_orders") == 0, "draft").when(F.col("n_orders") < 5, "active").when(F.col("n_orders") < 12, "testing").otherwise("impl-present").alias("state"))
+    n = a12(spark, sf).join(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+    return n.select("c_custkey", R.lifecycle(F.col("n_orders"), F.col("c_custkey") % 4, F.col("c_nationkey") % 3 != 0).alias("state"))
 
 
-@query("a32_section_completeness", "SELECT conv_id, count(DISTINCT role) FILTER (role IN ('user', 'assistant', 'system')) = 3 AS complete FROM conversations GROUP BY ALL")
+@query("a32_section_completeness", "SELECT conv_id AS path, count(DISTINCT role) FILTER (role IN ('user', 'assistant', 'system')) AS n_sections, count(DISTINCT role) FILTER (role IN ('user', 'assistant', 'system')) = 3 AS complete FROM conversations GROUP BY ALL")
 def a32(spark, sf):
-    return table(spark, sf, "conversations").groupBy("conv_id").agg((F.count_distinct(F.when(F.col("role").isin("user", "assistant", "system"), F.col("role"))) == 3).alias("complete"))
+    lines = table(spark, sf, "conversations").select(F.col("conv_id").alias("path"), F.col("turn").alias("line"), F.concat(F.lit("## "), "role", F.lit(" "), "text").alias("text"))
+    return R.section_completeness(lines, ("## user", "## assistant", "## system"))
 
 
-@query("a33_content_under_heading", "WITH t AS (SELECT conv_id, turn, text, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS head, role FROM conversations) SELECT conv_id, head, count(*) FILTER (trim(text) <> '') AS n_content FROM t WHERE role <> 'user' AND head IS NOT NULL GROUP BY ALL")
+@query("a33_content_under_heading", "WITH t AS (SELECT conv_id, turn, text, last_value(CASE WHEN role = 'user' THEN '## ' || turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS heading, role FROM conversations) SELECT conv_id AS path, heading, count(*) FILTER (role <> 'user' AND trim(text) <> '' AND text NOT LIKE '## %') AS n_content FROM t WHERE heading IS NOT NULL GROUP BY ALL")
 def a33(spark, sf):
-    head = F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(Window.partitionBy("conv_id").orderBy("turn"))
-    return table(spark, sf, "conversations").withColumn("head", head).where("role <> 'user' AND head IS NOT NULL").groupBy("conv_id", "head").agg(F.count_if(F.trim("text") != "").alias("n_content"))
+    text = F.when(F.col("role") == "user", F.concat(F.lit("## "), F.col("turn").cast("string"))).otherwise(F.col("text"))
+    return R.content_by_section(table(spark, sf, "conversations").select(F.col("conv_id").alias("path"), F.col("turn").alias("line"), text.alias("text")))
 
 
 @query("f5_f20_name_grammars", r"SELECT doc_id, regexp_full_match(source, '[A-Za-z][A-Za-z0-9._:-]{0,127}') AS stable, regexp_full_match('2024-01-0' || (doc_id % 12) || '-' || source || '.md', '[0-9]{4}-[0-9]{2}-[0-9]{2}-[A-Za-z0-9._-]+[.]md') AS memo FROM documents")
@@ -209,13 +200,12 @@ def f5(spark, sf):
 
 @query("j22_path_alias_pairs", "SELECT a.r_regionkey AS a, b.r_regionkey AS b FROM region a JOIN region b ON left(a.r_name, 1) = left(b.r_name, 1) AND a.r_regionkey < b.r_regionkey")
 def j22(spark, sf):
-    """Aliases share a canonical key, so an equi-join finds all pairs without a nested loop."""
-    r = table(spark, sf, "region").select(F.col("r_regionkey"), F.left("r_name", F.lit(1)).alias("k"))
-    return r.select(F.col("r_regionkey").alias("a"), "k").join(r.select(F.col("r_regionkey").alias("b"), "k"), "k").where("a < b").select("a", "b")
+    return I.alias_pairs(table(spark, sf, "region"), "r_regionkey", F.left("r_name", F.lit(1)))
 
 
-@query("j31_metadata_comparison", "SELECT l.doc_id AS doc_id, CASE WHEN d.source IS NULL THEN 'missing' WHEN d.lang <> 'en' THEN 'different-family' WHEN l.quality = 0 THEN 'different-style' ELSE 'equal' END AS verdict FROM labels l LEFT JOIN documents d USING (doc_id)")
+@query("j31_metadata_comparison", "SELECT l.doc_id AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN d.lang IS DISTINCT FROM 'en' THEN 'different-family' WHEN d.n_chars > 2000 THEN 'different-style' ELSE 'equal' END AS verdict FROM labels l LEFT JOIN documents d USING (doc_id)")
 def j31(spark, sf):
     """An ordered ladder of verdicts over a one-to-one join."""
-    both = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id", "left")
-    return both.select("doc_id", F.when(F.col("source").isNull(), "missing").when(F.col("lang") != "en", "different-family").when(F.col("quality") == 0, "different-style").otherwise("equal").alias("verdict"))
+    wanted = table(spark, sf, "labels").select("doc_id", F.lit("en").alias("family"), F.lit(False).alias("style"))
+    found = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("family"), (F.col("n_chars") > 2000).alias("style"))
+    return M.compare_metadata(wanted, found, "doc_id", {"family": "different-family", "style": "different-style"})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.operators import diff as D
+from docloom.operators import integrity as I
 from docloom.operators import objects as O
 from docloom.plans.registry import query, table
 from docloom.plans.relations import NODES_SQL, SNAPSHOT_SQL, order_snapshots, tree_nodes
@@ -44,9 +45,9 @@ def p3_inventory(spark, sf):
     return O.inventory(tree_nodes(spark, sf), p1_outline(spark, sf))
 
 
-@query("p4_get_scope_editing_view", WITH + "SELECT scope_id, id, role, text, parent_id, sibling_order, depth, element, classes FROM nodes WHERE scope_id = 'r.2' AND depth <= 2")
+@query("p4_get_scope_editing_view", WITH + "SELECT scope_id, id, role, text, parent_id, sibling_order, depth, element, classes FROM nodes WHERE scope_id = 'r.2'")
 def p4_scope(spark, sf):
-    return O.project(tree_nodes(spark, sf).where("scope_id = 'r.2' AND depth <= 2"), "editing")
+    return O.project(tree_nodes(spark, sf).where("scope_id = 'r.2'"), "editing")
 
 
 @query("p5_get_object", WITH + "SELECT scope_id, id, role, text FROM nodes WHERE id = 'c.42'")
@@ -66,10 +67,8 @@ def p7_extract_text(spark, sf):
 
 @query("p9_w3_preorder", WITH + "SELECT id, row_number() OVER (PARTITION BY scope_id ORDER BY ancestor_orders || [sibling_order])::INT AS preorder FROM (SELECT n.*, list_transform(ancestor_ids, lambda a: split_part(a, '.', 2)::BIGINT) AS ancestor_orders FROM nodes n)")
 def p9_preorder(spark, sf):
-    from pyspark.sql import Window
-
     path = F.concat(F.transform("ancestor_ids", lambda a: F.element_at(F.split(a, "[.]"), 2).cast("long")), F.array("sibling_order"))
-    return tree_nodes(spark, sf).select("id", F.row_number().over(Window.partitionBy("scope_id").orderBy(path)).alias("preorder"))
+    return O.preorder(tree_nodes(spark, sf), path)
 
 
 @query("f18_w2_renumber_after_prune", WITH + "SELECT id, (row_number() OVER (PARTITION BY scope_id, parent_id ORDER BY sibling_order, id) - 1)::INT AS new_order FROM nodes WHERE sibling_order % 4 <> 1")
@@ -84,8 +83,8 @@ def j21_closure(spark, sf):
 
 @query("a10_w15_first_of_duplicates", "SELECT key, id FROM (SELECT o_custkey AS key, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM orders) WHERE k = 1")
 def a10_first(spark, sf):
-    """max_by/min_by aggregate instead of a window: map-side combine, no sort of whole groups."""
-    return table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("id"))
+    rows = table(spark, sf, "orders").selectExpr("o_custkey AS key", "o_orderkey AS id", "o_orderdate AS at")
+    return O.first_of_each(rows, "key", ("at", "id")).select("key", "id")
 
 
 FIELDS = {"parent_id": "reparented", "text": "text", "geometry": "geometry", "style": "style", "meta": "metadata"}
@@ -132,11 +131,7 @@ def o1_ordered(spark, sf):
 
 @query("x1_x2_id_set_operations", f"WITH {SNAPSHOT_SQL} SELECT 'union' AS op, count(*) AS n FROM (SELECT id FROM lefts UNION SELECT id FROM rights) UNION ALL SELECT 'left_only', count(*) FROM (SELECT id FROM lefts EXCEPT SELECT id FROM rights) UNION ALL SELECT 'right_only', count(*) FROM (SELECT id FROM rights EXCEPT SELECT id FROM lefts)")
 def x1_sets(spark, sf):
-    """One shuffle of the ids answers the union and both differences."""
-    left, right = order_snapshots(spark, sf)
-    sides = left.select("id", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select("id", F.lit(0).alias("l"), F.lit(1).alias("r"))).groupBy("id").agg(F.max("l").alias("l"), F.max("r").alias("r"))
-    one = sides.agg(F.count("*").alias("union"), F.count_if(F.col("r") == 0).alias("left_only"), F.count_if(F.col("l") == 0).alias("right_only"))
-    return one.unpivot([], ["union", "left_only", "right_only"], "op", "n")
+    return I.id_sets(*order_snapshots(spark, sf))
 
 
 @query("m16_three_way_merge", """WITH b AS (SELECT o_orderkey AS id, o_orderstatus AS v FROM orders WHERE o_orderkey % 5 <> 0),

@@ -46,16 +46,23 @@ def line_starts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select(id_col, (F.col("line") + 1).alias("line"), F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long").alias("byte_start"))
 
 
+#: A start tag: its end is the first > outside a quoted value. Possessive, so that a long tag is walked in a loop.
+START_TAG = r"""<([A-Za-z](?:=\s*+"[^"]*+"|=\s*+'[^']*+'|[^>])*+)>"""
+ATTRIBUTE = r"""([^\s"'>/=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+))?+)"""
+
+
 def tags(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(id, element, attributes): every start tag; a flat scan, which tag soup cannot break."""
-    found = pages.select(id_col, F.explode(F.regexp_extract_all(html_col, F.lit(r"<([A-Za-z][^<>]*)>"), F.lit(1))).alias("tag"))
+    found = pages.select(id_col, F.explode(F.regexp_extract_all(html_col, F.lit(START_TAG), F.lit(1))).alias("tag"))
     return found.select(id_col, F.lower(F.regexp_extract("tag", r"^([A-Za-z][A-Za-z0-9:-]*)", 1)).alias("element"), F.regexp_replace("tag", r"^[A-Za-z][A-Za-z0-9:-]*", "").alias("attributes"))
 
 
 def attributes(found: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """(id, element, name, value) of quoted attributes."""
-    each = found.select(id_col, "element", F.explode(F.regexp_extract_all("attributes", F.lit(r"""([A-Za-z_:][A-Za-z0-9_:.-]*\s*=\s*"[^"]*")"""), F.lit(1))).alias("a"))
-    return each.select(id_col, "element", F.lower(F.regexp_extract("a", r"^([^\s=]+)", 1)).alias("name"), F.regexp_extract("a", r'"([^"]*)"$', 1).alias("value"))
+    """(id, element, name, value) of attributes in double, single or no quotes; one without a value has an empty one."""
+    each = found.select(id_col, "element", F.explode(F.regexp_extract_all("attributes", F.lit(ATTRIBUTE), F.lit(1))).alias("a"))
+    value = F.regexp_extract("a", r"(?s)^[^=]*=\s*(.*)$", 1)
+    bare = F.when(value.rlike("""^["']"""), F.substr(value, F.lit(2), F.greatest(F.length(value) - 2, F.lit(0)))).otherwise(value)
+    return each.select(id_col, "element", F.lower(F.regexp_extract("a", r"^([^\s=]+)", 1)).alias("name"), bare.alias("value"))
 
 
 def unsafe_url(value: Column) -> Column:
@@ -64,7 +71,8 @@ def unsafe_url(value: Column) -> Column:
 
 
 def unsafe_css(value: Column) -> Column:
-    return F.lower(value).rlike(r"@import|\\|url\s*\(|image-set")
+    """Also what a character reference may hide."""
+    return F.lower(value).rlike(r"@import|\\|url\s*\(|image-set|&#")
 
 
 def security_findings(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -86,3 +94,8 @@ def structure_limits(nodes: DataFrame, by: str, max_elements: int = MAX_ELEMENTS
 def fatal_documents(diagnostics: DataFrame, by: str = "doc_id") -> DataFrame:
     """Documents with an error or worse; an anti join withholds all their rows."""
     return diagnostics.where("severity IN ('error', 'fatal')").select(by).distinct()
+
+
+def redact_private(values: Column, names: str = "password|secret|token|path", mask: str = "[redacted]") -> Column:
+    """A map whose values under private names are masked."""
+    return F.transform_values(values, lambda k, v: F.when(F.lower(k).rlike(names), mask).otherwise(v))

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.scalars import escape_xml
+
 # Limits of a package, and the fixed time stamp of written archives.
 MAX_PARTS, MAX_BYTES = 10_000, 256 << 20
 ZIP_TIME = (1980, 1, 1, 0, 0, 0)
@@ -131,6 +133,16 @@ def render_shapes(objects: DataFrame) -> DataFrame:
     ids = F.row_number().over(Window.partitionBy("scope_id").orderBy("z", "id")) + 1
     emu = lambda c: (F.col(c) * 7620).cast("long").cast("string")
     preset = F.when(F.col("kind") == "ellipse", "ellipse").when(F.col("kind") == "line", "line").otherwise("rect")
-    xml = F.format_string('<p:sp><p:cNvPr id="%d" name="%s"/><a:off x="%s" y="%s"/><a:ext cx="%s" cy="%s"/><a:prstGeom prst="%s"/></p:sp>', "n", "id", emu("x"), emu("y"), emu("width"), emu("height"), preset)
+    xml = F.format_string('<p:sp><p:cNvPr id="%d" name="%s"/><a:off x="%s" y="%s"/><a:ext cx="%s" cy="%s"/><a:prstGeom prst="%s"/></p:sp>', "n", escape_xml(F.col("id"), attribute=True), emu("x"), emu("y"), emu("width"), emu("height"), preset)
     rows = objects.withColumn("n", ids).select("scope_id", "n", xml.alias("xml"))
     return rows.groupBy("scope_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "xml"))), lambda r: r["xml"]), "").alias("xml"))
+
+
+def archive_sizes(parts: DataFrame) -> DataFrame:
+    """(package, archive_size, n_parts): the bytes that ``write_packages`` makes, without making them.
+
+    Each part has a local and a central header of 30 and 46 bytes, its name in both, and its content as it is; the end
+    record has 22 bytes.
+    """
+    each = F.octet_length("content") + 2 * F.octet_length(F.encode("name", "UTF-8")) + 76
+    return parts.groupBy("package").agg((F.sum(each) + 22).alias("archive_size"), F.count("*").alias("n_parts"))

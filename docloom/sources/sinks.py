@@ -23,8 +23,8 @@ def publish_together(spark: SparkSession, outputs: dict[str, DataFrame], fmt: st
         for p, df in outputs.items():
             df.write.format(fmt).mode("overwrite").save(f"{p}.staged")
         for p in outputs:
-            if fs[p].exists(path(p)):
-                fs[p].rename(path(p), path(f"{p}.backup"))
+            if fs[p].exists(path(p)) and not fs[p].rename(path(p), path(f"{p}.backup")):
+                raise OSError(f"cannot set {p} aside")
             if not fs[p].rename(path(f"{p}.staged"), path(p)):
                 raise OSError(f"cannot publish {p}")
             done.append(p)

@@ -83,3 +83,46 @@ def test_status_ladder(spark):
     got = C.status(rows).first()
     assert (got.status, got.highest) == ("refused", "refused")
     assert C.status(rows.where("false")).first().status == "unchanged"
+
+
+def test_images_of_unequal_size_never_pass(spark):
+    rows = [("i", x, y, 10, 10, 10, 255) for y in range(2) for x in range(3)]
+    schema = "img string, x int, y int, r int, g int, b int, a int"
+    a, b = spark.createDataFrame(rows, schema), spark.createDataFrame(rows[:-1], schema)
+    for left, right in ((a, b), (b, a)):
+        got = R.verdict(R.image_diff(left, right), 1.0, 255.0, 255.0).first()
+        assert (got.pixels, got.unmatched, got.changed, got.max_delta, got.verdict) == (6, 1, 1, 255, "failed")
+    assert R.verdict(R.image_diff(a, a), 0, 0, 0).first().verdict == "passed"
+
+
+def test_long_sessions_fold_in_one_pass(spark):
+    log = [("s", k, "set", f"v{k}") for k in range(20_000)] + [("s", 20_000 + k, "undo", None) for k in range(15_000)] + [("s", 40_000 + k, "redo", None) for k in range(20)] + [("t", 0, "undo", None)]
+    got = {r.session: (r.value, r.depth, r.undone) for r in E.fold_sessions(spark.createDataFrame(log, "session string, seq int, action string, value string")).collect()}
+    assert got == {"s": ("v5019", 5020, 14_980), "t": (None, 0, 0)}
+
+
+def test_reconciling_is_proved_by_applying(spark):
+    base = spark.createDataFrame([(1, "a", "x"), (2, "b", None), (3, "c", "z")], "id long, text string, style string")
+    edited = spark.createDataFrame([(1, "a2", "x"), (2, "b", "y"), (4, "d", "w")], "id long, text string, style string")
+    fields = {"text": "set-text", "style": "set-native-style"}
+    ops, found, verdict = C.reconcile(base, edited, fields, review=("set-native-style",))
+    assert {(r.id, r.op, r.new) for r in ops.collect()} == {(1, "set-text", "a2"), (2, "set-native-style", "y")}
+    assert {(r.id, r.op, r.disposition) for r in found.collect()} == {(1, "set-text", "auto-fixable"), (2, "set-native-style", "review"), (3, "object-missing", "refused"), (4, "object-new", "refused")}
+    assert verdict.first().status == "refused" and C.unproven(base, edited, fields).count() == 0
+    assert C.reconcile(base, base, fields)[2].first().status == "unchanged"
+
+
+def test_refused_measurements_are_null_and_mistakes_are_not_hidden(spark):
+    import pytest
+    from docloom.operators import styles as Y
+
+    lines = spark.createDataFrame([("abc",), ("bad",), ("de",)], "text string").coalesce(1)
+
+    def refusing(texts):
+        if "bad" in set(texts):
+            raise ValueError("no glyph")
+        return [len(t) * 2.0 for t in texts]
+
+    assert {r.text: r.width for r in Y.measured(lines, refusing).collect()} == {"abc": 6.0, "bad": None, "de": 4.0}
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        Y.measured(lines, lambda texts: [1 / 0 for _ in texts]).collect()

@@ -93,3 +93,42 @@ def test_faces(spark):
     lines = spark.createDataFrame([("a", '"Inter"', 400, "normal"), ("b", "Other", 400, "normal")], "id string, family string, weight int, style string")
     faces = spark.createDataFrame([("inter", 400, "normal", "f1")], "family string, weight int, style string, face string")
     assert {r.id: r.face for r in M.with_faces(lines, faces).collect()} == {"a": "f1", "b": None}
+
+
+def test_two_documents_with_the_same_ids_resolve_apart(spark):
+    other = DECK.replace("#112233", "#445566").replace('translate(100,40)', 'translate(0,0)').replace("--demo-back: #ffffff", "--demo-back: #000011")
+    docs = _docs(spark, a=DECK, b=other)
+    nodes, found = K.objects(docs).cache(), K.sections(docs)
+    bounds, styles = M.resolve(nodes, K.style_rules(found), K.theme_tokens(found), "light")
+    b = {(r.doc_id, r.id): (r.x, r.y, r.width, r.height) for r in bounds.collect()}
+    assert b["a", "plan.c"] == (110.0, 60.0, 20.0, 20.0) and b["b", "plan.c"] == (10.0, 20.0, 20.0, 20.0)
+    assert b["a", "plan.g"] == (95.0, 50.0, 60.0, 35.0) and b["b", "plan.g"][2:] == (60.0, 35.0)
+    s = {(r.doc_id, r.id, r.property): r.value for r in styles.collect()}
+    assert (s["a", "cover.t", "fill"], s["b", "cover.t", "fill"]) == ("#112233", "#445566")
+    assert (s["a", "plan.bg", "fill"], s["b", "plan.bg", "fill"]) == ("#ffffff", "#000011")
+    pages = {r.doc_id: r.markup for r in M.hydrate(nodes, styles, "cover").collect()}
+    assert "fill:#112233" in pages["a"] and "fill:#445566" in pages["b"]
+
+
+def test_hydration_escapes_what_parsing_decoded(spark):
+    deck = DECK.replace("Hello <tspan>World</tspan>", "a &lt; b &amp; c").replace('fill="#abcdef"', 'fill="#abcdef" data-demo-note="say &quot;hi&quot; &lt;now&gt;"')
+    docs = _docs(spark, d=deck)
+    nodes, found = K.objects(docs).cache(), K.sections(docs)
+    _, styles = M.resolve(nodes, K.style_rules(found), K.theme_tokens(found), "light")
+    page = M.hydrate(nodes, styles, "cover").first().markup
+    assert ">a &lt; b &amp; c</text>" in page and 'note="say &quot;hi&quot; &lt;now&gt;"' in page
+    again = K.objects(_docs(spark, e=page.replace("note=", "data-demo-note=").replace("role=", "data-demo-role="))).first()
+    assert again.text == "a < b & c" and again.attributes["note"] == 'say "hi" <now>'
+
+
+def test_security_findings_whatever_the_quotes(spark):
+    from docloom.sources import documents as D
+
+    pages = {
+        1: """<a onclick="x()" href="http://x">""", 2: "<a onclick='x()' href='http://x'>", 3: "<a onclick=x() href=http://x>", 4: """<a title="a > b" onclick='x()' href = http://x>""",
+        5: """<a href="#a" class=on>""", 6: "<p style='color: url (x)'>", 7: """<p style="&#117;rl(x)">""", 8: "text < b and <SCRIPT src=x></script>", 9: "<a" + " b='c'" * 20_000 + " onload=x>",
+    }
+    docs = spark.createDataFrame(list(pages.items()), "page_id long, html string")
+    got = {(r.page_id, r.code) for r in D.security_findings(docs).collect()}
+    both = {(k, c) for k in (1, 2, 3, 4) for c in ("EVENT-HANDLER", "UNSAFE-URL")}
+    assert got == both | {(6, "UNSAFE-CSS"), (7, "UNSAFE-CSS"), (8, "FORBIDDEN-ELEMENT"), (8, "UNSAFE-URL"), (9, "EVENT-HANDLER")}
