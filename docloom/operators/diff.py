@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,3 +57,54 @@ def three_way(base: DataFrame, ours: DataFrame, theirs: DataFrame, value: str, k
     merged = F.when(same_o, F.col("t.v")).when(same_t | agree, F.col("o.v"))
     gone = F.when(same_o, F.col("t").isNull()).when(same_t | agree, F.col("o").isNull()).otherwise(False)
     return all3.select(key, outcome.alias("outcome"), merged.alias("merged"), gone.alias("deleted"))
+
+
+def _merge_lines(base: list[str], ours: list[str], theirs: list[str]) -> tuple[list[str], int]:
+    """Merged lines, and how many stretches of the base both sides changed in different ways."""
+    edits = []
+    for k, side in enumerate((ours, theirs)):
+        changed = [op for op in SequenceMatcher(None, base, side, autojunk=False).get_opcodes() if op[0] != "equal"]
+        edits += [(low, high, k, start, end) for _, low, high, start, end in changed]
+    sides, shift = (ours, theirs), [0, 0]
+    out, conflicts, at = [], 0, 0
+    edits.sort()
+    while edits:
+        low, high = edits[0][:2]
+        group = [edits.pop(0)]
+        while edits and edits[0][0] <= high:
+            group.append(edits.pop(0))
+            high = max(high, group[-1][1])
+        new = []
+        for k in (0, 1):
+            first = low + shift[k]
+            shift[k] += sum((end - start) - (h - l) for l, h, side, start, end in group if side == k)
+            new.append(sides[k][first : high + shift[k]])
+        out += base[at:low]
+        touched = {e[2] for e in group}
+        if len(touched) == 1:
+            out += new[touched.pop()]
+        elif new[0] == new[1]:
+            out += new[0]
+        else:
+            conflicts += 1
+            out += ["<<<<<<< ours", *new[0], "||||||| base", *base[low:high], "=======", *new[1], ">>>>>>> theirs"]
+        at = high
+    return out + base[at:], conflicts
+
+
+def merge_texts(rows: DataFrame, base: str, ours: str, theirs: str) -> DataFrame:
+    """Adds merged (text) and conflicts (int): a three-way merge of lines, in the row that holds the three texts.
+
+    Changes of one side are taken, equal changes once; changes that touch and differ stand between markers with the base.
+    Null is an empty text, and a side that equals the base or the other side costs no comparison of lines.
+    """
+    b, o, t = (F.coalesce(F.col(c), F.lit("")) for c in (base, ours, theirs))
+
+    @F.pandas_udf("merged string, conflicts int")
+    def merged(bs: pd.Series, os: pd.Series, ts: pd.Series) -> pd.DataFrame:
+        found = [_merge_lines(*(x.split("\n") for x in three)) for three in zip(bs, os, ts, strict=True)]
+        return pd.DataFrame({"merged": ["\n".join(lines) for lines, _ in found], "conflicts": [n for _, n in found]})
+
+    easy = F.when((o == b) | (o == t), t).when(t == b, o)
+    hard = rows.where(easy.isNull()).withColumn("_m", merged(b, o, t)).withColumn("merged", F.col("_m.merged")).withColumn("conflicts", F.col("_m.conflicts")).drop("_m")
+    return rows.where(easy.isNotNull()).withColumn("merged", easy).withColumn("conflicts", F.lit(0)).unionByName(hard)

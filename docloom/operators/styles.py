@@ -6,11 +6,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.scalars import available_width, fit_status, utilisation
+from docloom.functions.scalars import available_width, fit_status, strict_number, utilisation
 
 # Property defaults, and the origins of a value from weakest to strongest.
 DEFAULTS = {"fill": "#000000", "stroke": "none", "stroke-width": "1", "opacity": "1", "font-weight": "400", "font-style": "normal", "text-anchor": "start"}
 ORIGINS = {"default": 0, "presentation-attribute": 1, "base-rule": 2, "inline-style": 3}
+# What a style value may not be, and the words that two properties may have.
+WIDE_KEYWORDS = ("inherit", "initial", "revert", "revert-layer", "unset")
+GENERIC_FAMILIES = ("cursive", "emoji", "fangsong", "fantasy", "math", "monospace", "sans-serif", "serif", "system-ui", "ui-monospace", "ui-rounded", "ui-sans-serif", "ui-serif")
+WORD_VALUES = {"font-style": ("normal", "italic"), "text-anchor": ("start", "middle", "end")}
 #: Rules and themes are written by hand; above this many rows they are joined by shuffle like any other table.
 SMALL_ROWS = 100_000
 
@@ -46,6 +50,40 @@ def cascade(nodes: DataFrame, rules: DataFrame, theme: DataFrame, by: tuple[str,
     return best.select(*by, "id", "property", F.col("b.value").alias("value"), names[F.col("b.origin")].alias("origin"))
 
 
+def style_value(prop: Column | str, expression: Column | str) -> Column:
+    """Struct (text, number, code): the value that an expression gives a property, or why it gives none.
+
+    Paints are none or #rrggbb, lengths plain numbers or pixels, opacity is within 0 and 1, weight 400 or 700, and a font
+    is one concrete family. ``code`` is null for a good value, FONT for a bad family, weight or slant, UNKNOWN for another
+    property, else VALUE. A null expression is a bad value.
+    """
+    p, given = (F.col(c) if isinstance(c, str) else c for c in (prop, expression))
+    e = F.regexp_replace(F.coalesce(given, F.lit("")), r"^\s+|\s+$", "")
+    low = F.lower(e)
+    banned = (e == "") | low.rlike(r"!\s*important\b") | low.isin(*WIDE_KEYWORDS) | low.rlike(r"\b(?:calc|url|var)\s*\(")
+    number = strict_number(F.regexp_replace(low, "px$", ""))
+    finite = number.isNotNull() & (F.abs(number) < float("inf"))
+    quoted = e.rlike(r"""^(?:"[^"\r\n\\\\]+"|'[^'\r\n\\\\]+')$""")
+    names = e.rlike(r"^-?[_A-Za-z][_A-Za-z0-9-]*(?:\s+-?[_A-Za-z][_A-Za-z0-9-]*)*$")
+    family = F.when(quoted, F.substr(e, F.lit(2), F.length(e) - 2)).when(names, F.regexp_replace(e, r"\s+", " "))
+
+    text = (
+        F.when(p.isin("fill", "stroke") & low.rlike("^(?:none|#[0-9a-f]{6})$"), low)
+        .when((p == "font-family") & ~F.lower(family).isin(*GENERIC_FAMILIES), family)
+        .when(((p == "font-style") & low.isin(*WORD_VALUES["font-style"])) | ((p == "text-anchor") & low.isin(*WORD_VALUES["text-anchor"])), low)
+    )
+    value = (
+        F.when((p == "stroke-width") & finite & (number >= 0), number)
+        .when((p == "font-size") & finite & (number > 0), number)
+        .when((p == "opacity") & ~low.endswith("px") & number.between(0, 1), number)
+        .when((p == "font-weight") & e.isin("400", "700"), number)
+    )
+    known = p.isin(*DEFAULTS, "font-size", "font-family")
+    bad = F.when(p.isin("font-family", "font-weight", "font-style") & ~banned, "FONT").otherwise("VALUE")
+    code = F.when(~F.coalesce(known, F.lit(False)), "UNKNOWN").when(banned, "VALUE").when(text.isNull() & value.isNull(), bad)
+    return F.struct(F.when(code.isNull(), text).alias("text"), F.when(code.isNull(), value).alias("number"), code.alias("code"))
+
+
 def style_text(cascaded: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(id, style): the properties of each node in order, as one declaration list."""
     pairs = F.array_sort(F.collect_list(F.concat_ws(":", "property", "value")))

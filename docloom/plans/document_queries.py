@@ -13,6 +13,7 @@ from docloom.operators import styles as Y
 from docloom.plans.registry import query, table
 from docloom.plans.relations import NODES_SQL, SNAPSHOT_SQL, order_snapshots, tree_nodes
 from docloom.sources import documents as D
+from docloom.sources import markup as K
 
 
 @query("s5_materialise", r"SELECT doc_id, strlen(text) AS byte_len, sha256(text) AS sha256, length(text) AS char_len, length(text) + len(regexp_extract_all(text, '[\x{10000}-\x{10FFFF}]')) AS utf16_len, CASE WHEN strlen(text) > 4096 THEN 'SOURCE-TOO-LARGE' END AS diagnostic FROM documents")
@@ -117,6 +118,32 @@ def c10(spark, sf):
     return table(spark, sf, "part").select("p_partkey", S.strict_number(s).alias("number"), S.hex_colour(c).alias("colour"))
 
 
+@query("c11_style_values", r"""WITH v AS (SELECT p_partkey, ['fill', 'stroke', 'stroke-width', 'font-size', 'opacity', 'font-family', 'font-weight', 'font-style', 'text-anchor', 'margin'][p_partkey % 10 + 1] AS property,
+  trim([' None ', '#AbCdEf', p_size || 'px', '0', '0.5', p_brand, '"' || p_brand || '"', '700', 'Italic', 'MIDDLE', 'var(--x)', 'serif', '#abc', '-1', 'inherit', '1 !important', ''][p_partkey % 17 + 1]) AS e FROM part),
+n AS (SELECT *, lower(e) AS low, try_cast(regexp_extract(lower(e), '^([+-]?[0-9.]+)(px)?$', 1) AS DOUBLE) AS num, e = '' OR e = 'inherit' OR e LIKE 'var(%' OR e LIKE '%!important' AS banned FROM v),
+r AS (SELECT *, CASE WHEN banned THEN NULL WHEN property IN ('fill', 'stroke') AND regexp_full_match(low, 'none|#[0-9a-f]{6}') THEN low WHEN property = 'font-style' AND low IN ('normal', 'italic') THEN low WHEN property = 'text-anchor' AND low IN ('start', 'middle', 'end') THEN low
+    WHEN property = 'font-family' AND e LIKE '"%' THEN e[2:-2] WHEN property = 'font-family' AND low <> 'serif' AND regexp_full_match(e, '[A-Za-z]+') THEN e END AS text,
+  CASE WHEN banned THEN NULL WHEN property = 'stroke-width' AND num >= 0 THEN num WHEN property = 'font-size' AND num > 0 THEN num WHEN property = 'opacity' AND low NOT LIKE '%px' AND num BETWEEN 0 AND 1 THEN num WHEN property = 'font-weight' AND e IN ('400', '700') THEN num END AS number FROM n)
+SELECT p_partkey, property, text, number, CASE WHEN property = 'margin' THEN 'UNKNOWN' WHEN text IS NOT NULL OR number IS NOT NULL THEN NULL WHEN NOT banned AND property IN ('font-family', 'font-weight', 'font-style') THEN 'FONT' ELSE 'VALUE' END AS code FROM r""")
+def c11(spark, sf):
+    properties = "element_at(array('fill', 'stroke', 'stroke-width', 'font-size', 'opacity', 'font-family', 'font-weight', 'font-style', 'text-anchor', 'margin'), cast(p_partkey % 10 + 1 AS int)) AS property"
+    given = """element_at(array(' None ', '#AbCdEf', concat(p_size, 'px'), '0', '0.5', p_brand, concat('"', p_brand, '"'), '700', 'Italic', 'MIDDLE', 'var(--x)', 'serif', '#abc', '-1', 'inherit', '1 !important', ''), cast(p_partkey % 17 + 1 AS int)) AS given"""
+    found = table(spark, sf, "part").selectExpr("p_partkey", properties, given).withColumn("v", Y.style_value("property", "given"))
+    return found.select("p_partkey", "property", "v.text", "v.number", "v.code")
+
+
+@query("s10_strict_xml", "SELECT doc_id, ['XML-MALFORMED', 'XML-DOCTYPE', 'XML-NAMESPACE', 'XML-VERSION'][doc_id % 7] AS code, 'fatal' AS severity FROM documents WHERE doc_id % 7 BETWEEN 1 AND 4")
+def s10(spark, sf):
+    """Each text as a diagram, some of them spoilt; characters that XML cannot hold are taken out first."""
+    body = S.escape_xml(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]", ""))
+    whole = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg"><text>'), body, F.lit("</text></svg>"))
+    spoilt = [F.concat(whole, F.lit("<g/>")), F.concat(F.lit("<!DOCTYPE svg>"), whole), F.concat(F.lit("<x:svg>"), body, F.lit("</x:svg>")), F.concat(F.lit('<?xml version="1.1"?>'), whole), F.concat(F.lit('<?xml version="1.0"?>'), whole)]
+    text = whole
+    for k, other in enumerate(spoilt, 1):
+        text = F.when(F.col("doc_id") % 7 == k, other).otherwise(text)
+    return K.xml_findings(table(spark, sf, "documents").select("doc_id", text.alias("text")))
+
+
 @query("c17_c18_emu_round_trip", "SELECT p_partkey, CASE WHEN u * 7620 = floor(u * 7620) THEN (u * 7620)::BIGINT END AS emu, CASE WHEN u * 7620 = floor(u * 7620) THEN (u * 7620)::BIGINT / 7620.0::DOUBLE END AS back FROM (SELECT p_partkey, p_size / CASE WHEN p_partkey % 2 = 0 THEN 4.0::DOUBLE ELSE 7.0::DOUBLE END AS u FROM part)")
 def c17(spark, sf):
     u = F.expr("p_size / CASE WHEN p_partkey % 2 = 0 THEN 4.0D ELSE 7.0D END")

@@ -147,3 +147,18 @@ def m16_merge(spark, sf):
     ours = orders.where("o_orderkey % 5 <> 0 AND o_orderkey % 9 <> 1").selectExpr("o_orderkey AS id", "CASE WHEN o_orderkey % 4 = 0 THEN 'A' ELSE o_orderstatus END AS v")
     theirs = orders.selectExpr("o_orderkey AS id", "CASE WHEN o_orderkey % 6 = 0 THEN 'A' WHEN o_orderkey % 10 = 4 THEN 'B' ELSE o_orderstatus END AS v")
     return D.three_way(base, ours, theirs, "v")
+
+
+@query("m16_merged_lines", """WITH d AS (SELECT doc_id, coalesce(text, '') AS text, doc_id % 2 = 0 AS o, doc_id % 5 = 0 AS b, doc_id % 3 = 0 AS t, doc_id % 10 = 5 AS cut FROM documents)
+SELECT doc_id, CASE WHEN o AND b THEN array_to_string(['<<<<<<< ours', '# ours', '||||||| base', '# head', '=======', '# theirs', '>>>>>>> theirs'], chr(10)) WHEN o THEN '# ours' WHEN b THEN '# theirs' ELSE '# head' END
+  || chr(10) || text || chr(10) || CASE WHEN t THEN '# last' ELSE '# tail' END || CASE WHEN cut THEN chr(10) || '# same' ELSE '' END AS merged, CASE WHEN o AND b THEN 1 ELSE 0 END::INT AS conflicts FROM d""")
+def m16_lines(spark, sf):
+    """First lines that one side or both changed, last lines that theirs changed, lines that both added alike."""
+    rows = table(spark, sf, "documents").selectExpr("doc_id", "coalesce(text, '') AS body", "CASE WHEN doc_id % 10 = 5 THEN '\\n# same' ELSE '' END AS more")
+    side = lambda head, tail, more: F.concat(F.expr(head), F.lit("\n"), "body", F.lit("\n"), F.expr(tail), F.expr(more))
+    last = "CASE WHEN doc_id % 3 = 0 THEN '# last' ELSE '# tail' END"
+    theirs = side("CASE WHEN doc_id % 5 = 0 THEN '# theirs' ELSE '# head' END", last, "more")
+    # Where both add lines at the end, both also change the last one: what touches and differs would be a conflict.
+    ours = side("CASE WHEN doc_id % 2 = 0 THEN '# ours' ELSE '# head' END", f"CASE WHEN doc_id % 10 = 5 THEN {last} ELSE '# tail' END", "more")
+    texts = rows.select("doc_id", side("'# head'", "'# tail'", "''").alias("base"), ours.alias("ours"), theirs.alias("theirs"))
+    return D.merge_texts(texts, "base", "ours", "theirs").select("doc_id", "merged", "conflicts")

@@ -132,3 +132,10 @@ def test_security_findings_whatever_the_quotes(spark):
     got = {(r.page_id, r.code) for r in D.security_findings(docs).collect()}
     both = {(k, c) for k in (1, 2, 3, 4) for c in ("EVENT-HANDLER", "UNSAFE-URL")}
     assert got == both | {(6, "UNSAFE-CSS"), (7, "UNSAFE-CSS"), (8, "FORBIDDEN-ELEMENT"), (8, "UNSAFE-URL"), (9, "EVENT-HANDLER")}
+
+
+def test_strict_xml(spark):
+    svg = '<svg xmlns="http://www.w3.org/2000/svg">%s</svg>'
+    docs = _docs(spark, good=svg % "<g a='1'/>", open=svg % "<g>", two=svg % "" + "<g/>", twice=svg % "<g a='1' a='2'/>", kind="<!DOCTYPE svg [<!ENTITY e 'x'>]>" + svg % "&e;", old='<?xml version="1.1"?>' + svg % "", prefix=svg % "<x:g/>", entity=svg % "&nbsp;", empty="", none=None, mark="﻿" + svg % "é")
+    bad = dict.fromkeys(("open", "two", "twice", "entity", "empty", "none"), "XML-MALFORMED")
+    assert {r.doc_id: r.code for r in K.xml_findings(docs).collect()} == bad | {"kind": "XML-DOCTYPE", "old": "XML-VERSION", "prefix": "XML-NAMESPACE"}

@@ -56,3 +56,19 @@ def test_strict_values(spark):
     texts = ["12", "-.5e1", "1px", "", "+3.", "-0"]
     got = [r.n for r in spark.createDataFrame([(t,) for t in texts], "t string").select(S.strict_number("t").alias("n")).collect()]
     assert got == [12.0, -5.0, None, None, 3.0, 0.0]
+
+
+GOOD_VALUES = [("fill", " NONE ", "none"), ("stroke", "#AbC123", "#abc123"), ("stroke-width", "2PX", 2.0), ("stroke-width", "-0", 0.0), ("font-size", "1e1", 10.0), ("opacity", ".5", 0.5), ("font-family", "Noto  Sans", "Noto Sans"), ("font-family", "'A, B'", "A, B"), ("font-weight", "700", 700.0), ("font-style", "Italic", "italic"), ("text-anchor", "end", "end")]
+BAD_VALUES = [
+    ("fill", "#abc", "VALUE"), ("fill", "red", "VALUE"), ("fill", "var(--x)", "VALUE"), ("fill", "", "VALUE"), ("fill", None, "VALUE"), ("fill", "none !important", "VALUE"), ("stroke-width", "-1", "VALUE"), ("stroke-width", "1em", "VALUE"), ("font-size", "0", "VALUE"),
+    ("font-size", "1e999", "VALUE"), ("opacity", "1.1", "VALUE"), ("opacity", "1px", "VALUE"), ("font-family", "a, b", "FONT"), ("font-family", "Serif", "FONT"), ("font-family", "'serif'", "FONT"), ("font-family", "'it's'", "FONT"), ("font-family", "unset", "VALUE"), ("font-weight", "bold", "FONT"),
+    ("font-style", "oblique", "FONT"), ("text-anchor", "left", "VALUE"), ("margin", "1", "UNKNOWN"), (None, "1", "UNKNOWN"),
+]
+
+
+def test_style_values_by_property(spark):
+    rows = spark.createDataFrame([(p, g, str(w)) for p, g, w in GOOD_VALUES + BAD_VALUES], "p string, g string, w string").select("p", "g", "w", Y.style_value("p", "g").alias("v")).collect()
+    for r in rows[: len(GOOD_VALUES)]:
+        assert r.v.code is None and r.w == str(r.v.text if r.v.text is not None else r.v.number), r
+    for r in rows[len(GOOD_VALUES) :]:
+        assert (r.v.code, r.v.text, r.v.number) == (r.w, None, None), r
