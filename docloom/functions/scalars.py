@@ -62,6 +62,14 @@ def escape_xml(x: Column | str, attribute: bool = False) -> Column:
     return F.replace(out, F.lit('"'), F.lit("&quot;")) if attribute else out
 
 
+def unescape_xml(x: Column | str) -> Column:
+    """The inverse of ``escape_xml``."""
+    out = _c(x)
+    for code, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        out = F.replace(out, F.lit(code), F.lit(plain))
+    return out
+
+
 def normalise_newlines(x: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(_c(x), "^﻿", ""), "\r\n?", "\n")
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.scalars import unescape_xml
+
 # The wide slide size that implies its preset, an all-zero group transform, empty theme lists, part names.
 WIDE = ("12192000", "6858000", "screen16x9")
 ZERO_GROUP = r'<p:grpSpPr>\s*<a:xfrm>\s*<a:off x="0" y="0"\s*/>\s*<a:ext cx="0" cy="0"\s*/>\s*<a:chOff x="0" y="0"\s*/>\s*<a:chExt cx="0" cy="0"\s*/>\s*</a:xfrm>\s*</p:grpSpPr>'
@@ -15,14 +17,16 @@ ZERO_GROUP_PARTS = "^ppt/(slides/slide1|slideLayouts/slideLayout1|slideMasters/s
 EMPTY_THEME = r"<a:(objectDefaults|extraClrSchemeLst)\s*(/>|>\s*</a:\1>)"
 VIEW, TABLES, PROPERTIES = "ppt/viewProps.xml", "ppt/tableStyles.xml", "ppt/presProps.xml"
 GENERATED = ("docProps/app.xml", "docProps/core.xml")
+SLIDE = r"^ppt/slides/slide[0-9]+[.]xml$"
+SHAPE = r"(?s)(<p:(?:sp|cxnSp)[ >].*?</p:(?:sp|cxnSp)>)"
 RICH = r"<(p:pic|p:graphicFrame|a:tbl|c:chart)[ >/]"
 
 
-def _rules(rich: Column) -> list[tuple[str, Column, Column]]:
-    """(rule, condition, rewritten xml or null to drop the part)."""
-    name, xml = F.col("name"), F.col("xml")
+def _rules(rich: Column, xml: Column) -> list[tuple[str, Column, Column | None]]:
+    """(rule, condition, rewritten xml or none to drop the part)."""
+    name = F.col("name")
     size = rf'<p:sldSz cx="{WIDE[0]}" cy="{WIDE[1]}"\s*/>'
-    drop = F.lit(None).cast("string")
+    drop = None
     return [
         ("slide-size-preset-omitted", (name == "ppt/presentation.xml") & xml.rlike(size), F.regexp_replace(xml, size, f'<p:sldSz cx="{WIDE[0]}" cy="{WIDE[1]}" type="{WIDE[2]}"/>')),
         ("root-zero-group-transform", name.rlike(ZERO_GROUP_PARTS) & xml.rlike(ZERO_GROUP), F.regexp_replace(xml, ZERO_GROUP, "<p:grpSpPr/>")),
@@ -43,13 +47,21 @@ def normalise(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     text = parts.where("content IS NOT NULL").select("package", "name", F.decode("content", "UTF-8").alias("xml"))
     gate = text.groupBy("package").agg(F.bool_or(F.col("xml").rlike(RICH) | F.col("name").rlike("^ppt/(media|charts)/")).alias("rich"))
     both = text.join(gate, "package")
-    fired = F.filter(F.array(*[F.when(cond, F.lit(rule)) for rule, cond, _ in _rules(F.col("rich"))]), lambda r: r.isNotNull())
+    fired = F.filter(F.array(*[F.when(cond, F.lit(rule)) for rule, cond, _ in _rules(F.col("rich"), F.col("xml"))]), lambda r: r.isNotNull())
     marked = both.withColumn("rules", fired)
     evidence = marked.select("package", F.explode("rules").alias("rule"), "name")
     after = marked.withColumn("gone", F.exists("rules", lambda r: r.isin("view-properties-inert", "table-styles-inert", "generated-metadata"))).where("NOT gone")
-    for _, cond, to in _rules(F.col("rich")):
-        after = after.withColumn("xml", F.when(cond, to).otherwise(F.col("xml")))
-    return after.select("package", "name", F.encode("xml", "UTF-8").alias("content")), evidence
+    rich = F.col("rich")
+    xml = F.col("xml")
+
+    def rewritten(k: int):
+        return lambda x: F.when(_rules(rich, x)[k][1], _rules(rich, x)[k][2]).otherwise(x)
+
+    for k, (_, _, to) in enumerate(_rules(rich, xml)):
+        if to is not None:
+            # A variable for the text so far: written out, it would stand in every rule twice and more, and so grow without bound.
+            xml = F.transform(F.array(xml), rewritten(k))[0]
+    return after.select("package", "name", F.encode(xml, "UTF-8").alias("content")), evidence
 
 
 def evidence_by_rule(evidence: DataFrame) -> DataFrame:
@@ -63,15 +75,23 @@ def embedded_marks(evidence: DataFrame, objects: DataFrame) -> DataFrame:
 
 
 def slide_objects(parts: DataFrame) -> DataFrame:
-    """(package, name, ordinal, shape_id, shape_name, x, y, width, height, preset, text): shapes of slides, in order."""
+    """(package, name, ordinal, shape_id, shape_name, connector, x, y, width, height, preset, fill, text, residue): shapes of slides.
+
+    ``residue`` is what remains of the markup when numbers, names, frames, colours and plain paragraphs are taken out;
+    two shapes of equal residue differ in the other columns only.
+    """
     xml = F.decode("content", "UTF-8")
-    shapes = parts.where("name RLIKE '^ppt/slides/slide[0-9]+[.]xml$'").select("package", "name", F.posexplode(F.regexp_extract_all(xml, F.lit(r"(?s)(<p:(?:sp|cxnSp)[ >].*?</p:(?:sp|cxnSp)>)"), F.lit(1))).alias("ordinal", "x_"))
+    shapes = parts.where(F.col("name").rlike(SLIDE)).select("package", "name", F.posexplode(F.regexp_extract_all(xml, F.lit(SHAPE), F.lit(1))).alias("ordinal", "x_"))
     at = lambda tag, a: F.regexp_extract("x_", rf'<{tag} [^>]*\b{a}="([^"]*)"', 1)
     number = lambda c: (c.try_cast("long") / F.lit(7620)).alias
-    text = F.array_join(F.regexp_extract_all("x_", F.lit(r"<a:t>([^<]*)</a:t>"), F.lit(1)), "\n")
+    text = unescape_xml(F.array_join(F.regexp_extract_all("x_", F.lit(r"<a:t>([^<]*)</a:t>"), F.lit(1)), "\n"))
+    residue = F.col("x_")
+    for pattern in (r"<p:cNvPr [^>]*>", r"<a:(?:off|ext) [^>]*>", r'(?<=<a:srgbClr val=")[^"]*', r"<a:p><a:r><a:t>[^<]*</a:t></a:r></a:p>"):
+        residue = F.regexp_replace(residue, pattern, "")
     return shapes.select(
-        "package", "name", "ordinal", at("p:cNvPr", "id").alias("shape_id"), at("p:cNvPr", "name").alias("shape_name"),
-        number(at("a:off", "x"))("x"), number(at("a:off", "y"))("y"), number(at("a:ext", "cx"))("width"), number(at("a:ext", "cy"))("height"), at("a:prstGeom", "prst").alias("preset"), text.alias("text"),
+        "package", "name", "ordinal", at("p:cNvPr", "id").alias("shape_id"), unescape_xml(at("p:cNvPr", "name")).alias("shape_name"), F.col("x_").startswith("<p:cxnSp").alias("connector"),
+        number(at("a:off", "x"))("x"), number(at("a:off", "y"))("y"), number(at("a:ext", "cx"))("width"), number(at("a:ext", "cy"))("height"), at("a:prstGeom", "prst").alias("preset"),
+        F.nullif(at("a:srgbClr", "val"), F.lit("")).alias("fill"), text.alias("text"), residue.alias("residue"),
     )
 
 

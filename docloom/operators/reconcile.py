@@ -39,10 +39,10 @@ def findings(changes: DataFrame, disposition, effect) -> DataFrame:
     return out.withColumn("rank", rank).withColumn("finding_id", F.concat(F.lit("finding."), F.left(F.sha2(said, 256), F.lit(16))))
 
 
-def status(found: DataFrame) -> DataFrame:
-    """One row: counts by disposition and effect, the highest disposition, and refused > review-required > patchable > unchanged."""
+def status(found: DataFrame, *by: str) -> DataFrame:
+    """One row, or one of each value of ``by``: counts by disposition and effect, the highest disposition, and refused > review-required > patchable > unchanged."""
     n = {d: F.count_if(F.col("disposition") == d) for d in DISPOSITIONS}
-    out = found.agg(
+    out = found.groupBy(*by).agg(
         *[v.alias(f"n_{d.replace('-', '_')}") for d, v in n.items()], *[F.count_if(F.col("effect") == e).alias(f"n_{e.replace('-', '_')}") for e in EFFECTS],
         F.max_by("disposition", F.create_map(*[F.lit(x) for p in DISPOSITIONS.items() for x in p])[F.col("disposition")]).alias("highest"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.scalars import escape_xml, wrap_marker
+from docloom.functions.scalars import escape_xml, unescape_xml, wrap_marker
 from docloom.operators.markdown import blocks, canonical, inline_segments, table_cells
 
 # Paragraph styles by block, run properties by style, names of parts, and constructs that would be lost.
@@ -67,19 +67,13 @@ def embedded_source(parts: DataFrame) -> DataFrame:
     return every.join(found, "package", "left").select("package", "original", "markdown", F.when(F.col("_o").isNull(), "SOURCE-MISSING").when(bad, "SOURCE-CHANGED").alias("problem"))
 
 
-def _unescape(text: Column) -> Column:
-    for code, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        text = F.replace(text, F.lit(code), F.lit(plain))
-    return text
-
-
 def _inline(xml: Column) -> Column:
     """Text of a paragraph; neighbouring runs of one style become one, then get their markers."""
     seg = F.transform(
         F.regexp_extract_all(xml, F.lit(r"(?s)(<w:r[ >].*?</w:r>)"), F.lit(1)),
         lambda r: F.struct(
             F.when(r.rlike(r'<w:rStyle w:val="CodeChar"/>'), "code").when(r.rlike(r"<w:b/>"), "bold").when(r.rlike(r"<w:i/>"), "italic").otherwise("plain").alias("style"),
-            _unescape(F.array_join(F.regexp_extract_all(r, F.lit(r"(?s)<w:t(?: [^>]*)?>(.*?)</w:t>"), F.lit(1)), "")).alias("text"),
+            unescape_xml(F.array_join(F.regexp_extract_all(r, F.lit(r"(?s)<w:t(?: [^>]*)?>(.*?)</w:t>"), F.lit(1)), "")).alias("text"),
         ),
     )
     none = F.array().cast("array<struct<style:string,text:string>>")
