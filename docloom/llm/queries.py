@@ -16,6 +16,7 @@ from docloom.llm.near_dedup import near_duplicates
 from docloom.llm.personal_data import BASE, find_personal_data
 from docloom.llm.quality_crf import score_quality
 from docloom.llm.quality_rules import quality_rules
+from docloom.llm.sequence_packing import pack_sequences
 from docloom.llm.substring_dedup import remove_repeated_spans
 from docloom.llm.token_counts import count_tokens
 
@@ -69,6 +70,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_sequences(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_lm_scoring": op2_lm_scoring,
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": op8_personal_data,
     "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_pack_sequences": op11_pack_sequences,
 }
 
 ORACLE_SQL: dict[str, str] = {
