@@ -14,11 +14,13 @@ from docloom.llm.lm_scoring import score_language_model
 from docloom.llm.mixing import mix_sources
 from docloom.llm.near_dedup import near_duplicates
 from docloom.llm.personal_data import BASE, find_personal_data
+from docloom.llm.prefix_trie import conversation_trie
 from docloom.llm.quality_crf import score_quality
 from docloom.llm.quality_rules import quality_rules
 from docloom.llm.sequence_packing import pack_sequences
 from docloom.llm.substring_dedup import remove_repeated_spans
 from docloom.llm.token_counts import count_tokens
+from docloom.llm.vector_codes import vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +77,43 @@ def op11_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_table(spark, sf_dir, "conversations"), openings=True)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes(_table(spark, sf_dir, "embeddings"))
+    listed = ",".join(str(x) for book in books for entry in book for x in entry)
+    return codes.withColumn("codebooks_sha256", F.sha2(F.lit(listed), 256))
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds of the codebooks one after another."""
+    away = "CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    near = "a{0} AS MATERIALIZED (SELECT rid, p, x, min(struct_pack(d := {1}, e := e)) AS best FROM parts JOIN book{0} USING (p) GROUP BY rid, p, x)"
+    move = """book{1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{0} b LEFT JOIN (
+    SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM (
+      SELECT p, best.e AS e, i, sum(x[i]) AS s, count(*) AS n FROM a{0}, (SELECT unnest(range(1, (SELECT max(len(x)) FROM parts) + 1)) AS i) GROUP BY ALL) GROUP BY p, e) m
+  ON m.p = b.p AND m.e = b.e)"""
+    steps = [near.format(0, away)]
+    for r in range(rounds):
+        steps += [move.format(r, r + 1), near.format(r + 1, away)]
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT rid, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS x FROM kept, range({parts}) t(p)),
+book0 AS MATERIALIZED (SELECT p, rid - 1 AS e, x AS c FROM parts WHERE rid <= {entries}),
+{", ".join(steps)},
+coded AS (
+  SELECT rid, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a{rounds} GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM book{rounds}) AS codebooks_sha256
+FROM kept JOIN coded USING (rid)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_lm_scoring": op2_lm_scoring,
@@ -87,6 +126,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_pack_sequences": op11_pack_sequences,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -164,4 +205,32 @@ got AS (
 SELECT d.doc_id, d.size::BIGINT AS size, d.source_size, d.target, coalesce(g.taken, 0)::BIGINT AS taken
 FROM docs d LEFT JOIN got g ON d.doc_id = g.doc_id AND d.k = g.k AND d.f = g.f
 """,
+    "op12_conversation_trie": r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+own AS MATERIALIZED (
+  SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role, sha256(concat(length(role), ':', role, text))) AS seq FROM turns GROUP BY conv_id),
+hashed AS (
+  SELECT conv_id, seq, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)), 4294967295) % 6 AS h
+  FROM own),
+rebuilt AS MATERIALIZED (
+  SELECT a.conv_id, list_concat(coalesce(list_slice(b.seq, 1, a.h), []), list_slice(a.seq, a.h + 1, len(a.seq))) AS seq
+  FROM hashed a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 100),
+passes AS MATERIALIZED (
+  SELECT conv_id, d, sha256(CAST(list_slice(seq, 1, d) AS VARCHAR)) AS node, sha256(CAST(list_slice(seq, 1, d - 1) AS VARCHAR)) AS parent,
+         d = len(seq) AS ends, CASE WHEN d > 0 THEN length(seq[d].text) ELSE 0 END AS chars
+  FROM (SELECT conv_id, seq, unnest(range(0, len(seq) + 1)) AS d FROM rebuilt)),
+nodes AS MATERIALIZED (
+  SELECT node, d, min(conv_id) AS conv_id, CASE WHEN d > 0 THEN min(parent) END AS parent, count(*) AS n_convs, max(chars) AS chars,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM passes GROUP BY node, d),
+kids AS (SELECT parent AS node, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY parent, d),
+below AS (
+  SELECT p.node, p.d, count(*) FILTER (k.n IS NULL) AS n_leaves, CAST(sum((x.n_convs - 1) * x.chars) AS BIGINT) AS saved_tokens
+  FROM nodes x LEFT JOIN kids k ON k.node = x.node AND k.d = x.d JOIN passes p ON p.conv_id = x.conv_id AND p.d <= x.d GROUP BY p.node, p.d)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, b.n_leaves, b.saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b ON b.node = n.node AND b.d = n.d LEFT JOIN kids k ON k.node = n.node AND k.d = n.d LEFT JOIN nodes p ON p.node = n.parent AND p.d = n.d - 1
+""",
+    "op13_vector_codes": _codes_sql(),
 }
