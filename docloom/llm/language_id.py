@@ -6,13 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.text_stats import LETTER
 from docloom.llm.textblocks import text_slices
 
-TRAIN_DOCS, TRAIN_BYTES, LANGUAGES = 256, 16 << 20, 256
+TRAIN_DOCS, TRAIN_BYTES, LANGUAGES = 256, 16 << 20, 4096
+#: Entries of the table of code lengths that is made before the first text; rarer grams are looked up as they come.
+_TABLE = 1 << 25
 ORDER = 3
 _START = 10
 _SLICE = 2 << 20
@@ -27,19 +29,22 @@ def training_texts(texts: DataFrame, by: str, docs_each: int, train_bytes: int,
     """A bounded sample of whole texts: distinct (by, text) of about ``docs_each`` rows a class, about ``train_bytes`` in all.
 
     ``texts`` has id and text, and the class unless ``labels`` has it by id. Rows are drawn by a hash of id and text, at
-    a rate that a class's numbers of rows and bytes give; a text longer than its class's share of the bytes does not
-    teach. Repeated rows count once. Only drawn texts meet the labels.
+    a rate that a class's numbers of rows and bytes give; of the drawn rows a class takes those of the smallest draws, until
+    it has its share of the bytes. The row of a class's smallest draw always teaches, so every class is learned, however few or
+    long its texts are. Repeated rows count once. Only drawn texts meet the labels.
     """
     draw = F.pmod(F.xxhash64(F.col("id").cast("string"), "text"), F.lit(1 << 30)).alias("draw")
     given = texts.select(*texts.columns, draw, F.octet_length("text").alias("bytes"))
     known = (lambda rows: rows.join(labels, "id")) if labels is not None else (lambda rows: rows)
-    sizes = known(given.drop("text")).groupBy(by).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect()
+    sizes = known(given.drop("text")).groupBy(by).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("draw").alias("least")).collect()
     if not sizes:
         return known(given).select(by, "text").limit(0)
     share = train_bytes / len(sizes)
-    rates = {r[by]: int(min(1.0, docs_each / r["n"], share / max(1, r["bytes"])) * (1 << 30)) for r in sizes}
+    rates = {r[by]: max(r["least"] + 1, int(min(1.0, docs_each / r["n"], share / max(1, r["bytes"])) * (1 << 30))) for r in sizes}
     rate = F.create_map(*[F.lit(x) for pair in sorted(rates.items()) for x in pair])[F.col(by)]
-    return known(given.where((F.col("bytes") <= int(share)) & (F.col("draw") < max(rates.values())))).where(F.col("draw") < rate).select(by, "text").distinct()
+    drawn = known(given.where(F.col("draw") < max(rates.values()))).where(F.col("draw") < rate).select(by, "text", "draw", "bytes").distinct()
+    earlier = F.sum("bytes").over(Window.partitionBy(by).orderBy("draw", "text").rowsBetween(Window.unboundedPreceding, -1))
+    return drawn.withColumn("earlier", F.coalesce(earlier, F.lit(0))).where(F.col("earlier") < share).select(by, "text").distinct()
 
 
 def _grams(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -73,9 +78,10 @@ class ContextTrees:
     def __init__(self, samples: dict[str, list[str]]):
         self.langs = sorted(samples)
         self.trees = [self._tree(samples[lang]) for lang in self.langs]
-        # Code lengths in all languages of every context and byte that some language has seen.
-        self.known = np.unique(np.concatenate([np.zeros(0, np.uint32), *[t[ORDER][0] for t in self.trees]]))
-        self.cost = self._lengths(self.known)
+        # Code lengths by language of the contexts and bytes that some language has seen, as many as the table holds.
+        known = np.unique(np.concatenate([np.zeros(0, np.uint32), *[t[ORDER][0] for t in self.trees]]))
+        self.known = known[: _TABLE // max(1, len(self.langs))]
+        self.cost = [self._lengths(lang, self.known) for lang in range(len(self.langs))]
 
     @staticmethod
     def _tree(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -92,30 +98,27 @@ class ContextTrees:
             out.append((keys, -np.log2(counts / np.repeat(whole, kinds)), contexts, -np.log2(kinds / whole)))
         return out
 
-    def _lengths(self, grams: np.ndarray) -> np.ndarray:
-        """Code lengths of the last byte of each gram after the three before it, by language."""
-        out = np.empty((len(grams), len(self.langs)))
-        for lang, tree in enumerate(self.trees):
-            bits = np.full(len(grams), 8.0)
-            for order, (keys, lengths, contexts, escapes) in enumerate(tree):
-                gram = grams & np.uint32((1 << 8 * (order + 1)) - 1)
-                at, seen = _found(contexts, gram >> np.uint32(8))
-                bits[seen] += escapes[at[seen]]
-                at, seen = _found(keys, gram)
-                bits[seen] = lengths[at[seen]]
-            out[:, lang] = bits
-        return out
+    def _lengths(self, lang: int, grams: np.ndarray) -> np.ndarray:
+        """Code lengths in one language of the last byte of each gram after the three before it."""
+        bits = np.full(len(grams), 8.0)
+        for order, (keys, lengths, contexts, escapes) in enumerate(self.trees[lang]):
+            gram = grams & np.uint32((1 << 8 * (order + 1)) - 1)
+            at, seen = _found(contexts, gram >> np.uint32(8))
+            bits[seen] += escapes[at[seen]]
+            at, seen = _found(keys, gram)
+            bits[seen] = lengths[at[seen]]
+        return bits
 
     def code_lengths(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Bits of each row in each language."""
         grams, place = np.unique(_grams(buf, offs[:-1][np.diff(offs) > 0]), return_inverse=True)
         at, seen = _found(self.known, grams)
-        bits = np.empty((len(grams), len(self.langs)))
-        bits[seen] = self.cost[at[seen]]
-        bits[~seen] = self._lengths(grams[~seen])
+        bits = np.empty(len(grams))
         out = np.empty((len(offs) - 1, len(self.langs)))
         for lang in range(len(self.langs)):
-            total = np.concatenate([[0.0], np.cumsum(bits[place, lang])])
+            bits[seen] = self.cost[lang][at[seen]]
+            bits[~seen] = self._lengths(lang, grams[~seen])
+            total = np.concatenate([[0.0], np.cumsum(bits[place])])
             out[:, lang] = total[offs[1:]] - total[offs[:-1]]
         return out
 
@@ -145,12 +148,16 @@ def _identify(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBat
 
 
 def train_languages(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_each: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES, languages: int = LANGUAGES) -> ContextTrees:
-    """Context trees of the ``languages`` commonest languages, from a bounded sample of whole training texts."""
+    """Context trees of every language that has a training text, from a bounded sample of whole texts.
+
+    More than ``languages`` values of the language column are refused with an error.
+    """
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), held_out(id_col).alias("out"))
     given = given.where("NOT out AND lang IS NOT NULL AND text IS NOT NULL AND text <> ''").drop("out")
-    common = [r["lang"] for r in given.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    if (found := given.select("lang").distinct().limit(languages + 1).count()) > languages:
+        raise ValueError(f"{lang_col} has at least {found} values with training texts; raise languages above {languages} if they are languages")
     samples: dict[str, list[str]] = {}
-    for r in training_texts(given.where(F.col("lang").isin(common)), "lang", docs_each, train_bytes).collect():
+    for r in training_texts(given, "lang", docs_each, train_bytes).collect():
         samples.setdefault(r["lang"], []).append(r["text"])
     return ContextTrees({k: sorted(v) for k, v in samples.items()})
 
@@ -160,8 +167,9 @@ def identify_languages(
 ) -> DataFrame:
     """Returns (id, held_out, lang_pred, score) for every row; the score is the posterior of the predicted language.
 
-    Trained on whole texts and languages of rows outside the held-out fold: about ``docs_each`` texts of each of the
-    ``languages`` commonest values of the language column, together about ``train_bytes``. Language, source and id are
+    Trained on whole texts and languages of rows outside the held-out fold: about ``docs_each`` texts of each value of the
+    language column and at least one, together about ``train_bytes`` and at least those; more than ``languages`` values are
+    refused with an error. Language, source and id are
     no inputs of a prediction. Whole texts are coded, byte by byte, under each language's frozen statistics; the least
     total wins.
 
