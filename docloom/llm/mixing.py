@@ -14,6 +14,11 @@ CELLS = 1024
 GOLDEN = 0.6180339887498949
 
 
+def _wide(name: str) -> str:
+    """A factor of a product that may not fit 64 bits."""
+    return f"cast({name} AS decimal(19,0))"
+
+
 def source_targets(sizes: DataFrame, share: float, most: float, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """From (source, source_size), one row a source: adds weight, cap, target, and the bounds of its share of [0, 1).
 
@@ -64,9 +69,9 @@ def slot_schedule(targets: DataFrame, most: int, slots: int = SLOTS) -> DataFram
     source = Window.partitionBy("rank")
     placed = placed.withColumn("n_slots", F.count("*").over(source)).withColumn("words", F.least(F.greatest((F.col("n_slots") - 1) * F.col("step"), F.floor("target")), F.ceil("target")))
     placed = placed.where("words > 0").withColumn("each", F.expr(f"({most} + n_slots - 1) div n_slots"))
-    placed = placed.withColumn("n_blocks", F.expr("greatest(least(n_slots * each * source_size div words, source_size), 1)"))
+    placed = placed.withColumn("n_blocks", F.expr(f"greatest(least({_wide('n_slots * each')} * {_wide('source_size')} div words, source_size), 1)"))
     turn = (F.row_number().over(source.orderBy("slot")) - 1) * F.col("each")
-    placed = placed.withColumn("first", turn).withColumn("turn", F.explode(F.expr("sequence(first, first + each - 1)"))).where("turn * source_size < n_blocks * words")
+    placed = placed.withColumn("first", turn).withColumn("turn", F.explode(F.expr("sequence(first, first + each - 1)"))).where(f"{_wide('turn')} * {_wide('source_size')} < {_wide('n_blocks')} * {_wide('words')}")
     return placed.select("slot", "rank", "turn", "n_blocks", F.pmod("turn", "n_blocks").alias("block"), F.expr("words - (turn div n_blocks) * source_size").alias("until"))
 
 
@@ -109,9 +114,11 @@ def mix_sources(
     right = starts.select(F.col("_source").alias("_s"), F.col("_part").alias("_p"), "part_start", "rank", "source_size", "target", "n_blocks")
     placed = placed.join(right, placed["_source"].eqNullSafe(right["_s"]) & (placed["_part"] == right["_p"])).drop("_s", "_p")
     placed = placed.withColumn("_from", F.col("part_start") + F.col("_inner")).withColumn("_row", F.struct("_key", "_from"))
-    met = F.expr("sequence(((_from + 1) * n_blocks - 1) div source_size, ((_from + size) * n_blocks - 1) div source_size)")
+    block_of = lambda word: f"({_wide(word)} * {_wide('n_blocks')} - 1) div source_size"
+    start_of = lambda block: f"{_wide(block)} * {_wide('source_size')} div n_blocks"
+    met = F.expr(f"sequence({block_of('_from + 1')}, {block_of('_from + size')})")
     pieces = placed.where("size > 0 AND n_blocks IS NOT NULL").select("_key", "_from", "size", "rank", "source_size", "n_blocks", F.explode(met).alias("block"))
-    pieces = pieces.withColumn("start", F.expr("greatest(_from, block * source_size div n_blocks)")).withColumn("end", F.expr("least(_from + size, (block + 1) * source_size div n_blocks)"))
+    pieces = pieces.withColumn("start", F.expr(f"greatest(_from, {start_of('block')})")).withColumn("end", F.expr(f"least(_from + size, {start_of('block + 1')})"))
     # Only the last use of a block can be cut.
     held = F.expr("(end - start) * (uses - 1) + greatest(least(end, until) - start, 0)")
     taken = pieces.join(uses, ["rank", "block"]).groupBy("_key", "_from").agg(F.sum(held).alias("taken"))
