@@ -357,7 +357,8 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows share costs one entry a block, and buckets by hash hold equal shares whatever repeats; what a block knows to
     repeat without asking is cut into bounded pieces that are spread over all buckets. Every span is compared with its
     source before it goes; should any differ (two windows of one hash), all is done again with another hash and what
-    both prove is joined. Ids may be of any type that has an order.
+    both prove is joined. If spans differ under every hash, an error is raised and nothing is returned. Ids may be of any
+    type that has an order.
 
     Defined cases: a null or blank text has no words; texts of fewer than n words lose none; rows with null id keep
     all words, are no source and join nothing; rows that share an id are one document, and none is a source for
@@ -378,6 +379,8 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
         proven = found if proven is None else proven.unionByName(found)
         if not found.where("failed > 0").head(1):
             break
+    else:
+        raise RuntimeError(f"under none of {len(WINDOW_BASES)} hashes do all spans equal their sources; words of equal hash are in the texts")
     # A row's spans are no more than its windows.
     proven = proven.where("failed = 0").groupBy("key").agg(F.collect_list("spans").alias("spans"))
     schema = "id long, n_words long, n_removed long, kept_text string"
