@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.llm.decontamination import find_leaks
-from docloom.llm.language_id import ContextTrees, identify_languages, training_texts
+from docloom.llm.language_id import ContextTrees, identify_languages, train_languages, training_texts
 from docloom.llm.near_dedup import near_duplicates
 from docloom.llm.personal_data import VOTES, find_personal_data, fit_classifier, fit_labelers, redacted
 from docloom.llm.quality_crf import LineModel, line_features, score_quality
@@ -160,10 +160,46 @@ def test_samples_are_bounded_whatever_repeats(spark):
     docs = spark.createDataFrame(rows, "id long, text string, lang string")
     got = training_texts(docs, "lang", 100, 100_000).collect()
     by = Counter(r.lang for r in got)
-    assert by["en"] < 200 and len(got) == len({(r.lang, r.text) for r in got})
-    assert all(len(r.text) <= 50_000 for r in got)
-    many = spark.createDataFrame([(i, "a b", f"l{i % 40}") for i in range(400)], "doc_id long, text string, lang string")
-    assert len({r.lang_pred for r in identify_languages(many, languages=7).collect()}) <= 7
+    assert 10 < by["en"] < 200 and by["fr"] >= 1 and len(got) == len({(r.lang, r.text) for r in got})
+    assert sum(len(r.text) for r in got if r.lang == "en") < 50_200
+    many = spark.createDataFrame([(i, f"{i % 40} b", f"l{i % 40}") for i in range(400)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in identify_languages(many.withColumn("text", F.concat("text", "lang"))).collect()} == {f"l{i}" for i in range(40)}
+    with pytest.raises(ValueError, match="8 values"):
+        identify_languages(many, languages=7)
+
+
+def test_samples_are_the_smallest_draws(spark):
+    """A plain version of the sample: by class the smallest draws under its rate, until the bytes are enough."""
+    rng = random.Random(6)
+    rows = [(i, "x" * rng.randint(1, 900) + str(i), rng.choice(["a", "a", "a", "b"])) for i in range(900)] + [(1000 + i, "y" * 3_000_000 + str(i), "long") for i in range(6)]
+    docs = spark.createDataFrame(rows, "id long, text string, lang string")
+    drawn = docs.select("lang", "text", F.expr("pmod(xxhash64(cast(id AS string), text), 1 << 30)").alias("draw")).collect()
+    expected = set()
+    for lang in "a", "b", "long":
+        own = sorted((r.draw, r.text) for r in drawn if r.lang == lang)
+        total = sum(len(t) for _, t in own)
+        rate = max(own[0][0] + 1, int(min(1.0, 100 / len(own), 10_000 / total) * (1 << 30)))
+        taken = 0
+        for draw, text in own:
+            if draw < rate and taken < 10_000:
+                expected.add((lang, text))
+                taken += len(text)
+    assert {tuple(r) for r in training_texts(docs, "lang", 100, 30_000).collect()} == expected
+    assert {lang for lang, _ in expected} == {"a", "b", "long"}
+
+
+def test_languages_of_few_and_very_long_texts_are_learned(spark):
+    words = {"aa": "ka lo mi", "bb": "the of and", "cc": "ou la que", "dd": "zwei ein und"}
+    rows = [(i, f"{words[lang]} " * 20 + str(i), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 300)]
+    rows += [(5000 + i, "zwei und ein und " * 300_000 + str(i), "dd") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trees = train_languages(docs, "doc_id", "text", "lang")
+    assert trees.langs == ["aa", "bb", "cc", "dd"]
+    got = {r.doc_id: r.lang_pred for r in identify_languages(docs.where("length(text) < 1000").unionByName(spark.createDataFrame([(1, "ein und zwei", None)], docs.schema))).collect()}
+    assert set(got.values()) == {"aa", "bb", "cc"}  # no long text is there to learn from
+    asked = docs.unionByName(spark.createDataFrame([(9001, "und ein zwei", None), (9002, "que la ou", None)], docs.schema))
+    got = {r.doc_id: r.lang_pred for r in identify_languages(asked).where("doc_id > 9000").collect()}
+    assert got == {9001: "dd", 9002: "cc"}
 
 
 # Quality
@@ -303,6 +339,17 @@ def test_a_failed_source_is_made_good_by_another_hash(spark, monkeypatch):
     assert got == brute.without_repeats(rows)
 
 
+def test_spans_that_no_hash_proves_are_an_error(spark, monkeypatch):
+    """With hashes that are all blind but for the first word, two sources stay confused; nothing is returned in silence."""
+    from docloom.llm import substring_dedup as S
+
+    monkeypatch.setattr(S, "WINDOW_BASES", (0, 0))
+    other, passage = (" ".join(["key", *[f"{c}{k}" for k in range(20)]]) for c in "op")
+    rows = [(0, other), (1, passage), (2, f"x {passage} y"), (3, f"u {other}")]
+    with pytest.raises(RuntimeError, match="under none of 2 hashes"):
+        remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
 def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     class Context:
         master = "spark://somewhere:7077"

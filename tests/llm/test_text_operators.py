@@ -2,16 +2,20 @@ import hashlib
 import math
 import random
 import re
+import time
+from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docloom.llm import queries
-from docloom.llm.decontamination import drop_leaking, find_leaks
+from docloom.llm.decontamination import RADIUS, ItemIndex, drop_leaking, find_leaks
 from docloom.llm.language_id import identify_languages
 from docloom.llm.lm_scoring import score_language_model
-from docloom.llm.mixing import mix_sources
+from docloom.llm.mixing import mix_sources, slot_schedule, source_targets
 from docloom.llm.personal_data import BASE, find_personal_data, redacted
 from docloom.llm.quality_crf import marginals, score_quality
 from docloom.llm.quality_rules import quality_rules
@@ -106,6 +110,74 @@ def test_leaks_equal_brute_force(spark):
     assert find_leaks(brute.frame(spark, rows), bench.where("false")).count() == 0
 
 
+def _plain_leaks(w, items):
+    out = {}
+    for item, x in items:
+        n = min(5, len(x))
+        grams = lambda s, n=n: brute.Counter(tuple(s[k : k + n]) for k in range(len(s) - n + 1))
+        best = max((sum((grams(w[p : p + len(x)]) & grams(x)).values()) / sum((grams(w[p : p + len(x)]) | grams(x)).values()) for p in range(len(w) - len(x) + 1)), default=0.0)
+        if best >= 0.8:
+            out[item] = round(best, 9)
+    return out
+
+
+def test_a_phrase_that_all_items_share_costs_little():
+    """Thousands of items with one stem, and a text that has the stem again and again; one item leaks for real."""
+    rng = random.Random(8)
+    stem = "which of the following is true".split()
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = [(k, stem + [word() for _ in range(34)]) for k in range(4000)]
+    text = []
+    for k in range(60):
+        text += [word() for _ in range(25)] + stem
+        if k == 30:
+            text = text[:-6] + items[77][1][:36] + ["other"] + items[77][1][37:]
+    index = ItemIndex([(k, " ".join(x)) for k, x in items], 5, RADIUS, 0.8)
+    buf = np.frombuffer(" ".join(text).encode(), np.uint8)
+    began = time.perf_counter()
+    got = {item: round(s, 9) for _, item, s, _, _ in index.search(buf, np.array([0, len(buf)]))}
+    assert time.perf_counter() - began < 1.0
+    assert got == _plain_leaks(text, [items[k] for k in range(70, 90)]) and set(got) == {77}
+
+
+def test_no_window_at_the_threshold_is_missed():
+    """Items of all sizes with words changed until the similarity is just over or under 0.8; repeats weigh."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(60)]
+    items, text, placed = [], [], 0
+    for k in range(60):
+        x = [rng.choice(words) for _ in range(rng.randint(3, 70))]
+        if rng.random() < 0.3:
+            x = (x[:7] * 12)[: len(x)]
+        items.append((k, x))
+        y = x[:]
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            at = rng.choice([0, len(y) - 1, rng.randrange(len(y))])
+            y[at] = "changed"
+        text += y + [rng.choice(words) for _ in range(3)]
+        placed += 1
+    index = ItemIndex([(k, " ".join(x)) for k, x in items], 5, RADIUS, 0.8)
+    buf = np.frombuffer(" ".join(text).encode(), np.uint8)
+    got = {item: round(s, 9) for _, item, s, _, _ in index.search(buf, np.array([0, len(buf)]))}
+    expected = _plain_leaks(text, items)
+    assert 20 < len(expected) < 60 and got == expected
+
+
+def test_the_schedule_holds_at_any_size(spark):
+    """A source of 1e15 words, where products of words and blocks pass 64 bits."""
+    sizes = spark.createDataFrame([("a", 10**15), ("b", 3 * 10**14), (None, 5)], "source string, source_size long")
+    targets = source_targets(sizes, 1.5, 2).withColumn("step", F.greatest(F.ceil(F.col("whole") / F.lit(4096)), F.lit(1)).cast("long"))
+    uses = slot_schedule(targets, 2, 4096).join(targets.select("rank", "source_size", "target"), "rank").collect()
+    blocks, taken, target = defaultdict(list), Counter(), {}
+    for r in uses:
+        blocks[r.rank, r.block].append(r)
+        target[r.rank] = r.target
+    for (rank, block), of in blocks.items():
+        low, high = (k * of[0].source_size // of[0].n_blocks for k in (block, block + 1))
+        taken[rank] += (high - low) * (len(of) - 1) + max(min(high, min(r.until for r in of)) - low, 0)
+    assert len(target) == 3 and all(abs(taken[k] - target[k]) <= 1 for k in target)
+
+
 def test_language_model_of_awkward_rows(spark):
     rows = brute.awkward_documents(4, 30)
     got = score_language_model(brute.frame(spark, rows), part_bytes=20_000).collect()
