@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.sources.shared_tables import SharedTables
+
 SEMANTIC = ("scope_id", "id", "role", "text")
 EDITING = (*SEMANTIC, "parent_id", "sibling_order", "depth", "element", "classes")
 
@@ -103,15 +105,26 @@ def closure(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode("ancestor_ids").alias("ancestor_id"), "id")
 
 
-def tree_paths(spark, nodes: DataFrame, max_depth: int = 512) -> DataFrame:
-    """Ancestor ids of an adjacency list (id, parent_id), level by level, for trees small enough to recurse over."""
-    if int(spark.conf.get("spark.sql.cteRecursionLevelLimit")) < max_depth:
-        spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max_depth))
-    return spark.sql(
-        "WITH RECURSIVE t(id, ancestor_ids) AS (SELECT id, CAST(array() AS ARRAY<STRING>) FROM {nodes} WHERE parent_id IS NULL "
-        "UNION ALL SELECT n.id, t.ancestor_ids || array(t.id) FROM {nodes} n JOIN t ON n.parent_id = t.id) SELECT * FROM t",
-        nodes=nodes.select("id", "parent_id"),
-    )
+def ancestor_closure(nodes: DataFrame) -> DataFrame:
+    """(id, ancestor_id, distance) of an adjacency list (id, parent_id) that knows no ancestors, by pointer doubling.
+
+    Every round joins what is known with the jumps of its length, so a tree of depth d takes log2(d) + 1 joins, not d. Each
+    round is written, and the next reads it. Parents that are not in the list end a chain; ids may be of any type that
+    can be joined. A cycle is an error that names one of its members.
+    """
+    tables = SharedTables(nodes.sparkSession, "closure")
+    edges = nodes.select("id", F.col("parent_id").alias("ancestor_id")).join(nodes.select(F.col("id").alias("ancestor_id")).distinct(), "ancestor_id", "left_semi")
+    known = tables.cut("known-0", edges.select("id", "ancestor_id", F.lit(1).alias("distance")))
+    jumps, turn = known, 0
+    while jumps.head(1):
+        if around := known.where("id = ancestor_id").head(1):
+            raise ValueError(f"{around[0].id} is an ancestor of itself")
+        turn += 1
+        step = jumps.select("id", F.col("ancestor_id").alias("via"), F.col("distance").alias("so_far"))
+        longer = lambda rows, step=step: rows.withColumnRenamed("id", "via").join(step, "via").select("id", "ancestor_id", (F.col("so_far") + F.col("distance")).alias("distance"))
+        more, jumps = tables.cut(f"more-{turn}", longer(known)), tables.cut(f"jumps-{turn}", longer(jumps))
+        known = known.unionByName(more)
+    return known
 
 
 def preorder(nodes: DataFrame, path: Column, branch: int = 3) -> DataFrame:

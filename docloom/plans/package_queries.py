@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.scalars import escape_xml
 from docloom.operators import deck as D
 from docloom.operators import normalise as N
 from docloom.plans.registry import query, table
+from docloom.plans.rule_cases import CASES, EXPECTED
 from docloom.sources import packages as P
+from docloom.sources import xml_tree as T
+from docloom.sources.shared_tables import SharedTables
 
 #: A deck a customer, a slide a remainder of the order key, a title and a shape an order on it; and the same edited.
 DECKS_SQL = """
@@ -123,26 +125,43 @@ def r1_status(spark, sf):
     return D.reconcile_packages(base, edited)[2].select("package", "n_auto_fixable", "n_review", "n_refused", "status")
 
 
-RULE_PARTS = {
-    0: ("ppt/presentation.xml", '<p:sldSz cx="12192000" cy="6858000"/>', "slide-size-preset-omitted"),
-    1: ("ppt/slides/slide1.xml", '<p:grpSpPr><a:xfrm><a:off x="0" y="0"/><a:ext cx="0" cy="0"/><a:chOff x="0" y="0"/><a:chExt cx="0" cy="0"/></a:xfrm></p:grpSpPr>', "root-zero-group-transform"),
-    2: ("ppt/theme/theme1.xml", "<a:objectDefaults/>", "theme-empty-defaults"),
-    3: ("ppt/slides/slide2.xml", '<a:p><a:endParaRPr lang="en"/></a:p>', "end-paragraph-style-marker-omitted"),
-    4: ("ppt/presProps.xml", "<p:presentationPr><a/></p:presentationPr>", "presentation-property-defaults"),
-    5: ("ppt/viewProps.xml", "<v/>", "view-properties-inert"),
-    6: ("ppt/tableStyles.xml", "<a:tblStyleLst/>", "table-styles-inert"),
-    7: ("docProps/core.xml", "<c/>", "generated-metadata"),
-    8: ("ppt/media/image1.xml", "<i/>", None),
-    9: ("ppt/presentation.xml", '<p:sldSz cx="12192000" cy="6858001"/>', None),
-    10: ("ppt/slides/slide3.xml", "<p:grpSpPr/>", None),
-}
-RULES_SQL = " ".join(f"WHEN {k} THEN '{rule}'" for k, (_, _, rule) in RULE_PARTS.items() if rule)
-
-
-@query("n4_n11_a14_normalisation_evidence", f"""WITH d AS (SELECT 'c' || o_custkey AS package, CASE o_orderkey % 11 {RULES_SQL} END AS rule, o_orderkey % 11 = 8 AS rich FROM orders), g AS (SELECT package, bool_or(rich) AS rich FROM d GROUP BY ALL)
-SELECT package, rule, count(*) AS n FROM d JOIN g USING (package) WHERE rule IS NOT NULL AND NOT (g.rich AND rule IN ('presentation-property-defaults', 'table-styles-inert')) GROUP BY ALL""")
+RULES_SQL = ", ".join(f"({v}, '{rule}', '{predicate}', {str(passed).lower()})" for v, rule, predicate, passed in EXPECTED)
+
+
+def _rule_parts(spark, sf: str) -> DataFrame:
+    """A package an order: one of the cases that a rule fits or just misses."""
+    rows = [(v, name, bytearray(text.encode())) for v, parts in CASES.items() for name, text in parts]
+    cases = spark.createDataFrame(rows, "v int, name string, content binary")
+    return table(spark, sf, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("package"), (F.col("o_orderkey") % 29).cast("int").alias("v")).join(cases, "v").drop("v")
+
+
+@query("n4_n11_normalisation_proofs", f"""SELECT 'o' || o_orderkey AS package, rule, predicate, passed FROM orders JOIN (VALUES {RULES_SQL}) e(v, rule, predicate, passed) ON o_orderkey % 29 = v""")
+def n4_proofs(spark, sf):
+    """Every predicate of every rule at the place it looks at, held or not."""
+    nodes = T.elements(T.tokens(_rule_parts(spark, sf)))
+    return N.proofs(N.candidates(SharedTables(spark, "proofs").cut("nodes", nodes))).select("package", "rule", "predicate", "passed")
+
+
+@query("n4_n11_a14_normalisation_evidence", f"""WITH e AS (SELECT v, rule, bool_and(passed) AS fires FROM (VALUES {RULES_SQL}) e(v, rule, predicate, passed) GROUP BY ALL)
+SELECT 'o' || o_orderkey AS package, rule, 1 AS n FROM orders JOIN e ON o_orderkey % 29 = v WHERE fires""")
 def n4_rules(spark, sf):
-    """Each order is a part that a rule fits or just misses; pictures in a package keep two rules from firing."""
-    choose = lambda k: reduce(lambda acc, i: acc.when(F.col("o_orderkey") % 11 == i, RULE_PARTS[i][k]), range(11), F)
-    parts = table(spark, sf, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("package"), choose(0).alias("name"), F.encode(choose(1), "UTF-8").alias("content"))
-    return N.evidence_by_rule(N.normalise(parts)[1]).select("package", "rule", "n")
+    """A rule fires only where all its predicates hold."""
+    return N.evidence_by_rule(N.normalise(_rule_parts(spark, sf))[1]).select("package", "rule", "n")
+
+
+@query("s21_s23_xml_nodes", """WITH d AS (SELECT doc_id, 1 + doc_id % 4 AS depth, doc_id % 3 AS kids, coalesce(len(regexp_extract_all(text, '<|&')), 0) AS marks FROM documents),
+n AS (SELECT doc_id, unnest(range(1, depth + 1)) AS level, kids, depth, marks FROM d)
+SELECT doc_id::VARCHAR AS package, level::INT AS depth, '{urn:' || CASE WHEN level % 2 = 0 THEN 'b' ELSE 'a' END || '}n' AS tag, CASE WHEN level = depth THEN kids ELSE 1 END + CASE WHEN level = depth THEN 1 ELSE 0 END AS n_children, CASE WHEN level = depth THEN marks ELSE 0 END AS n_marks FROM n""")
+def xml_nodes(spark, sf):
+    """Documents wrapped in elements whose prefix changes its namespace from level to level; texts come back as they were."""
+    depth = F.col("doc_id") % 4 + 1
+    space = lambda k: F.when(k % 2 == 0, "urn:b").otherwise("urn:a")
+    opens = F.array_join(F.transform(F.sequence(F.lit(1), depth), lambda k: F.concat(F.lit('<x:n xmlns:x="'), space(k), F.lit('">'))), "")
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+    kids = F.repeat(F.lit("<!-- <k> --><k a='>'/>"), (F.col("doc_id") % 3).cast("int"))
+    xml = F.concat(opens, F.lit("<t>"), escape_xml(text), F.lit("</t>"), kids, F.repeat(F.lit("</x:n>"), depth.cast("int")))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("package"), F.lit("part.xml").alias("name"), F.encode(xml, "UTF-8").alias("content"))
+    nodes = SharedTables(spark, "xml").cut("nodes", T.elements(T.tokens(docs)))
+    below = nodes.groupBy("package", F.col("parent").alias("node")).agg(F.count("*").alias("n_children"), F.sum(F.regexp_count("text", F.lit("[<&]"))).alias("n_marks"))
+    out = nodes.where("tag LIKE '%}n'").join(below, ["package", "node"], "left")
+    return out.select("package", "depth", "tag", F.coalesce("n_children", F.lit(0)).alias("n_children"), F.coalesce("n_marks", F.lit(0)).alias("n_marks"))
