@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.scalars import escape_xml
 from docloom.operators import normalise as N
 from docloom.operators import reconcile as C
 from docloom.sources import packages as P
+from docloom.sources import xml_tree as T
+from docloom.sources.shared_tables import SharedTables
 
 # Names, types and relationship types of package parts, theme colours, shape presets, units.
 EMU = 7620
@@ -129,60 +132,106 @@ def compile_decks(objects: DataFrame, width: int = 1600, height: int = 900) -> D
     return decks.select("package", F.explode(every).alias("p")).select("package", "p.name", F.encode("p.text", "UTF-8").alias("content"))
 
 
-def _shells(parts: DataFrame) -> DataFrame:
-    """Parts with the shapes of slides taken out: what no shape says."""
-    bare = F.encode(F.regexp_replace(F.decode("content", "UTF-8"), N.SHAPE, ""), "UTF-8")
-    return parts.withColumn("content", F.when(F.col("name").rlike(N.SLIDE), bare).otherwise(F.col("content")))
+RELATION_ID = r"^[{]" + re.escape(OFFICE) + r"[}](id|embed|link)$"
+FIELDS = (*OPERATIONS, *WITHOUT_OPERATION)
 
 
-def _one_each(parts: DataFrame, side: str) -> DataFrame:
-    found = N.slide_objects(parts).withColumn("frame", F.concat_ws(" ", "x", "y", "width", "height"))
-    fields = F.struct(*OPERATIONS, *WITHOUT_OPERATION)
-    return found.groupBy("package", "shape_name").agg(F.count("*").alias(f"{side}_n"), F.min_by(fields, F.struct("name", "ordinal")).alias(side))
+def _signatures(nodes: DataFrame, parts: DataFrame, leaves: tuple[str, ...]) -> DataFrame:
+    """(package, name, signature): what each part says besides its shapes, whatever order or ids its relations have."""
+    relations = N.relations(nodes)
+    graph = relations.groupBy("package", "name").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "type", F.col("external").cast("string"), "target"))), "\n").alias("body"))
+    types = nodes.where((F.col("name") == N.TYPES) & (F.col("depth") == 2)).groupBy("package", "name").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ", "tag", T.said()))), "\n").alias("body"))
+    targets = relations.groupBy("package", F.col("source").alias("name")).agg(F.map_from_entries(F.collect_set(F.struct("rid", "target"))).alias("targets"))
+    shell = T.with_anchor(nodes.where((F.col("name") != N.TYPES) & ~F.col("name").endswith(".rels")), F.col("tag").isin(*leaves) & F.col("name").rlike(N.SLIDE)).where("anchor IS NULL")
+    refers = F.map_values(F.map_filter("attributes", lambda k, v: k.rlike(RELATION_ID)))
+    line = F.concat_ws(" ", "depth", "tag", T.said(F.map_filter("attributes", lambda k, v: ~k.rlike(RELATION_ID))), F.trim(F.regexp_replace("text", r"^\s+|\s+$", "")))
+    body = shell.groupBy("package", "name").agg(F.array_sort(F.collect_list(F.struct("node", line.alias("line"), refers.alias("refers")))).alias("lines")).join(targets, ["package", "name"], "left")
+    told = F.transform("lines", lambda x: F.concat_ws(" ", x["line"], F.array_join(F.transform(x["refers"], lambda r: F.coalesce(F.try_element_at("targets", r), r)), " ")))
+    body = body.select("package", "name", F.array_join(told, "\n").alias("body"))
+    plain = parts.where("content IS NOT NULL AND NOT name RLIKE '[.](xml|rels)$'").select("package", "name", F.hex("content").alias("body"))
+    every = graph.unionByName(types).unionByName(body).unionByName(plain)
+    return every.select("package", "name", F.sha2("body", 256).alias("signature"))
 
 
-def _orders(parts: DataFrame) -> DataFrame:
-    return N.slide_objects(parts).select(F.struct("package", "name").alias("parent_id"), F.col("shape_name").alias("id"), F.col("ordinal").alias("sibling_order"))
+def _two(baseline: DataFrame, edited: DataFrame) -> DataFrame:
+    """Both sides as one table, told apart by the first letter of the package: what is done to parts is done once."""
+    named = lambda parts, side: parts.select(F.concat(F.lit(side), "package").alias("package"), "name", "content")
+    return named(baseline, "b").unionByName(named(edited, "e"))
+
+
+def _side(rows: DataFrame, side: str) -> DataFrame:
+    return rows.where(F.col("package").startswith(side)).withColumn("package", F.substr("package", F.lit(2)))
+
+
+def _normalised(baseline: DataFrame, edited: DataFrame, tables: SharedTables) -> DataFrame:
+    """Both sides with the proven rules applied, written."""
+    given = tables.cut("given", _two(baseline, edited))
+    return tables.cut("parts", N.normalise(given, tables)[0])
+
+
+def package_facts(parts: DataFrame, tables: SharedTables) -> DataFrame:
+    """(package, kind, key, shapes, signature): a row for each shape name and each part of the packages, written.
+
+    Parts are read once into node rows; all that is compared comes from these. ``shapes`` lists what has the name, in order:
+    the fields that have an operation and those that have none, the part, the place in it, and a fingerprint of all that
+    a copy in the same place would repeat.
+    """
+    nodes = tables.cut("nodes", T.elements(T.tokens(parts.where("content IS NOT NULL AND name RLIKE '[.](xml|rels)$'"))))
+    found = N.slide_shapes(nodes).where("shape_name IS NOT NULL").withColumn("frame", F.concat_ws(" ", "x", "y", "width", "height"))
+    fingerprint = F.sha2(F.to_json(F.struct("name", "kind", "frame", "text", "fill", "preset", "residue", "groups")), 256).alias("fingerprint")
+    one = F.struct("name", "ordinal", *[F.col(c) for c in FIELDS if c != "name"], "kind", "groups", fingerprint)
+    shapes = found.groupBy("package", F.col("shape_name").alias("key")).agg(F.array_sort(F.collect_list(one)).alias("shapes"))
+    signed = _signatures(nodes, parts, tuple(f"{N.P}{t}" for t in N.LEAVES))
+    rows = shapes.select("package", F.lit("shape").alias("kind"), "key", "shapes", F.lit(None).cast("string").alias("signature"))
+    return tables.cut("facts", rows.unionByName(signed.select("package", F.lit("part").alias("kind"), F.col("name").alias("key"), F.lit(None).alias("shapes"), "signature"), allowMissingColumns=True))
 
 
 def package_changes(baseline: DataFrame, edited: DataFrame) -> DataFrame:
     """(package, subject, op, old, new): all that edited packages say differently, by shape name, part or graph.
 
     Both sides are parts (package, name, content), already normalised; a package has one name on both sides. A shape is
-    known by its name; one that stands twice on a side is ambiguous and gets no operation.
+    known by its name; one that stands twice on a side is ambiguous and gets no operation here (``clone_proposals`` may
+    tell a copy from its template). The sides meet once, in one full outer join of their facts.
     """
-    both = _one_each(baseline, "b").join(_one_each(edited, "e"), ["package", "shape_name"], "full_outer")
+    tables = SharedTables(baseline.sparkSession, "changes")
+    return _changes(tables.cut("parts", _two(baseline, edited)), tables)
+
+
+def _changes(parts: DataFrame, tables: SharedTables) -> DataFrame:
+    facts = package_facts(parts, tables)
+    b, e, edited = _side(facts, "b"), _side(facts, "e"), _side(parts, "e")
+    key = ["package", "kind", "key"]
+    both = tables.cut("both", b.select(*key, F.col("shapes").alias("b"), F.col("signature").alias("old")).join(e.select(*key, F.col("shapes").alias("e"), F.col("signature").alias("new")), key, "full_outer"))
     told = lambda op, old, new: F.struct(F.lit(op).alias("op"), old.cast("string").alias("old"), new.cast("string").alias("new"))
-    fields = F.array(*[told(op, F.col("b")[c], F.col("e")[c]) for c, op in {**OPERATIONS, **WITHOUT_OPERATION}.items()])
-    none = F.lit(None)
+    none, first = F.lit(None), lambda c: F.col(c)[0]
+    fields = F.array(*[told(op, first("b")[c], first("e")[c]) for c, op in {**OPERATIONS, **WITHOUT_OPERATION}.items()])
     changed = (
-        F.when(F.col("b").isNull(), F.array(told("object-new", none, F.col("shape_name"))))
-        .when(F.col("e").isNull(), F.array(told("object-missing", F.col("shape_name"), none)))
-        .when((F.col("b_n") > 1) | (F.col("e_n") > 1), F.array(told("object-ambiguous", F.col("b_n"), F.col("e_n"))))
+        F.when(F.col("kind") == "part", F.when(F.col("old").eqNullSafe(F.col("new")), F.array().cast("array<struct<op:string,old:string,new:string>>")).otherwise(F.array(F.struct(F.when(F.col("new").isNull(), "part-missing").when(F.col("old").isNull(), "part-new").otherwise("part-changed").alias("op"), "old", "new"))))
+        .when(F.col("b").isNull(), F.array(told("object-new", none, F.col("key"))))
+        .when(F.col("e").isNull(), F.array(told("object-missing", F.col("key"), none)))
+        .when((F.size("b") > 1) | (F.size("e") > 1), F.array(told("object-ambiguous", F.size("b"), F.size("e"))))
         .otherwise(F.filter(fields, lambda c: ~c["old"].eqNullSafe(c["new"])))
-    )
-    shapes = both.select("package", F.col("shape_name").alias("subject"), F.explode(changed).alias("c")).select("package", "subject", "c.*")
-    moved = C.reordered_parents(_orders(baseline), _orders(edited))
-    listed = lambda c: F.array_join(c, " ")
-    moved = moved.select("parent_id.package", F.col("parent_id.name").alias("subject"), F.lit("set-child-order").alias("op"), listed("old").alias("old"), listed("new").alias("new"))
-    b = P.part_signatures(_shells(baseline)).select("package", "name", F.col("signature").alias("old"))
-    e = P.part_signatures(_shells(edited)).select("package", "name", F.col("signature").alias("new"))
-    state = F.when(F.col("new").isNull(), "part-missing").when(F.col("old").isNull(), "part-new").otherwise("part-changed")
-    parts = b.join(e, ["package", "name"], "full_outer").where("NOT old <=> new").select("package", F.col("name").alias("subject"), state.alias("op"), "old", "new")
-    graph = P.graph_findings(edited.withColumn("problem", F.lit(None).cast("string"))).select("package", "subject", F.lower("code").alias("op"), none.cast("string").alias("old"), none.cast("string").alias("new"))
-    return shapes.unionByName(moved).unionByName(parts).unionByName(graph)
+    )
+    rows = both.select("package", F.col("key").alias("subject"), F.explode(changed).alias("c")).select("package", "subject", "c.*")
+    placed = lambda c: F.transform(c, lambda s: F.struct(s["name"].alias("name"), s["ordinal"].alias("ordinal")))
+    common = both.where("kind = 'shape' AND b IS NOT NULL AND e IS NOT NULL").select("package", "key", F.explode(placed("b")).alias("x"), placed("e").alias("y")).select("package", "key", "x", F.explode("y").alias("y")).where("x.name = y.name")
+    common = common.select(F.struct("package", F.col("x.name").alias("name")).alias("parent_id"), F.col("key").alias("id"), F.col("x.ordinal").alias("_old"), F.col("y.ordinal").alias("_new"))
+    moved = C.reordered(common).select("parent_id.package", F.col("parent_id.name").alias("subject"), F.lit("set-child-order").alias("op"), F.array_join("old", " ").alias("old"), F.array_join("new", " ").alias("new"))
+    graph = P.graph_findings(edited.withColumn("problem", none.cast("string"))).select("package", "subject", F.lower("code").alias("op"), none.cast("string").alias("old"), none.cast("string").alias("new"))
+    return rows.unionByName(moved).unionByName(graph)
 
 
 def reconcile_packages(baseline: DataFrame, edited: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(operations, findings, status by package) of edited packages against the decks that they were made from.
 
-    What an application does on saving is normalised on both sides first. Geometry, text and fill of a shape have an
-    operation; deleted shapes and changed order need review; all else is refused. A package without findings is
-    unchanged; one missing on the edited side has all its parts missing.
+    What an application does on saving is normalised on both sides first, with proof. Geometry, text and fill of a shape have an
+    operation; deleted shapes and changed order need review; all else is refused, and so are objects that no operation
+    could carry over where the edited side has them and the baseline has not. A package without findings is unchanged;
+    one missing on the edited side has all its parts missing. Each step's rows are written to the shared folder and read
+    from there, so plans stay small and nothing is computed twice.
     """
-    # Each side is read by several joins: kept, it is normalised once and the plans above it stay small.
-    base, now = N.normalise(baseline)[0].persist(), N.normalise(edited)[0].persist()
-    changes = package_changes(base, now)
+    tables = SharedTables(baseline.sparkSession, "reconcile")
+    changes = tables.cut("changes", _changes(_normalised(baseline, edited, tables), tables))
     disposition = F.when(F.col("op").isin(*OPERATIONS.values()), "auto-fixable").when(F.col("op").isin(*REVIEW), "review").otherwise("refused")
     found = C.findings(changes, disposition, F.lit("source-change"))
     every = baseline.select("package").unionByName(edited.select("package")).distinct()
@@ -191,6 +240,64 @@ def reconcile_packages(baseline: DataFrame, edited: DataFrame) -> tuple[DataFram
     return found.where(F.col("op").isin(*OPERATIONS.values())).select("package", "subject", "op", "old", "new"), found, verdicts
 
 
+def _digests(parts: DataFrame, name: str) -> DataFrame:
+    """(package, digest): one digest of all parts of each package, by name."""
+    one = F.concat_ws(" ", "name", F.sha2("content", 256))
+    return parts.groupBy("package").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(one)), "\n"), 256).alias(name))
+
+
+def clone_proposals(baseline: DataFrame, edited: DataFrame, findings: DataFrame) -> DataFrame:
+    """(package, subject, verdict, frame, fill, and five digests) of each shape name that stands twice in an edited package.
+
+    Occurrences meet the baseline's by their fingerprints. ``copy`` means that there are two, that exactly one of them is the
+    baseline's only one, and that both are lines of one slide and one group: then the other is the copy, and its frame
+    and fill are given. Else the verdict says why it stays refused: occurrences, template, kind, parent or ambiguous.
+    The digests name the baseline, the edited package, its findings, and both fingerprints; ``accepted_clones`` asks for them.
+    """
+    tables = SharedTables(baseline.sparkSession, "clones")
+    facts = package_facts(_normalised(baseline, edited, tables), tables)
+    b, e = _side(facts, "b"), _side(facts, "e")
+    pairs = e.where("kind = 'shape' AND size(shapes) > 1").select("package", "key", F.col("shapes").alias("e")).join(b.where("kind = 'shape'").select("package", "key", F.col("shapes").alias("b")), ["package", "key"], "left")
+    template = F.col("b")[0]
+    equal, other = F.filter("e", lambda s: s["fingerprint"] == template["fingerprint"]), F.filter("e", lambda s: s["fingerprint"] != template["fingerprint"])
+    verdict = (
+        F.when(F.col("b").isNull() | (F.size("b") != 1), "template").when(F.size("e") != 2, "occurrences").when(F.exists("e", lambda s: s["kind"] != "cxnSp") | (template["kind"] != "cxnSp"), "kind")
+        .when(F.exists("e", lambda s: (s["name"] != template["name"]) | ~s["groups"].eqNullSafe(template["groups"])), "parent").when(F.size(equal) != 1, "ambiguous").when((other[0]["preset"] != template["preset"]) | (other[0]["residue"] != template["residue"]), "kind").otherwise("copy")
+    )
+    out = pairs.withColumn("verdict", verdict)
+    copy = F.when(F.col("verdict") == "copy", other[0])
+    report = findings.groupBy("package").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("finding_id")), ","), 256).alias("report_sha256"))
+    out = out.select("package", F.col("key").alias("subject"), "verdict", copy["frame"].alias("frame"), copy["fill"].alias("fill"), F.when(copy.isNotNull(), template["fingerprint"]).alias("template_fingerprint"), copy["fingerprint"].alias("copy_fingerprint"))
+    for digests in (report, _digests(baseline, "baseline_sha256"), _digests(edited, "edited_sha256")):
+        out = out.join(digests, "package", "left")
+    return out
+
+
+#: What a decision must repeat of a proposal.
+BOUND = ("report_sha256", "baseline_sha256", "edited_sha256", "template_fingerprint", "copy_fingerprint")
+
+
+def accepted_clones(proposals: DataFrame, decisions: DataFrame, objects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(objects with the accepted copies, checked decisions). A decision (package, subject, new_id and the digests of
+    ``BOUND``) is accepted if it names a proposal that is a copy and repeats all its digests, and its id is free.
+
+    Verdicts are ok, unknown, not-a-copy, stale (a digest differs), id-taken or conflicting (two decisions of one shape or one
+    id). One that is not ok withholds all decisions of its package. A copy stands right after its template.
+    """
+    stale = reduce(Column.__or__, [~F.col(f"d.{c}").eqNullSafe(F.col(f"p.{c}")) for c in BOUND])
+    taken = objects.select("package", F.col("id").alias("new_id"), F.lit(True).alias("taken")).distinct()
+    twice = lambda *by: F.count("*").over(Window.partitionBy("package", *by)) > 1
+    told = decisions.withColumn("many", twice("subject") | twice("new_id")).join(taken, ["package", "new_id"], "left")
+    both = told.alias("d").join(proposals.alias("p"), (F.col("d.package") == F.col("p.package")) & (F.col("d.subject") == F.col("p.subject")), "left")
+    verdict = F.when(F.col("p.verdict").isNull(), "unknown").when(F.col("p.verdict") != "copy", "not-a-copy").when(stale, "stale").when(F.col("taken"), "id-taken").when(F.col("many"), "conflicting").otherwise("ok")
+    checked = both.select("d.package", "d.subject", "d.new_id", verdict.alias("verdict"), "p.frame", "p.fill")
+    held = checked.groupBy("package").agg(F.bool_and(F.col("verdict") == "ok").alias("all")).where("all").select("package")
+    at = lambda k: F.split("frame", " ")[k].cast("double")
+    ok = checked.join(held, "package", "left_semi").select("package", F.col("subject").alias("id"), "new_id", *[at(k).alias(f"_{c}") for k, c in enumerate(("x", "y", "width", "height"))], F.col("fill").alias("_fill"))
+    made = objects.join(ok, ["package", "id"]).withColumns({c: F.col(f"_{c}").cast(objects.schema[c].dataType) for c in ("x", "y", "width", "height", "fill")}).withColumn("id", F.col("new_id"))
+    return objects.unionByName(made.select(*objects.columns)), checked.select("package", "subject", "new_id", "verdict")
+
+
 def patched(objects: DataFrame, operations: DataFrame) -> DataFrame:
     """The objects of ``compile_decks`` with operations (package, subject, op, old, new) applied by shape name."""
     news = operations.groupBy("package", F.col("subject").alias("id")).agg(
@@ -208,5 +315,6 @@ def patched(objects: DataFrame, operations: DataFrame) -> DataFrame:
 def unproven_packages(objects: DataFrame, edited: DataFrame, operations: DataFrame) -> DataFrame:
     """What still differs from the edited packages after the operations are applied to the objects and these compiled
     again: empty for a package exactly if its operations say all that was changed."""
+    tables = SharedTables(objects.sparkSession, "proof")
     again = P.read_parts(P.write_packages(compile_decks(patched(objects, operations)))).select("package", "name", "content")
-    return package_changes(N.normalise(again)[0].persist(), N.normalise(edited)[0].persist())
+    return _changes(_normalised(again, edited, tables), tables)

@@ -94,7 +94,7 @@ def _only(c: str, **tests: str) -> Column:
     return F.filter(c, lambda e: reduce(lambda a, kv: a & (e[kv[0]] == kv[1]), tests.items(), F.lit(True)))
 
 
-def _relations(nodes: DataFrame) -> DataFrame:
+def relations(nodes: DataFrame) -> DataFrame:
     """Relationships of the node rows, each with the element that says it."""
     rels = nodes.where((F.col("tag") == RELATION) & F.col("name").endswith(".rels"))
     source = F.regexp_replace("name", r"_rels/([^/]*)[.]rels$", "$1")
@@ -178,11 +178,11 @@ def normalise(parts: DataFrame, tables: SharedTables | None = None) -> tuple[Dat
     to it and its content type with it.
     """
     tables = tables or SharedTables(parts.sparkSession, "normalise")
-    nodes = tables.cut(f"nodes-{id(parts)}", T.elements(T.tokens(parts.where("content IS NOT NULL AND name RLIKE '[.](xml|rels)$'"))))
-    fired = tables.cut(f"fired-{id(parts)}", candidates(nodes).where(F.forall(F.map_values("checks"), lambda v: v)).drop("checks"))
+    nodes = tables.cut("given-nodes", T.elements(T.tokens(parts.where("content IS NOT NULL AND name RLIKE '[.](xml|rels)$'"))))
+    fired = tables.cut("fired", candidates(nodes).where(F.forall(F.map_values("checks"), lambda v: v)).drop("checks"))
     gone = fired.where("edit IS NULL").select("package", F.col("name").alias("part")).distinct()
     # What points to a dropped part goes with it.
-    said = _relations(nodes).where("NOT external").select("package", "name", "start", "end", F.col("target").alias("part"))
+    said = relations(nodes).where("NOT external").select("package", "name", "start", "end", F.col("target").alias("part"))
     override = nodes.where((F.col("tag") == OVERRIDE) & (F.col("name") == TYPES)).select("package", "name", "start", "end", F.regexp_replace(F.col("attributes")["PartName"], "^/", "").alias("part"))
     follow = said.unionByName(override).join(gone, ["package", "part"], "left_semi").select("package", "name", F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.lit("").alias("replacement")).alias("edit"))
     edits = fired.where("edit IS NOT NULL").select("package", "name", "edit").unionByName(follow).groupBy("package", "name").agg(F.array_sort(F.collect_list("edit")).alias("edits"))

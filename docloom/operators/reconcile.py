@@ -25,7 +25,11 @@ def child_orders(nodes: DataFrame, key: str = "id", parent: str = "parent_id", o
 
 def reordered_parents(baseline: DataFrame, edited: DataFrame, key: str = "id", parent: str = "parent_id", order: str = "sibling_order") -> DataFrame:
     """(parent_id, old, new): parents whose children that both sides have stand in another order."""
-    both = baseline.select(parent, key, F.col(order).alias("_old")).join(edited.select(parent, key, F.col(order).alias("_new")), [parent, key])
+    return reordered(baseline.select(parent, key, F.col(order).alias("_old")).join(edited.select(parent, key, F.col(order).alias("_new")), [parent, key]), key, parent)
+
+
+def reordered(both: DataFrame, key: str = "id", parent: str = "parent_id") -> DataFrame:
+    """``reordered_parents`` of children that have met already, with their places ``_old`` and ``_new``."""
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(c, key))), lambda x: x[key])
     return both.groupBy(parent).agg(ordered("_old").alias("old"), ordered("_new").alias("new")).where("old <> new")
 

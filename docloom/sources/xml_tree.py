@@ -18,6 +18,11 @@ XML_SPACE = "http://www.w3.org/XML/1998/namespace"
 BY = ("package", "name")
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def decoded(x: Column) -> Column:
     """Text with its five named entities and its numeric references resolved."""
     number = lambda p: F.when(p.startswith("&#x"), F.regexp_extract(p, "^&#x([0-9A-Fa-f]+);$", 1)).otherwise(F.conv(F.regexp_extract(p, "^&#([0-9]+);$", 1), 10, 16))
@@ -26,7 +31,7 @@ def decoded(x: Column) -> Column:
     out = F.when(F.contains(x, F.lit("&#")), F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^&#"), char(p)).otherwise(p)), "")).otherwise(x)
     for code, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(code), F.lit(plain))
-    return out
+    return F.when(F.contains(x, F.lit("&")), out).otherwise(x)
 
 
 def tokens(parts: DataFrame, by: tuple[str, ...] = BY, text: Column | None = None) -> DataFrame:
@@ -55,9 +60,10 @@ def _tag(raw: Column) -> Column:
 
 def _pairs(raw: Column) -> Column:
     """The attributes of a tag as written, names with their prefixes; none where a name stands twice."""
-    keys = F.regexp_extract_all(raw, F.lit(ATTRIBUTE), F.lit(1))
+    none = F.create_map().cast("map<string,string>")
     values = F.transform(F.regexp_extract_all(raw, F.lit(ATTRIBUTE), F.lit(2)), lambda v: decoded(F.substr(v, F.lit(2), F.length(v) - 2)))
-    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_arrays(keys, values)).otherwise(F.create_map().cast("map<string,string>"))
+    found = let(F.regexp_extract_all(raw, F.lit(ATTRIBUTE), F.lit(1)), lambda keys: F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_arrays(keys, values)).otherwise(none))
+    return F.when(F.contains(raw, F.lit("=")), found).otherwise(none)
 
 
 def _placed(found: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -80,34 +86,35 @@ def elements(found: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     could be read; ``faults`` tells.
     """
     placed = _placed(found, by)
-    tags = placed.where("kind IN ('open', 'empty')").withColumn("given", _pairs(F.col("raw")))
-    after = F.col("at") + F.length("raw")
+    is_tag, after = F.col("kind").isin("open", "empty"), F.col("at") + F.length("raw")
     own = F.when(F.col("kind") == "cdata", F.expr("substring(raw, 10, length(raw) - 12)")).otherwise(decoded(F.col("raw")))
-    below = placed.where("kind IN ('close', 'text', 'cdata') AND above IS NOT NULL").groupBy(*by, F.col("above.node").alias("node")).agg(
+    # An element's tag, its close tag and its texts meet under its number; all stay where the part is.
+    known = placed.where("kind IN ('open', 'empty') OR (kind IN ('close', 'text', 'cdata') AND above IS NOT NULL)").groupBy(*by, F.when(is_tag, F.col("node")).otherwise(F.col("above.node")).alias("element")).agg(
+        F.min(F.when(is_tag, F.struct("node", "depth", "raw", "above", F.col("at").alias("start"), after.alias("inner")))).alias("t"),
         F.min(F.when(F.col("kind") == "close", F.struct(F.col("node").alias("close"), F.col("at").alias("until"), after.alias("end")))).alias("c"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") != "close", F.struct("node", own.alias("t"))))), lambda x: x["t"]), "").alias("text"),
-    )
-    spaces = F.map_filter("given", lambda k, v: k.rlike("^xmlns(:|$)"))
-    known = tags.join(below, [*by, "node"], "left").withColumn("close", F.coalesce("c.close", "node"))
-    each = known.where(F.size(spaces) > 0).select(*by, "node", "close", F.explode(spaces).alias("k", "uri"))
-    bound = each.groupBy(*by).agg(F.collect_list(F.struct(F.regexp_replace("k", "^xmlns:?", "").alias("prefix"), "node", "close", "uri")).alias("spaces"))
-    known = known.join(bound, list(by), "left")
-
-    def expanded(name: Column, plain: Column) -> Column:
-        prefix = F.when(F.contains(name, F.lit(":")), F.substring_index(name, ":", 1)).otherwise("")
-        local = F.substring_index(name, ":", -1)
-        held = F.filter("spaces", lambda s: (s["prefix"] == prefix) & (s["node"] <= F.col("node")) & (s["close"] >= F.col("node")))
-        uri = F.when(prefix == "xml", XML_SPACE).otherwise(F.array_max(F.transform(held, lambda s: F.struct(s["node"], s["uri"])))["uri"])
-        return F.when(plain | uri.isNull() | (uri == ""), F.when(prefix == "", local).otherwise(name)).otherwise(F.concat(F.lit("{"), uri, F.lit("}"), local))
-
-    kept = F.filter(F.map_entries("given"), lambda e: ~e["key"].rlike("^xmlns(:|$)"))
-    named = F.transform(kept, lambda e: F.struct(expanded(e["key"], ~F.contains(e["key"], F.lit(":"))).alias("key"), e["value"].alias("value")))
-    keys = F.transform("named", lambda e: e["key"])
-    attributes = F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_entries("named")).otherwise(F.create_map().cast("map<string,string>"))
-    out = known.withColumns({"named": named, "tag": expanded(_tag(F.col("raw")), F.lit(False))}).withColumn("attributes", attributes)
-    out = out.select(*by, "node", "close", F.col("above.node").alias("parent"), "depth", "tag", "attributes", F.coalesce("text", F.lit("")).alias("text"), F.col("at").alias("start"), after.alias("inner"), F.coalesce("c.until", after).alias("until"), F.coalesce("c.end", after).alias("end"))
-    above = out.select(*by, F.col("node").alias("parent"), F.col("tag").alias("parent_tag"))
-    return out.join(above, [*by, "parent"], "left")
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind").isin("text", "cdata"), F.struct("node", own.alias("t"))))), lambda x: x["t"]), "").alias("text"),
+    ).where("t IS NOT NULL").select(*by, "t.*", "c", "text")
+    known = known.withColumns({"given": _pairs(F.col("raw")), "close": F.coalesce("c.close", "node")})
+    spaces = F.filter(F.map_entries("given"), lambda e: e["key"].rlike("^xmlns(:|$)"))
+    declared = F.transform(spaces, lambda e: F.struct(F.regexp_replace(e["key"], "^xmlns:?", "").alias("prefix"), F.col("node").alias("node"), F.col("close").alias("close"), e["value"].alias("uri")))
+    bound = F.flatten(F.collect_list(F.when(F.size(spaces) > 0, declared)).over(Window.partitionBy(*by)))
+    known = known.withColumn("spaces", bound)
+
+    def expanded(name: Column, node: Column) -> Column:
+        prefix = lambda n: F.when(F.contains(n, F.lit(":")), F.substring_index(n, ":", 1)).otherwise("")
+        local = lambda n: F.substring_index(n, ":", -1)
+        held = lambda n: F.filter("spaces", lambda s: (s["prefix"] == prefix(n)) & (s["node"] <= node) & (s["close"] >= node))
+        uri = lambda n: F.when(prefix(n) == "xml", XML_SPACE).otherwise(F.array_max(F.transform(held(n), lambda s: F.struct(s["node"], s["uri"])))["uri"])
+        return let(name, lambda n: let(uri(n), lambda u: F.when(u.isNull() | (u == ""), n).otherwise(F.concat(F.lit("{"), u, F.lit("}"), local(n)))))
+
+    # Few attributes have a prefix; a map without one is kept as it is.
+    plain = F.map_filter("given", lambda k, v: ~k.rlike("^xmlns(:|$)"))
+    named = F.transform(F.map_entries(plain), lambda e: F.struct(F.when(F.contains(e["key"], F.lit(":")), expanded(e["key"], F.col("node"))).otherwise(e["key"]).alias("key"), e["value"].alias("value")))
+    whole = let(named, lambda n: F.when(F.size(F.array_distinct(F.transform(n, lambda e: e["key"]))) == F.size(n), F.map_from_entries(n)).otherwise(F.create_map().cast("map<string,string>")))
+    attributes = F.when(F.exists(F.map_keys("given"), lambda k: F.contains(k, F.lit(":")) & ~k.startswith("xmlns:")), whole).otherwise(plain)
+    tag = lambda raw, node: expanded(_tag(raw), node)
+    out = known.withColumns({"tag": tag(F.col("raw"), F.col("node")), "parent_tag": F.when(F.col("above").isNotNull(), tag(F.col("above.raw"), F.col("above.node"))), "attributes": attributes})
+    return out.select(*by, "node", "close", F.col("above.node").alias("parent"), "depth", "tag", "parent_tag", "attributes", "text", "start", "inner", F.coalesce("c.until", "inner").alias("until"), F.coalesce("c.end", "inner").alias("end"))
 
 
 def faults(found: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
@@ -135,12 +142,19 @@ def faults(found: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     return own.unionByName(doctype).unionByName(version).unionByName(whole).unionByName(loose).distinct()
 
 
-def anchored(found: DataFrame, anchor: Column, by: tuple[str, ...] = BY) -> DataFrame:
-    """Elements that are or stand in an element that meets a condition, with ``anchor``, ``anchor_tag`` and ``below`` (levels
-    under it). Such elements are not nested in one another, so the last one before an element is the one to ask."""
+def with_anchor(found: DataFrame, anchor: Column, by: tuple[str, ...] = BY) -> DataFrame:
+    """Elements with ``anchor``, ``anchor_tag`` and ``below``: the element that meets a condition and holds this one (or is
+    it), and how many levels above it stands; null where none does. Such elements are not nested in one another, so the
+    last one before an element is the one to ask."""
     last = F.last(F.when(anchor, F.struct("node", "close", "tag", "depth")), ignorenulls=True).over(Window.partitionBy(*by).orderBy("node"))
-    out = found.withColumn("_a", last).where("_a.close >= node")
-    return out.withColumns({"anchor": F.col("_a.node"), "anchor_tag": F.col("_a.tag"), "below": F.col("depth") - F.col("_a.depth")}).drop("_a")
+    held = F.when(F.col("_l.close") >= F.col("node"), F.col("_l"))
+    out = found.withColumn("_l", last).withColumn("_a", held)
+    return out.withColumns({"anchor": F.col("_a.node"), "anchor_tag": F.col("_a.tag"), "below": F.col("depth") - F.col("_a.depth")}).drop("_a", "_l")
+
+
+def anchored(found: DataFrame, anchor: Column, by: tuple[str, ...] = BY) -> DataFrame:
+    """The elements that ``with_anchor`` gives an anchor."""
+    return with_anchor(found, anchor, by).where("anchor IS NOT NULL")
 
 
 def said(attributes: Column | str = "attributes") -> Column:
