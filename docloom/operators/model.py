@@ -116,12 +116,6 @@ def compare_metadata(left: DataFrame, right: DataFrame, key: str, ladder: dict[s
     return both.select(key, first_given(*steps, F.lit("equal")).alias("verdict"))
 
 
-def migrate(docs: DataFrame, old: str, new: str, text_col: str = "text") -> DataFrame:
-    """Renames a family in attribute names and ids of the documents' own markup; a diff of the parsed objects proves it."""
-    text = F.regexp_replace(F.regexp_replace(text_col, rf"\bdata-{old}-", f"data-{new}-"), rf"--{old}-", f"--{new}-")
-    return docs.withColumn(text_col, text)
-
-
 def with_faces(lines: DataFrame, faces: DataFrame) -> DataFrame:
     """Lines with the font face that fits family, weight and style; without one they stay unmeasured."""
     key = lambda c: F.lower(F.trim(F.regexp_replace(c, "[\"']", "")))
