@@ -52,9 +52,15 @@ def overlapping(ranges: DataFrame, scope: str, start: str = "start", end: str =
 
 
 def contained(inner: DataFrame, outer: DataFrame, scope: str) -> DataFrame:
-    """Inner ranges that some outer range of their scope holds."""
-    o = outer.select(scope, F.col("start").alias("_s"), F.col("end").alias("_e"))
-    return inner.join(o, (inner[scope] == o[scope]) & (inner["start"] >= o["_s"]) & (inner["end"] <= o["_e"]), "left_semi")
+    """Inner ranges that some outer range of their scope holds.
+
+    Both sides are sorted together by their starts: of the outer ranges that begin no later, the one that reaches furthest
+    decides. One sort, whatever a scope's number of ranges.
+    """
+    both = inner.withColumn("_reach", F.lit(None).cast(outer.schema["end"].dataType)).withColumn("_inner", F.lit(1))
+    both = both.unionByName(outer.select(scope, F.col("start"), F.col("end").alias("_reach"), F.lit(0).alias("_inner")), allowMissingColumns=True)
+    furthest = F.max("_reach").over(Window.partitionBy(scope).orderBy("start", "_inner").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("_furthest", furthest).where(f"_inner = 1 AND `{scope}` IS NOT NULL AND end <= _furthest").select(*inner.columns)
 
 
 def as_of(events: DataFrame, marks: DataFrame, by: str, at: str, value: str) -> DataFrame:
@@ -183,6 +189,10 @@ def fingerprint_groups(rows: DataFrame, fingerprint: Column, key: str, size: int
 
 
 def alias_pairs(rows: DataFrame, key: str, canonical: Column) -> DataFrame:
-    """(a, b), a < b: keys of one canonical form; an equi-join finds all pairs without a nested loop."""
-    r = rows.select(key, canonical.alias("_canonical"))
-    return r.withColumnRenamed(key, "a").join(r.withColumnRenamed(key, "b"), "_canonical").where("a < b").select("a", "b")
+    """(a, b), a < b: each key with the smallest key of its canonical form, which stands for all of that form.
+
+    Two keys are aliases exactly if they have one representative; a form of n keys gives n - 1 rows, not all pairs.
+    """
+    r = rows.select(key, canonical.alias("_canonical")).where("_canonical IS NOT NULL")
+    first = r.groupBy("_canonical").agg(F.min(key).alias("a"))
+    return r.withColumnRenamed(key, "b").join(first, "_canonical").where("a < b").select("a", "b").distinct()

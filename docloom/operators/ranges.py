@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.scalars import splice
 from docloom.sources import xml_tree as T
+from docloom.sources.shared_tables import SharedTables
 
 # The tokens of a style sheet, of JSON, and of the attributes within a tag.
 CSS = r"""(?s)/\*.*?\*/|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|\\.|[{}();:,]|\[|\]|\s+|[^\s{}();:,\[\]"'\\/]++|."""
@@ -81,7 +82,7 @@ def family_edits(docs: DataFrame, old: str, new: str, by: tuple[str, ...] = DOC,
     custom properties within style attributes and style sheets. What only looks like it in prose, comments or other values is
     in no range."""
     found = T.tokens(docs, by, F.coalesce(F.col(text_col), F.lit("")))
-    attributes = tag_attributes(found, by)
+    attributes = SharedTables(docs.sparkSession, "ranges").cut("attributes", tag_attributes(found, by).where("name LIKE 'data-%' OR lower(name) = 'style'"))
     prefix = f"data-{old}-"
     names = attributes.where(F.col("name").startswith(prefix)).select(*by, F.lit("attribute").alias("kind"), "start", (F.col("start") + len(prefix)).alias("end"), F.lit(f"data-{new}-").alias("replacement"))
     styles = attributes.where("lower(name) = 'style' AND value IS NOT NULL").select(*by, (F.col("end") - F.length("value") - 1).alias("at"), F.col("value").alias("css"))
@@ -100,14 +101,15 @@ def migrate(docs: DataFrame, old: str, new: str, by: tuple[str, ...] = DOC, text
     """The documents with a family renamed by splices on its ranges, and (n_edits, proven): whether the new source has exactly
     the markup of the old one under the new name. A document without the family is unchanged and proven."""
     kind = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "replacement")
-    edits = family_edits(docs, old, new, by, text_col).groupBy(*by).agg(F.array_sort(F.collect_list(kind)).alias("edits"))
+    tables = SharedTables(docs.sparkSession, "migrate")
+    count = lambda rows, a, b, name: tables.cut(name, family_edits(rows, a, b, by, text_col).groupBy(*by).agg(F.count("*").alias(name)))
+    edits = tables.cut("edits", family_edits(docs, old, new, by, text_col)).groupBy(*by).agg(F.array_sort(F.collect_list(kind)).alias("edits"))
     out = docs.join(edits, list(by), "left").withColumn("n_edits", F.coalesce(F.size("edits"), F.lit(0)))
     out = out.withColumn("edits", F.when(F.size("edits") > 0, F.col("edits"))).withColumn("after", F.when(F.col("edits").isNull(), F.col(text_col)).otherwise(splice(text_col, "edits")))
-    left = family_edits(out.select(*by, F.col("after").alias(text_col)), old, new, by, text_col).groupBy(*by).agg(F.count("*").alias("n_left"))
-    back = family_edits(out.select(*by, F.col("after").alias(text_col)), new, old, by, text_col).groupBy(*by).agg(F.count("*").alias("n_new"))
-    had = family_edits(docs, new, old, by, text_col).groupBy(*by).agg(F.count("*").alias("n_had"))
-    for more in (left, back, had):
-        out = out.join(more, list(by), "left")
+    out = tables.cut("after", out.drop("edits"))
+    again = out.select(*by, F.col("after").alias(text_col))
+    for rows, a, b, name in ((again, old, new, "n_left"), (again, new, old, "n_new"), (docs, new, old, "n_had")):
+        out = out.join(count(rows, a, b, name), list(by), "left")
     none = lambda c: F.coalesce(F.col(c), F.lit(0))
     proven = (none("n_left") == 0) & (none("n_new") == none("n_had") + F.col("n_edits"))
     return out.select(*by, *[c for c in docs.columns if c not in (*by, text_col)], F.col("after").alias(text_col), "n_edits", proven.alias("proven"))
@@ -137,13 +139,9 @@ def json_fields(docs: DataFrame, by: tuple[str, ...] = DOC, text_col: str = "tex
     is_key = F.lead("t").over(own) == ":"
     key = F.last(F.when(is_key, F.expr("substring(t, 2, length(t) - 2)")), ignorenulls=True).over(own)
     named = rows.withColumns({"place": place, "is_key": F.coalesce(is_key, F.lit(False)), "key": key})
-    closes = named.where("step = -1").select(*by, F.col("depth").alias("d"), F.col("k").alias("close"), (F.col("at") + 1).alias("until"))
-    values = named.where("step >= 0 AND NOT is_key AND t NOT IN (',', ':')").withColumn("step_name", F.when(F.col("in").isNull(), "").when(F.col("in.t") == "[", F.col("place").cast("string")).otherwise(F.col("key")))
     # An open bracket ends at the first close of its level after it.
-    both = values.select(*by, "k", "depth", F.lit(None).cast("bigint").alias("until")).unionByName(closes.select(*by, F.col("close").alias("k"), F.col("d").alias("depth"), F.col("until").cast("bigint")))
-    first = F.first("until", ignorenulls=True).over(Window.partitionBy(*by, "depth").orderBy("k").rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    ended = both.withColumn("until", first).select(*by, "k", "until")
-    values = values.join(ended, [*by, "k"])
+    first = F.first(F.when(F.col("step") == -1, F.col("at") + 1), ignorenulls=True).over(Window.partitionBy(*by, "depth").orderBy("k").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    values = named.withColumn("until", first).where("step >= 0 AND NOT is_key AND t NOT IN (',', ':')").withColumn("step_name", F.when(F.col("in").isNull(), "").when(F.col("in.t") == "[", F.col("place").cast("string")).otherwise(F.col("key")))
     end = F.when(F.col("step") == 1, F.col("until")).otherwise(F.col("at") + F.length("t"))
     kind = F.when(t == "{", "object").when(t == "[", "array").when(t.startswith('"'), "string").when(t.isin("true", "false"), "boolean").when(t == "null", "null").otherwise("number")
     return values.select(*by, "k", "depth", F.col("in.k").alias("parent"), "step_name", kind.alias("kind"), F.col("at").alias("start"), end.alias("end"), F.when(F.col("step") == 0, t).alias("raw"))

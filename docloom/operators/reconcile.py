@@ -79,10 +79,10 @@ def reconcile(baseline: DataFrame, edited: DataFrame, operations: dict[str, str]
     return ops, found, status(found)
 
 
-def unproven(baseline: DataFrame, edited: DataFrame, operations: dict[str, str], key: str = "id") -> DataFrame:
-    """(id, field, wanted, got): what still differs from the edited snapshot after the candidate operations are applied
-    to the baseline. Empty if the operations say all that was changed."""
-    ops = candidate_operations(baseline, edited, operations, key)
+def unproven(baseline: DataFrame, edited: DataFrame, operations: dict[str, str], key: str = "id", ops: DataFrame | None = None) -> DataFrame:
+    """(id, field, wanted, got): what still differs from the edited snapshot after operations (id, op, old, new) are applied
+    to the baseline; the candidate operations if none are given. Empty if the operations say all that was changed."""
+    ops = candidate_operations(baseline, edited, operations, key) if ops is None else ops
     after = baseline.select(key, *operations)
     for field, op in operations.items():
         news = ops.where(F.col("op") == op).select(key, F.col("new").alias("_new"), F.lit(True).alias("_hit"))

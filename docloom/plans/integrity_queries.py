@@ -198,9 +198,9 @@ def f5(spark, sf):
     return table(spark, sf, "documents").select("doc_id", S.is_stable_id("source").alias("stable"), name.rlike(S.MEMO_NAME).alias("memo"))
 
 
-@query("j22_path_alias_pairs", "SELECT a.r_regionkey AS a, b.r_regionkey AS b FROM region a JOIN region b ON left(a.r_name, 1) = left(b.r_name, 1) AND a.r_regionkey < b.r_regionkey")
+@query("j22_path_alias_pairs", "SELECT a, b FROM (SELECT min(c_custkey) OVER (PARTITION BY lower(c_mktsegment), c_nationkey) AS a, c_custkey AS b FROM customer) WHERE a < b")
 def j22(spark, sf):
-    return I.alias_pairs(table(spark, sf, "region"), "r_regionkey", F.left("r_name", F.lit(1)))
+    return I.alias_pairs(table(spark, sf, "customer"), "c_custkey", F.concat_ws("/", F.lower("c_mktsegment"), "c_nationkey"))
 
 
 @query("j31_metadata_comparison", "SELECT l.doc_id AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN d.lang IS DISTINCT FROM 'en' THEN 'different-family' WHEN d.n_chars > 2000 THEN 'different-style' ELSE 'equal' END AS verdict FROM labels l LEFT JOIN documents d USING (doc_id)")

@@ -115,9 +115,20 @@ def a1_summary(spark, sf):
     return D.summarize(_changes(spark, sf), KINDS)
 
 
-@query("a6_o9_diff_classification", CHANGES_SQL + f"SELECT {COUNTS_SQL}, count(*) AS total, count(DISTINCT id) AS changed_objects, CASE WHEN count(*) > 100000 THEN 'incomparable' WHEN count(*) = 0 THEN 'exact' ELSE 'semantic-equivalent' END AS classification FROM changes WHERE kind = 'metadata'")
+@query("a6_o9_diff_classification", CHANGES_SQL + f"SELECT {COUNTS_SQL}, count(*) AS total, count(DISTINCT id) AS changed_objects, CASE WHEN count(*) > cap THEN 'incomparable' WHEN count(*) = 0 THEN 'exact' WHEN count(*) = count(*) FILTER (kind = 'metadata') THEN 'semantic-equivalent' ELSE 'changed' END AS classification FROM changes, (VALUES (100000), (10)) c(cap) GROUP BY cap")
 def a6_classification(spark, sf):
-    return D.classify(D.summarize(_changes(spark, sf).where("kind = 'metadata'"), KINDS), ["metadata"])
+    """All changes under the usual cap, and under one that they pass."""
+    summary = D.summarize(_changes(spark, sf), KINDS)
+    return D.classify(summary, ["metadata"]).unionByName(D.classify(summary, ["metadata"], most=10))
+
+
+@query("a6_classified_objects", CHANGES_SQL + ", n AS (SELECT id, count(*) AS total, count(*) FILTER (kind = 'metadata') AS n_metadata FROM changes GROUP BY id) SELECT l.id, CASE WHEN n.id IS NULL THEN 'exact' WHEN n.total = n.n_metadata THEN 'semantic-equivalent' ELSE 'changed' END AS classification FROM lefts l LEFT JOIN n USING (id)")
+def a6_objects(spark, sf):
+    """Each object of the baseline by its own changes."""
+    changes = _changes(spark, sf)
+    counts = changes.groupBy("id").agg(F.count("*").alias("total"), F.count_if(F.col("kind") == "metadata").alias("n_metadata"))
+    every = order_snapshots(spark, sf)[0].select("id").join(counts, "id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("total", "n_metadata")})
+    return D.classify(every, ["metadata"]).select("id", "classification")
 
 
 @query("o1_ordered_changes", CHANGES_SQL + ", pos AS (SELECT id, row_number() OVER (PARTITION BY parent_id ORDER BY id)::INT AS traversal FROM lefts) SELECT c.*, coalesce(p.traversal, 0)::INT AS traversal, list_position(['added', 'removed', 'reparented', 'text', 'geometry', 'style', 'metadata'], kind)::INT AS kind_rank FROM changes c LEFT JOIN pos p USING (id)")

@@ -9,12 +9,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.sources import xml_tree
+
 # Elements that hold no rendered object or no content, roles, and the elements each role may use.
 NOT_RENDERED = ("defs", "metadata", "title", "desc")
 VOID = ("meta", "link", "br", "hr", "img", "input", "base")
@@ -108,33 +109,17 @@ def _parse(batches: Iterator[pd.DataFrame], what: str) -> Iterator[pd.DataFrame]
         yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in re.findall(r"\w+ \w+(?:<[^>]*>)?", NODES if what == "nodes" else SECTIONS)])
 
 
-def _xml_fault(text: str | None) -> str | None:
-    """What keeps a text from being one namespace-aware XML 1.0 document without a DOCTYPE; null if nothing does."""
-    parser = expat.ParserCreate(namespace_separator=" ")
-
-    def refuse(code: str):
-        raise ValueError(code)
-
-    parser.XmlDeclHandler = lambda version, *_: None if version == "1.0" else refuse("XML-VERSION")
-    parser.StartDoctypeDeclHandler = lambda *_: refuse("XML-DOCTYPE")
-    try:
-        parser.Parse((text or "").encode("utf-8", "surrogatepass"), True)
-    except ValueError as found:
-        return str(found)
-    except expat.ExpatError as found:
-        return "XML-NAMESPACE" if found.code == expat.errors.codes[expat.errors.XML_ERROR_UNBOUND_PREFIX] else "XML-MALFORMED"
-    return None
-
-
 def xml_findings(docs: DataFrame) -> DataFrame:
     """(doc_id, code, severity) of standalone diagrams (doc_id, text) that are no strict XML: not well-formed (empty and
-    null texts too), a prefix that nothing binds, a DOCTYPE, or another version. An anti join withholds them."""
-
-    @F.pandas_udf("string")
-    def fault(texts: pd.Series) -> pd.Series:
-        return texts.map(_xml_fault, na_action=None)
+    null texts too), a prefix that nothing binds, a DOCTYPE, or another version. An anti join withholds them.
 
-    return docs.select("doc_id", fault("text").alias("code"), F.lit("fatal").alias("severity")).where("code IS NOT NULL")
+    The faults are those of the node rows (``xml_tree.faults``); of several the first of version, DOCTYPE, form and
+    namespace is told.
+    """
+    empty = docs.where(F.trim(F.coalesce("text", F.lit(""))) == "").select("doc_id", F.lit("XML-MALFORMED").alias("code"))
+    found = xml_tree.faults(xml_tree.tokens(docs, ("doc_id",), F.coalesce("text", F.lit(""))), ("doc_id",)).unionByName(empty)
+    rank = F.array_position(F.lit(["XML-VERSION", "XML-DOCTYPE", "XML-MALFORMED", "XML-NAMESPACE"]), F.col("code"))
+    return found.groupBy("doc_id").agg(F.min_by("code", rank).alias("code")).select("doc_id", "code", F.lit("fatal").alias("severity"))
 
 
 def objects(docs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.json_text import canonical_json, json_facts
 from docloom.operators import model as M
+from docloom.operators import ranges as R
 from docloom.operators import objects as O
 from docloom.sources import markup as K
 
@@ -75,7 +76,8 @@ def test_tag_soup_and_empty_documents(spark):
 
 def test_migration_changes_the_family_alone(spark):
     docs = _docs(spark, d=DECK)
-    new = M.migrate(docs, "demo", "next")
+    new = R.migrate(docs, "demo", "next")
+    assert new.first().proven and new.first().n_edits > 5
     a, b = K.objects(docs).drop("family"), K.objects(new).drop("family")
     assert {r.family for r in K.objects(new).collect()} == {"next"}
     as_text = lambda df: df.select("id", F.to_json(F.struct("scope_id", "parent_id", "role", "element", "text", F.map_entries("attributes").alias("a"))).alias("t"))
