@@ -132,14 +132,16 @@ def faults(found: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
         | ((kind == "comment") & F.substr(raw, F.lit(5), F.length(raw) - 7).rlike("--|-$")) | raw.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]")
         | ((kind == "instruction") & raw.rlike(r"(?i)^<\?xml[\s?]") & (F.col("node") > 0)) | ((kind == "instruction") & ~raw.rlike(rf"(?s)^<\?{NAME}(\s.*)?\?>$"))
     )
-    own = placed.where(bad).select(*by, F.lit("XML-MALFORMED").alias("code"))
-    doctype = placed.where(kind == "doctype").select(*by, F.lit("XML-DOCTYPE").alias("code"))
-    version = placed.where((kind == "instruction") & raw.rlike(r"^<\?xml\s") & ~raw.rlike(r"""^<\?xml\s+version\s*=\s*["']1\.0["']""")).select(*by, F.lit("XML-VERSION").alias("code"))
-    ends = placed.groupBy(*by).agg(F.count_if(is_tag & (F.col("depth") == 1)).alias("roots"), F.sum(F.when(kind == "open", 1).when(kind == "close", -1).otherwise(0)).alias("open"))
-    whole = ends.where("roots <> 1 OR open <> 0").select(*by, F.lit("XML-MALFORMED").alias("code"))
-    named = elements(found, by)
-    loose = named.where(F.col("tag").rlike("^[^{]*:") | F.exists(F.map_keys("attributes"), lambda k: k.rlike("^[^{]*:"))).select(*by, F.lit("XML-NAMESPACE").alias("code"))
-    return own.unionByName(doctype).unionByName(version).unionByName(whole).unionByName(loose).distinct()
+    old = (kind == "instruction") & raw.rlike(r"^<\?xml\s") & ~raw.rlike(r"""^<\?xml\s+version\s*=\s*["']1\.0["']""")
+    whole = placed.groupBy(*by).agg(
+        F.bool_or(bad).alias("bad"), F.bool_or(kind == "doctype").alias("doctype"), F.bool_or(old).alias("old"),
+        F.count_if(is_tag & (F.col("depth") == 1)).alias("roots"), F.sum(F.when(kind == "open", 1).when(kind == "close", -1).otherwise(0)).alias("open"),
+    )
+    loose = F.col("tag").rlike("^[^{]*:") | F.exists(F.map_keys("attributes"), lambda k: k.rlike("^[^{]*:"))
+    named = elements(found, by).groupBy(*by).agg(F.bool_or(loose).alias("loose"))
+    malformed = F.coalesce(F.col("bad"), F.lit(False)) | (F.col("roots") != 1) | (F.col("open") != 0)
+    codes = F.array(F.when(F.col("old"), "XML-VERSION"), F.when(F.col("doctype"), "XML-DOCTYPE"), F.when(malformed, "XML-MALFORMED"), F.when(F.col("loose"), "XML-NAMESPACE"))
+    return whole.join(named, list(by), "left").select(*by, F.explode(F.array_compact(codes)).alias("code"))
 
 
 def with_anchor(found: DataFrame, anchor: Column, by: tuple[str, ...] = BY) -> DataFrame:
