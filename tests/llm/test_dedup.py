@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -129,3 +130,55 @@ def test_binary_columns_are_split_before_their_offsets_overflow():
     assert got.num_chunks > 1 and got.to_pylist() == [np.arange(a, b).tobytes() for a, b in ((0, 1), (1, 1), (1, 3), (3, 6), (6, 10))]
     with pytest.raises(OverflowError):
         ragged_binary(np.arange(10), np.array([0, 10]), most=40)
+
+
+def _templated(rng, count):
+    """Pages of which half is one template and half their own; every hundredth has a near copy."""
+    template = [f"t{k}" for k in range(60)]
+    rows = []
+    for i in range(count):
+        own = [f"w{rng.randrange(10**7)}" for _ in range(60)]
+        rows.append((i, " ".join(template + own)))
+        if i % 100 == 0:
+            rows.append((10**6 + i, " ".join([*template, *own[:-1], "changed"])))
+    return rows
+
+
+def test_templated_pages_meet_in_proportion_to_their_number(spark, tmp_path):
+    from docloom.llm.near_dedup import rare_pairs
+    from docloom.llm.workspace import Workspace
+
+    met = {}
+    for count in (500, 2000):
+        rows = _templated(random.Random(3), count)
+        texts = spark.createDataFrame(rows, "id long, text string").repartition(4)
+        opened = texts.selectExpr("id", "id AS label", "true AS asks")
+        pairs = {tuple(r) for r in rare_pairs(opened, texts, Workspace(spark, "rare"), 80).collect()}
+        assert {(i, 10**6 + i) for i in range(0, count, 100)} <= pairs
+        met[count] = len(pairs)
+    assert met[2000] <= 5 * met[500]
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(_templated(random.Random(3), 500), "doc_id long, text string")).collect()}
+    assert {k for k, c in got.items() if k != c} == {10**6 + i for i in range(0, 500, 100)}
+    assert all(got[10**6 + i] == i for i in range(0, 500, 100))
+
+
+def test_rare_shingles_lose_no_similar_pair(spark):
+    """All pairs at or over the similarity among sets of few different words meet, whatever is common."""
+    from docloom.llm.near_dedup import rare_pairs
+    from docloom.llm.workspace import Workspace
+
+    rng = random.Random(9)
+    base = [[f"w{rng.randrange(30)}" for _ in range(rng.randint(1, 60))] for _ in range(40)]
+    rows = []
+    for w in base:
+        for _ in range(6):
+            x = w[:]
+            for _ in range(rng.randint(0, 2)):
+                x[rng.randrange(len(x))] = "z"
+            rows.append((len(rows), " ".join(x)))
+    texts = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    for percent in (80, 85):
+        pairs = {tuple(r) for r in rare_pairs(texts.selectExpr("id", "id AS label", "true AS asks"), texts, Workspace(spark, "rare"), percent).collect()}
+        sets = [{tuple(t.split(" ")[k : k + 5]) for k in range(max(1, len(t.split(" ")) - 4))} for _, t in rows]
+        similar = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
+        assert similar and similar <= pairs
