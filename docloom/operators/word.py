@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.scalars import escape_xml, unescape_xml, wrap_marker
 from docloom.operators.markdown import blocks, canonical, inline_segments, table_cells
+from docloom.sources import xml_tree
 
 # Paragraph styles by block, run properties by style, names of parts, and constructs that would be lost.
 STYLES = {"banner": "Banner", "bullet": "ListBullet", "numbered": "ListNumber", "blockquote": "Quote", "code": "CodeBlock", "paragraph": "Normal"}
@@ -17,7 +18,8 @@ STATIC = {
     "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>',
     "word/_rels/document.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/customXml" Target="../customXml/item1.xml"/></Relationships>',
 }
-REFUSED = {"REVISION": r"<w:(ins|del|moveFrom|moveTo)[ >]", "NUMBERING": r"<w:numPr[ />]", "DRAWING": r"<w:(drawing|pict|object)[ >]", "FIELD": r"<w:(fldSimple|fldChar)[ />]", "NOTE": r"<w:(footnoteReference|endnoteReference|commentReference)[ />]"}
+WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+REFUSED = {"REVISION": ("ins", "del", "moveFrom", "moveTo"), "NUMBERING": ("numPr",), "DRAWING": ("drawing", "pict", "object"), "FIELD": ("fldSimple", "fldChar"), "NOTE": ("footnoteReference", "endnoteReference", "commentReference")}
 
 
 def _map(d: dict) -> Column:
@@ -112,10 +114,10 @@ def to_markdown(parts: DataFrame) -> DataFrame:
 
 
 def refusals(parts: DataFrame) -> DataFrame:
-    """(package, name, code): constructs that Markdown would lose."""
-    xml = F.decode("content", "UTF-8")
-    codes = F.filter(F.array(*[F.when(xml.rlike(p), F.lit(c)) for c, p in REFUSED.items()]), lambda c: c.isNotNull())
-    return parts.where("name LIKE 'word/%.xml' AND content IS NOT NULL").select("package", "name", F.explode(codes).alias("code"))
+    """(package, name, code): constructs that Markdown would lose, by their expanded names, whatever the prefix."""
+    codes = F.create_map(*[F.lit(x) for code, tags in REFUSED.items() for t in tags for x in (WORD + t, code)])
+    nodes = xml_tree.elements(xml_tree.tokens(parts.where("name LIKE 'word/%.xml' AND content IS NOT NULL")))
+    return nodes.select("package", "name", codes[F.col("tag")].alias("code")).where("code IS NOT NULL").distinct()
 
 
 def inverted(parts: DataFrame) -> DataFrame:
