@@ -18,6 +18,7 @@ from docloom.llm.workspace import Workspace
 BANDS, ROWS, SHINGLE = 20, 4, 5
 #: A shingle that more than one open row in so many has is common; of these at most so many are told apart by their counts.
 COMMON_SHARE, COMMON_MOST = 1024, 1 << 18
+QUERY_BLOCK, MEMBER_BLOCK = 512, 4096
 #: A class of more than one row in so many is joined by broadcast; there are fewer than that many such classes.
 HOT_CLASSES = 1000
 
@@ -147,11 +148,12 @@ def _rare(batches: Iterator[pa.RecordBatch], percent: int, n: int, common) -> It
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64), pa.int64()), pa.array(flat.view(np.int64))], names=["id", "shingle"])
 
 
-def rare_pairs(rows: DataFrame, texts: DataFrame, ws: Workspace, percent: int, n: int = SHINGLE) -> DataFrame:
-    """(u, v): pairs of rows (id, label, asks) that may be similar, at least one of which asks, and that have two labels.
+def with_partners(rows: DataFrame, texts: DataFrame, ws: Workspace, percent: int, n: int = SHINGLE) -> DataFrame:
+    """The ids of rows (id, label, asks) that may have a similar row of another label, where one of the two asks.
 
     Shingles are put in one order, the common ones last. Two sets at or over the similarity share one of the first of each, so
-    rows meet by these alone, and rows of one template, which share only what all of them have, do not meet.
+    a row has a partner only if one of its first shingles is a first shingle of another label too. Rows of one template,
+    which share only what all of them have, have none. A shingle is one aggregate, so no pair is made.
     """
     open_texts = texts.hint("merge").join(rows.select("id").distinct(), "id", "left_semi")
     many = rows.count()
@@ -161,10 +163,47 @@ def rare_pairs(rows: DataFrame, texts: DataFrame, ws: Workspace, percent: int, n
     order = np.argsort(table[:, 0].view(np.uint64), kind="stable")
     common = rows.sparkSession.sparkContext.broadcast((np.ascontiguousarray(table[order, 0]).view(np.uint64), table[order, 1]))
     first = open_texts.select("id", "text").mapInArrow(lambda it: _rare(it, percent, n, common), "id long, shingle long")
-    met = first.hint("merge").join(rows, "id")
-    a, b = met.where("asks").select("shingle", F.col("id").alias("a"), F.col("label").alias("al")), met.select("shingle", F.col("id").alias("b"), F.col("label").alias("bl"), F.col("asks").alias("basks"))
-    pairs = a.hint("merge").join(b, "shingle").where("al <> bl AND (a < b OR NOT basks)")
-    return ws.table("rare", pairs.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    met = ws.table("first", first.hint("merge").join(rows, "id"))
+    shared = met.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.bool_or("asks").alias("asked")).where("low < high AND asked").select("shingle")
+    return met.join(shared, "shingle", "left_semi").select("id").distinct()
+
+
+def _link_block(table: pa.Table, percent: int, n: int) -> pa.Table:
+    """Links between the queries of a block and all its members, reduced to those that join different groups."""
+    table = table.combine_chunks()
+    ids, groups = table.column("id").to_numpy(), table.column("label").to_numpy()
+    asks = table.column("asks").to_numpy(zero_copy_only=False)
+    sets: list[np.ndarray] = []
+    for _, _, buf, offs in text_slices(table.column("text")):
+        sets += shingle_sets(buf, offs, n)
+    members, queries = np.flatnonzero(~asks), np.flatnonzero(asks)
+    out_u, out_v = [], []
+    if len(members) and len(queries):
+        values, codes = np.unique(np.concatenate([sets[i] for i in members]), return_inverse=True)
+        sizes = np.array([len(sets[i]) for i in members])
+        starts = np.cumsum(sizes) - sizes
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        mark = np.zeros(len(values), np.int32)
+        for q in queries:
+            at = np.searchsorted(values, sets[q])
+            at = at[(at < len(values))]
+            at = at[np.isin(values[at], sets[q], assume_unique=True)]
+            mark[at] = 1
+            both = np.add.reduceat(mark[codes], starts)
+            mark[at] = 0
+            for m in np.flatnonzero(100 * both >= percent * (sizes + len(sets[q]) - both)):
+                a, b = root(int(groups[q])), root(int(groups[members[m]]))
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    out_u.append(int(ids[q]))
+                    out_v.append(int(ids[members[m]]))
+    return pa.table({"u": pa.array(out_u, pa.int64()), "v": pa.array(out_v, pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, n: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -173,10 +212,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are sets of n-word shingles (A-Z lower-cased). Rows with equal sets form a class that its smallest id stands
     for; representatives get ``bands * rows`` universal-hash minima, and those that share a band become candidates.
     In each bucket all members are compared with the member that meets most others; members that this leaves in
-    another group then meet the other members of their buckets by their rarest shingles, one of which similar sets must
-    share, so that what all pages of a template have in common brings none of them together. Sketches of the minima are
-    compared before texts meet, and every link is confirmed on full shingle sets. Components come from alternating
-    large-star and small-star rounds.
+    another group are then compared with the whole bucket, in blocks of bounded size spread over the cluster. Only members
+    with a partner come so far: one of a set's rarest shingles must be among those of a similar set, so what all pages of a
+    template have in common brings none of them together. Sketches of the minima are compared before texts meet a leader's,
+    and every link is confirmed on full shingle sets. Components come from alternating large-star and small-star rounds.
 
     Ids may be of any type that has an order.
 
@@ -226,13 +265,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seen = inc.where("size > 2").join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "leader", label.alias("label"))
     heads = groups.select(F.col("node").alias("leader"), F.col("root").alias("head"))
     seen = seen.join(heads, "leader", "left").withColumn("asks", F.col("label") != F.coalesce("head", "leader"))
-    # Only buckets with a member apart from their leader are open; their members ask, or are asked, once each.
+    # Only buckets with a member apart from their leader are open, and of these only the members that may have a partner.
     opened = seen.groupBy("key").agg(F.count_if("asks").alias("q")).where("q > 0").select("key")
-    opened = ws.table("open", seen.join(opened, "key", "left_semi").groupBy("id").agg(F.min("label").alias("label"), F.bool_or("asks").alias("asks")), few)
-    more = confirmed("more", rare_pairs(opened, cand, ws, percent, n))
+    opened = ws.table("open", seen.join(opened, "key", "left_semi"), few)
+    once = opened.groupBy("id").agg(F.min("label").alias("label"), F.bool_or("asks").alias("asks"))
+    live = ws.table("live", with_partners(once, cand, ws, percent, n), few)
+    seen = opened.hint("merge").join(live, "id", "left_semi")
+    open_buckets = seen.groupBy("key").agg(F.count("*").alias("m"), F.count_if("asks").alias("q")).where("q > 0 AND m > 1")
+    open_buckets = open_buckets.select("key", F.ceil(F.col("m") / MEMBER_BLOCK).cast("int").alias("mb"), F.ceil(F.col("q") / QUERY_BLOCK).cast("int").alias("qb"))
+    spread = seen.join(open_buckets, "key")
+    part = lambda count: F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
+    span = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    queries = spread.where("asks").select("key", "id", "label", "asks", part("qb").alias("qi"), span("mb").alias("mi"))
+    members = spread.select("key", "id", "label", F.lit(False).alias("asks"), part("mb").alias("mi"), span("qb").alias("qi"))
+    work = queries.unionByName(members).join(cand, "id").select("key", "qi", "mi", "id", "label", "asks", "text")
+    more = ws.table("more", work.groupBy("key", "qi", "mi").applyInArrow(lambda t: _link_block(t, percent, n), "u long, v long"), few)
 
     final = connected_components(stars.unionByName(more), ws, "last")
-    for name in ("inc", "led", "cand", "open", "rare", "star-near", "more-near"):
+    for name in ("inc", "led", "cand", "open", "first", "live", "star-near"):
         ws.drop(name)
     # Each class with its component. Few classes can hold more than a thousandth of the rows; those go to every task,
     # and the rows of no other class are many. Blank texts and null ids join nothing.

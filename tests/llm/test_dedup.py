@@ -144,27 +144,23 @@ def _templated(rng, count):
     return rows
 
 
-def test_templated_pages_meet_in_proportion_to_their_number(spark, tmp_path):
-    from docloom.llm.near_dedup import rare_pairs
+def test_templated_pages_without_a_partner_meet_no_other(spark):
+    from docloom.llm.near_dedup import with_partners
     from docloom.llm.workspace import Workspace
 
-    met = {}
     for count in (500, 2000):
-        rows = _templated(random.Random(3), count)
-        texts = spark.createDataFrame(rows, "id long, text string").repartition(4)
-        opened = texts.selectExpr("id", "id AS label", "true AS asks")
-        pairs = {tuple(r) for r in rare_pairs(opened, texts, Workspace(spark, "rare"), 80).collect()}
-        assert {(i, 10**6 + i) for i in range(0, count, 100)} <= pairs
-        met[count] = len(pairs)
-    assert met[2000] <= 5 * met[500]
+        texts = spark.createDataFrame(_templated(random.Random(3), count), "id long, text string").repartition(4)
+        live = {r.id for r in with_partners(texts.selectExpr("id", "id AS label", "true AS asks"), texts, Workspace(spark, "rare"), 80).collect()}
+        near = {k for i in range(0, count, 100) for k in (i, 10**6 + i)}
+        assert near <= live and len(live) <= 2 * len(near)
     got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(_templated(random.Random(3), 500), "doc_id long, text string")).collect()}
     assert {k for k, c in got.items() if k != c} == {10**6 + i for i in range(0, 500, 100)}
     assert all(got[10**6 + i] == i for i in range(0, 500, 100))
 
 
 def test_rare_shingles_lose_no_similar_pair(spark):
-    """All pairs at or over the similarity among sets of few different words meet, whatever is common."""
-    from docloom.llm.near_dedup import rare_pairs
+    """Both of every pair at or over the similarity have a partner, whatever is common; two rows of one label need none."""
+    from docloom.llm.near_dedup import with_partners
     from docloom.llm.workspace import Workspace
 
     rng = random.Random(9)
@@ -177,8 +173,9 @@ def test_rare_shingles_lose_no_similar_pair(spark):
                 x[rng.randrange(len(x))] = "z"
             rows.append((len(rows), " ".join(x)))
     texts = spark.createDataFrame(rows, "id long, text string").repartition(3)
-    for percent in (80, 85):
-        pairs = {tuple(r) for r in rare_pairs(texts.selectExpr("id", "id AS label", "true AS asks"), texts, Workspace(spark, "rare"), percent).collect()}
-        sets = [{tuple(t.split(" ")[k : k + 5]) for k in range(max(1, len(t.split(" ")) - 4))} for _, t in rows]
-        similar = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
-        assert similar and similar <= pairs
+    sets = [{tuple(t.split(" ")[k : k + 5]) for k in range(max(1, len(t.split(" ")) - 4))} for _, t in rows]
+    for percent, label in ((80, "id"), (85, "id"), (85, "id % 2")):
+        live = {r.id for r in with_partners(texts.selectExpr("id", f"{label} AS label", "id % 3 = 0 AS asks"), texts, Workspace(spark, "rare"), percent).collect()}
+        of = (lambda i: i) if label == "id" else (lambda i: i % 2)
+        similar = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if of(i) != of(j) and (i % 3 == 0 or j % 3 == 0) and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])}
+        assert similar and {k for pair in similar for k in pair} <= live
