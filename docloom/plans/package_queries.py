@@ -71,7 +71,7 @@ SELECT package, 'ppt/slides/slide' || n || '.xml' AS name, k::INT AS ordinal, (k
 def k9_decks(spark, sf):
     """Decks are compiled, archived, opened and inspected: what comes back is what went in."""
     archives = P.write_packages(D.compile_decks(_objects(spark, sf).drop("k")))
-    return N.slide_objects(P.read_parts(archives)).drop("residue")
+    return N.slide_objects(P.read_parts(archives)).drop("residue", "groups")
 
 
 @query("k10_j17_package_graph", "WITH d AS (SELECT 'c' || o_custkey AS package, count(DISTINCT o_orderkey % 3) AS n FROM orders GROUP BY ALL) SELECT package, 9 + 2 * n AS n_parts, 6 + 2 * n AS n_relationships, n + 1 AS n_to_layout, 6 + n AS n_types FROM d")
