@@ -163,20 +163,19 @@ def _side(rows: DataFrame, side: str) -> DataFrame:
     return rows.where(F.col("package").startswith(side)).withColumn("package", F.substr("package", F.lit(2)))
 
 
-def _normalised(baseline: DataFrame, edited: DataFrame, tables: SharedTables) -> DataFrame:
-    """Both sides with the proven rules applied, written."""
-    given = tables.cut("given", _two(baseline, edited))
-    return tables.cut("parts", N.normalise(given, tables)[0])
+def _normalised(baseline: DataFrame, edited: DataFrame, tables: SharedTables) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the proven rules applied: their parts and their node rows, written."""
+    after, _, nodes = N.normalise_nodes(tables.cut("given", _two(baseline, edited)), tables)
+    return after, nodes
 
 
-def package_facts(parts: DataFrame, tables: SharedTables) -> DataFrame:
+def package_facts(parts: DataFrame, nodes: DataFrame, tables: SharedTables) -> DataFrame:
     """(package, kind, key, shapes, signature): a row for each shape name and each part of the packages, written.
 
-    Parts are read once into node rows; all that is compared comes from these. ``shapes`` lists what has the name, in order:
+    All that is compared comes from the parts' node rows. ``shapes`` lists what has the name, in order:
     the fields that have an operation and those that have none, the part, the place in it, and a fingerprint of all that
     a copy in the same place would repeat.
     """
-    nodes = tables.cut("nodes", T.elements(T.tokens(parts.where("content IS NOT NULL AND name RLIKE '[.](xml|rels)$'"))))
     found = N.slide_shapes(nodes).where("shape_name IS NOT NULL").withColumn("frame", F.concat_ws(" ", "x", "y", "width", "height"))
     fingerprint = F.sha2(F.to_json(F.struct("name", "kind", "frame", "text", "fill", "preset", "residue", "groups")), 256).alias("fingerprint")
     one = F.struct("name", "ordinal", *[F.col(c) for c in FIELDS if c != "name"], "kind", "groups", fingerprint)
@@ -194,11 +193,12 @@ def package_changes(baseline: DataFrame, edited: DataFrame) -> DataFrame:
     tell a copy from its template). The sides meet once, in one full outer join of their facts.
     """
     tables = SharedTables(baseline.sparkSession, "changes")
-    return _changes(tables.cut("parts", _two(baseline, edited)), tables)
+    parts = tables.cut("parts", _two(baseline, edited))
+    return _changes(parts, tables.cut("nodes", T.elements(T.tokens(parts.where("content IS NOT NULL AND name RLIKE '[.](xml|rels)$'")))), tables)
 
 
-def _changes(parts: DataFrame, tables: SharedTables) -> DataFrame:
-    facts = package_facts(parts, tables)
+def _changes(parts: DataFrame, nodes: DataFrame, tables: SharedTables) -> DataFrame:
+    facts = package_facts(parts, nodes, tables)
     b, e, edited = _side(facts, "b"), _side(facts, "e"), _side(parts, "e")
     key = ["package", "kind", "key"]
     both = tables.cut("both", b.select(*key, F.col("shapes").alias("b"), F.col("signature").alias("old")).join(e.select(*key, F.col("shapes").alias("e"), F.col("signature").alias("new")), key, "full_outer"))
@@ -231,7 +231,7 @@ def reconcile_packages(baseline: DataFrame, edited: DataFrame) -> tuple[DataFram
     from there, so plans stay small and nothing is computed twice.
     """
     tables = SharedTables(baseline.sparkSession, "reconcile")
-    changes = tables.cut("changes", _changes(_normalised(baseline, edited, tables), tables))
+    changes = tables.cut("changes", _changes(*_normalised(baseline, edited, tables), tables))
     disposition = F.when(F.col("op").isin(*OPERATIONS.values()), "auto-fixable").when(F.col("op").isin(*REVIEW), "review").otherwise("refused")
     found = C.findings(changes, disposition, F.lit("source-change"))
     every = baseline.select("package").unionByName(edited.select("package")).distinct()
@@ -255,7 +255,7 @@ def clone_proposals(baseline: DataFrame, edited: DataFrame, findings: DataFrame)
     The digests name the baseline, the edited package, its findings, and both fingerprints; ``accepted_clones`` asks for them.
     """
     tables = SharedTables(baseline.sparkSession, "clones")
-    facts = package_facts(_normalised(baseline, edited, tables), tables)
+    facts = package_facts(*_normalised(baseline, edited, tables), tables)
     b, e = _side(facts, "b"), _side(facts, "e")
     pairs = e.where("kind = 'shape' AND size(shapes) > 1").select("package", "key", F.col("shapes").alias("e")).join(b.where("kind = 'shape'").select("package", "key", F.col("shapes").alias("b")), ["package", "key"], "left")
     template = F.col("b")[0]
@@ -317,4 +317,4 @@ def unproven_packages(objects: DataFrame, edited: DataFrame, operations: DataFra
     again: empty for a package exactly if its operations say all that was changed."""
     tables = SharedTables(objects.sparkSession, "proof")
     again = P.read_parts(P.write_packages(compile_decks(patched(objects, operations)))).select("package", "name", "content")
-    return _changes(_normalised(again, edited, tables), tables)
+    return _changes(*_normalised(again, edited, tables), tables)

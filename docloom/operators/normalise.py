@@ -177,6 +177,11 @@ def normalise(parts: DataFrame, tables: SharedTables | None = None) -> tuple[Dat
     The node rows and the candidates are written, since many rules read them. A part that is dropped takes the relationships
     to it and its content type with it.
     """
+    return normalise_nodes(parts, tables)[:2]
+
+
+def normalise_nodes(parts: DataFrame, tables: SharedTables | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``normalise``, and the node rows of the parts after it, written: only parts that a rule rewrote are read again."""
     tables = tables or SharedTables(parts.sparkSession, "normalise")
     nodes = tables.cut("given-nodes", T.elements(T.tokens(parts.where("content IS NOT NULL AND name RLIKE '[.](xml|rels)$'"))))
     fired = tables.cut("fired", candidates(nodes).where(F.forall(F.map_values("checks"), lambda v: v)).drop("checks"))
@@ -189,7 +194,11 @@ def normalise(parts: DataFrame, tables: SharedTables | None = None) -> tuple[Dat
     kept = parts.select("package", "name", "content").join(gone.withColumnRenamed("part", "name"), ["package", "name"], "left_anti").join(edits, ["package", "name"], "left")
     text = F.regexp_replace(F.decode("content", "UTF-8"), "^\\x{FEFF}", "")
     after = F.when(F.col("edits").isNull(), F.col("content")).otherwise(F.encode(splice(text, "edits"), "UTF-8"))
-    return kept.select("package", "name", after.alias("content")), fired.select("package", "rule", "name", "place")
+    done = tables.cut("parts", kept.select("package", "name", after.alias("content"), F.col("edits").isNotNull().alias("edited")))
+    out = done.drop("edited")
+    again = T.elements(T.tokens(done.where("edited AND name RLIKE '[.](xml|rels)$'")))
+    stay = nodes.join(done.where("NOT edited").select("package", "name"), ["package", "name"], "left_semi")
+    return out, fired.select("package", "rule", "name", "place"), tables.cut("nodes", stay.unionByName(again.select(*stay.columns)))
 
 
 def evidence_by_rule(evidence: DataFrame) -> DataFrame:
