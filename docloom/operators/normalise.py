@@ -63,6 +63,7 @@ def _common(depth: int, scaled: bool) -> list[str]:
     ]
 
 
+# What the optional parts look like when they say nothing.
 SIZE = "(?:[0-9]{1,5}|100000)"
 VIEW_SHAPE = _pattern(
     _line(1, f"{P}viewPr"), _line(2, f"{P}normalViewPr"), _line(3, f"{P}restoredLeft", sz=SIZE), _line(3, f"{P}restoredTop", sz=SIZE), _line(2, f"{P}slideViewPr"),
