@@ -138,6 +138,27 @@ def ancestor_closure(nodes: DataFrame) -> DataFrame:
     return known
 
 
+def chain_tops(nodes: DataFrame) -> DataFrame:
+    """(id, top, distance) of an adjacency list (id, parent_id): the last ancestor of each object and how far up it stands.
+
+    Pointers are doubled as in ``ancestor_closure``, but an object keeps only the farthest ancestor it knows: a round writes one row
+    an object, not one a pair, so depth d costs log2(d) + 1 times the input. Objects whose parent is not in the list have no
+    row. A cycle is an error that names one of its members.
+    """
+    tables = SharedTables(nodes.sparkSession, "tops")
+    edges = nodes.select("id", F.col("parent_id").alias("top")).join(nodes.select(F.col("id").alias("top")).distinct(), "top", "left_semi")
+    known = tables.cut("tops-0", edges.select("id", "top", F.lit(1).cast("long").alias("distance"), F.lit(False).alias("done")))
+    most, turn = known.count(), 0
+    while open_ := known.where("NOT done").head(1):
+        if 2 ** (turn - 1) > most:
+            raise ValueError(f"{open_[0].top} is an ancestor of itself")
+        turn += 1
+        beyond = known.select(F.col("id").alias("top"), F.col("top").alias("_top"), F.col("distance").alias("_more"), F.col("done").alias("_done"))
+        longer = known.where("NOT done").join(beyond, "top", "left").select("id", F.coalesce("_top", "top").alias("top"), (F.col("distance") + F.coalesce("_more", F.lit(0))).alias("distance"), F.coalesce("_done", F.lit(True)).alias("done"))
+        known = tables.cut(f"tops-{turn}", longer.unionByName(known.where("done")))
+    return known.drop("done")
+
+
 def preorder(nodes: DataFrame, path: Column, branch: int = 3) -> DataFrame:
     """(id, preorder): the place of each object in its scope, from 1, by its path of sibling orders.
 

@@ -3,6 +3,7 @@ import pytest
 from docloom.operators import evidence as V
 from docloom.operators import objects as O
 from docloom.operators import ranges as R
+from docloom.sources.shared_tables import SharedTables
 
 
 def _docs(spark, **texts):
@@ -65,3 +66,15 @@ def test_hashed_trees_name_the_top_of_what_differs(spark):
     assert {tuple(r) for r in V.differing_subtrees(hashed(rows), hashed(same)).collect()} == {("a", "removed"), ("n", "added"), ("b1", "changed")}
     assert V.differing_subtrees(hashed(rows), hashed(rows)).count() == 0
     assert V.differing_subtrees(hashed([]), hashed(rows)).collect()[0].id == "r"
+
+
+def test_chain_tops_write_a_row_an_object_and_name_a_cycle(spark, monkeypatch):
+    written = []
+    cut = SharedTables.cut
+    monkeypatch.setattr(SharedTables, "cut", lambda self, name, df: (lambda t: written.append(t.count()) or t)(cut(self, name, df)))
+    chain = spark.range(1, 301).selectExpr("id", "CASE WHEN id > 1 THEN id - 1 ELSE -7 END AS parent_id")
+    assert {(r.id, r.top, r.distance) for r in O.chain_tops(chain).collect()} == {(k, 1, k - 1) for k in range(2, 301)}
+    assert max(written) == 299
+    ring = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")]
+    with pytest.raises(ValueError, match="^[abc] is an ancestor of itself"):
+        O.chain_tops(spark.createDataFrame(ring, "id string, parent_id string"))
