@@ -149,9 +149,13 @@ def preview(x: Column | str, size: int = 512) -> Column:
 
 
 def splice(text: Column | str, edits: Column | str) -> Column:
-    """Applies edits (start, end, replacement), half-open and disjoint, from the last to the first."""
-    down = F.array_sort(_c(edits), lambda a, b: b["start"] - a["start"])
-    return F.aggregate(down, _c(text), lambda t, e: F.concat(F.substr(t, F.lit(1), e["start"]), e["replacement"], F.substr(t, e["end"] + 1)))
+    """Applies edits (start, end, replacement), half-open and disjoint, in order of place; all places are those of the given text,
+    and one behind its end is at its end. Of an edit only start, end and replacement, in this order, count."""
+    t, up = _c(text), F.array_sort(F.transform(_c(edits), lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["replacement"].alias("replacement"))))
+    end = lambda i: F.when(i == 0, 0).otherwise(F.try_element_at(up, F.greatest(i, F.lit(1)))["end"])
+    pieces = F.transform(up, lambda e, i: F.concat(F.substr(t, end(i) + 1, e["start"] - end(i)), e["replacement"]))
+    joined = F.when(~F.exists(up, lambda e: e["replacement"].isNull()), F.array_join(pieces, ""))
+    return F.concat(joined, F.substr(t, F.coalesce(F.try_element_at(up, F.lit(-1))["end"], F.lit(0)) + 1))
 
 
 def first_given(*choices: Column | str) -> Column:

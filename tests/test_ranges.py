@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from docloom.functions.scalars import splice
 from docloom.operators import evidence as V
 from docloom.operators import objects as O
 from docloom.operators import ranges as R
@@ -68,6 +70,13 @@ def test_hashed_trees_name_the_top_of_what_differs(spark):
     assert V.differing_subtrees(hashed([]), hashed(rows)).collect()[0].id == "r"
 
 
+def test_splice_counts_places_in_the_given_text(spark):
+    rows = [("", "XYY"), ("ab", "XYY"), ("abcdefghijklmnop", "XdefghiYYmnop"), (None, None)]
+    edits = "array(named_struct('start', 9, 'end', 12, 'replacement', 'YY'), named_struct('start', 0, 'end', 3, 'replacement', 'X'))"
+    got = spark.createDataFrame(rows, "text string, want string").select("want", splice("text", F.expr(edits)).alias("got"))
+    assert all(r.got == r.want for r in got.collect())
+
+
 def test_chain_tops_write_a_row_an_object_and_name_a_cycle(spark, monkeypatch):
     written = []
     cut = SharedTables.cut
