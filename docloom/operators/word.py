@@ -116,7 +116,7 @@ def to_markdown(parts: DataFrame) -> DataFrame:
 def refusals(parts: DataFrame) -> DataFrame:
     """(package, name, code): constructs that Markdown would lose, by their expanded names, whatever the prefix."""
     codes = F.create_map(*[F.lit(x) for code, tags in REFUSED.items() for t in tags for x in (WORD + t, code)])
-    nodes = xml_tree.elements(xml_tree.tokens(parts.where("name LIKE 'word/%.xml' AND content IS NOT NULL")))
+    nodes = xml_tree.read_elements(parts.where("name LIKE 'word/%.xml' AND content IS NOT NULL"))
     return nodes.select("package", "name", codes[F.col("tag")].alias("code")).where("code IS NOT NULL").distinct()
 
 

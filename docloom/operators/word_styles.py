@@ -28,7 +28,7 @@ def declared_styles(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets itself. A switch is true or false; fonts are a property a slot. The defaults are the style ``DEFAULTS``."""
     here = nodes.where(F.col("name") == STYLES)
     a = lambda n: F.col("attributes")[f"{W}{n}"]
-    styles = T.anchored(here, (F.col("tag") == f"{W}style") | (F.col("tag") == f"{W}docDefaults"))
+    styles = T.held_by(here, "holder")
     own = F.max(F.when(F.col("below") == 0, F.coalesce(a("styleId"), F.lit(DEFAULTS))))
     named = styles.groupBy("package", "anchor").agg(
         own.alias("style"), F.max(F.when(F.col("below") == 0, a("type"))).alias("kind"), *[F.max(F.when((F.col("below") == 1) & (F.col("tag") == f"{W}{t}"), a("val"))).alias(c) for t, c in (("basedOn", "based_on"), ("link", "link"))]
@@ -133,6 +133,6 @@ def style_drift(styles: DataFrame, direct: DataFrame) -> DataFrame:
 def read_styles(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``declared_styles`` of packages (package, name, content); both results are written."""
     tables = SharedTables(parts.sparkSession, "styles")
-    nodes = tables.cut("nodes", T.elements(T.tokens(parts.where(F.col("name") == STYLES).select("package", "name", "content"))))
+    nodes = tables.cut("nodes", T.read_elements(parts.where(F.col("name") == STYLES), anchors={"holder": (f"{W}style", f"{W}docDefaults")}))
     styles, direct = declared_styles(nodes)
     return tables.cut("styles", styles), tables.cut("direct", direct)

@@ -138,8 +138,7 @@ def _rule_parts(spark, sf: str) -> DataFrame:
 @query("n4_n11_normalisation_proofs", f"""SELECT 'o' || o_orderkey AS package, rule, predicate, passed FROM orders JOIN (VALUES {RULES_SQL}) e(v, rule, predicate, passed) ON o_orderkey % 29 = v""")
 def n4_proofs(spark, sf):
     """Every predicate of every rule at the place it looks at, held or not."""
-    nodes = T.elements(T.tokens(_rule_parts(spark, sf)))
-    return N.proofs(N.candidates(SharedTables(spark, "proofs").cut("nodes", nodes))).select("package", "rule", "predicate", "passed")
+    return N.proofs(N.candidates(SharedTables(spark, "proofs").cut("nodes", N.read_nodes(_rule_parts(spark, sf))))).select("package", "rule", "predicate", "passed")
 
 
 @query("n4_n11_a14_normalisation_evidence", f"""WITH e AS (SELECT v, rule, bool_and(passed) AS fires FROM (VALUES {RULES_SQL}) e(v, rule, predicate, passed) GROUP BY ALL)
@@ -161,7 +160,7 @@ def xml_nodes(spark, sf):
     kids = F.repeat(F.lit("<!-- <k> --><k a='>'/>"), (F.col("doc_id") % 3).cast("int"))
     xml = F.concat(opens, F.lit("<t>"), escape_xml(text), F.lit("</t>"), kids, F.repeat(F.lit("</x:n>"), depth.cast("int")))
     docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("package"), F.lit("part.xml").alias("name"), F.encode(xml, "UTF-8").alias("content"))
-    nodes = SharedTables(spark, "xml").cut("nodes", T.elements(T.tokens(docs)))
+    nodes = SharedTables(spark, "xml").cut("nodes", T.read_elements(docs))
     below = nodes.groupBy("package", F.col("parent").alias("node")).agg(F.count("*").alias("n_children"), F.sum(F.regexp_count("text", F.lit("[<&]"))).alias("n_marks"))
     out = nodes.where("tag LIKE '%}n'").join(below, ["package", "node"], "left")
     return out.select("package", "depth", "tag", F.coalesce("n_children", F.lit(0)).alias("n_children"), F.coalesce("n_marks", F.lit(0)).alias("n_marks"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import word_styles as S
 from docloom.plans.registry import query, table
+from docloom.sources import packages as P
 
 WORD = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
@@ -26,7 +27,7 @@ def inheritance(spark, sf):
     base = lambda k: F.when(k > 0, F.concat(F.lit('<w:basedOn w:val="s'), (k - 1).cast("string"), F.lit('"/>'))).otherwise("")
     style = lambda k: F.concat(F.lit('<w:style w:type="paragraph" w:styleId="s'), k.cast("string"), F.lit('">'), base(k), F.lit("<w:rPr>"), own(k), F.lit("</w:rPr></w:style>"))
     body = F.concat(F.lit('<w:docDefaults><w:rPrDefault><w:rPr><w:color w:val="00FF00"/></w:rPr></w:rPrDefault></w:docDefaults>'), F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), style), ""))
-    return S.resolved_styles(*S.read_styles(_packages(rows, body)))
+    return P.once_per_content(_packages(rows, body), lambda parts: S.resolved_styles(*S.read_styles(parts)))
 
 
 _FONTS = '<w:rFonts w:ascii="Arial" w:hAnsi="Arial" w:eastAsia="Arial" w:cs="Arial"/>'

@@ -46,5 +46,5 @@ def targets(spark, sf):
     mode = F.when(F.col("o_orderkey") % 6 == 5, ' TargetMode="External"').otherwise("")
     xml = F.concat(F.lit('<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r" Type="t" Target="'), target, F.lit('"'), mode, F.lit("/></Relationships>"))
     parts = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("package"), F.lit("ppt/slides/_rels/slide1.xml.rels").alias("name"), F.encode(xml, "UTF-8").alias("content"))
-    found = N.relations(N.T.elements(N.T.tokens(parts)))
+    found = N.relations(N.T.read_elements(parts))
     return found.select(F.col("package").cast("long").alias("k"), "target", "external")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.scalars import escape_xml
+from docloom.sources.shared_tables import SharedTables
 
 # Limits of a package, and the fixed time stamp of written archives.
 MAX_PARTS, MAX_BYTES = 10_000, 256 << 20
@@ -49,6 +50,32 @@ def name_collisions(parts: DataFrame) -> DataFrame:
     return parts.groupBy("package", F.lower("name").alias("name")).count().where("count > 1")
 
 
+def content_classes(parts: DataFrame) -> DataFrame:
+    """(package, first): each package with the first one that has the same parts, names and contents, itself if there is no other.
+
+    A package is known by the sums of three stretches of its parts' SHA-256, 180 bits in all, so one short row a package is
+    shuffled and the order of its parts says nothing.
+    """
+    said = F.sha2(F.concat(F.encode(F.to_json(F.struct("name", F.col("content").isNull().alias("none"))), "UTF-8"), F.coalesce("content", F.lit(b""))), 256)
+    stretch = lambda k: F.sum(F.conv(F.substring("_said", 15 * k + 1, 15), 16, 10).cast("decimal(20,0)")).alias(f"_{k}")
+    digests = parts.select("package", said.alias("_said")).groupBy("package").agg(*[stretch(k) for k in range(3)], F.count("*").alias("_n"))
+    key = ["_0", "_1", "_2", "_n"]
+    firsts = digests.groupBy(*key).agg(F.min("package").alias("first"))
+    return digests.join(firsts, key).select("package", "first")
+
+
+def once_per_content(parts: DataFrame, use: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``use`` of the parts (package, name, content) of one package of each content, and its rows for all packages that say the same.
+
+    For work within packages that looks at names and contents only; its rows have a column ``package``.
+    """
+    tables = SharedTables(parts.sparkSession, "contents")
+    classes = tables.cut("classes", content_classes(parts))
+    firsts = classes.where("package = first").select("package")
+    found = tables.cut("found", use(tables.cut("firsts", parts.join(firsts, "package", "left_semi"))))
+    return classes.withColumnRenamed("package", "_all").join(found.withColumnRenamed("package", "first"), "first").withColumnRenamed("_all", "package").select(*found.columns)
+
+
 def resolve_target(source, target):
     """The part that a relationship of ``source`` points to: relative to the source's folder, dots resolved."""
     base = F.when(target.startswith("/"), F.array().cast("array<string>")).otherwise(F.slice(F.split(source, "/"), F.lit(1), F.size(F.split(source, "/")) - 1))
