@@ -138,14 +138,15 @@ def _rule_parts(spark, sf: str) -> DataFrame:
 @query("n4_n11_normalisation_proofs", f"""SELECT 'o' || o_orderkey AS package, rule, predicate, passed FROM orders JOIN (VALUES {RULES_SQL}) e(v, rule, predicate, passed) ON o_orderkey % 29 = v""")
 def n4_proofs(spark, sf):
     """Every predicate of every rule at the place it looks at, held or not."""
-    return N.proofs(N.candidates(SharedTables(spark, "proofs").cut("nodes", N.read_nodes(_rule_parts(spark, sf))))).select("package", "rule", "predicate", "passed")
+    proofs = lambda parts: N.proofs(N.candidates(SharedTables(spark, "proofs").cut("nodes", N.read_nodes(parts))))
+    return P.once_per_content(_rule_parts(spark, sf), proofs).select("package", "rule", "predicate", "passed")
 
 
 @query("n4_n11_a14_normalisation_evidence", f"""WITH e AS (SELECT v, rule, bool_and(passed) AS fires FROM (VALUES {RULES_SQL}) e(v, rule, predicate, passed) GROUP BY ALL)
 SELECT 'o' || o_orderkey AS package, rule, 1 AS n FROM orders JOIN e ON o_orderkey % 29 = v WHERE fires""")
 def n4_rules(spark, sf):
     """A rule fires only where all its predicates hold."""
-    return N.evidence_by_rule(N.normalise(_rule_parts(spark, sf))[1]).select("package", "rule", "n")
+    return P.once_per_content(_rule_parts(spark, sf), lambda parts: N.evidence_by_rule(N.normalise(parts)[1])).select("package", "rule", "n")
 
 
 @query("s21_s23_xml_nodes", """WITH d AS (SELECT doc_id, 1 + doc_id % 4 AS depth, doc_id % 3 AS kids, coalesce(len(regexp_extract_all(text, '<|&')), 0) AS marks FROM documents),
