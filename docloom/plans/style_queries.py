@@ -63,4 +63,4 @@ def drift(spark, sf):
     """A style sheet a customer: exact, omitting with proof, omitting without it, or saying something else."""
     sheets = spark.createDataFrame([(v, body) for v, (body, _) in enumerate(SHEETS)], "v int, body string")
     rows = table(spark, sf, "customer").select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("package"), (F.col("c_custkey") % len(SHEETS)).cast("int").alias("v")).join(sheets, "v")
-    return S.style_drift(*S.read_styles(_packages(rows, F.col("body"))))
+    return P.once_per_content(_packages(rows, F.col("body")), lambda parts: S.style_drift(*S.read_styles(parts)))

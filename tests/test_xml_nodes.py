@@ -46,7 +46,7 @@ def test_packages_of_one_content_are_used_once(spark):
     assert got == {("a", 2), ("b", 2), ("c", 2), ("d", 1), ("e", 1), ("f", 1), ("g", 2)}
 
 
-@pytest.mark.parametrize("name", ["p13_c34_w13_style_inheritance", "n4_n11_normalisation_proofs", "n4_n11_a14_normalisation_evidence"])
+@pytest.mark.parametrize("name", ["p13_c34_w13_style_inheritance", "n4_n11_normalisation_proofs", "n4_n11_a14_normalisation_evidence", "r13_style_drift"])
 def test_equal_packages_are_shredded_once(spark, monkeypatch, name):
     from docloom import plans
     from tests.oracle import SF
