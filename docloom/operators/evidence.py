@@ -40,34 +40,48 @@ def constraints(spark: SparkSession, schema: dict) -> DataFrame:
     return spark.createDataFrame(schema_rows(schema), CONSTRAINTS)
 
 
+def _with_holders(values: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """``ranges.with_paths`` rows with the columns ``holder`` and ``names`` that ``ranges.read_json`` gives of itself."""
+    if "names" in values.columns:
+        return values
+    below = values.where("parent IS NOT NULL").groupBy(*by, F.col("parent").alias("k")).agg(F.collect_list("step_name").alias("_names"))
+    above = values.where("kind = 'object'").select(*by, F.col("k").alias("parent"), F.col("shape").alias("holder"))
+    out = values.join(below, [*by, "k"], "left").join(above, [*by, "parent"], "left")
+    return out.withColumn("names", F.when(F.col("kind").isin("object", "array"), F.coalesce("_names", F.array().cast("array<string>")))).drop("_names")
+
+
 def violations(values: DataFrame, rules: DataFrame, by: tuple[str, ...] = ("doc_id",), private: str = PRIVATE) -> DataFrame:
-    """(by, path, rule, argument): what documents break, from ``ranges.with_paths`` rows and constraint rows.
+    """(by, path, rule, argument): what documents break, from ``ranges.read_json`` or ``ranges.with_paths`` rows and constraint rows.
 
-    Values meet the constraints of their shape in equi-joins. Types, words, patterns and bounds are decided in the joined row; a
-    required key is one that no child of the object has; a key of a closed object that is no property is additional. ``private``
-    names strings that no evidence may hold (rule ``private``).
+    Values meet the constraints of their shape and of their holder's, a row a shape, and all is decided in the joined row: types,
+    words, patterns, bounds, required keys that no child of the object has, and keys of a closed object that are no property.
+    ``private`` names strings that no evidence may hold (rule ``private``). Only what is broken is shuffled: a type or word that two
+    equal values of one path break is told once.
     """
-    key, raw = list(by), F.col("raw")
-    text = F.when(F.col("kind") == "string", F.get_json_object(F.concat(F.lit('{"v":'), raw, F.lit("}")), "$.v"))
-    kinds = F.when((F.col("kind") == "number") & raw.rlike("^-?[0-9]+$"), F.array(F.lit("number"), F.lit("integer"))).otherwise(F.array("kind"))
-    met = values.withColumn("text", text).join(rules, "shape")
-    n = met.where("rule IN ('minItems', 'maxItems') AND kind = 'array'").join(values.groupBy(*by, F.col("parent").alias("k")).agg(F.count("*").alias("n")), [*key, "k"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    grouped = met.where("rule IN ('type', 'enum')").groupBy(*by, "path", "kind", "raw", "rule").agg(F.collect_set("argument").alias("allowed"))
-    words = grouped.where(F.when(F.col("rule") == "type", ~F.arrays_overlap("allowed", kinds)).otherwise(~F.array_contains("allowed", F.coalesce(raw, F.lit("")))))
-    number = raw.try_cast("double")
-    bound = F.col("argument").try_cast("double")
-    bad = F.when(F.col("rule") == "pattern", (F.col("kind") == "string") & ~F.regexp_like("text", "argument")).when(F.col("rule") == "minimum", (F.col("kind") == "number") & (number < bound)).when(F.col("rule") == "maximum", (F.col("kind") == "number") & (number > bound))
-    single = met.where("rule IN ('pattern', 'minimum', 'maximum')").where(bad)
-    sized = n.where(F.when(F.col("rule") == "minItems", F.col("n") < bound).otherwise(F.col("n") > bound))
-    children = values.select(*by, F.col("parent").alias("k"), F.col("step_name").alias("argument"))
-    lacking = met.where("rule = 'required' AND kind = 'object'").join(children, [*key, "k", "argument"], "left_anti")
-    closed = values.where("kind = 'object'").join(rules.where("rule = 'closed'").select("shape"), "shape", "left_semi").select(*by, F.col("k").alias("parent"), F.col("shape").alias("holder"))
-    known = rules.where("rule = 'known'").select(F.col("shape").alias("holder"), F.col("argument").alias("step_name"))
-    more = values.join(closed, [*key, "parent"]).join(known, ["holder", "step_name"], "left_anti")
-    hidden = values.withColumn("text", text).where(F.col("text").rlike(private))
-    row = lambda df, rule=None, argument="argument": df.select(*by, "path", (F.lit(rule) if rule else F.col("rule")).alias("rule"), (F.col(argument) if argument else F.lit("")).cast("string").alias("argument"))
-    allowed = words.withColumn("argument", F.array_join(F.array_sort("allowed"), "|"))
-    return row(allowed).unionByName(row(single)).unionByName(row(sized)).unionByName(row(lacking)).unionByName(row(more, "additional", "step_name")).unionByName(row(hidden, "private", None))
+    raw, kind = F.col("raw"), F.col("kind")
+    text = F.when(kind == "string", F.get_json_object(F.concat(F.lit('{"v":'), raw, F.lit("}")), "$.v"))
+    kinds = F.when((kind == "number") & raw.rlike("^-?[0-9]+$"), F.array(F.lit("number"), F.lit("integer"))).otherwise(F.array("kind"))
+    told = rules.groupBy("shape").agg(F.collect_list(F.struct("rule", "argument")).alias("own"))
+    met = _with_holders(values, by).withColumn("text", text).join(F.broadcast(told), "shape", "left")
+    met = met.join(F.broadcast(told.select(F.col("shape").alias("holder"), F.col("own").alias("above"))), "holder", "left")
+    none = F.array().cast("array<string>")
+    given = lambda rule, of="own": F.coalesce(F.transform(F.filter(of, lambda r: r["rule"] == rule), lambda r: r["argument"]), none)
+    number, bound = raw.try_cast("double"), lambda a: a.try_cast("double")
+    broken = lambda rule, test, of="own": F.transform(F.filter(given(rule, of), test), lambda a: F.struct(F.lit(rule).alias("rule"), a.alias("argument")))
+    once = lambda rule, bad, argument: F.when(bad, F.array(F.struct(F.lit(rule).alias("rule"), argument.alias("argument")))).otherwise(F.array().cast("array<struct<rule:string,argument:string>>"))
+    words = lambda rule: F.array_join(F.array_sort(F.array_distinct(given(rule))), "|")
+    found = F.concat(
+        once("type", (F.size(given("type")) > 0) & ~F.arrays_overlap(given("type"), kinds), words("type")),
+        once("enum", (F.size(given("enum")) > 0) & ~F.array_contains(given("enum"), F.coalesce(raw, F.lit(""))), words("enum")),
+        broken("pattern", lambda a: (kind == "string") & ~F.regexp_like("text", a)),
+        broken("minimum", lambda a: (kind == "number") & (number < bound(a))), broken("maximum", lambda a: (kind == "number") & (number > bound(a))),
+        broken("minItems", lambda a: (kind == "array") & (F.size("names") < bound(a))), broken("maxItems", lambda a: (kind == "array") & (F.size("names") > bound(a))),
+        broken("required", lambda a: (kind == "object") & ~F.exists("names", lambda n: n.eqNullSafe(a))),
+        once("additional", (F.size(given("closed", "above")) > 0) & ~F.exists(given("known", "above"), lambda a: a.eqNullSafe(F.col("step_name"))), F.col("step_name")),
+        once("private", F.col("text").rlike(private), F.lit("")),
+    )
+    rows = met.select(*by, "path", "kind", "raw", "k", F.explode(found).alias("f")).select(*by, "path", "f.*", F.when(F.col("f.rule").isin("type", "enum"), F.concat_ws(" ", "kind", "raw")).otherwise(F.col("k").cast("string")).alias("_of"))
+    return rows.dropDuplicates([*by, "path", "rule", "argument", "_of"]).drop("_of")
 
 
 def subtree_hashes(nodes: DataFrame, own: Column, by: str = "scope_id") -> DataFrame:

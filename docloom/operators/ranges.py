@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,3 +167,94 @@ def with_paths(values: DataFrame, by: tuple[str, ...] = DOC, most: int = 64) ->
         last = values.where(F.col("depth") == d).join(above, [*by, "parent"]).select(*values.columns, F.concat("_path", F.lit("/"), "step_name").alias("path"), F.concat("_shape", F.lit("/"), step).alias("shape"))
         out = out.unionByName(last)
     return out
+
+
+_JSON, _BLANK = re.compile(JSON, re.ASCII), re.compile(r"\s+\Z", re.ASCII)
+_VALUE = "k int, depth long, parent int, step_name string, kind string, start long, end long, raw string, path string, shape string, holder string, names array<string>"
+_VALUE_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 4, pa.list_(pa.string())]
+_MOST_ROWS = 1 << 14
+
+
+def _kind(t: str) -> str:
+    named = {"{": "object", "[": "array", "true": "boolean", "false": "boolean", "null": "null"}.get(t)
+    return named or ("string" if t[0] == '"' else "number")
+
+
+def _json_rows(text: str, most: int) -> list[list]:
+    """The columns of ``_VALUE`` of each value. A stretch is what one bracket holds on one level: its commas are counted and its
+    last key is kept."""
+    tokens, at = [], 0
+    depth, opened, unclosed = 0, {}, {}
+    for k, t in enumerate(_JSON.findall(text)):
+        if not _BLANK.match(t):
+            depth -= t in "}]"
+            tokens.append([k, t, at, depth, opened.get(depth - 1), None])
+            if t in "{[":
+                opened[depth] = tokens[-1]
+                unclosed.setdefault(depth, []).append(tokens[-1])
+                depth += 1
+            elif t in "}]":
+                # An open bracket ends at the first close of its level after it.
+                for x in unclosed.pop(depth, ()):
+                    x[5] = at + 1
+        at += len(t)
+    after: dict[tuple, list] = {}
+    keys = set()
+    for x in tokens:
+        own = (x[3], x[4] and x[4][0])
+        if x[1] == ":" and own in after:
+            keys.add(after[own][0])
+        after[own] = x
+    rows, places, last, known = [], {}, {}, {}
+    for k, t, start, level, holder, until in tokens:
+        own = (level, holder and holder[0])
+        if t == ",":
+            places[own] = places.get(own, 0) + 1
+        elif k in keys:
+            last[own] = t[1:-1]
+        elif t not in "}]:":
+            inside = holder is not None
+            name = "" if not inside else str(places.get(own, 0)) if holder[1] == "[" else last.get(own)
+            path = shape = ""
+            above = known.get(holder[0]) if inside else None
+            if level > 0:
+                if level > most:
+                    raise ValueError(f"values are nested {level} deep, over {most}")
+                if above is None:
+                    continue
+                path = None if name is None or above[8] is None else f"{above[8]}/{name}"
+                step = "*" if above[4] == "array" else name
+                shape = None if step is None or above[9] is None else f"{above[9]}/{step}"
+                above[11].append(name)
+            elif level < 0:
+                continue
+            bracket = t in "{["
+            row = [k, level, holder[0] if inside else None, name, _kind(t), start, until if bracket else start + len(t), None if bracket else t, path, shape, above[9] if above and above[4] == "object" else None, [] if bracket else None]
+            rows.append(row)
+            if bracket:
+                known[k] = row
+    return rows
+
+
+def read_json(docs: DataFrame, by: tuple[str, ...] = DOC, text_col: str = "text", most: int = 64) -> DataFrame:
+    """The rows of ``with_paths`` of the ``json_fields`` of JSON texts, read text by text where they are: nothing is shuffled or sorted.
+
+    Two columns more: ``holder``, the shape of the object that a value stands in, and ``names`` of what an object or array holds.
+    """
+    given = docs.select(*by, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    n, names = len(by), [*by, *(x.split()[0] for x in _VALUE.split(", "))]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            types, rows = [*batch.schema.types[:n], *_VALUE_TYPES], []
+            keys = zip(*(batch.column(i).to_pylist() for i in range(n)), strict=True)
+            for key, text in zip(keys, batch.column(n), strict=True):
+                rows += [(*key, *row) for row in _json_rows(text.as_py(), most)]
+                if len(rows) >= _MOST_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    head = ", ".join(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in by)
+    return given.mapInArrow(read, f"{head}, {_VALUE}")

@@ -87,3 +87,21 @@ def test_chain_tops_write_a_row_an_object_and_name_a_cycle(spark, monkeypatch):
     ring = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")]
     with pytest.raises(ValueError, match="^[abc] is an ancestor of itself"):
         O.chain_tops(spark.createDataFrame(ring, "id string, parent_id string"))
+
+
+def test_json_read_in_place_gives_the_rows_of_its_tokens(spark):
+    texts = [
+        '{"a": [1, {"b": "x,}\\""}, []], "c" : true}', "", "[]", '"s"', "{", '{"a": 1', "[1, 2", '{"a": {"b": [null, [0]]}, "a": 2}', '[{"k": 1}, {"k": 2}] {"z": 3}', '{"a" 1}', '{:1, "b": }', "{} }", '{"é": "\\u00e9 😀", "n":-1.5e3}', "]{\"a\": 1}", None,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = R.with_paths(R.json_fields(docs))
+    read = R.read_json(docs)
+    assert read.drop("holder", "names").dtypes == plain.dtypes
+    rows = lambda df: sorted(repr([r[c] for c in plain.columns]) for r in df.collect())
+    assert rows(read) == rows(plain)
+    assert "Exchange" not in read._jdf.queryExecution().executedPlan().toString()
+    schema = {"type": "object", "additionalProperties": False, "required": ["c", "q"], "properties": {"a": {"type": "array", "minItems": 4, "items": {"type": "integer"}}, "c": {}}}
+    rules = V.constraints(spark, schema)
+    told = lambda df: sorted(map(tuple, V.violations(df, rules).collect()), key=repr)
+    assert told(read) == told(plain)
+    assert [r[1:] for r in told(read) if r[0] == 0] == [("", "required", "q"), ("/a", "minItems", "4"), ("/a/1", "type", "integer"), ("/a/2", "type", "integer")]
