@@ -56,3 +56,11 @@ def test_equal_packages_are_shredded_once(spark, monkeypatch, name):
     monkeypatch.setattr(T, "read_elements", lambda parts, *a, **k: seen.append(parts.select("package").distinct().count()) or read(parts, *a, **k))
     plans.QUERIES[name](spark, SF)
     assert max(seen) <= 40
+
+
+def test_targets_are_resolved_without_a_shuffle(spark):
+    from docloom import plans
+    from tests.oracle import SF
+
+    found = plans.QUERIES["c28_n2_resolved_targets"](spark, SF)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
