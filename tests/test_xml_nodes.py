@@ -64,3 +64,16 @@ def test_targets_are_resolved_without_a_shuffle(spark):
 
     found = plans.QUERIES["c28_n2_resolved_targets"](spark, SF)
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_archives_leave_a_task_together_and_in_order():
+    import pandas as pd
+
+    packed = [P._pack((f"p{k}",), pd.DataFrame({"name": ["a", "b"], "content": [b"1", bytes(k)]})) for k in range(40)]
+    given = pd.concat([*packed, pd.DataFrame({"package": ["broken"], "content": [b"no"]})])
+    frames = list(P._unpack(iter([given[:7], given[7:]])))
+    assert len(frames) == 1 and len(frames[0]) == 81
+    assert list(frames[0]["package"])[::2] == [*(f"p{k}" for k in range(40)), "broken"]
+    assert list(frames[0]["problem"])[-1] == "NOT-A-PACKAGE"
+    large = pd.concat([P._pack((f"q{k}",), pd.DataFrame({"name": ["a"], "content": [bytes(P.BATCH_BYTES + 1)]})) for k in range(3)])
+    assert [len(f) for f in P._unpack(iter([large]))] == [1, 1, 1]
