@@ -77,3 +77,15 @@ def test_small_archives_leave_a_task_together_and_in_order():
     assert list(frames[0]["problem"])[-1] == "NOT-A-PACKAGE"
     large = pd.concat([P._pack((f"q{k}",), pd.DataFrame({"name": ["a"], "content": [bytes(P.BATCH_BYTES + 1)]})) for k in range(3)])
     assert [len(f) for f in P._unpack(iter([large]))] == [1, 1, 1]
+
+
+def test_packages_are_archived_from_a_stream_whatever_its_batches():
+    import pandas as pd
+
+    rows = pd.DataFrame([(f"p{k}", n, bytes([k])) for k in range(5) for n in "cab"], columns=["package", "name", "content"])
+    whole = pd.concat([P._pack((k,), g) for k, g in rows.groupby("package")])
+    for size in (1, 2, 3, 4, 7, 15):
+        batches = [rows[:0], *(rows[i : i + size] for i in range(0, len(rows), size))]
+        got = pd.concat(P._packed(iter(batches)))
+        assert list(got["package"]) == list(whole["package"]) and list(got["content"]) == list(whole["content"])
+    assert list(P._packed(iter([rows[:0]]))) == []
