@@ -63,10 +63,12 @@ def embedded_source(parts: DataFrame) -> DataFrame:
     xml = F.decode("content", "UTF-8")
     got = lambda n: F.decode(F.unbase64(F.regexp_extract(xml, rf'<{n} sha256="[0-9a-f]*">([^<]*)</{n}>', 1)), "UTF-8")
     said = lambda n: F.regexp_extract(xml, rf'<{n} sha256="([0-9a-f]*)">', 1)
-    found = parts.where(F.col("name") == SOURCE).select("package", got("original").alias("original"), got("canonical").alias("markdown"), said("original").alias("_o"), said("canonical").alias("_c"))
     bad = (F.sha2("original", 256) != F.col("_o")) | (F.sha2("markdown", 256) != F.col("_c"))
-    every = parts.select("package").distinct()
-    return every.join(found, "package", "left").select("package", "original", "markdown", F.when(F.col("_o").isNull(), "SOURCE-MISSING").when(bad, "SOURCE-CHANGED").alias("problem"))
+    problem = F.when(F.col("_o").isNull(), "SOURCE-MISSING").when(bad, "SOURCE-CHANGED").alias("problem")
+    read = parts.withColumn("_is", F.col("name") == SOURCE).select("package", "_is", *[F.when(F.col("_is"), c).alias(n) for n, c in (("original", got("original")), ("markdown", got("canonical")), ("_o", said("original")), ("_c", said("canonical")))])
+    # A package without a source has a row too: the parts are looked at once, not once to name the packages and once to read.
+    sources = read.groupBy("package").agg(F.collect_list(F.when(F.col("_is"), F.struct("original", "markdown", problem))).alias("_s"))
+    return sources.select("package", F.explode_outer("_s").alias("_s")).select("package", "_s.original", "_s.markdown", F.when(F.col("_s").isNull(), "SOURCE-MISSING").otherwise(F.col("_s.problem")).alias("problem"))
 
 
 def _inline(xml: Column) -> Column:

@@ -29,3 +29,11 @@ def test_changed_sources_and_lost_constructs_are_told(spark):
     assert {r.problem for r in W.embedded_source(parts).collect()} <= {"SOURCE-CHANGED", None} and W.embedded_source(parts).where("problem = 'SOURCE-CHANGED'").count() >= 2
     assert {r.code for r in W.refusals(parts).collect()} == {"REVISION"}
     assert W.embedded_source(parts.where(F.col("name") != W.SOURCE)).where("problem = 'SOURCE-MISSING'").count() == 3
+
+
+def test_archives_are_looked_at_once_for_their_sources(spark):
+    from docloom import plans
+    from tests.oracle import SF
+
+    plan = plans.QUERIES["k6_k7_s20_s22_embedded_sources"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_unpack") == 1
