@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.scalars import splice
 from docloom.sources import xml_tree as T
-from docloom.sources.shared_tables import SharedTables
 
 # The tokens of a style sheet, of JSON, and of the attributes within a tag.
 CSS = r"""(?s)/\*.*?\*/|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|\\.|[{}();:,]|\[|\]|\s+|[^\s{}();:,\[\]"'\\/]++|."""
@@ -19,104 +18,168 @@ JSON = r'''"(?:[^"\\]|\\.)*+"|[{}\[\]:,]|[^\s{}\[\]:,"]+|\s+'''
 DOC = ("doc_id",)
 
 
+_CSS, _MARGIN, _DESCRIBING = re.compile(CSS, re.ASCII), re.compile(r"^\s+|\s+\Z", re.ASCII), re.compile("@(font-face|page)")
+_SPACES = re.compile(r"\s+", re.ASCII)
+
+
+def _by_text(docs: DataFrame, by: tuple[str, ...], text_col: str, read: Callable[[str], Iterable], columns: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
+    """(by, columns): the rows that ``read`` gives for each text, where the text is: nothing is shuffled or sorted."""
+    given = docs.select(*by, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    n, names, own = len(by), [*by, *columns], [t for _, t in columns.values()]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            types, rows = [*batch.schema.types[:n], *own], []
+            frame = lambda rows, types=types: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+            keys = zip(*(batch.column(i).to_pylist() for i in range(n)), strict=True)
+            for key, text in zip(keys, batch.column(n), strict=True):
+                rows += [(*key, *row) for row in read(text.as_py())]
+                if len(rows) >= _MOST_ROWS:
+                    yield frame(rows)
+                    rows = []
+            if rows:
+                yield frame(rows)
+
+    head = [f"`{c}` {given.schema[c].dataType.simpleString()}" for c in by]
+    return given.mapInArrow(each, ", ".join([*head, *(f"`{c}` {kind}" for c, (kind, _) in columns.items())]))
+
+
+def _statements(text: str) -> tuple[list[dict], list[tuple[str, int]]]:
+    """Statements of a style sheet, with their nesting and the braces that end them, and its faults."""
+    found, faults, at, soft, depth, under = [], [], 0, 0, 0, None
+    now: dict = {}
+
+    def begin(level: int) -> None:
+        nonlocal now
+        now = {"said": [], "colon": None, "start": None, "end": None, "level": level, "ended": None}
+
+    begin(0)
+    for t in _CSS.findall(text):
+        soft += (t in ("(", "[")) - (t in (")", "]"))
+        # Brackets hide what is in them; what closes too much is no bracket.
+        inside = soft > 0 or t in (")", "]")
+        if not inside and t in (";", "{", "}"):
+            now["ended"] = t
+            found.append(now)
+            depth += (t == "{") - (t == "}")
+            if depth < 0 and under is None:
+                under = at
+            begin(depth)
+        else:
+            comment = t.startswith("/*")
+            if not inside and t == ":" and now["colon"] is None:
+                now["colon"] = len(now["said"])
+            now["said"].append(" " if comment else t)
+            if not comment and _SPACES.fullmatch(t) is None:
+                now["start"] = at if now["start"] is None else now["start"]
+                now["end"] = at + len(t)
+        at += len(t)
+    if now["said"]:
+        found.append(now)
+    if under is not None:
+        faults.append(("UNOPENED", under))
+    if depth > 0:
+        faults.append(("UNCLOSED", at))
+    return found, faults
+
+
+def _declarations(text: str) -> Iterator[tuple]:
+    """(rule, context, selector, ordinal, property, value, start, end) of each declaration of a style sheet."""
+    joined = lambda pieces: _MARGIN.sub("", "".join(pieces))
+    # The preludes that are open where a statement stands: the last one at each level above it.
+    opened: dict[int, tuple[int, str]] = {}
+    ordinals: dict[int, int] = {}
+    for k, s in enumerate(_statements(text)[0]):
+        level = s["level"]
+        rule = opened.get(level - 1) if level in (1, 2) else None
+        if rule and s["colon"] is not None and s["ended"] != "{" and (not rule[1].startswith("@") or _DESCRIBING.match(rule[1])):
+            context = opened[0][1] if level == 2 else ""
+            ordinal = ordinals[rule[0]] = ordinals.get(rule[0], -1) + 1
+            yield rule[0], context, rule[1], ordinal, joined(s["said"][: s["colon"]]), joined(s["said"][s["colon"] + 1 :]), s["start"], s["end"]
+        if s["ended"] == "{" and level in (0, 1):
+            opened[level] = k, joined(s["said"])
+
+
 def css_rules(sheets: DataFrame, by: tuple[str, ...] = DOC, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(declarations, faults) of style sheets (by, text).
+    """(declarations, faults) of style sheets (by, text), read sheet by sheet where they are.
 
     Declarations are (by, rule, context, selector, ordinal, property, value, start, end), with places in characters: ``context`` is
     the prelude of the block around the rule (``@media ...``), empty for none. The text is cut into tokens; how deep a token
-    stands is a running sum over them, so a semicolon, colon or brace splits only where its own nesting says so: inside
+    stands is counted over them, so a semicolon, colon or brace splits only where its own nesting says so: inside
     strings, comments, brackets and parentheses it is text. Faults are (by, code, at): UNCLOSED and UNOPENED blocks.
     """
-    found = sheets.select(*by, F.posexplode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(CSS), F.lit(0))).alias("k", "t"))
-    order = Window.partitionBy(*by).orderBy("k")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    t = F.col("t")
-    soft = F.sum(F.when(t.isin("(", "["), 1).when(t.isin(")", "]"), -1).otherwise(0)).over(order)
-    placed = found.withColumn("at", F.coalesce(F.sum(F.length("t")).over(before), F.lit(0))).withColumn("soft", soft)
-    # Brackets hide what is in them; what closes too much is no bracket.
-    inside = (F.col("soft") > 0) | t.isin(")", "]")
-    brace = F.when(~inside & (t == "{"), 1).when(~inside & (t == "}"), -1).otherwise(0)
-    placed = placed.withColumn("brace", brace).withColumn("depth", F.sum("brace").over(order))
-    # A statement ends at a semicolon or a brace of its own level.
-    ends = (~inside & t.isin(";", "{", "}")).cast("int")
-    placed = placed.withColumn("statement", F.coalesce(F.sum(ends).over(before), F.lit(0))).withColumn("level", F.col("depth") - F.greatest("brace", F.lit(0)) - F.least("brace", F.lit(0)))
-    comment = t.startswith("/*")
-    piece = F.struct("k", F.when(comment, " ").otherwise(t).alias("t"), (~inside & (t == ":")).alias("colon"))
-    blank = comment | t.rlike(r"^\s+$")
-    body = ends == 0
-    statements = placed.groupBy(*by, "statement").agg(
-        F.array_sort(F.collect_list(F.when(body, piece))).alias("p"), F.max(F.when(ends == 1, t)).alias("ended"), F.min("level").alias("level"), F.min(F.when(body & ~blank, F.col("at"))).alias("start"), F.max(F.when(body & ~blank, F.col("at") + F.length("t"))).alias("end"),
-    )
-    joined = lambda p: F.regexp_replace(F.array_join(F.transform(p, lambda x: x["t"]), ""), r"^\s+|\s+$", "")
-    colon = F.array_position(F.transform("p", lambda x: x["colon"]), True).cast("int")
-    said = statements.withColumns({"whole": joined(F.col("p")), "colon": colon})
-    # The preludes that are open where a statement stands: the last one at each level above it.
-    levels = Window.partitionBy(*by).orderBy("statement")
-    opened = F.when(F.col("ended") == "{", F.struct("statement", "whole"))
-    near = [F.last(F.when(F.col("level") == k, opened), ignorenulls=True).over(levels.rowsBetween(Window.unboundedPreceding, -1)) for k in (0, 1)]
-    said = said.withColumns({"outer": near[0], "inner": near[1]})
-    rule = F.when(F.col("level") == 1, F.col("outer")).when(F.col("level") == 2, F.col("inner"))
-    told = said.where("colon > 0 AND level IN (1, 2) AND NOT ended <=> '{'").withColumn("rule", rule).where("NOT rule.whole LIKE '@%' OR rule.whole RLIKE '^@(font-face|page)'")
-    out = told.select(
-        *by, F.col("rule.statement").alias("rule"), F.when(F.col("level") == 2, F.col("outer.whole")).otherwise("").alias("context"), F.col("rule.whole").alias("selector"), "statement",
-        F.lower(joined(F.slice("p", F.lit(1), F.col("colon") - 1))).alias("property"), joined(F.slice("p", F.col("colon") + 1, F.size("p"))).alias("value"), "start", "end",
-    )
-    ordinal = F.row_number().over(Window.partitionBy(*by, "rule").orderBy("statement")) - 1
-    declarations = out.withColumn("ordinal", ordinal).drop("statement")
-    last = placed.groupBy(*by).agg(F.max_by("depth", "k").alias("left"), F.min(F.when(F.col("depth") < 0, F.col("at"))).alias("under"), F.max(F.col("at") + F.length("t")).alias("size"))
-    faults = last.where("under IS NOT NULL").select(*by, F.lit("UNOPENED").alias("code"), F.col("under").alias("at")).unionByName(last.where("left > 0").select(*by, F.lit("UNCLOSED").alias("code"), F.col("size").alias("at")))
-    return declarations, faults
-
-
-def tag_attributes(found: DataFrame, by: tuple[str, ...] = DOC) -> DataFrame:
-    """(by, node, tag, name, value, start, name_end, end) of every attribute of the tags among ``xml_tree.tokens``; ``value`` is
-    null for an attribute without one. Places are characters of the source."""
-    raw = F.col("raw")
-    pieces = r"""(?s)^<[^\s/>]+|\s+|[^\s=/>"']+\s*=\s*(?:"[^"]*"|'[^']*')|[^\s=/>"']+(?:\s*=\s*[^\s"'>]+)?|."""
-    tags = found.where("kind IN ('open', 'empty')").select(*by, "node", "at", F.regexp_extract(raw, r"^<([^\s/>]+)", 1).alias("tag"), F.posexplode(F.regexp_extract_all(raw, F.lit(pieces), F.lit(0))).alias("k", "piece"))
-    start = F.col("at") + F.coalesce(F.sum(F.length("piece")).over(Window.partitionBy(*by, "node").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    name = F.regexp_extract("piece", r"""^([^\s=/>"'<]+)""", 1)
-    value = F.regexp_replace(F.regexp_extract("piece", r"(?s)=\s*(.*)$", 1), r"""^["']|["']$""", "")
-    placed = tags.withColumn("start", start).where((F.col("k") > 0) & (name != ""))
-    return placed.select(*by, "node", "tag", name.alias("name"), F.when(F.contains("piece", F.lit("=")), value).alias("value"), "start", (F.col("start") + F.length(name)).alias("name_end"), (F.col("start") + F.length("piece")).alias("end"))
+    text, number = ("string", pa.string()), ("long", pa.int64())
+    columns = {"rule": number, "context": text, "selector": text, "ordinal": ("int", pa.int32()), "property": text, "value": text, "start": number, "end": number}
+    declarations = _by_text(sheets, by, text_col, _declarations, columns).withColumn("property", F.lower("property"))
+    return declarations, _by_text(sheets, by, text_col, lambda x: _statements(x)[1], {"code": text, "at": number})
+
+
+_PIECES = re.compile(r"""(?s)^<[^\s/>]+|\s+|[^\s=/>"']+\s*=\s*(?:"[^"]*"|'[^']*')|[^\s=/>"']+(?:\s*=\s*[^\s"'>]+)?|.""", re.ASCII)
+_NAME, _GIVEN = re.compile(r"""[^\s=/>"'<]+""", re.ASCII), re.compile(r"(?s)=\s*(.*)\Z", re.ASCII)
+_TAG = re.compile(r"<([^\s/>]+)", re.ASCII)
+_EDITS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("replacement", pa.string())]))
+
+
+def _family_edits(text: str, old: str, new: str) -> list[dict]:
+    """The edits of ``family_edits`` of one text, in order."""
+    found, prefix, own = [], f"data-{old}-", f"--{old}-"
+    edit = lambda kind, at, what, by: {"kind": kind, "start": at, "end": at + len(what), "replacement": by}
+
+    def sheet(at: int, css: str) -> None:
+        for t in _CSS.findall(css) if own in css else ():
+            if t.startswith(own):
+                found.append(edit("custom-property", at, own, f"--{new}-"))
+            at += len(t)
+
+    at, styled = int(text.startswith("\ufeff")), False
+    for raw in T._TOKEN.findall(text[at:]):
+        if raw[0] != "<" or raw.startswith("<![CDATA["):
+            # A style sheet is one text, though a scanner of tags may have cut it.
+            if styled:
+                sheet(at, raw)
+        elif raw[1:2] not in ("!", "?", ""):
+            place = at
+            for k, piece in enumerate(_PIECES.findall(raw) if raw[1] != "/" else ()):
+                name = _NAME.match(piece) if k else None
+                if name and name[0].startswith(prefix):
+                    found.append(edit("attribute", place, prefix, f"data-{new}-"))
+                elif name and name[0].lower() == "style" and (given := _GIVEN.search(piece)):
+                    quoted = given[1][:1] in ("'", '"')
+                    sheet(place + given.start(1) + quoted, given[1][1:-1] if quoted else given[1])
+                place += len(piece)
+            if not raw.endswith("/>") or raw[1] == "/":
+                tag = _TAG.match(raw)
+                styled = raw[1] != "/" and tag is not None and tag[1].lower() == "style"
+        at += len(raw)
+    return found
+
+
+def _edits_of(text: Column, old: str, new: str) -> Column:
+    @F.arrow_udf("array<struct<kind:string,start:int,end:int,replacement:string>>")
+    def edits(texts: pa.Array) -> pa.Array:
+        return pa.array((_family_edits(t.as_py(), old, new) for t in texts), _EDITS)
+
+    return edits(F.coalesce(text, F.lit("")))
 
 
 def family_edits(docs: DataFrame, old: str, new: str, by: tuple[str, ...] = DOC, text_col: str = "text") -> DataFrame:
     """(by, kind, start, end, replacement): the places where a family is named as markup: in the names of attributes, and in
     custom properties within style attributes and style sheets. What only looks like it in prose, comments or other values is
-    in no range."""
-    found = T.tokens(docs, by, F.coalesce(F.col(text_col), F.lit("")))
-    attributes = SharedTables(docs.sparkSession, "ranges").cut("attributes", tag_attributes(found, by).where("name LIKE 'data-%' OR lower(name) = 'style'"))
-    prefix = f"data-{old}-"
-    names = attributes.where(F.col("name").startswith(prefix)).select(*by, F.lit("attribute").alias("kind"), "start", (F.col("start") + len(prefix)).alias("end"), F.lit(f"data-{new}-").alias("replacement"))
-    styles = attributes.where("lower(name) = 'style' AND value IS NOT NULL").select(*by, (F.col("end") - F.length("value") - 1).alias("at"), F.col("value").alias("css"))
-    # A style sheet is one text, though a scanner of tags may have cut it.
-    order = Window.partitionBy(*by).orderBy("node")
-    holder = F.last(F.when(F.col("kind").isin("open", "close"), F.struct(F.col("kind").alias("kind"), F.lower(F.regexp_extract("raw", r"^<([^\s/>]+)", 1)).alias("tag"))), ignorenulls=True).over(order)
-    sheets = found.withColumn("in", holder).where("kind IN ('text', 'cdata') AND in.kind = 'open' AND in.tag = 'style'").select(*by, "at", F.col("raw").alias("css"))
-    pieces = sheets.unionByName(styles).select(*by, "at", F.posexplode(F.regexp_extract_all("css", F.lit(CSS), F.lit(0))).alias("k", "t"))
-    at = F.col("at") + F.coalesce(F.sum(F.length("t")).over(Window.partitionBy(*by, "at").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = f"--{old}-"
-    properties = pieces.withColumn("start", at).where(F.col("t").startswith(own)).select(*by, F.lit("custom-property").alias("kind"), "start", (F.col("start") + len(own)).alias("end"), F.lit(f"--{new}-").alias("replacement"))
-    return names.unionByName(properties)
+    in no range. A text is read in its row, and its places count from its first character."""
+    return docs.select(*by, F.explode(_edits_of(F.col(text_col), old, new)).alias("_e")).select(*by, "_e.kind", *[F.col(f"_e.{c}").cast("long").alias(c) for c in ("start", "end")], "_e.replacement")
 
 
 def migrate(docs: DataFrame, old: str, new: str, by: tuple[str, ...] = DOC, text_col: str = "text") -> DataFrame:
     """The documents with a family renamed by splices on its ranges, and (n_edits, proven): whether the new source has exactly
     the markup of the old one under the new name. A document without the family is unchanged and proven."""
-    kind = F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "replacement")
-    tables = SharedTables(docs.sparkSession, "migrate")
-    count = lambda rows, a, b, name: tables.cut(name, family_edits(rows, a, b, by, text_col).groupBy(*by).agg(F.count("*").alias(name)))
-    edits = tables.cut("edits", family_edits(docs, old, new, by, text_col)).groupBy(*by).agg(F.array_sort(F.collect_list(kind)).alias("edits"))
-    out = docs.join(edits, list(by), "left").withColumn("n_edits", F.coalesce(F.size("edits"), F.lit(0)))
-    out = out.withColumn("edits", F.when(F.size("edits") > 0, F.col("edits"))).withColumn("after", F.when(F.col("edits").isNull(), F.col(text_col)).otherwise(splice(text_col, "edits")))
-    out = tables.cut("after", out.drop("edits"))
-    again = out.select(*by, F.col("after").alias(text_col))
-    for rows, a, b, name in ((again, old, new, "n_left"), (again, new, old, "n_new"), (docs, new, old, "n_had")):
-        out = out.join(count(rows, a, b, name), list(by), "left")
-    none = lambda c: F.coalesce(F.col(c), F.lit(0))
-    proven = (none("n_left") == 0) & (none("n_new") == none("n_had") + F.col("n_edits"))
-    return out.select(*by, *[c for c in docs.columns if c not in (*by, text_col)], F.col("after").alias(text_col), "n_edits", proven.alias("proven"))
+    text, after = F.col(text_col), F.col("_after")
+    count = lambda column, a, b: F.size(_edits_of(column, a, b))
+    pieces = F.transform("_edits", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["replacement"].alias("replacement")))
+    out = docs.select("*", _edits_of(text, old, new).alias("_edits"), count(text, new, old).alias("_had")).withColumn("n_edits", F.size("_edits"))
+    out = out.withColumn("_pieces", pieces).withColumn("_after", F.when(F.col("n_edits") > 0, splice(text_col, "_pieces")).otherwise(text)).drop("_pieces")
+    out = out.select("*", count(after, old, new).alias("_left"), count(after, new, old).alias("_new"))
+    proven = (F.col("_left") == 0) & (F.col("_new") == F.col("_had") + F.col("n_edits"))
+    return out.select(*by, *[c for c in docs.columns if c not in (*by, text_col)], after.alias(text_col), "n_edits", proven.alias("proven"))
 
 
 def json_fields(docs: DataFrame, by: tuple[str, ...] = DOC, text_col: str = "text") -> DataFrame:
@@ -241,20 +304,5 @@ def read_json(docs: DataFrame, by: tuple[str, ...] = DOC, text_col: str = "text"
 
     Two columns more: ``holder``, the shape of the object that a value stands in, and ``names`` of what an object or array holds.
     """
-    given = docs.select(*by, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    n, names = len(by), [*by, *(x.split()[0] for x in _VALUE.split(", "))]
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            types, rows = [*batch.schema.types[:n], *_VALUE_TYPES], []
-            keys = zip(*(batch.column(i).to_pylist() for i in range(n)), strict=True)
-            for key, text in zip(keys, batch.column(n), strict=True):
-                rows += [(*key, *row) for row in _json_rows(text.as_py(), most)]
-                if len(rows) >= _MOST_ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-    head = ", ".join(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in by)
-    return given.mapInArrow(read, f"{head}, {_VALUE}")
+    columns = {x.split()[0]: (x.split()[1], t) for x, t in zip(_VALUE.split(", "), _VALUE_TYPES, strict=True)}
+    return _by_text(docs, by, text_col, lambda text: _json_rows(text, most), columns)

@@ -105,3 +105,26 @@ def test_json_read_in_place_gives_the_rows_of_its_tokens(spark):
     told = lambda df: sorted(map(tuple, V.violations(df, rules).collect()), key=repr)
     assert told(read) == told(plain)
     assert [r[1:] for r in told(read) if r[0] == 0] == [("", "required", "q"), ("/a", "minItems", "4"), ("/a/1", "type", "integer"), ("/a/2", "type", "integer")]
+
+
+def test_style_sheets_are_read_without_a_shuffle(spark):
+    from docloom import plans
+    from tests.oracle import SF
+
+    found = plans.QUERIES["c12_style_rules"](spark, SF)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_families_are_migrated_without_a_shuffle(spark):
+    from docloom import plans
+    from tests.oracle import SF
+
+    found = plans.QUERIES["m15_o4_migrated_families"](spark, SF)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_families_are_renamed_after_a_byte_order_mark_and_in_values_without_quotes(spark):
+    texts = {"bom": "\ufeff<a data-old-x='1'/>", "bare": "<a style=--old-b:1 />", "none": None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    found = {r.doc_id: (r.text, r.n_edits, r.proven) for r in R.migrate(docs, "old", "next").collect()}
+    assert found == {"bom": ("\ufeff<a data-next-x='1'/>", 1, True), "bare": ("<a style=--next-b:1 />", 1, True), "none": (None, 0, True)}
