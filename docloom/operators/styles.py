@@ -16,6 +16,14 @@ WIDE_KEYWORDS = ("inherit", "initial", "revert", "revert-layer", "unset")
 GENERIC_FAMILIES = ("cursive", "emoji", "fangsong", "fantasy", "math", "monospace", "sans-serif", "serif", "system-ui", "ui-monospace", "ui-rounded", "ui-sans-serif", "ui-serif")
 FORBIDDEN_FUNCTIONS = ("calc", "url", "var")
 WORD_VALUES = {"font-style": ("normal", "italic"), "text-anchor": ("start", "middle", "end")}
+
+
+def _by_class(nodes: DataFrame, rules: DataFrame, theme: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    tokens = theme.select(*by, "token", "expression")
+    valued = rules.join(tokens, [*by, "token"], "left").select(*by, "class", "source_order", "property", F.coalesce("literal", "expression").alias("value"))
+    return nodes.select(*by, "id", F.explode("classes").alias("class")).join(valued, [*by, "class"]).select(*by, "id", "property", F.lit(ORIGINS["base-rule"]).alias("origin"), "source_order", "value")
+
+
 def declared(nodes: DataFrame, rules: DataFrame, theme: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(id, property, origin, source_order, value) of every value that a node's classes, attributes or inline style give.
 
@@ -23,9 +31,7 @@ def declared(nodes: DataFrame, rules: DataFrame, theme: DataFrame, by: tuple[str
     in the theme. ``nodes``: id, classes, attributes and inline (maps of property to value). ``by`` names columns that
     all three have and that keep documents apart.
     """
-    tokens = theme.select(*by, "token", "expression")
-    valued = rules.join(tokens, [*by, "token"], "left").select(*by, "class", "source_order", "property", F.coalesce("literal", "expression").alias("value"))
-    by_class = nodes.select(*by, "id", F.explode("classes").alias("class")).join(valued, [*by, "class"]).select(*by, "id", "property", F.lit(ORIGINS["base-rule"]).alias("origin"), "source_order", "value")
+    by_class = _by_class(nodes, rules, theme, by)
     own = lambda column, origin: nodes.select(*by, "id", F.explode(column).alias("property", "value")).select(*by, "id", "property", F.lit(ORIGINS[origin]).alias("origin"), F.lit(0).alias("source_order"), "value")
     return by_class.unionByName(own("attributes", "presentation-attribute")).unionByName(own("inline", "inline-style"))
 
@@ -33,14 +39,23 @@ def declared(nodes: DataFrame, rules: DataFrame, theme: DataFrame, by: tuple[str
 def cascade(nodes: DataFrame, rules: DataFrame, theme: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(id, property, value, origin): the strongest value of each property, the later of equals; else the default.
 
-    Defaults are the weakest declarations, so one aggregate decides all.
+    What a node gives itself travels in one row, what its classes give in a row each; they meet once under the node's id, and
+    the defaults, the weakest declarations, join them there.
     """
-    defaults = F.create_map(*[F.lit(x) for p in DEFAULTS.items() for x in p])
-    weakest = nodes.select(*by, "id", F.explode(defaults).alias("property", "value")).select(*by, "id", "property", F.lit(ORIGINS["default"]).alias("origin"), F.lit(0).alias("source_order"), "value")
-    every = declared(nodes, rules, theme, by).where("value IS NOT NULL").unionByName(weakest)
-    best = every.groupBy(*by, "id", "property").agg(F.max_by(F.struct("value", "origin"), F.struct("origin", "source_order")).alias("b"))
+    order = rules.schema["source_order"].dataType
+    kind = f"array<struct<property:string,origin:int,source_order:{order.simpleString()},value:string>>"
+    one = lambda p, origin, v: F.struct(p.alias("property"), F.lit(ORIGINS[origin]).alias("origin"), F.lit(0).cast(order).alias("source_order"), v.alias("value"))
+    own = lambda c, origin: F.coalesce(F.transform(F.filter(F.map_entries(c), lambda e: e["value"].isNotNull()), lambda e: one(e["key"], origin, e["value"])), F.array()).cast(kind)
+    selves = nodes.select(*by, "id", F.concat(own("attributes", "presentation-attribute"), own("inline", "inline-style")).alias("g"))
+    ruled = _by_class(nodes, rules, theme, by).where("value IS NOT NULL").select(*by, "id", F.array(F.struct("property", "origin", "source_order", "value")).cast(kind).alias("g"))
+    given = selves.unionByName(ruled).groupBy(*by, "id").agg(F.flatten(F.collect_list("g")).alias("g"))
+    weakest = F.array(*[one(F.lit(p), "default", F.lit(v)) for p, v in DEFAULTS.items()]).cast(kind)
+    every = given.select(*by, "id", F.concat("g", weakest).alias("g"))
+    strongest = lambda p: F.array_max(F.transform(F.filter("g", lambda x: x["property"].eqNullSafe(p)), lambda x: F.struct(x["origin"].alias("origin"), x["source_order"].alias("source_order"), x["value"].alias("value"))))
+    best = F.transform(F.array_distinct(F.transform("g", lambda x: x["property"])), lambda p: F.struct(p.alias("property"), strongest(p).alias("b")))
     names = F.create_map(*[F.lit(x) for k, v in ORIGINS.items() for x in (v, k)])
-    return best.select(*by, "id", "property", F.col("b.value").alias("value"), names[F.col("b.origin")].alias("origin"))
+    out = every.select(*by, "id", F.explode(best).alias("s"))
+    return out.select(*by, "id", "s.property", F.col("s.b.value").alias("value"), names[F.col("s.b.origin")].alias("origin"))
 
 
 def style_value(prop: Column | str, expression: Column | str) -> Column:

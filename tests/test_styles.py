@@ -72,3 +72,11 @@ def test_style_values_by_property(spark):
         assert r.v.code is None and r.w == str(r.v.text if r.v.text is not None else r.v.number), r
     for r in rows[len(GOOD_VALUES) :]:
         assert (r.v.code, r.v.text, r.v.number) == (r.w, None, None), r
+
+
+def test_a_cascade_meets_once_and_its_text_where_it_is(spark):
+    from docloom import plans
+    from tests.oracle import SF
+
+    plan = plans.QUERIES["c35_style_text"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(id") == 1
