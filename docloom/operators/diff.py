@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+# Fixed value: characters of merged text that a task holds before rows leave it.
+BATCH_CHARS = 4 << 20
 
 
 def diff_snapshots(left: DataFrame, right: DataFrame, fields: dict[str, str], key: str = "id") -> DataFrame:
@@ -92,6 +97,20 @@ def _merge_lines(base: list[str], ours: list[str], theirs: list[str]) -> tuple[l
     return out + base[at:], conflicts
 
 
+def _merged(batches: Iterator[pa.RecordBatch], places: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
+    """Rows with their merge. Texts are read one row at a time, and rows leave when enough text is held."""
+    for batch in batches:
+        texts, done, size = [batch.column(k) for k in places], [], 0
+        for row in range(1, batch.num_rows + 1):
+            lines, n = _merge_lines(*((c[row - 1].as_py() or "").split("\n") for c in texts))
+            done.append(("\n".join(lines), n))
+            size += len(done[-1][0])
+            if size > BATCH_CHARS or row == batch.num_rows:
+                own = batch.slice(row - len(done), len(done)).columns
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.string(), pa.int32()), strict=True))], names=[*batch.schema.names, "merged", "conflicts"])
+                done, size = [], 0
+
+
 def merge_texts(rows: DataFrame, base: str, ours: str, theirs: str) -> DataFrame:
     """Adds merged (text) and conflicts (int): a three-way merge of lines, in the row that holds the three texts.
 
@@ -99,12 +118,8 @@ def merge_texts(rows: DataFrame, base: str, ours: str, theirs: str) -> DataFrame
     Null is an empty text, and a side that equals the base or the other side costs no comparison of lines.
     """
     b, o, t = (F.coalesce(F.col(c), F.lit("")) for c in (base, ours, theirs))
-
-    @F.pandas_udf("merged string, conflicts int")
-    def merged(bs: pd.Series, os: pd.Series, ts: pd.Series) -> pd.DataFrame:
-        found = [_merge_lines(*(x.split("\n") for x in three)) for three in zip(bs, os, ts, strict=True)]
-        return pd.DataFrame({"merged": ["\n".join(lines) for lines, _ in found], "conflicts": [n for _, n in found]})
-
+    places = tuple(rows.columns.index(c) for c in (base, ours, theirs))
     easy = F.when((o == b) | (o == t), t).when(t == b, o)
-    hard = rows.where(easy.isNull()).withColumn("_m", merged(b, o, t)).withColumn("merged", F.col("_m.merged")).withColumn("conflicts", F.col("_m.conflicts")).drop("_m")
+    kinds = StructType([*rows.schema.fields, StructField("merged", StringType()), StructField("conflicts", IntegerType())])
+    hard = rows.where(easy.isNull()).mapInArrow(lambda batches: _merged(batches, places), kinds)
     return rows.where(easy.isNotNull()).withColumn("merged", easy).withColumn("conflicts", F.lit(0)).unionByName(hard)

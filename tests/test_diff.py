@@ -3,6 +3,9 @@
 import random
 import subprocess
 
+import pyarrow as pa
+
+from docloom.operators import diff as D
 from docloom.operators.diff import merge_texts
 
 
@@ -36,3 +39,14 @@ def test_empty_null_and_one_sided_texts(spark):
     got = {r.id: (r.merged, r.conflicts) for r in merge_texts(spark.createDataFrame(rows, "id int, b string, o string, t string"), "b", "o", "t").collect()}
     assert got.pop(6)[1] == 1
     assert got == {1: ("", 0), 2: ("b", 0), 3: ("b", 0), 4: ("", 0), 5: ("A\nb\nC", 0), 7: ("b", 0)}
+
+
+def test_merged_texts_leave_a_task_before_a_batch_is_through(spark):
+    texts = [f"{k}\n" + "x" * (1 << 20) for k in range(12)]
+    batch = pa.RecordBatch.from_pydict({"b": texts, "id": list(range(12)), "o": [f"o{t}" for t in texts], "t": [f"{t}\nt" for t in texts]})
+    found = list(D._merged(iter([batch.slice(0, 0), batch]), (0, 2, 3)))
+    assert len(found) == 3 and sum(f.num_rows for f in found) == 12
+    assert [r for f in found for r in f.column("id").to_pylist()] == list(range(12))
+    assert [r for f in found for r in f.column("merged").to_pylist()] == [f"o{t}\nt" for t in texts]
+    rows = merge_texts(spark.createDataFrame([(1, "a\nb\nc", "A\nb\nc", "a\nb\nC")], "id int, b string, o string, t string"), "b", "o", "t")
+    assert "MapInArrow" in rows._jdf.queryExecution().executedPlan().toString()
