@@ -103,12 +103,15 @@ def r2_states(spark, sf):
     other = F.when((turn == 1) & (F.col("name") == D.THEME), F.replace(text, F.lit('name="Plain"'), F.lit('name="Other"'))).when(
         F.col("name").isin(D.MAIN, "ppt/_rels/presentation.xml.rels"), F.regexp_replace(text, '(r:id|Id)="rId', '$1="rId9')
     )
-    edited = parts.where((turn != 0) | (F.col("name") != D.THEME)).withColumn("content", F.coalesce(F.encode(other, "UTF-8"), F.col("content")))
-    more = parts.where((turn == 2) & (F.col("name") == D.THEME)).withColumn("name", F.lit("ppt/theme/theme2.xml"))
-    b = P.part_signatures(parts).select("package", "name", F.col("signature").alias("b"))
-    e = P.part_signatures(edited.unionByName(more)).select("package", "name", F.col("signature").alias("e"))
+    theme, name, content = F.col("name") == D.THEME, F.col("name"), F.col("content")
+    held = lambda sides, name, content: F.struct(F.array(*map(F.lit, sides)).alias("sides"), name.alias("name"), content.alias("content"))
+    more = F.when((turn == 2) & theme, held("e", F.lit("ppt/theme/theme2.xml"), content))
+    # Both sides of a part are made where it is, so a deck is compiled once and stays where it was put together.
+    each = F.when((turn == 0) & theme, F.array(held("b", name, content))).when(other.isNull(), F.array(held("be", name, content), more)).otherwise(F.array(held("b", name, content), held("e", name, F.encode(other, "UTF-8")), more))
+    signed = P.part_signatures(parts.select("package", F.explode(F.array_compact(each)).alias("s")).select("package", "s.*"), "sides")
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("signature"))).alias(side)
     state = F.when(F.col("e").isNull(), "missing").when(F.col("b").isNull(), "new").otherwise("changed")
-    return b.join(e, ["package", "name"], "full_outer").where("NOT b <=> e").select("package", state.alias("state"))
+    return signed.groupBy("package", "name").agg(of("b"), of("e")).where("NOT b <=> e").select("package", state.alias("state"))
 
 
 @query("r1_r3_u14_package_findings", f"WITH {DECKS_SQL} SELECT package, id AS subject, op, CASE op WHEN 'object-new' THEN 'refused' WHEN 'object-missing' THEN 'review' ELSE 'auto-fixable' END AS disposition FROM edits")

@@ -7,16 +7,20 @@ import zipfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.scalars import escape_xml
 from docloom.sources.shared_tables import SharedTables
+from docloom.sources.xml_tree import let
 
-# Limits of a package, of the entries that leave a task at once, and the fixed time stamp of written archives.
+# Limits of a package, of the entries that leave a task at once, the fixed time stamp of written archives, and how
+# relationships, content types and references to relationships are written.
 MAX_PARTS, MAX_BYTES = 10_000, 256 << 20
 BATCH_ROWS, BATCH_BYTES = 4096, 8 << 20
 ZIP_TIME = (1980, 1, 1, 0, 0, 0)
+RELATIONSHIP, CONTENT_TYPE = r"(<Relationship\s[^>]*>)", r"(<(?:Default|Override)\s[^>]*>)"
+REFERENCE = r'r:(?:id|embed|link)="[^"]*"'
 PARTS = "package string, ordinal int, name string, size long, content binary, problem string"
 
 
@@ -91,23 +95,42 @@ def resolve_target(source, target):
     base = F.when(target.startswith("/"), F.array().cast("array<string>")).otherwise(F.slice(F.split(source, "/"), F.lit(1), F.size(F.split(source, "/")) - 1))
     steps = F.concat(base, F.filter(F.split(target, "/"), lambda s: (s != "") & (s != ".")))
     up = lambda a, s: F.when(s == "..", F.when(F.size(a) > 0, F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)).otherwise(F.concat(a, F.array(s)))
-    return F.array_join(F.aggregate(steps, F.array().cast("array<string>"), up), "/")
+    # Most targets are rooted and have nothing to resolve.
+    clear = target.startswith("/") & ~target.endswith("/") & ~F.contains(target, F.lit("/.")) & ~F.contains(target, F.lit("//"))
+    return F.when(clear, F.substr(target, F.lit(2))).otherwise(F.array_join(F.aggregate(steps, F.array().cast("array<string>"), up), "/"))
+
+
+def _relationship(x: Column, source: Column) -> Column:
+    """(rid, type, to: (target, external)) of one relationship of a source as written."""
+    attr = lambda n: F.regexp_extract(x, rf'\s{n}="([^"]*)"', 1)
+    given = F.struct(attr("Target").alias("raw"), (attr("TargetMode") == "External").alias("external"))
+    target = let(given, lambda g: F.struct(F.when(g["external"], g["raw"]).otherwise(resolve_target(source, g["raw"])).alias("target"), g["external"].alias("external")))
+    return F.struct(attr("Id").alias("rid"), attr("Type").alias("type"), target.alias("to"))
+
+
+def _source() -> Column:
+    """The part that a relationship part speaks for."""
+    return F.regexp_replace(F.regexp_replace("name", r"_rels/([^/]*)[.]rels$", "$1"), "^/", "")
 
 
 def relationships(parts: DataFrame) -> DataFrame:
     """(package, source, rid, type, target, external) of every relationship part."""
-    rels = parts.where("name LIKE '%.rels' AND content IS NOT NULL").withColumn("source", F.regexp_replace(F.regexp_replace("name", r"_rels/([^/]*)[.]rels$", "$1"), "^/", ""))
-    each = rels.select("package", "source", F.explode(F.regexp_extract_all(F.decode("content", "UTF-8"), F.lit(r"(<Relationship\s[^>]*>)"), F.lit(1))).alias("x"))
-    attr = lambda n: F.regexp_extract("x", rf'\s{n}="([^"]*)"', 1)
-    out = each.select("package", "source", attr("Id").alias("rid"), attr("Type").alias("type"), attr("Target").alias("raw"), (attr("TargetMode") == "External").alias("external"))
-    return out.withColumn("target", F.when(F.col("external"), F.col("raw")).otherwise(resolve_target(F.col("source"), F.col("raw")))).drop("raw")
+    rels = parts.where("name LIKE '%.rels' AND content IS NOT NULL").withColumn("source", _source())
+    each = rels.select("package", "source", F.explode(F.regexp_extract_all(F.decode("content", "UTF-8"), F.lit(RELATIONSHIP), F.lit(1))).alias("x"))
+    return each.select("package", "source", _relationship(F.col("x"), F.col("source")).alias("r")).select("package", "source", "r.rid", "r.type", "r.to.target", "r.to.external")
+
+
+def _content_type(x: Column) -> Column:
+    """(kind, key, content_type) of one declaration as written."""
+    attr = lambda n: F.regexp_extract(x, rf'\s{n}="([^"]*)"', 1)
+    default = x.startswith("<Default")
+    return F.struct(F.when(default, "default").otherwise("override").alias("kind"), F.when(default, attr("Extension")).otherwise(F.regexp_replace(attr("PartName"), "^/", "")).alias("key"), attr("ContentType").alias("content_type"))
 
 
 def content_types(parts: DataFrame) -> DataFrame:
     """(package, kind, key, content_type) of declared defaults and overrides."""
-    x = parts.where("name = '[Content_Types].xml'").select("package", F.explode(F.regexp_extract_all(F.decode("content", "UTF-8"), F.lit(r"(<(?:Default|Override)\s[^>]*>)"), F.lit(1))).alias("x"))
-    attr = lambda n: F.regexp_extract("x", rf'\s{n}="([^"]*)"', 1)
-    return x.select("package", F.when(F.col("x").startswith("<Default"), "default").otherwise("override").alias("kind"), F.when(F.col("x").startswith("<Default"), attr("Extension")).otherwise(F.regexp_replace(attr("PartName"), "^/", "")).alias("key"), attr("ContentType").alias("content_type"))
+    x = parts.where("name = '[Content_Types].xml'").select("package", F.explode(F.regexp_extract_all(F.decode("content", "UTF-8"), F.lit(CONTENT_TYPE), F.lit(1))).alias("x"))
+    return x.select("package", _content_type(F.col("x")).alias("t")).select("package", "t.*")
 
 
 def graph_findings(parts: DataFrame) -> DataFrame:
@@ -122,25 +145,42 @@ def graph_findings(parts: DataFrame) -> DataFrame:
     return missing.unionByName(repeated).unionByName(names).unionByName(types).unionByName(broken)
 
 
-def part_signatures(parts: DataFrame) -> DataFrame:
+def part_signatures(parts: DataFrame, sides: str | None = None) -> DataFrame:
     """(package, name, signature): what a part says, whatever order it says it in.
 
     Relationship parts count as their sorted resolved targets without ids, content types as their sorted set; generated
     document properties are left out; other parts count as their text with white space between tags dropped and
-    relationship ids replaced by what they stand for.
+    relationship ids replaced by what they stand for. A text is read where it is and leaves as its digest and the ids in it;
+    only these meet the relationships of their part. ``sides`` names a column with the sides of a package that hold a part as
+    it is: its text is read once for all of them, and the rows have the column ``side``.
     """
-    rels = relationships(parts)
-    graph = rels.groupBy("package", "source").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "type", "target"))), "\n").alias("body"))
-    own = F.regexp_replace("source", r"([^/]*)$", "_rels/$1.rels")
-    graph = graph.select("package", own.alias("name"), "body")
-    types = content_types(parts).groupBy("package").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws("|", "kind", "key", "content_type"))), "\n").alias("body")).select("package", F.lit("[Content_Types].xml").alias("name"), "body")
-    plain = parts.where("name NOT LIKE '%.rels' AND name <> '[Content_Types].xml' AND name NOT LIKE 'docProps/%' AND content IS NOT NULL")
-    ids = rels.groupBy("package", F.col("source").alias("name")).agg(F.map_from_entries(F.collect_list(F.struct("rid", "target"))).alias("ids"))
-    pieces = F.split(F.regexp_replace(F.decode("content", "UTF-8"), r">\s+<", "><"), r'(?=r:(?:id|embed|link)=")')
-    named = F.transform(pieces, lambda p: F.coalesce(F.concat(F.lit('r:ref="'), F.col("ids")[F.regexp_extract(p, r'^r:(?:id|embed|link)="([^"]*)"', 1)], F.lit('"'), F.regexp_replace(p, r'^r:(?:id|embed|link)="[^"]*"', "")), p))
-    body = F.when(F.col("ids").isNull(), F.array_join(pieces, "")).otherwise(F.array_join(named, ""))
-    plain = plain.join(ids, ["package", "name"], "left").select("package", "name", body.alias("body"))
-    return graph.unionByName(types).unionByName(plain).select("package", "name", F.sha2("body", 256).alias("signature"))
+    by = ["package", "side"] if sides else ["package"]
+    name, text = F.col("name"), F.decode("content", "UTF-8")
+    rels, types = name.endswith(".rels"), name == "[Content_Types].xml"
+    every = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    bare = F.regexp_replace(text, r">\s+<", "><")
+    refers = F.contains(text, F.lit('r:id="')) | F.contains(text, F.lit('r:embed="')) | F.contains(text, F.lit('r:link="'))
+    refs = F.when(refers, F.regexp_extract_all(bare, F.lit(f"({REFERENCE})"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    digest = F.sha2(F.when(refers, F.regexp_replace(bare, REFERENCE, 'r:ref=""')).otherwise(bare), 256)
+    told = parts.where("content IS NOT NULL AND name IS NOT NULL").withColumn("source", _source()).select(
+        "package", *([sides] if sides else []), F.when(rels, F.col("source")).otherwise(name).alias("key"),
+        F.when(rels, F.transform(every(RELATIONSHIP), lambda x: _relationship(x, F.col("source")))).alias("links"),
+        F.when(types, F.transform(every(CONTENT_TYPE), lambda x: F.concat_ws("|", _content_type(x)["kind"], _content_type(x)["key"], _content_type(x)["content_type"]))).alias("types"),
+        F.when(~rels & ~types & ~name.startswith("docProps/"), F.struct(digest.alias("digest"), refs.alias("refs"))).alias("plain"),
+    )
+    if sides:
+        told = told.withColumn("side", F.explode(sides))
+    known = told.groupBy(*by, "key").agg(F.flatten(F.collect_list("links")).alias("links"), F.array_distinct(F.flatten(F.collect_list("types"))).alias("types"), F.collect_list("plain").alias("plain"))
+    # Of a repeated id the last target counts.
+    target = lambda ref: F.array_max(F.transform(F.filter("links", lambda l: l["rid"] == F.regexp_extract(ref, '"([^"]*)"', 1)), lambda l: l["to"]["target"]))
+    meant = lambda p: F.to_json(F.struct(p["digest"], F.transform(p["refs"], lambda r: F.coalesce(target(r), r)).alias("refs")))
+    row = lambda name, body: F.struct(name.alias("name"), F.sha2(body, 256).alias("signature"))
+    lines = lambda found: F.array_join(F.array_sort(found), "\n")
+    none = F.array().cast("array<struct<name:string,signature:string>>")
+    graph = F.when(F.size("links") > 0, F.array(row(F.regexp_replace("key", r"(?s)^(.*?)([^/]*)$", "$1_rels/$2.rels"), lines(F.transform("links", lambda l: F.concat_ws("|", l["type"], l["to"]["target"])))))).otherwise(none)
+    declared = F.when(F.size("types") > 0, F.array(row(F.col("key"), lines(F.col("types"))))).otherwise(none)
+    plain = F.transform("plain", lambda p: row(F.col("key"), F.when(F.size(p["refs"]) > 0, meant(p)).otherwise(p["digest"])))
+    return known.select(*by, F.explode(F.concat(graph, declared, plain)).alias("s")).select(*by, "s.*")
 
 
 def compare_packages(parts: DataFrame, baseline: str, edited: str) -> DataFrame:

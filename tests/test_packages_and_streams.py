@@ -35,6 +35,22 @@ def test_ids_and_order_of_relationships_say_nothing(spark):
     assert {(r["name"], r["state"]) for r in P.compare_packages(other, "base", "edited").collect()} == {("ppt/p.xml", "changed"), ("extra", "new")}
 
 
+def test_changed_relationships_are_told_by_their_own_part_and_repeated_ids_too(spark):
+    other = RELS.replace('Target="', 'Target="x').format("rId1", "rId1")
+    found = _parts(spark, base=_package(), edited=_package(**{"ppt/_rels/p.xml.rels": other}))
+    assert {(r["name"], r["state"]) for r in P.compare_packages(found, "base", "edited").collect()} == {("ppt/_rels/p.xml.rels", "changed"), ("ppt/p.xml", "changed")}
+
+
+def test_states_of_parts_are_told_where_their_decks_were_put_together(spark):
+    from docloom import plans
+    from docloom.operators import deck
+    from tests.oracle import SF
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    decks = plan(deck.compile_decks(plans.package_queries._objects(spark, SF).drop("k")))
+    assert plan(plans.QUERIES["r2_r6_part_states"](spark, SF)).count("Exchange") == decks.count("Exchange")
+
+
 def test_graph_findings(spark):
     bad = _package(**{"ppt/P.xml": "<x/>"})
     missing = _zip(**{"ppt/p.xml": "<p/>", "ppt/_rels/p.xml.rels": RELS.format("r1", "r1")})
