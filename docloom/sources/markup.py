@@ -113,11 +113,11 @@ def xml_findings(docs: DataFrame) -> DataFrame:
     """(doc_id, code, severity) of standalone diagrams (doc_id, text) that are no strict XML: not well-formed (empty and
     null texts too), a prefix that nothing binds, a DOCTYPE, or another version. An anti join withholds them.
 
-    The faults are those of the node rows (``xml_tree.faults``); of several the first of version, DOCTYPE, form and
-    namespace is told.
+    The faults are those of the node rows (``xml_tree.faults``), read where a text is; of several the first of version,
+    DOCTYPE, form and namespace is told.
     """
     empty = docs.where(F.trim(F.coalesce("text", F.lit(""))) == "").select("doc_id", F.lit("XML-MALFORMED").alias("code"))
-    found = xml_tree.faults(xml_tree.tokens(docs, ("doc_id",), F.coalesce("text", F.lit(""))), ("doc_id",)).unionByName(empty)
+    found = xml_tree.read_faults(docs, ("doc_id",), F.coalesce("text", F.lit(""))).unionByName(empty)
     rank = F.array_position(F.lit(["XML-VERSION", "XML-DOCTYPE", "XML-MALFORMED", "XML-NAMESPACE"]), F.col("code"))
     return found.groupBy("doc_id").agg(F.min_by("code", rank).alias("code")).select("doc_id", "code", F.lit("fatal").alias("severity"))
 

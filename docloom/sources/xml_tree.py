@@ -15,6 +15,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 # The tokens of XML, a name, an attribute, the namespace that needs no declaration.
 TOKEN = r"""(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![A-Z][^<>]*>|</[^<>]*>|<[A-Za-z_:][^<>"']*+(?:(?:"[^"<]*+"|'[^'<]*+')[^<>"']*+)*+>|[^<]++|<"""
@@ -280,7 +281,7 @@ def faults(found: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
         | (is_tag & ((_tag(raw) == "") | ~attributes.rlike(r"^\s*/?>$") | (F.size(F.array_distinct(keys)) < F.size(keys))))
         | (kind.isin("text", "cdata") & F.col("above").isNull() & ((kind == "cdata") | ~raw.rlike(r"^\s*$")))
         | ((kind == "text") & (F.contains(raw, F.lit("]]>")))) | ((kind.isin("text") | is_tag) & raw.rlike(r"&(?!(?:lt|gt|amp|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);)"))
-        | ((kind == "comment") & F.substr(raw, F.lit(5), F.length(raw) - 7).rlike("--|-$")) | raw.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]")
+        | ((kind == "comment") & F.substr(raw, F.lit(5), F.length(raw) - 7).rlike(r"--|-\z")) | raw.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]")
         | ((kind == "instruction") & raw.rlike(r"(?i)^<\?xml[\s?]") & (F.col("node") > 0)) | ((kind == "instruction") & ~raw.rlike(rf"(?s)^<\?{NAME}(\s.*)?\?>$"))
     )
     old = (kind == "instruction") & raw.rlike(r"^<\?xml\s") & ~raw.rlike(r"""^<\?xml\s+version\s*=\s*["']1\.0["']""")
@@ -295,6 +296,66 @@ def faults(found: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     return whole.join(named, list(by), "left").select(*by, F.explode(F.array_compact(codes)).alias("code"))
 
 
+_LOOSE = re.compile("[^{]*:")
+_CLOSE, _REST = re.compile(rf"</{NAME}\s*>", re.ASCII), re.compile(rf"""\s+{NAME}\s*=\s*("[^"]*"|'[^']*')""", re.ASCII)
+_START, _ENDS, _SPACE = re.compile(rf"^<{NAME}", re.ASCII), re.compile(r"\s*/?>", re.ASCII), re.compile(r"\s*", re.ASCII)
+_ENTITY = re.compile("&(?!(?:lt|gt|amp|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);)")
+_BANNED, _DASHES = re.compile("[\x00-\x08\x0B\x0C\x0E-\x1F\ufffe\uffff]"), re.compile(r"--|-\Z")
+_PROLOG, _TARGET = re.compile(r"<\?xml[\s?]", re.ASCII | re.IGNORECASE), re.compile(rf"(?s)<\?{NAME}(\s.*)?\?>", re.ASCII)
+_XML, _VERSION = re.compile(r"<\?xml\s", re.ASCII), re.compile(r"""<\?xml\s+version\s*=\s*["']1\.0["']""", re.ASCII)
+
+
+def _name_of(raw: str) -> str:
+    found = _OPEN.match(raw)
+    return found[1] if found else ""
+
+
+def _fault_codes(text: str) -> list[str]:
+    """The codes of ``faults`` of one text."""
+    bad = doctype = old = prefixed = False
+    found, roots, opened = _TOKEN.findall(text.removeprefix("\ufeff")), 0, []
+    for node, raw in enumerate(found):
+        bad = bad or _BANNED.search(raw) is not None
+        if raw[0] != "<":
+            bad = bad or "]]>" in raw or ("&" in raw and _ENTITY.search(raw) is not None) or not (opened or _SPACE.fullmatch(raw))
+        elif raw.startswith("<!--"):
+            bad = bad or _DASHES.search(raw[4:-3]) is not None
+        elif raw.startswith("<![CDATA["):
+            bad = bad or not opened
+        elif raw.startswith("<?"):
+            bad = bad or (node > 0 and _PROLOG.match(raw) is not None) or not _TARGET.fullmatch(raw)
+            old = old or (_XML.match(raw) is not None and not _VERSION.match(raw))
+        elif raw.startswith("<!"):
+            doctype = True
+        elif raw.startswith("</"):
+            bad = bad or not opened or opened.pop() != _name_of(raw) or not _CLOSE.fullmatch(raw)
+        elif raw == "<":
+            bad = True
+        else:
+            keys, name = [k for k, _ in _ATTRIBUTE.findall(raw)], _name_of(raw)
+            bad = bad or not name or len(set(keys)) < len(keys) or not _ENDS.fullmatch(_REST.sub("", _START.sub("", raw))) or _ENTITY.search(raw) is not None
+            prefixed = prefixed or any(":" in x and not x.startswith("xmlns:") for x in (name, *keys))
+            roots += not opened
+            if raw[-2] != "/":
+                opened.append(name)
+    loose = prefixed and any(_LOOSE.match(x) for e in _element_rows(text, ()) for x in (e[4], *(k for k, _ in e[6])))
+    told = (("XML-VERSION", old), ("XML-DOCTYPE", doctype), ("XML-MALFORMED", bad or roots != 1 or opened), ("XML-NAMESPACE", loose))
+    return [code for code, holds in told if holds and found]
+
+
+def read_faults(parts: DataFrame, by: tuple[str, ...] = BY, text: Column | None = None) -> DataFrame:
+    """The rows of ``faults`` of parts with ``content``, or with a text given as a column, read part by part where they are."""
+    given = parts.select(*by, (text if text is not None else F.decode("content", "UTF-8")).alias("_xml"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(row, code) for row, one in enumerate(batch.column(len(by))) if one.is_valid for code in _fault_codes(one.as_py())]
+            keys = batch.take(pa.array([row for row, _ in found], pa.int64())).columns[: len(by)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array([code for _, code in found], pa.string())], names=[*by, "code"])
+
+    return given.mapInArrow(read, StructType([*given.schema.fields[: len(by)], StructField("code", StringType())]))
+
+
 def with_anchor(found: DataFrame, anchor: Column, by: tuple[str, ...] = BY) -> DataFrame:
     """Elements with ``anchor``, ``anchor_tag`` and ``below``: the element that meets a condition and holds this one (or is
     it), and how many levels above it stands; null where none does. Such elements are not nested in one another, so the

@@ -30,6 +30,20 @@ def test_parts_read_in_place_give_the_rows_of_their_tokens(spark):
     assert _rows(held, *columns) == _rows(T.anchored(plain, F.col("tag").isin(*tags)), *columns)
 
 
+def test_faults_read_in_place_are_those_of_their_tokens(spark):
+    more = [
+        '<?xml version="1.1"?><a/>', '<?xml version="1.0"?><a/>', "<a/><?xml version='1.0'?>", "<?XML?><a/>", "<!-- a -\n--><a/>", "<!-- a ---><a/>", "<!-- a -- b --><a/>", "<a>]]></a>", "<a>&nbsp;</a>", "<a b='&x;'/>", "<a b/>", "<a b='1'c='2'/>",
+        "<a></b></a>", "<a><b></a></b>", "<x:a/>", "<a x:b='1'/>", "<x:a xmlns:x=''/>", "<a xmlns:x='u'><x:b/></a>", "<a xmlns:x='u'/><x:b/>", "<a xmlns:x='u'><x:b>", "<xml:a/>", "<a\x01/>", "<a>\uffff</a>", "<![CDATA[x]]><a/>", "<a/>x", " <a/>\n", "<a/ >", "<1/>", "<a", "<!DOCTYPE a><x:a/>", "<?1 x?><a/>", "<a\u00a0b='1'/>", "</a>",
+    ]
+    parts = spark.createDataFrame([(f"p{k}", "n.xml", t) for k, t in enumerate([*ODD, *more])], "package string, name string, t string")
+    read = T.read_faults(parts, text=F.col("t"))
+    plain = T.faults(T.tokens(parts, text=F.col("t")))
+    assert read.dtypes == plain.dtypes
+    assert _rows(read, *read.columns) == _rows(plain, *plain.columns)
+    assert "Exchange" not in read._jdf.queryExecution().executedPlan().toString()
+    assert [T._fault_codes(t) for t in ("<!-- a -\n--><a/>", "<!-- a ---><a/>", "<x:a/>")] == [[], ["XML-MALFORMED"], ["XML-NAMESPACE"]]
+
+
 def test_packages_of_one_content_are_used_once(spark):
     parts = spark.createDataFrame(
         [("a", "x", b"1"), ("a", "y", b"2"), ("b", "y", b"2"), ("b", "x", b"1"), ("c", "x", b"2"), ("c", "y", b"1"), ("d", "x", b"1"), ("e", "x", None), ("f", "x", b""), ("g", "x", b"1"), ("g", "x", b"1")],
