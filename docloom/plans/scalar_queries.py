@@ -18,6 +18,7 @@ from docloom.plans.relations import NODES_SQL, SNAPSHOT_SQL, order_snapshots, tr
 from docloom.sources import documents as D
 from docloom.sources import markup as K
 from docloom.sources import packages as P
+from docloom.sources.shared_tables import SharedTables
 
 
 @query("s3_s14_parse_manifest", "SELECT event_id AS doc_id, event_type AS title, k.i::INT AS slide_order, CASE k.i WHEN 0 THEN 's' || user_id ELSE 't' || user_id END AS scope_id, k.i = 1 AS hidden FROM events, (VALUES (0), (1)) k(i)")
@@ -212,11 +213,12 @@ def a20(spark, sf):
 
 @query("k9_written_archives", "SELECT source AS package, (sum(strlen(text) + 2 * strlen('word/' || doc_id || '.xml') + 76) + 22)::BIGINT AS archive_size, count(*) AS n_parts, sum(strlen(text))::BIGINT AS content_size FROM documents GROUP BY source")
 def k9(spark, sf):
-    """Archives are written and read again: their size, their parts and what the parts hold."""
+    """Archives are written and read again in pieces: their size, their parts and what the parts hold."""
     parts = table(spark, sf, "documents").select(F.col("source").alias("package"), F.concat(F.lit("word/"), F.col("doc_id").cast("string"), F.lit(".xml")).alias("name"), F.encode("text", "UTF-8").alias("content"))
-    packed = P.write_packages(parts)
-    read = P.read_parts(packed.select("package", "content")).groupBy("package").agg(F.count("*").alias("n_parts"), F.sum("size").alias("content_size"))
-    return packed.select("package", F.octet_length("content").cast("long").alias("archive_size")).join(read, "package")
+    pieces = SharedTables(spark, "written").cut("pieces", P.write_pieces(parts))
+    sizes = pieces.groupBy("package").agg(F.sum(F.octet_length("content")).alias("archive_size"))
+    read = P.read_pieces(pieces).where("problem IS NULL").groupBy("package").agg(F.count("*").alias("n_parts"), F.sum("size").alias("content_size"))
+    return sizes.join(read, "package")
 
 
 @query("a29_combined_evidence", "SELECT p_partkey, ['clear', 'near-limit', 'unverified', 'overflow'][greatest(p_partkey % 4, p_size % 4) + 1] AS status FROM part")

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from docloom.functions.scalars import escape_xml
 from docloom.sources.shared_tables import SharedTables
@@ -236,6 +241,118 @@ def write_packages(parts: DataFrame) -> DataFrame:
     return ordered.mapInPandas(_packed, f"package {kind}, content binary")
 
 
+def _entry(name: str, crc: int, size: int) -> zipfile.ZipInfo:
+    entry = zipfile.ZipInfo(name, ZIP_TIME)
+    entry.CRC, entry.compress_size, entry.file_size, entry.external_attr = crc, size, size, 0o600 << 16
+    return entry
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From sorted rows (package, name, content): runs of the local records of one package, (task, step) in their order."""
+    task, step, held, size, key = TaskContext.get().partitionId(), 0, [], 0, None
+
+    def run() -> pa.RecordBatch:
+        columns = [[package], [task], [step], [[e for e, _ in held]], [b"".join(r for _, r in held)]]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(c, t) for c, t in zip(columns[1:], _RUN.values(), strict=True))], names=["package", *_RUN])
+
+    for batch in batches:
+        kind = batch.schema.types[0]
+        for row in range(batch.num_rows):
+            key, name, content = (c[row].as_py() for c in batch.columns)
+            if held and (key != package or size > BATCH_BYTES):
+                yield run()
+                step, held, size = step + 1, [], 0
+            package, content = key, content or b""
+            entry = _entry(name, zlib.crc32(content), len(content))
+            record = entry.FileHeader() + content
+            held.append(({"name": name, "crc": entry.CRC, "size": len(content), "record": len(record)}, record))
+            size += len(record)
+    if held:
+        yield run()
+
+
+_RUN = {"task": pa.int32(), "step": pa.int64(), "entries": pa.list_(pa.struct([("name", pa.string()), ("crc", pa.int64()), ("size", pa.int64()), ("record", pa.int64())])), "content": pa.binary()}
+_RUNS = "task int, step long, entries array<struct<name:string,crc:bigint,size:bigint,record:bigint>>, content binary"
+
+
+def _central(entries: list, at: int) -> bytes:
+    """The central records of a run whose local records begin at a place."""
+    out = []
+    for e in entries:
+        entry, far = _entry(e.name, e.crc, e.size), at > zipfile.ZIP64_LIMIT
+        local = entry.FileHeader()  # version to flags, times, sizes and the length of the name stand alike in both
+        extra, version = (struct.pack("<HHQ", 1, 8, at), b"\x2d\x00") if far else (b"", local[4:6])
+        fixed = struct.pack("<HHHHLL", len(extra), 0, 0, 0, entry.external_attr, 0xFFFFFFFF if far else at)
+        out.append(b"PK\x01\x02" + version[:1] + bytes([entry.create_system]) + version + local[6:28] + fixed + local[30:] + extra)
+        at += e.record
+    return b"".join(out)
+
+
+def _end(n: int, size: int, at: int) -> bytes:
+    """The end record of a directory, with longer ones before it where a number is too large for it."""
+    out = b""
+    if n > zipfile.ZIP_FILECOUNT_LIMIT or max(size, at) > zipfile.ZIP64_LIMIT:
+        out = struct.pack("<4sQ2H2L4Q", b"PK\x06\x06", 44, 45, 45, 0, 0, n, n, size, at) + struct.pack("<4sLQL", b"PK\x06\x07", 0, at + size, 1)
+    return out + struct.pack("<4s4H2LH", b"PK\x05\x06", 0, 0, min(n, 0xFFFF), min(n, 0xFFFF), min(size, 0xFFFFFFFF), min(at, 0xFFFFFFFF), 0)
+
+
+def write_pieces(parts: DataFrame) -> DataFrame:
+    """(package, at, content): the archives of ``write_packages`` in pieces of whole records, for packages of any size.
+
+    A package may lie in many tasks: parts are sorted over all of them, runs of records are written to the shared folder, and
+    only the runs' lengths and directories are summed up.
+    """
+    kind = parts.schema["package"].dataType.simpleString()
+    ordered = parts.select("package", "name", "content").repartitionByRange("package", "name").sortWithinPartitions("package", "name")
+    runs = SharedTables(parts.sparkSession, "archives").cut("runs", ordered.mapInArrow(_runs, f"package {kind}, {_RUNS}"))
+    order = Window.partitionBy("package").orderBy("task", "step")
+    before = lambda c: F.coalesce(F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    size = F.aggregate("entries", F.lit(0).cast("long"), lambda a, e: a + e["record"])
+    placed = runs.select("package", "task", "step", "entries", size.alias("size")).withColumn("at", before("size"))
+    local = runs.drop("entries").join(placed.select("package", "task", "step", "at"), ["package", "task", "step"]).select("package", "at", "content")
+    listed = placed.withColumn("content", F.udf(_central, BinaryType())("entries", "at")).withColumn("length", F.octet_length("content").cast("long"))
+    whole = listed.groupBy("package").agg(F.sum(F.size("entries")).alias("n"), F.sum("size").alias("from"), F.sum("length").alias("length"))
+    directory = listed.withColumn("past", before("length")).drop("length").join(whole, "package").select("package", (F.col("from") + F.col("past")).alias("at"), "content")
+    end = whole.select("package", (F.col("from") + F.col("length")).alias("at"), F.udf(_end, BinaryType())("n", "length", "from").alias("content"))
+    return local.unionByName(directory).unionByName(end)
+
+
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The local and central records of pieces: which it is, the place of the local record, name, size, and whether its content is sound."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            at, content = batch.column(1)[row].as_py(), batch.column(2)[row].as_buffer()
+            x, here, found = memoryview(content), 0, []
+            while here < len(x) and (mark := bytes(x[here : here + 4])) in (b"PK\x03\x04", b"PK\x01\x02"):
+                local = mark == b"PK\x03\x04"
+                flags, _, _, _, crc, size, _, names, extra = struct.unpack_from("<4H3L2H", x, here + (6 if local else 8))
+                body = here + (30 if local else 46)
+                name = bytes(x[body : body + names]).decode("utf-8" if flags & 0x800 else "cp437")
+                body += names + extra
+                place = at + here if local else struct.unpack_from("<L", x, here + 42)[0]
+                if not local and place == 0xFFFFFFFF:
+                    place = struct.unpack_from("<Q", x, body - extra + 4)[0]
+                found.append((local, place, name, size, crc, local and zlib.crc32(x[body : body + size]) == crc))
+                here = body + size if local else body + struct.unpack_from("<H", x, here + 32)[0]
+            keys = batch.column(0).take(pa.array([row] * len(found), pa.int32()))
+            columns = zip(zip(*found, strict=True), (pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.bool_()), strict=True) if found else ()
+            if found:
+                yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, t) for c, t in columns)], names=["package", "local", "at", "name", "size", "crc", "sound"])
+
+
+def read_pieces(pieces: DataFrame) -> DataFrame:
+    """(package, name, at, size, problem) of the entries that the directories of archives in pieces of whole records list.
+
+    An entry whose local record is not where the directory says, or says something else, or whose content fails its checksum is BROKEN.
+    """
+    kind = pieces.schema["package"].dataType.simpleString()
+    found = pieces.select("package", "at", "content").mapInArrow(_records, f"package {kind}, local boolean, at long, name string, size long, crc long, sound boolean")
+    key = ["package", "at", "name", "size", "crc"]
+    # Listed entries and local records meet under their place.
+    whole = found.groupBy(*key).agg(F.count_if(~F.col("local")).alias("listed"), F.bool_or("sound").alias("sound"))
+    return whole.where("listed > 0").select("package", "name", "at", "size", F.when(~F.col("sound"), "BROKEN").alias("problem"))
+
+
 def render_shapes(objects: DataFrame) -> DataFrame:
     """(scope_id, xml): shapes of each scope in painter's order, from (scope_id, id, kind, z, x, y, width, height)."""
     ids = F.row_number().over(Window.partitionBy("scope_id").orderBy("z", "id")) + 1

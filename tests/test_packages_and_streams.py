@@ -1,7 +1,9 @@
 import io
+import struct
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.sources import documents as D
 from docloom.sources import packages as P
@@ -64,6 +66,31 @@ def test_written_packages_are_the_same_every_time(spark):
     assert one == two and zipfile.ZipFile(io.BytesIO(one)).namelist() == sorted(zipfile.ZipFile(io.BytesIO(one)).namelist())
 
 
+def test_archives_in_pieces_are_the_same_bytes_and_are_read_again(spark):
+    rows = [(p, f"{n:03}é.xml" if n % 7 == 0 else f"{n:03}.xml", bytes([n]) * (n * 5000)) for p in ("a", "b") for n in range(80)] + [("c", "one", b"")]
+    parts = spark.createDataFrame(rows, "package string, name string, content binary").repartition(5)
+    pieces = P.write_pieces(parts).cache()
+    found = {}
+    for r in sorted(pieces.collect(), key=lambda r: (r.package, r.at)):
+        whole = found.setdefault(r.package, bytearray())
+        assert r.at == len(whole) and len(r.content) < P.BATCH_BYTES + 500_000
+        whole += r.content
+    assert found == {r.package: r.content for r in P.write_packages(parts).collect()}
+    assert sorted((r.package, r["name"], r.size, r.problem) for r in P.read_pieces(pieces).collect()) == sorted((p, n, len(c), None) for p, n, c in rows)
+    assert zipfile.ZipFile(io.BytesIO(found["a"])).testzip() is None
+    spoilt = pieces.withColumn("content", F.when((F.col("package") == "a") & (F.col("at") == 0), F.expr("overlay(content PLACING X'FF' FROM length(content))")).otherwise(F.col("content")))
+    assert {(r.package, r.problem) for r in P.read_pieces(spoilt).where("problem IS NOT NULL").collect()} == {("a", "BROKEN")}
+
+
+def test_large_directories_end_as_the_library_ends_them(spark):
+    rows = spark.range(65_600).selectExpr("'p' AS package", "lpad(id, 6, '0') AS name", "CAST('' AS BINARY) AS content")
+    whole = b"".join(bytes(r.content) for r in sorted(P.write_pieces(rows).collect(), key=lambda r: r.at))
+    assert whole == P.write_packages(rows).first().content
+    far = P._central([type("E", (), {"name": "n", "crc": 1, "size": 2, "record": 40})], 5 << 30)
+    end = P._end(1, len(far), 6 << 30)
+    assert struct.unpack_from("<HHQ", far, 47) == (1, 8, 5 << 30) and len(end) == 98
+
+
 def test_materialise_refuses_bad_bytes(spark):
     rows = spark.createDataFrame([("ok", bytearray("é😀".encode())), ("bad", bytearray(b"\xff\xfe"))], "name string, content binary")
     got = {r["name"]: (r.byte_len, r.char_len, r.utf16_len, r.diagnostic) for r in D.materialise(rows).collect()}
