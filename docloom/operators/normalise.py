@@ -17,11 +17,9 @@ from docloom.operators.objects import ancestor_closure
 from docloom.sources import xml_tree as T
 from docloom.sources.packages import resolve_target
 from docloom.sources.shared_tables import SharedTables
+from docloom.sources.slides import LEAVES, RICH, A, C, P, read_slides
 
 # Namespaces, parts, content types, relationship types and default values of the package format.
-A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
-P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
-C = "{http://schemas.openxmlformats.org/drawingml/2006/chart}"
 P14 = "{http://schemas.microsoft.com/office/powerpoint/2010/main}"
 P15 = "{http://schemas.microsoft.com/office/powerpoint/2012/main}"
 RELATION = "{http://schemas.openxmlformats.org/package/2006/relationships}Relationship"
@@ -36,7 +34,6 @@ WIDE = ("12192000", "6858000", "screen16x9")
 ROOT_GROUP_PARTS = ("ppt/slides/slide1.xml", "ppt/slideLayouts/slideLayout1.xml", "ppt/slideMasters/slideMaster1.xml")
 THEME = "ppt/theme/theme1.xml"
 SLIDE = r"^ppt/slides/slide[0-9]+[.]xml$"
-RICH = (f"{P}pic", f"{P}graphicFrame", f"{A}tbl", f"{C}chart")
 COUNT, WHOLE, FLAG = "[1-9][0-9]{0,14}", "-?[0-9]{1,15}", "[01]"
 
 
@@ -219,8 +216,6 @@ def embedded_marks(evidence: DataFrame, objects: DataFrame) -> DataFrame:
     return evidence.join(objects, ["package", "name"], "inner").where("place BETWEEN node AND close")
 
 
-#: Leaf objects of a slide; groups hold them.
-LEAVES = ("sp", "cxnSp", "pic", "graphicFrame")
 EMU = 7620
 
 
@@ -275,21 +270,36 @@ def _leaf_rows(nodes: DataFrame) -> DataFrame:
 def slide_shapes(nodes: DataFrame) -> DataFrame:
     """``slide_objects`` from node rows, with the shape's elements from ``node`` to ``close`` and whether it is turned."""
     rows = _leaf_rows(nodes)
-    no = F.coalesce("around", F.array().cast("array<struct<distance:int,group:string,sx:double,sy:double,ox:double,oy:double,cx:double,cy:double>>"))
-    place = lambda c, s, o, b: F.aggregate(no, F.col(c), lambda v, g: (v - g[b]) * g[s] + g[o])
-    extent = lambda c, s: F.aggregate(no, F.col(c), lambda v, g: v * g[s])
     gap = lambda t, i: t["paragraph"] - F.when(i == 0, F.lit(1)).otherwise(F.try_element_at("texts", F.greatest(i, F.lit(1)))["paragraph"])
     text = F.array_join(F.transform("texts", lambda t, i: F.concat(F.repeat(F.lit("\n"), gap(t, i).cast("int")), t["text"])), "")
     trail = F.repeat(F.lit("\n"), F.greatest(F.col("paragraphs") - F.coalesce(F.try_element_at("texts", F.lit(-1))["paragraph"], F.lit(1)), F.lit(0)).cast("int"))
     order = F.row_number().over(Window.partitionBy("package", "name").orderBy("node")) - 1
+    residue = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
+    return _in_slide(rows.withColumns({"ordinal": order, "text": F.concat(text, trail), "residue": residue}))
+
+
+def _in_slide(rows: DataFrame) -> DataFrame:
+    """Shapes with their frames as those of the slide, from their own frames and the groups around them."""
+    no = F.coalesce("around", F.array().cast(rows.schema["around"].dataType))
+    place = lambda c, s, o, b: F.aggregate(no, F.col(c), lambda v, g: (v - g[b]) * g[s] + g[o])
+    extent = lambda c, s: F.aggregate(no, F.col(c), lambda v, g: v * g[s])
     units = lambda c, n: (c / F.lit(float(EMU))).alias(n)
     return rows.select(
-        "package", "name", order.alias("ordinal"), "shape_id", "shape_name", (F.col("tag") == f"{P}cxnSp").alias("connector"),
-        units(place("x", "sx", "ox", "cx"), "x"), units(place("y", "sy", "oy", "cy"), "y"), units(extent("width", "sx"), "width"), units(extent("height", "sy"), "height"), "preset", "fill", F.concat(text, trail).alias("text"),
-        F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("residue"), F.reverse(F.transform(no, lambda g: g["group"])).alias("groups"), F.substring_index("tag", "}", -1).alias("kind"), "node", "close", "turned", F.col("x").isNotNull().alias("framed"),
+        "package", "name", "ordinal", "shape_id", "shape_name", (F.col("tag") == f"{P}cxnSp").alias("connector"),
+        units(place("x", "sx", "ox", "cx"), "x"), units(place("y", "sy", "oy", "cy"), "y"), units(extent("width", "sx"), "width"), units(extent("height", "sy"), "height"), "preset", "fill", "text",
+        "residue", F.reverse(F.transform(no, lambda g: g["group"])).alias("groups"), F.substring_index("tag", "}", -1).alias("kind"), "node", "close", "turned", F.col("x").isNotNull().alias("framed"),
     )
 
 
+def shapes_read(read: DataFrame) -> DataFrame:
+    """``slide_shapes`` from the rows of ``slides.read_slides``."""
+    number = lambda g, c: g[c].try_cast("double")
+    scale = lambda g, e, w: F.when(number(g, w) > 0, number(g, e) / number(g, w))
+    group = lambda g: F.struct(g["group"].alias("group"), scale(g, "ex", "wx").alias("sx"), scale(g, "ey", "wy").alias("sy"), *[number(g, c).alias(c) for c in ("ox", "oy", "cx", "cy")])
+    rows = read.select("package", "name", F.explode("shapes").alias("s")).select("package", "name", "s.*")
+    return _in_slide(rows.withColumns({"around": F.transform("around", group), **{c: F.col(c).try_cast("double") for c in ("x", "y", "width", "height")}}))
+
+
 def slide_nodes(parts: DataFrame) -> DataFrame:
     """The node rows of the slides of packages, written, since what is known of a shape comes from several looks at them."""
     slides = parts.where(F.col("name").rlike(SLIDE)).select("package", "name", "content")
@@ -304,7 +314,8 @@ def slide_objects(parts: DataFrame) -> DataFrame:
     markup says beyond numbers, names, frames, colours and plain paragraphs; shapes of equal residue differ in the other
     columns only. ``slide_refusals`` names what these columns do not tell.
     """
-    return slide_shapes(slide_nodes(parts)).drop("kind", "node", "close", "turned", "framed").where(~F.col("shape_name").isNull())
+    slides = parts.where(F.col("name").rlike(SLIDE) & F.col("content").isNotNull())
+    return shapes_read(read_slides(slides)).drop("kind", "node", "close", "turned", "framed").where(~F.col("shape_name").isNull())
 
 
 def slide_refusals(parts: DataFrame) -> DataFrame:

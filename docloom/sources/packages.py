@@ -7,11 +7,12 @@ import struct
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
@@ -197,38 +198,46 @@ def compare_packages(parts: DataFrame, baseline: str, edited: str) -> DataFrame:
     return b.join(e, "name", "full_outer").select("name", state.alias("state")).where("state IS NOT NULL")
 
 
+@lru_cache(1 << 12)
+def _headers(name: str, crc: int, size: int) -> tuple[bytes, bytes]:
+    """The local header of an entry, and its central record at place 0."""
+    return _entry(name, crc, size).FileHeader(), _central([Row(name=name, crc=crc, size=size, record=0)], 0)
+
+
+def _archive(parts: list[tuple[str, bytes]]) -> bytes:
+    """One archive as the library writes it, of less than 2 GB."""
+    records, listed, at = [], [], 0
+    for name, content in sorted(parts):
+        local, central = _headers(name, zlib.crc32(content), len(content))
+        records += (local, content)
+        listed.append(b"".join((central[:42], struct.pack("<L", at), central[46:])))
+        at += len(local) + len(content)
+    directory = b"".join(listed)
+    return b"".join((*records, directory, _end(len(listed), len(directory), at)))
+
+
 def _pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-        for name, content in sorted(zip(pdf["name"], pdf["content"], strict=True)):
-            z.writestr(zipfile.ZipInfo(name, ZIP_TIME), bytes(content))
-    return pd.DataFrame({"package": [key[0]], "content": [out.getvalue()]})
+    """The archive of one package's parts (name, content)."""
+    return pd.DataFrame({"package": [key[0]], "content": [_archive(list(zip(pdf["name"], pdf["content"], strict=True)))]})
 
 
-def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Archives of rows whose packages stand together; the last package of a batch may go on in the next."""
-    rest, held, size = [], [], 0
+    key, parts, keys, held, size = None, [], [], [], 0
     for batch in batches:
-        if batch.empty:
-            continue
-        keys = batch["package"].tolist()
-        ends = [k for k in range(1, len(keys)) if keys[k] != keys[k - 1]]
-        if rest and rest[0]["package"].iloc[0] != keys[0]:
-            ends = [0, *ends]
-        for start, end in zip([0, *ends], ends, strict=False):
-            whole = pd.concat([*rest, batch.iloc[start:end]])
-            rest = []
-            held.append(_pack((whole["package"].iloc[0],), whole))
-            size += len(held[-1]["content"].iloc[0])
-            if size > BATCH_BYTES or len(held) == BATCH_ROWS:
-                yield pd.concat(held)
-                held, size = [], 0
-        rest.append(batch.iloc[ends[-1] if ends else 0 :])
-    if rest:
-        whole = pd.concat(rest)
-        held.append(_pack((whole["package"].iloc[0],), whole))
-    if held:
-        yield pd.concat(held)
+        kind = batch.schema.types[0]
+        for package, name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if parts and package != key:
+                keys.append(key)
+                held.append(_archive(parts))
+                size, parts = size + len(held[-1]), []
+                if size > BATCH_BYTES or len(held) == BATCH_ROWS:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(held, pa.binary())], names=["package", "content"])
+                    keys, held, size = [], [], 0
+            key = package
+            parts.append((name, content))
+    if parts:
+        yield pa.RecordBatch.from_arrays([pa.array([*keys, key], kind), pa.array([*held, _archive(parts)], pa.binary())], names=["package", "content"])
 
 
 def write_packages(parts: DataFrame) -> DataFrame:
@@ -238,7 +247,7 @@ def write_packages(parts: DataFrame) -> DataFrame:
     """
     kind = parts.schema["package"].dataType.simpleString()
     ordered = parts.select("package", "name", "content").repartition("package").sortWithinPartitions("package")
-    return ordered.mapInPandas(_packed, f"package {kind}, content binary")
+    return ordered.mapInArrow(_packed, f"package {kind}, content binary")
 
 
 def _entry(name: str, crc: int, size: int) -> zipfile.ZipInfo:

@@ -9,7 +9,7 @@ or sorted. ``elements`` says the same of token rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -156,7 +156,7 @@ def _plain(x: str) -> str:
 
 
 class _Element:
-    __slots__ = ("node", "depth", "raw", "above", "start", "inner", "close", "until", "end", "texts", "tag")
+    __slots__ = ("node", "depth", "raw", "above", "start", "inner", "close", "until", "end", "texts", "tag", "pairs")
 
     def __init__(self, node: int, depth: int, raw: str, above: _Element | None, start: int):
         self.node, self.depth, self.raw, self.above, self.start = node, depth, raw, above, start
@@ -185,29 +185,75 @@ def _placed_elements(text: str) -> list[_Element]:
     return found
 
 
-def _element_rows(text: str, anchors: tuple[frozenset[str], ...]) -> Iterator[tuple]:
-    """The columns of ``_NODE`` of each element, and the nearest of each kind of anchor that holds it."""
-    found, spaces, given = _placed_elements(text.removeprefix("\ufeff")), {}, []
+@lru_cache(256)
+def _read_tag(raw: str) -> tuple[str, dict[str, str]]:
+    """The name of a tag and its attributes as written, none where a name stands twice."""
+    name, pairs = _OPEN.match(raw), _ATTRIBUTE.findall(raw) if "=" in raw else []
+    known = {k: _plain(v[1:-1]) for k, v in pairs}
+    return name[1] if name else "", known if len(known) == len(pairs) else {}
+
+
+def _named_elements(text: str) -> tuple[list[_Element], tuple | None]:
+    """The elements of a text, with expanded names unless each prefix is declared once over all of them: then what the
+    prefixes mean is told instead."""
+    found, spaces = _placed_elements(text.removeprefix("\ufeff")), {}
     for e in found:
-        pairs = _ATTRIBUTE.findall(e.raw) if "=" in e.raw else []
-        known = {k: _plain(v[1:-1]) for k, v in pairs}
-        given.append(known if len(known) == len(pairs) else {})
-        for k, uri in given[-1].items():
-            if k == "xmlns" or k.startswith("xmlns:"):
-                spaces.setdefault(k[6:], []).append((e.node, e.node if e.close is None else e.close, uri))
-
-    def expanded(name: str, node: int) -> str:
+        if "xmlns" in e.raw:
+            for k, uri in _read_tag(e.raw)[1].items():
+                if k == "xmlns" or k.startswith("xmlns:"):
+                    spaces.setdefault(k[6:], []).append((e.node, e.node if e.close is None else e.close, uri))
+    if found and all(len(held) == 1 and held[0][0] <= found[0].node and held[0][1] >= found[-1].node for held in spaces.values()):
+        return found, tuple((prefix, held[0][2]) for prefix, held in spaces.items())
+    for e in found:
+        e.tag, e.pairs = _expanded(e.raw, lambda prefix, node=e.node: next((u for low, high, u in reversed(spaces.get(prefix, ())) if low <= node <= high), ""))
+    return found, None
+
+
+def _expanded(raw: str, uri_of: Callable[[str], str]) -> tuple[str, list[tuple[str, str]]]:
+    """The expanded name and attributes of a tag, by what its prefixes mean."""
+
+    def expanded(name: str) -> str:
         prefix = name.partition(":")[0] if ":" in name else ""
-        uri = XML_SPACE if prefix == "xml" else next((u for low, high, u in reversed(spaces.get(prefix, ())) if low <= node <= high), "")
+        uri = XML_SPACE if prefix == "xml" else uri_of(prefix)
         return f"{{{uri}}}{name.rpartition(':')[2]}" if uri else name
 
+    name, own = _read_tag(raw)
+    pairs = [(expanded(k) if ":" in k else k, v) for k, v in own.items() if k != "xmlns" and not k.startswith("xmlns:")]
+    return expanded(name), pairs if len({k for k, _ in pairs}) == len(pairs) else []
+
+
+#: By use and meaning of prefixes, what has been told of a tag as written; what is remembered is bounded.
+_TOLD: dict[tuple, dict[str, tuple]] = {}
+_MOST_TOLD, _MOST_MEANINGS = 1 << 14, 64
+
+
+def told_elements(text: str, use: Callable[[str, list[tuple[str, str]]], tuple]) -> Iterator[tuple[_Element, tuple]]:
+    """The elements of a text, each with ``use`` of its expanded name and attributes, which begins with the name. Equal tags are
+    looked at once."""
+    found, meaning = _named_elements(text)
+    if meaning is None:
+        yield from ((e, use(e.tag, e.pairs)) for e in found)
+        return
+    if (use, meaning) not in _TOLD and len(_TOLD) >= _MOST_MEANINGS:
+        _TOLD.clear()
+    known, uris = _TOLD.setdefault((use, meaning), {}), dict(meaning)
+    for e in found:
+        if (told := known.get(e.raw)) is None:
+            if len(known) >= _MOST_TOLD:
+                known.clear()
+            told = known[e.raw] = use(*_expanded(e.raw, lambda prefix: uris.get(prefix, "")))
+        e.tag = told[0]
+        yield e, told
+
+
+def _pair(tag: str, pairs: list[tuple[str, str]]) -> tuple:
+    return tag, pairs
+
+
+def text_elements(text: str, anchors: tuple[frozenset[str], ...]) -> Iterator[tuple]:
+    """The columns of ``_NODE`` of each element of a text, and the nearest of each kind of anchor that holds it."""
     held: list[_Element | None] = [None] * len(anchors)
-    for e, own in zip(found, given, strict=True):
-        name = _OPEN.match(e.raw)
-        e.tag = expanded(name[1] if name else "", e.node)
-        pairs = [(expanded(k, e.node) if ":" in k else k, v) for k, v in own.items() if k != "xmlns" and not k.startswith("xmlns:")]
-        if len({k for k, _ in pairs}) < len(pairs):
-            pairs = []
+    for e, (_, pairs) in told_elements(text, _pair):
         close = e.node if e.close is None else e.close
         around = []
         for i, tags in enumerate(anchors):
@@ -225,7 +271,7 @@ _MOST_REMEMBERED = 1 << 14
 
 @lru_cache(256)
 def _remembered(text: str, anchors: tuple[frozenset[str], ...]) -> tuple[tuple, ...]:
-    return tuple(_element_rows(text, anchors))
+    return tuple(text_elements(text, anchors))
 
 
 def read_elements(parts: DataFrame, by: tuple[str, ...] = BY, text: Column | None = None, anchors: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
@@ -253,7 +299,7 @@ def read_elements(parts: DataFrame, by: tuple[str, ...] = BY, text: Column | Non
 
             for key, x in zip(keys, batch.column(n), strict=True):
                 if (one := x.as_py()) is not None:
-                    for row in _remembered(one, tags) if len(one) <= _MOST_REMEMBERED else _element_rows(one, tags):
+                    for row in _remembered(one, tags) if len(one) <= _MOST_REMEMBERED else text_elements(one, tags):
                         rows.append((*key, *row))
                         if len(rows) == _MOST_ROWS:
                             yield flush()
@@ -338,7 +384,7 @@ def _fault_codes(text: str) -> list[str]:
             roots += not opened
             if raw[-2] != "/":
                 opened.append(name)
-    loose = prefixed and any(_LOOSE.match(x) for e in _element_rows(text, ()) for x in (e[4], *(k for k, _ in e[6])))
+    loose = prefixed and any(_LOOSE.match(x) for e in text_elements(text, ()) for x in (e[4], *(k for k, _ in e[6])))
     told = (("XML-VERSION", old), ("XML-DOCTYPE", doctype), ("XML-MALFORMED", bad or roots != 1 or opened), ("XML-NAMESPACE", loose))
     return [code for code, holds in told if holds and found]
 
@@ -376,6 +422,14 @@ def said(attributes: Column | str = "attributes") -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(attributes)), lambda e: F.concat(e["key"], F.lit("="), F.to_json(F.struct(e["value"].alias("v"))))), " ")
 
 
+_JSON = {k: f"\\u{k:04X}" for k in range(32)} | {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r", 34: '\\"', 92: "\\\\"}
+
+
+def said_of(pairs: Iterable[tuple[str, str]]) -> str:
+    """``said`` of attributes in a task."""
+    return "" if not pairs else " ".join(f'{k}={{"v":"{v.translate(_JSON)}"}}' for k, v in sorted(pairs))
+
+
 def shape_of(found: DataFrame, *by: str) -> DataFrame:
     """(by, shape): what each group of elements says, level by level in order: depth, tag, attributes, text without its margins."""
     one = F.concat_ws(" ", "depth", "tag", said(), F.trim(F.regexp_replace("text", r"^\s+|\s+$", "")))
